@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,27 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, digest, with_spans
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = found.withColumn(
+        "base", F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
+    )
+    return base.select(
+        "doc_id",
+        *[count(r.kind) for r in BASE],
+        F.sha2(digest("base"), 256).alias("base_sha256"),
+        digest().alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -38,8 +38,23 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import with_tokens
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    return with_tokens(table(spark, sf_dir, "documents"), file, keep=["doc_id"]).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
+    "op8_bpe_encoding": op8_bpe_encoding,
     "op10_secret_scans": op10_secret_scans,
 }
 

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+    from .token_files import rank_encoder
+
+    encoder = rank_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return count_tokens(table(spark, sf_dir, "documents"), encoder, separator=50256)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import neighbour_fingerprints
 
@@ -38,6 +48,15 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import byte_encoder, read_documents, write_token_files
+
+    encoder = byte_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(write_token_files(table(spark, sf_dir, "documents"), encoder, end=2))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +72,9 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
+    "op7_token_files": op7_token_files,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op10_secret_scans": op10_secret_scans,
 }

@@ -54,6 +54,47 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._shared import written
+    from .mixing import mix
+
+    mixed = written(mix(table(spark, sf_dir, "documents")), "mixed")
+    first = F.when(F.size("positions") > 0, F.element_at("positions", 1)["position"])
+    return mixed.orderBy(first.asc_nulls_last(), "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+OP4_SQL = r"""
+with d as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as n,
+    case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w
+  from d group by source
+), k as (
+  select *, 2.0::double * n / w as knot,
+    coalesce(sum(2.0::double * n) over (order by 2.0::double * n / w, w, source rows between unbounded preceding and 1 preceding), 0) as capped,
+    sum(w) over (order by 2.0::double * n / w, w, source rows between current row and unbounded following) as free_w,
+    1.5::double * sum(n) over () as goal
+  from s
+), l as (
+  select min((goal - capped) / free_w) as level from k where (goal - capped) / free_w <= knot
+), t as (
+  select source, n, least(2.0::double * n, w * level) as target from k, l
+), o as (
+  select d.doc_id, d.size, t.n as source_size, t.target,
+    coalesce(sum(d.size) over (partition by d.source order by md5(cast(d.doc_id as varchar)), d.doc_id, d.size
+      rows between unbounded preceding and 1 preceding), 0) as c
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target,
+  cast(greatest(0, least(size, floor(target) - c)) + greatest(0, least(size, floor(target) - c - source_size)) as bigint) as taken
+from o
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,10 +121,13 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
+    "op4_mixing": op4_mixing,
     "op7_token_files": op7_token_files,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+}

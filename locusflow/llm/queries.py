@@ -80,7 +80,7 @@ with d as (
     1.5::double * sum(n) over () as goal
   from s
 ), l as (
-  select min((goal - capped) / free_w) as level from k where (goal - capped) / free_w <= knot
+  select arg_min((goal - capped) / free_w, knot) as level from k where (goal - capped) / free_w <= knot
 ), t as (
   select source, n, least(2.0::double * n, w * level) as target from k, l
 ), o as (

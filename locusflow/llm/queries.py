@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, with_severity
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels"))
+    return with_severity(documents, model, keep=["doc_id"])
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -143,6 +151,7 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,

@@ -127,6 +127,19 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .language_id import fit, with_language
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(documents.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return with_language(
+        documents.select("doc_id", "text", held_out.alias("held_out")), model, keep=["doc_id", "held_out"]
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -156,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_maxscore": op5_maxscore,
+    "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_jaccard_join": op9_jaccard_join,

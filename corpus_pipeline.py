@@ -44,9 +44,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, at least once and at most twice, in training order:
     sources get 150 % of all words by weight, between one and two times their own size."""
     docs = docs.select(*COLUMNS)
-    taken = mix(docs, least=1.0, cut=False).select("doc_id", F.explode("positions.position").alias("position"))
-    # documents without words have no position and stand at the start
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs.doc_id.eqNullSafe(F.col("_id")), "left")
+    taken = mix(docs, least=1.0, cut=False).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("positions.position").alias("_at")  # rows that repeat a doc_id are taken alike
+    )
+    rows = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")), "left").withColumn(
+        "position", F.explode_outer("_at")  # documents without words have no position and stand at the start
+    )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 

@@ -43,7 +43,11 @@ def header_of(lines: list[str]) -> VariantHeader:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (column value) of a VCF file; compressed .vcf.bgz through its own reader."""
+    """Lines (column value) of a variant file; .vcf.bgz and .bcf through their own readers."""
+    if kind_of(path) == "bcf":
+        from . import bcf
+
+        return bcf.read_lines(spark, path)
     if kind_of(path) == "bgz":
         from .bgzf import register
 

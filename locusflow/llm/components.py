@@ -9,10 +9,10 @@ from ._shared import written
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of each node, itself included."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("m", "u").alias("m")
-    )
+    """The least neighbour of each node, itself included. Written, so that the join with the edges shuffles
+    both sides and Spark can split a node that has many edges."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return written(least.select(F.col("u").alias("w"), F.least("m", "u").alias("m")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from ._shared import small, tune, written
 from ._words import batches, mix, shingle_hashes
 from .components import components
 
-THRESHOLD, RECALL, WORDS, BLOCK = 0.8, 0.9999, 5, 64
+THRESHOLD, RECALL, WORDS, BLOCK = 0.8, 0.9999, 5, 128
 SKETCH = "doc_id long, k1 long, k2 long, shingles long, bands array<long>"
 _U = np.uint64
 
@@ -119,8 +119,9 @@ def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     meet = own.select("block", F.explode("buckets").alias("bucket")).distinct()
     sets = meet.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("b"))
+    # the buckets of a large group hold the same blocks: each set of blocks is paired once
     pairs = (
-        sets.select(F.posexplode("b").alias("i", "left"), "b")
+        sets.select("b").distinct().select(F.posexplode("b").alias("i", "left"), "b")
         .select("left", F.explode(F.expr("slice(b, i + 1, size(b) - i)")).alias("right"))
         .distinct()
     )

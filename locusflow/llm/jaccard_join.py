@@ -6,10 +6,12 @@
    here on, represented by their least doc_id.
 2. Banding: representatives meet in the buckets of their band keys. Every representative in a bucket
    with others belongs to one *block*: a hash share of the largest of its buckets, of about BLOCK
-   members. Two blocks that meet in any bucket become one block pair, once.
+   members or HASHES shingles, whichever is fewer. Two blocks that meet in any bucket become one block
+   pair, once.
 3. Verification: a block pair's shingle sets are compared in full, by one sparse product. Only counts of
    links and a local root leave the task, never pairs: a group of m near copies costs (m / BLOCK)^2
-   tasks' worth of comparisons, spread over the cluster, and m rows.
+   tasks' worth of comparisons, spread over the cluster, for which each text's set is sent m / BLOCK
+   times, and gives m rows a block.
 4. Classes: connected components of the links.
 
 No candidate is capped or sampled; bucket sizes only decide how work is split.
@@ -34,7 +36,8 @@ from ._shared import small, tune, written
 from ._words import batches, mix, shingle_hashes
 from .components import components
 
-THRESHOLD, RECALL, WORDS, BLOCK = 0.8, 0.9999, 5, 128
+THRESHOLD, RECALL, WORDS = 0.8, 0.9999, 5
+BLOCK, HASHES = 512, 1 << 19  # a block's texts, and the shingle hashes in them (8 bytes each), on average
 SKETCH = "doc_id long, k1 long, k2 long, shingles long, bands array<long>"
 _U = np.uint64
 
@@ -100,18 +103,19 @@ def sketch(documents: DataFrame, bands: int, rows: int, words: int = WORDS) -> D
 
 def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Block of each representative that shares a bucket, and the pairs of blocks that meet in one."""
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").count().filter("count > 1")
-    shared = entries.join(sizes, "bucket")
+    entries = reps.select("rep", "shingles", F.explode("bands").alias("bucket"))
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("shingles") / F.lit(HASHES)))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("count"), parts.alias("parts")).filter("count > 1")
+    shared = entries.drop("shingles").join(sizes, "bucket")
     # a representative has as many entries as there are bands at most
-    own = shared.groupBy("rep").agg(F.collect_list(F.struct("count", "bucket")).alias("in"))
+    own = shared.groupBy("rep").agg(F.collect_list(F.struct("count", "bucket", "parts")).alias("in"))
     home = F.array_max("in")
     own = written(
         own.select(
             "rep",
             F.xxhash64(
                 home["bucket"],
-                F.pmod(F.xxhash64("rep"), F.ceil(home["count"] / F.lit(BLOCK))),
+                F.pmod(F.xxhash64("rep"), home["parts"]),
             ).alias("block"),
             F.transform("in", lambda x: x["bucket"]).alias("buckets"),
         ),
@@ -223,7 +227,12 @@ def jaccard_join(
     reps = written(
         marks.filter("shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.count("*").alias("copies"),
+            F.first("shingles").alias("shingles"),
+            F.first("bands").alias("bands"),
+        ),
         "representatives",
     )
     own, pairs = _blocks(reps)

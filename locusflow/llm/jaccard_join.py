@@ -5,8 +5,8 @@
    with the fewest collisions of dissimilar texts. Texts with the same word sequence are one class from
    here on, represented by their least doc_id.
 2. Banding: representatives meet in the buckets of their band keys. Every representative in a bucket
-   with others belongs to one *block*: a hash share of the largest of its buckets, of about BLOCK
-   members or HASHES shingles, whichever is fewer. Two blocks that meet in any bucket become one block
+   with others belongs to one *block*: a hash share of those that name the same largest bucket, of about
+   BLOCK members or HASHES shingles, whichever is fewer. Two blocks that meet in any bucket become one block
    pair, once.
 3. Verification: a block pair's shingle sets are compared in full, by one sparse product. Only counts of
    links and a local root leave the task, never pairs: a group of m near copies costs (m / BLOCK)^2
@@ -102,22 +102,34 @@ def sketch(documents: DataFrame, bands: int, rows: int, words: int = WORDS) -> D
 
 
 def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Block of each representative that shares a bucket, and the pairs of blocks that meet in one."""
+    """Block of each representative that shares a bucket, and the pairs of blocks that meet in one.
+
+    Members of one group have different largest buckets. They take the largest that any partner in a
+    bucket has, so that a group is cut into few full blocks. What a bucket or a name has in all is
+    aggregated and written before it is joined back: Spark can split a hot one.
+    """
     entries = reps.select("rep", "shingles", F.explode("bands").alias("bucket"))
-    parts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("shingles") / F.lit(HASHES)))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("count"), parts.alias("parts")).filter("count > 1")
-    shared = entries.drop("shingles").join(sizes, "bucket")
+    sizes = entries.groupBy("bucket").count().filter("count > 1")
     # a representative has as many entries as there are bands at most
-    own = shared.groupBy("rep").agg(F.collect_list(F.struct("count", "bucket", "parts")).alias("in"))
-    home = F.array_max("in")
+    shared = written(
+        entries.join(sizes, "bucket")
+        .groupBy("rep")
+        .agg(
+            F.first("shingles").alias("shingles"),
+            F.max(F.struct("count", "bucket")).alias("largest"),
+            F.collect_list("bucket").alias("buckets"),
+        ),
+        "shared",
+    )
+    each = shared.select("rep", "largest", F.explode("buckets").alias("bucket"))
+    reach = written(each.groupBy("bucket").agg(F.max("largest").alias("best")), "reach")
+    homes = each.select("rep", "bucket").join(reach, "bucket").groupBy("rep").agg(F.max("best").alias("best"))
+    named = written(shared.join(homes, "rep").select("rep", "shingles", F.col("best.bucket").alias("home"), "buckets"), "homes")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("shingles") / F.lit(HASHES)))
+    parts = written(named.groupBy("home").agg(parts.alias("parts")), "parts")
     own = written(
-        own.select(
-            "rep",
-            F.xxhash64(
-                home["bucket"],
-                F.pmod(F.xxhash64("rep"), home["parts"]),
-            ).alias("block"),
-            F.transform("in", lambda x: x["bucket"]).alias("buckets"),
+        named.join(parts, "home").select(
+            "rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block"), "buckets"
         ),
         "blocks",
     )

@@ -62,34 +62,39 @@ class Model(NamedTuple):
     positive: frozenset[int]
 
     def lexicon(self) -> Memo:
-        """For each white-space separated chunk of text the indices of its features, word by word."""
+        """For each white-space separated chunk of text the indices of its features, repeats included, and
+        how many of its words have a positive one; None for a chunk without features."""
         places = self.places
 
         def compute(chunks: list[str]):
             for chunk in chunks:
-                words = [tuple(places[f] for f in word if f in places) for word in _of_chunk(chunk)]
-                yield [w for w in words if w]
+                words = [[places[f] for f in word if f in places] for word in _of_chunk(chunk)]
+                flat = [j for word in words for j in word]
+                yield (flat, sum(not self.positive.isdisjoint(word) for word in words)) if flat else None
 
         return Memo(compute)
 
-    def counts(self, texts: list, memo: Memo) -> list[tuple[Counter, int]]:
-        """Occurrences of features, and the number of words with a positive one, of each text."""
-        cut = [t.split() if t else [] for t in texts]
-        known = memo.have({x for chunks in cut for x in chunks})
+    def counts(self, texts: list, memo: Memo) -> list[tuple[dict[int, int], int]]:
+        """Occurrences of features, and the number of words with a positive one, of each text. A chunk that
+        a text repeats is looked up once."""
+        tallies = [Counter(t.split()) if t else Counter() for t in texts]
+        known = memo.have(set().union(*tallies))
         out = []
-        for chunks in cut:
-            found: Counter = Counter()
+        for tally in tallies:
+            found: dict[int, int] = {}
             marked = 0
-            for x in chunks:
-                for word in known[x]:
-                    found.update(word)
-                    marked += not self.positive.isdisjoint(word)
+            for x, n in tally.items():
+                if (have := known[x]) is not None:
+                    for j in have[0]:
+                        found[j] = found.get(j, 0) + n
+                    marked += n * have[1]
             out.append((found, marked))
         return out
 
-    def at_least(self, found: Counter) -> np.ndarray:
+    def at_least(self, found: dict[int, int]) -> np.ndarray:
         """P(grade >= k) for k from 1."""
-        s = sum(self.weights[j] * (1 + np.log(n)) for j, n in found.items())
+        at, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        s = self.weights[at] @ (1 + np.log(n))
         return 1 / (1 + np.exp(np.clip(self.cuts - s, -60, 60)))
 
 

@@ -34,7 +34,7 @@ class Memo:
             found = missing & self.old.keys()
             for x in found:
                 self.new[x] = self.old[x]
-            todo = sorted(missing - found)
+            todo = list(missing - found)
             self.new.update(zip(todo, self.compute(todo)))
         return self.new
 
@@ -110,7 +110,8 @@ def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[
 
 
 _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
-_FAR = re.compile("[^\x00-ſ]")
+#: A piece of printable Latin characters, of which none is white space, behind one space at most.
+_PLAIN = re.compile(" ?[!-~¡-¬®-ſ]+")
 _WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ \n{_LETTERS}{_DIGITS}]+|\n"
 )
@@ -141,12 +142,17 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer.no_truncation()
     model = tokenizer.model
     letters = dict(enumerate(byte_letters()))
+    space = letters[32]
+    packed = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
     def words_of(words: list[str]) -> list[bytes]:
         out = []
         for x in words:
-            found = model.tokenize(x.encode().decode("latin-1").translate(letters))
-            out.append(b"".join([t.id.to_bytes(2, "little") for t in found]))
+            if x.isascii():  # of these characters only the space has another letter
+                x = space + x[1:] if x[0] == " " else x
+            else:
+                x = x.encode().decode("latin-1").translate(letters)
+            out.append(b"".join([packed[t.id] for t in model.tokenize(x)]))
         return out
 
     words = Memo(words_of)
@@ -155,10 +161,7 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
         out = [b""] * len(pieces)
         plain = []
         for k, x in enumerate(pieces):
-            bare = x[1:] if x[:1] == " " else x
-            if bare and bare.split() == [bare] and "<|" not in x and not _RARE.search(x) and not (
-                not x.isascii() and _FAR.search(x)
-            ):
+            if _PLAIN.fullmatch(x) and "<|" not in x:
                 plain.append(k)
             elif x:
                 ids = tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids

@@ -2,10 +2,11 @@
 
 A rule is a head and a body: it matches its head followed by one or more body bytes, as many as there
 are; matches of a kind are leftmost and do not overlap, and one with fewer than ``least`` body bytes
-is dropped (what it covers stays covered). All rules together are compiled into one minimised
-automaton, and one pass over the bytes of a text tells whether any rule can have a match. (Behind a
-head it asks for SEEN body bytes at most: counting each body to its full length would multiply the
-states.) Only texts in which it does are resolved into spans, by a second automaton over all heads.
+is dropped (what it covers stays covered). A rule may have a tail, which a match takes in as well if it
+follows: that of a private key runs from its BEGIN line to its END line. All rules together are compiled
+into one minimised automaton, and one pass over the bytes of a text tells whether any rule can have a
+match. (Behind a head it asks for SEEN body bytes at most: counting each body to its full length would
+multiply the states.) Only texts in which it does are resolved into spans, by a second automaton over all heads.
 
 Spans are code points, end exclusive, sorted by start and then by the order of the rules. Null and
 empty texts have none. Texts are scanned whole, whatever their length.
@@ -34,8 +35,21 @@ class Rule(NamedTuple):
     head: str
     body: str
     least: int
+    tail: str = ""
 
 
+# What follows the BEGIN line of a private key. Line breaks may be written as escapes, lines may have
+# margins (indents, quotes, marks of comments). With an END line, the key is what leads to it over header
+# fields and a key's characters; without one, the lines of base64 that follow, or runs of 40 and more.
+_BREAK = r"[\x20\t\"',+;]*+(?:\\(?:r\\n|[nr])(?:[\x20\t\"',+;]*+\r?\n)?+|\r?\n|\r)"
+_MARGIN = r"[\x20\t>#|*\"',+]*+"
+_FIELDS = r"(?:(?:\\[nr]|[\s>#|*\"',+])++[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+_END = r"-{4,}+END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-*+"
+_CLOSED = rf"{_FIELDS}(?:[A-Za-z0-9+/=_\s\\\"'>#|*,]|\.{{2,}}+|-(?!---))*+{_END}"
+_LINE = rf"{_MARGIN}[A-Za-z0-9+/=]++(?=[\x20\t\"',+;]*+(?:[\r\n\\]|\Z))"
+_LATER = rf"(?:{_BREAK}{_MARGIN})++[A-Za-z0-9+/=]{{16,}}+(?=[\x20\t\"',+;]*+(?:[\r\n\\]|\Z))"
+_OPEN = rf"{_FIELDS}(?:{_BREAK}{_LINE}|{_LATER}|{_MARGIN}[A-Za-z0-9+/=]{{40,}}+)++"
+
 BASE = (
     Rule(
         "assign",
@@ -52,7 +66,7 @@ MORE = (
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]", 35),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]", 10),
-    Rule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY----", "-", 1),
+    Rule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?----", "-", 1, f"{_CLOSED}|{_OPEN}"),
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
@@ -70,19 +84,20 @@ def _compiled(rules: tuple[Rule, ...]):
     heads = Automaton([r.head for r in rules])
     rows = whole.rows()
     body = [re.compile(f"{r.body}+".encode()) for r in rules]
+    tail = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
     starts = np.zeros(256, bool)
     starts[:] = heads.moves[heads.start, heads.classes] != 0
     for k, r in enumerate(rules):
         if heads.accepts[heads.start] >> k & 1:  # an empty head: any body byte begins a match
             starts |= [bool(body[k].match(bytes([b]))) for b in range(256)]
     head_rows = heads.rows()
-    return rows[whole.start], head_rows[heads.start], head_rows[0], body, starts
+    return rows[whole.start], head_rows[heads.start], head_rows[0], body, tail, starts
 
 
 def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     if not text:
         return []
-    start, head, dead, body, starts = _compiled(rules)
+    start, head, dead, body, tail, starts = _compiled(rules)
     data = text.encode("utf-8", "surrogatepass")
     if not reduce(getitem, data, start)[256]:
         return []
@@ -103,8 +118,11 @@ def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[
             row = row[data[i]]
             i += 1
         for k, (begin, end) in ends.items():
+            long = end - begin >= rules[k].least
+            if long and tail[k] and (m := tail[k].match(data, end)):
+                end = m.end()
             free[k] = end
-            if end - begin >= rules[k].least:
+            if long:
                 found.append((at, k, end))
     found.sort()
     if not text.isascii():

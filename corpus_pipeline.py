@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm._shared import new_path
 from locusflow.llm.bpe import with_tokens
-from locusflow.llm.jaccard_join import jaccard_join, one_of_each
+from locusflow.llm.jaccard_join import one_of_each
 from locusflow.llm.mixing import mix
 from locusflow.llm.secret_scan import MASK, with_spans
 from locusflow.llm.toxicity import fit, with_severity
@@ -29,9 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each class of near copies."""
-    docs = docs.select(*COLUMNS)
-    return one_of_each(docs, jaccard_join(docs)).select(*COLUMNS)
+    """One row, of the least doc_id, of each class of near copies."""
+    return one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 1. Sketch: each text's five-word shingles are hashed and reduced to ``bands`` x ``rows`` MinHashes; each
    band is folded into one key. ``plan_bands`` picks the two numbers: the recall at the threshold is met
    with the fewest collisions of dissimilar texts. Texts with the same word sequence are one class from
-   here on, represented by their least doc_id.
+   here on, represented by one of them under a number of its own.
 2. Banding: representatives meet in the buckets of their band keys. Every representative in a bucket
    with others belongs to one *block*: a hash share of those that name the same largest bucket, of about
    BLOCK members or HASHES shingles, whichever is fewer. Two blocks that meet in any bucket become one block
@@ -17,8 +17,9 @@
 No candidate is capped or sampled; bucket sizes only decide how work is split.
 
 Defined results: a text without words has no shingles, links to nothing and is its own class. Texts of
-one to four words have one shingle. A doc_id that occurs more than once counts once, by the least of its
-texts' keys; null is such an id too.
+one to four words have one shingle. Rows with one doc_id are one document, equal texts of which count
+once; all its texts are compared, and its links are those of all of them. Each row without a doc_id is a
+document of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import small, tune, written
@@ -38,7 +39,7 @@ from .components import components
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.9999, 5
 BLOCK, HASHES = 512, 1 << 19  # a block's texts, and the shingle hashes in them (8 bytes each), on average
-SKETCH = "doc_id long, k1 long, k2 long, shingles long, bands array<long>"
+SKETCH = "doc_id long, mark long, k1 long, k2 long, shingles long, bands array<long>"
 _U = np.uint64
 
 
@@ -76,6 +77,11 @@ def sketch_texts(texts: list, bands: int, rows: int, words: int = WORDS):
     return keys.view(np.int64), counts, folded.view(np.int64)
 
 
+def _row():
+    """What tells rows apart, null and repeated ids included: the id and a hash of the text."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark")
+
+
 def sketch(documents: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
     tune(documents.sparkSession)
 
@@ -90,15 +96,16 @@ def sketch(documents: DataFrame, bands: int, rows: int, words: int = WORDS) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").slice(begin, end - begin),
+                        part.column("mark").slice(begin, end - begin),
                         pa.array(keys[0]),
                         pa.array(keys[1]),
                         pa.array(counts.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                     ],
-                    names=["doc_id", "k1", "k2", "shingles", "bands"],
+                    names=["doc_id", "mark", "k1", "k2", "shingles", "bands"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return documents.select(*_row(), "text").mapInArrow(run, SKETCH)
 
 
 def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,12 +177,21 @@ def _sets(documents: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
                     names=["rep", "block", "copies", "k1", "key", "hashes"],
                 )
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = documents.select(*_row(), "text")
+
+    def of(some: DataFrame) -> DataFrame:
+        some = some.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+        found = texts.join(small(some), (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        return found.select("rep", "block", "copies", "k1", "text")
+
+    found = of(chosen.filter("rows = 1"))
+    repeated = chosen.filter("rows > 1")  # one of the equal rows is enough
+    if repeated.limit(1).count():
+        found = found.unionByName(of(repeated).distinct())
     return (
-        texts.join(small(chosen), texts.rep.eqNullSafe(chosen.rep))
-        .select(chosen.rep, "block", "copies", "k1", "text")
+        found
         .mapInArrow(run, "rep long, block long, copies long, k1 long, key long, hashes binary")
-        .filter("key = k1")  # another text of a repeated doc_id is not the one that was sketched
+        .filter("key = k1")  # another text of the same doc_id and hash is not the one that was sketched
         .drop("key", "k1")
     )
 
@@ -223,32 +239,41 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(
+def _texts(
     documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS
 ) -> DataFrame:
-    """One row for each doc_id of documents (doc_id, text): class_id (least doc_id that links lead to),
-    copy_of (least doc_id with the same words), n_copies (documents with the same words), n_links
-    (documents whose similarity to it is at least the threshold, its copies included)."""
+    """A row for each text of a doc_id (equal word sequences are one, of rows without an id as well): marks
+    (hashes of its texts), rows (its number), members (documents that it stands for), cluster (of texts that links lead
+    to, null without words), class_id, copy_of, n_copies and n_links as in jaccard_join."""
     bands, rows = plan_bands(threshold, recall)
-    every = F.struct("k1", "k2", "shingles", "bands")
     marks = written(
-        sketch(documents, bands, rows, words).groupBy("doc_id").agg(F.min(every).alias("s")).select("doc_id", "s.*"),
+        sketch(documents, bands, rows, words)
+        .groupBy("doc_id", "k1", "k2")
+        .agg(
+            F.collect_set("mark").alias("marks"),
+            F.count("*").alias("rows"),
+            F.first("shingles").alias("shingles"),
+            F.first("bands").alias("bands"),
+        )
+        .withColumn("members", F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(F.lit(1))),
         "sketch",
     )
     # all rows of a class have the same bands
     reps = written(
-        marks.filter("shingles > 0 and doc_id is not null")
+        marks.filter("shingles > 0")
         .groupBy("k1", "k2")
         .agg(
-            F.min("doc_id").alias("rep"),
-            F.count("*").alias("copies"),
+            F.min(F.struct("doc_id", F.array_min("marks").alias("mark"), "rows")).alias("row"),
+            F.min("doc_id").alias("least"),
+            F.sum("members").alias("copies"),
             F.first("shingles").alias("shingles"),
             F.first("bands").alias("bands"),
-        ),
+        )
+        .withColumn("rep", F.monotonically_increasing_id()),
         "representatives",
     )
     own, pairs = _blocks(reps)
-    chosen = written(own.join(reps.select("rep", "copies", "k1"), "rep"), "candidates")
+    chosen = written(own.join(reps.select("rep", "copies", "k1", "row.*"), "rep"), "candidates")
     sets = written(_sets(documents, chosen, words), "sets")
     seats = (
         pairs.select(
@@ -275,27 +300,106 @@ def jaccard_join(
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.filter("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    classes = written(
-        reps.select("k1", "k2", "rep", "copies")
+    classes = (
+        reps.select("k1", "k2", "rep", "least", "copies")
         .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left"),
-        "classes",
+        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("cluster", F.coalesce("root", "rep"))
+    )
+    classes = written(classes.drop("root"), "linked")
+    # a cluster of one class has the class's least id
+    several = written(
+        roots.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+        .join(reps.select("rep", "least"), "rep")
+        .groupBy("cluster")
+        .agg(F.min("least").alias("first")),
+        "clusters",
     )
+    classes = written(classes.join(several, "cluster", "left"), "classes")
     return (
-        marks.select("doc_id", "k1", "k2", "shingles")
+        marks.select("doc_id", "k1", "k2", "marks", "rows", "members")
         .join(classes, ["k1", "k2"], "left")
         .select(
             "doc_id",
-            F.coalesce("root", "rep", "doc_id").alias("class_id"),
-            F.coalesce("rep", "doc_id").alias("copy_of"),
+            "marks",
+            "rows",
+            "members",
+            "cluster",
+            F.coalesce("first", "least", "doc_id").alias("class_id"),
+            F.coalesce("least", "doc_id").alias("copy_of"),
             F.coalesce("copies", F.lit(1)).alias("n_copies"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
         )
     )
 
 
-def one_of_each(documents: DataFrame, joined: DataFrame) -> DataFrame:
-    """documents without those that are not the least doc_id of their class. Of repeated rows with one
-    doc_id all stay or go together."""
-    gone = written(joined.filter("doc_id != class_id").select("doc_id"), "gone")
-    return documents.join(small(gone), "doc_id", "left_anti")
+def jaccard_join(
+    documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS
+) -> DataFrame:
+    """One row for each doc_id of documents (doc_id, text) and each row without one: class_id (least doc_id
+    that links lead to), copy_of (least doc_id with the same words), n_copies (documents with the same
+    words), n_links (documents whose similarity to it is at least the threshold, its copies included). Of a
+    doc_id with several texts, n_copies and n_links are the sums over its texts, copy_of is the least."""
+    texts = written(_texts(documents, threshold, recall, words), "texts")
+    columns = ("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+    each = texts.withColumn("_", F.explode(F.expr("array_repeat(0, cast(members as int))"))).select(*columns)
+    repeated = written(
+        texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"
+    )
+    if not repeated.limit(1).count():
+        return each
+    # the clusters of one document's texts lead to each other
+    theirs = written(texts.join(small(repeated), "doc_id"), "several")
+    meet = Window.partitionBy("doc_id")
+    edges = (
+        theirs.filter("cluster is not null")
+        .select(F.min("cluster").over(meet).alias("u"), F.col("cluster").alias("v"))
+        .filter("u != v")
+    )
+    joined = components(edges)
+    nodes = texts.filter("cluster is not null").groupBy("cluster").agg(F.min("class_id").alias("first"))
+    first = (
+        joined.join(nodes, joined.node == nodes.cluster)
+        .withColumn("first", F.min("first").over(Window.partitionBy("root")))
+        .select("cluster", "first")
+    )
+    texts = texts.join(small(written(first, "first")), "cluster", "left").withColumn(
+        "class_id", F.least("first", "class_id")
+    )
+    each = texts.withColumn("_", F.explode(F.expr("array_repeat(0, cast(members as int))"))).select(*columns)
+    sums = (
+        texts.join(small(repeated), "doc_id")
+        .groupBy("doc_id")
+        .agg(
+            F.min("class_id").alias("class_id"),
+            F.min("copy_of").alias("copy_of"),
+            F.sum("n_copies").alias("n_copies"),
+            F.sum("n_links").alias("n_links"),
+        )
+    )
+    return each.join(small(repeated), "doc_id", "left_anti").unionByName(sums)
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of each cluster of texts that links lead to: of its least doc_id (null is the last), and of
+    that the text of least hash. Texts without words stay, once for each doc_id."""
+    texts = written(_texts(documents), "texts")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.array_min("marks").alias("mark"))
+    kept = texts.filter("cluster is not null").groupBy("cluster").agg(F.min(place).alias("kept"))
+    kept = written(kept, "kept")
+    # a row with words but not a cluster's first goes; a mark of several rows that stays, stays once
+    marked = texts.join(kept, "cluster", "left").withColumn("mark", F.explode("marks"))
+    stays = F.when(F.col("cluster").isNotNull(), F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("mark") == F.col("kept.mark"))).otherwise(
+        F.col("doc_id").isNull() | (F.col("mark") == F.array_min("marks"))
+    )
+    once = stays & (F.col("rows") > 1) & (F.col("cluster").isNotNull() | F.col("doc_id").isNotNull())
+    chosen = marked.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), stays.alias("stays"), once.alias("once"))
+    gone = written(chosen.filter("not stays or once"), "gone")
+    rows = documents.withColumn("_row_mark", F.xxhash64("text"))
+    same = (F.col("_row_mark") == F.col("_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    left = rows.join(small(gone), same, "left_anti")
+    once = gone.filter("once")
+    if once.limit(1).count():
+        one = rows.join(small(once), same, "left_semi").groupBy("doc_id", "_row_mark").agg(F.min(F.struct(*documents.columns)).alias("row"))
+        left = left.unionByName(one.select("row.*", "_row_mark"))
+    return left.drop("_row_mark")

@@ -116,6 +116,23 @@ def test_join_of_repeated_ids_and_nothing(spark):
     assert jaccard_join.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_and_null_ids_are_whole(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(5))
+    near = a + " x"
+    rows = [(1, a), (1, a), (1, b), (2, b + " y"), (3, near), (None, c), (None, c), (None, d), (None, a), (4, c + " z"),
+            (5, e), (5, e), (6, ""), (6, ""), (None, ""), (7, d.upper()), (7, d), (7, d + "  ")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == Counter({
+        (1, 1, 1, 3, 3): 1, (2, 1, 2, 1, 1): 1, (3, 1, 3, 1, 2): 1, (None, 1, 1, 2, 2): 1,
+        (None, 4, None, 2, 2): 2, (4, 4, 4, 1, 2): 1, (None, 7, 7, 2, 1): 1, (7, 7, 7, 2, 1): 1,
+        (5, 5, 5, 1, 0): 1, (6, 6, 6, 1, 0): 1, (None, None, None, 1, 0): 1,
+    })
+    left = [(r.doc_id, (r.text or "").lower().strip()) for r in jaccard_join.one_of_each(docs).collect()]
+    assert Counter(left) == Counter([(1, a), (1, b), (4, c + " z"), (5, e), (7, d), (6, ""), (None, "")])
+
+
 def test_bands_meet_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.999)):
         bands, rows = jaccard_join.plan_bands(threshold, recall)

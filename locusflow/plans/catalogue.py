@@ -7,6 +7,7 @@ way to the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,20 @@ def pileup_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pileup_counts(D.alignments(spark, sf_dir), *REGION, min_base_quality=13, min_mapping_quality=10)
 
 
+def every_contig(statistic: Callable[..., DataFrame], **options) -> Query:
+    """A statistic over the whole of all contigs, so over all reads."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reads = D.alignments(spark, sf_dir)
+        parts = [
+            statistic(reads, name, 0, D.CONTIG_LENGTH, **options).select(F.lit(name).alias("contig"), "*")
+            for name in D.CONTIGS
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
 def flag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.flag_summary(D.alignments(spark, sf_dir))
 
@@ -215,6 +230,12 @@ QUERIES: dict[str, Query] = {
     "count_coverage_nofilter": count_coverage_all,
     "pileup_counts": pileup_counts,
     "pileup_filtered": pileup_filtered,
+    "depth_profile_contigs": every_contig(S.depth),
+    "depth_blocks_contigs": every_contig(S.depth_blocks),
+    "count_coverage_contigs": every_contig(S.count_coverage),
+    "count_coverage_nofilter_contigs": every_contig(S.count_coverage, quality_threshold=0, read_callback="nofilter"),
+    "pileup_counts_contigs": every_contig(S.pileup_counts),
+    "pileup_filtered_contigs": every_contig(S.pileup_counts, min_base_quality=13, min_mapping_quality=10),
     "flag_summary": flag_summary,
     "contig_summary": contig_summary,
     "merge_regions": merge_regions,
@@ -263,6 +284,16 @@ def _sites(mapq: int, quality: int) -> str:
     )
 
 
+
+def _contigs(sql: Callable[[str, int, int], str]) -> str:
+    """A region's SQL over the whole of all contigs."""
+    return " union all ".join(
+        f"select '{name}' as contig, * from ({sql(name, 0, D.CONTIG_LENGTH)}) x" for name in D.CONTIGS
+    )
+
+
+_RUNS = """, e as (select pos, depth, pos - row_number() over (partition by depth order by pos) as run from d)
+      select min(pos) as start, cast(count(*) as bigint) as length, depth from e group by depth, run"""
 _V = f"v as (select *, case when kind = 2 then 3 else 1 end as ref_len from ({D.VARIANTS_SQL}) x)"
 _ALT = "case kind when 0 then 'G' when 1 then 'ATT' when 2 then 'A' when 3 then 'G/T' else null end"
 
@@ -283,6 +314,12 @@ ORACLE_SQL: dict[str, str] = {
     "count_coverage_nofilter": _pileup(*REGION, 0, 0, 0, "ACGT", False),
     "pileup_counts": _pileup(*WHOLE, A.MASK_PILEUP, 0, 0, "ACGTN", True),
     "pileup_filtered": _pileup(*REGION, A.MASK_PILEUP, 13, 10, "ACGTN", True),
+    "depth_profile_contigs": _contigs(lambda *r: _depth(*r) + " select * from d"),
+    "depth_blocks_contigs": _contigs(lambda *r: _depth(*r) + _RUNS),
+    "count_coverage_contigs": _contigs(lambda *r: _pileup(*r, A.MASK_ALL, 15, 0, "ACGT", False)),
+    "count_coverage_nofilter_contigs": _contigs(lambda *r: _pileup(*r, 0, 0, 0, "ACGT", False)),
+    "pileup_counts_contigs": _contigs(lambda *r: _pileup(*r, A.MASK_PILEUP, 0, 0, "ACGTN", True)),
+    "pileup_filtered_contigs": _contigs(lambda *r: _pileup(*r, A.MASK_PILEUP, 13, 10, "ACGTN", True)),
     "flag_summary": f"with {_READS} select count(*) as total, " + ", ".join(
         f"cast(count(case when (flag & {m}) <> 0 then 1 end) as bigint) as {f[3:] if f.startswith('is_') else f}" for f, m in A.FLAGS.items()
     ) + " from a",

@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions
 
 from locusflow.operators import regions
 from locusflow.plans.catalogue import ORACLE_SQL, QUERIES
@@ -35,6 +36,22 @@ def test_query(spark, tables, name):
     assert plain(got, sorted(got.columns)) == plain(want, sorted(got.columns))
 
 
+def test_statistics_of_all_contigs_hold_all_reads(spark):
+    aligned = QUERIES["cigar_blocks"](spark, SF).selectExpr("sum(hi - lo)").first()[0]
+    counted = QUERIES["count_coverage_nofilter_contigs"](spark, SF).selectExpr("count(*)", "sum(A + C + G + T)").first()
+    assert counted[0] == 3 * 20_100 and counted[1] == aligned - _others(spark)
+
+
+def _others(spark):
+    """Aligned letters that are not A, C, G or T."""
+    from locusflow.functions.alignments import aligned_blocks, has_flag
+    from locusflow.plans import derived
+
+    reads = derived.alignments(spark, SF).filter(~has_flag("is_unmapped"))
+    runs = reads.select("query_sequence", functions.inline(aligned_blocks()))
+    return runs.selectExpr("sum(length(translate(substr(query_sequence, int(q + 1), int(hi - lo)), 'ACGT', '')))").first()[0]
+
+
 def test_merge_and_tiles(spark):
     rows = [("a", 0, 5), ("a", 5, 9), ("a", 10, 12), ("a", 1, 2), ("b", 3, 3), ("b", 4, 9)]
     df = spark.createDataFrame(rows, "contig string, start long, stop long")

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._chunks import TextEncoder
@@ -30,19 +30,19 @@ FILE = 1 << 25  # tokens after which a writer begins another file
 
 
 def write_flat_files(
-    documents: DataFrame, encoder: Callable[[], TextEncoder], separator: int, folder: str | None = None
+    documents: DataFrame, encoder: Callable[[], TextEncoder], separator: int, folder: str
 ) -> DataFrame:
     """Encodes every text (null: empty) into flat files of 16-bit ids, wherever its row is read. The
-    manifest, a written table: path, ordinal and doc_id of each document, and bytes (of the file so far)."""
+    manifest, a written table: file (its number), ordinal and doc_id of each document, and bytes (of the
+    file so far). ``path_of`` gives a file's path; one that a lost task leaves behind is in no manifest."""
     spark = documents.sparkSession
     tune(spark)
-    folder = folder or new_path(spark, "flat-files")
     make_dir(folder)
     stop = separator.to_bytes(2, "little")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = sink = path = None
-        count = size = 0
+        coder = sink = None
+        file = count = size = 0
         try:
             for part in parts:
                 texts = part.column("text").to_pylist()
@@ -50,8 +50,8 @@ def write_flat_files(
                     if sink is None or size >= 2 * FILE:
                         if sink is not None:
                             sink.close()
-                        path, count, size = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
-                        system, name = place(path)
+                        file, count, size = uuid.uuid4().int >> 65, 0, 0
+                        system, name = place(f"{folder}/{file:016x}.bin")
                         sink, coder = system.open_output_stream(name), encoder()
                     packed = stop.join([*coder.encode(texts[begin:end]), b""])
                     sink.write(packed)
@@ -59,12 +59,12 @@ def write_flat_files(
                     n = end - begin
                     yield pa.record_batch(
                         [
-                            pa.array([path] * n),
+                            pa.array([file] * n, pa.int64()),
                             pa.array(range(count, count + n), pa.int64()),
                             part.column("doc_id").slice(begin, n),
                             pa.array([size] * n, pa.int64()),
                         ],
-                        names=["path", "ordinal", "doc_id", "bytes"],
+                        names=["file", "ordinal", "doc_id", "bytes"],
                     )
                     count += n
         finally:
@@ -73,22 +73,26 @@ def write_flat_files(
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(
-        rows.mapInArrow(run, "path string, ordinal long, doc_id long, bytes long"), "flat-manifest"
+        rows.mapInArrow(run, "file long, ordinal long, doc_id long, bytes long"), "flat-manifest"
     )
 
 
+def path_of(file: Column, folder: str) -> Column:
+    return F.format_string(folder.replace("%", "%%") + "/%016x.bin", file)
+
+
 def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width: int = 2) -> DataFrame:
-    """files: path, bytes. A row for each document: path, ordinal in the file, start, n_tokens (without
-    the separator), ended."""
+    """files: file (a number of its own), path, bytes. A row for each document: file, ordinal in it, n_tokens
+    (without the separator), ended."""
     spark: SparkSession = files.sparkSession
     tune(spark)
     step = block * width
     blocks = (
         files.filter("bytes > 0")
-        .select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {step}L)")).alias("at"))
-        .select("path", (F.col("at") / step).cast("long").alias("block"), "at",
+        .select("file", "path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {step}L)")).alias("at"))
+        .select("file", "path", (F.col("at") / step).cast("long").alias("block"), "at",
                 F.least(F.lit(step), F.col("bytes") - F.col("at")).cast("long").alias("size"))
-        .repartition(partitions(spark), "path", "block")
+        .repartition(partitions(spark), "file", "block")
     )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,28 +106,28 @@ def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width:
                 tail = len(ids) - 1 - (found[-1] if len(found) else -1)
                 yield pa.record_batch(
                     [
-                        pa.array([row["path"]]),
+                        pa.array([row["file"]], pa.int64()),
                         pa.array([row["block"]], pa.int64()),
                         pa.array([len(ids)], pa.int64()),
                         pa.array([int(tail)], pa.int64()),
                         pa.array([lengths.astype(np.int64)], pa.list_(pa.int64())),
                     ],
-                    names=["path", "block", "tokens", "tail", "lengths"],
+                    names=["file", "block", "tokens", "tail", "lengths"],
                 )
 
     scanned = blocks.mapInArrow(
-        run, "path string, block long, tokens long, tail long, lengths array<long>"
+        run, "file long, block long, tokens long, tail long, lengths array<long>"
     )
     # the separators themselves are tokens of the stream: positions count them
-    seen = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         scanned.withColumn("n", F.size("lengths").cast("long"))
         .withColumn("before", F.coalesce(F.sum("tokens").over(seen), F.lit(0)))
         .withColumn("done", F.coalesce(F.sum("n").over(seen), F.lit(0)))
         .withColumn("last", F.when(F.col("n") > 0, F.col("before") + F.col("tokens") - F.col("tail") - 1))
         .withColumn("open", F.col("before") - F.coalesce(F.max("last").over(seen), F.lit(-1)) - 1)
-        .withColumn("end", F.lead("block").over(Window.partitionBy("path").orderBy("block")).isNull())
+        .withColumn("end", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
         .withColumn("rest", F.col("before") + F.col("tokens") - F.coalesce(F.max("last").over(upto), F.lit(-1)) - 1)
     )
     every = F.concat(
@@ -138,8 +142,8 @@ def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width:
             F.array(F.struct(F.col("rest").alias("n_tokens"), F.lit(False).alias("ended"))),
         ).otherwise(F.expr("cast(array() as array<struct<n_tokens:bigint,ended:boolean>>)")),
     )
-    return placed.select("path", "done", F.posexplode(every).alias("k", "d")).select(
-        "path",
+    return placed.select("file", "done", F.posexplode(every).alias("k", "d")).select(
+        "file",
         (F.col("done") + F.col("k")).alias("ordinal"),
         F.col("d.n_tokens").alias("n_tokens"),
         F.col("d.ended").alias("ended"),
@@ -148,8 +152,10 @@ def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width:
 
 def count_tokens(documents: DataFrame, encoder: Callable[[], TextEncoder], separator: int) -> DataFrame:
     """doc_id and n_tokens (without the separator) of every document, counted in flat files that are
-    written for them. Rows with equal or null ids keep their own counts."""
-    manifest = write_flat_files(documents, encoder, separator)
-    files = manifest.groupBy("path").agg(F.max("bytes").alias("bytes"))
+    written for them. Rows with equal or null ids keep their own counts; other columns are not looked at."""
+    folder = new_path(documents.sparkSession, "flat-files")
+    manifest = write_flat_files(documents, encoder, separator, folder)
+    files = manifest.groupBy("file").agg(F.max("bytes").alias("bytes")).withColumn("path", path_of(F.col("file"), folder))
     counts = scan_separators(files, separator)
-    return manifest.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides have a row for each document: neither is ever broadcast
+    return manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -13,29 +13,39 @@ from collections.abc import Callable, Iterable
 #: Characters that Python or a tokenizer takes for white space, but for the space and the newline.
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A piece that can be a line of a text: no white space but for one space at its start.
+_ONE = re.compile(r" ?\S+")
 
 
 class Memo:
-    """Values of pieces, computed in groups. Two generations of at most ``most`` pieces each are kept:
-    what was used lately stays, memory is bounded."""
+    """Values of pieces, computed in groups. Two generations of about ``most`` bytes each are kept: what was
+    used lately stays, memory is bounded. (The pieces of one call are all held until the next.)"""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 250_000) -> None:
-        self.compute, self.most = compute, most
+    #: Bytes of a piece's entry besides its text and value: the objects' heads and the table's slot.
+    ENTRY = 200
+
+    def __init__(
+        self, compute: Callable[[list[str]], Iterable], most: int = 8 << 20, weigh: Callable[[object], int] = len
+    ) -> None:
+        """weigh: about how many bytes a value takes."""
+        self.compute, self.most, self.weigh = compute, most, weigh
         self.new: dict = {}
         self.old: dict = {}
+        self.size = 0
 
-    def have(self, pieces: set[str]) -> dict:
+    def have(self, pieces: set) -> dict:
         """A dictionary with all these pieces (and others)."""
         missing = pieces - self.new.keys()
         if missing:
-            if len(self.new) + len(missing) > self.most:
-                self.old, self.new = self.new, {}
+            if self.size > self.most:
+                self.old, self.new, self.size = self.new, {}, 0
                 missing = pieces
-            found = missing & self.old.keys()
-            for x in found:
-                self.new[x] = self.old[x]
-            todo = list(missing - found)
-            self.new.update(zip(todo, self.compute(todo)))
+            found = {x: self.old[x] for x in missing & self.old.keys()}
+            todo = list(missing - found.keys())
+            found.update(zip(todo, self.compute(todo), strict=True))
+            self.new.update(found)
+            weigh = self.weigh
+            self.size += sum([self.ENTRY + len(x) + weigh(v) for x, v in found.items()])
         return self.new
 
 
@@ -91,7 +101,7 @@ def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[
         out = [b""] * len(pieces)
         plain = []
         for k, x in enumerate(pieces):
-            if x.strip() and len(x.split()) == 1 and (x[0] == " " or not x[0].isspace()) and not x[-1].isspace() and x[:2] != "  ":
+            if _ONE.fullmatch(x) and not _RARE.search(x):
                 plain.append(k)
             elif x:
                 out[k] = np.array(encode(x), "<u2").tobytes()

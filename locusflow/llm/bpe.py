@@ -91,9 +91,9 @@ class Bpe:
             slot = slot + 1 & (1 << _SLOTS) - 1
         return np.where(rank >= 0, rank * size + at, _NONE)
 
-    def merge(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        """ids of each word, given by its bytes, as little-endian 32-bit integers, and their names."""
-        out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """ids of each word, given by its bytes, as little-endian 32-bit integers."""
+        out = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         sizes = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for size in np.unique(sizes).tolist():
@@ -151,12 +151,10 @@ class Bpe:
                     tree[w, x] = np.minimum(tree[w, 2 * x], tree[w, 2 * x + 1])
                 level //= 2
             w = w[tree[w, 1] < _NONE]
-        kept = ids[:, :size][alive].astype("<u4")
-        packed = kept.tobytes()
-        names = [self.names[x] for x in kept.tolist()]
+        packed = ids[:, :size][alive].astype("<u4").tobytes()
         begin = 0
-        for i, end in zip(part, np.cumsum(alive.sum(1)).tolist()):
-            out[i] = (packed[4 * begin : 4 * end], " ".join(names[begin:end]))
+        for i, end in zip(part, (4 * np.cumsum(alive.sum(1))).tolist()):
+            out[i] = packed[begin:end]
             begin = end
 
     def _library_words(self, chunk: str) -> list[str]:
@@ -170,14 +168,14 @@ class Bpe:
         words = [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
         return [bytes(self._bytes[x] for x in w) for w in words]
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         cut: list[list] = [[]] * len(chunks)
         plain = []
         for k, chunk in enumerate(chunks):
             if "<|" in chunk and self._split:
                 words: list = []
                 for x in self._split.split(chunk):
-                    words += [self.special[x]] if x in self.special else self._library_words(x)
+                    words += [self._one(self.special[x])] if x in self.special else self._library_words(x)
                 cut[k] = words
             elif not chunk.isascii() and _FAR.search(chunk):
                 cut[k] = self._library_words(chunk)
@@ -194,35 +192,31 @@ class Bpe:
         if plain:
             cut[plain[at]] = words
         known = self.words.have({x for words in cut for x in words if x.__class__ is bytes})
-        found = []
-        for words in cut:
-            if len(words) == 1 and words[0].__class__ is bytes:
-                found.append(known[words[0]])
-                continue
-            parts = [known[x] if x.__class__ is bytes else self._one(x) for x in words]
-            found.append((b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts])))
-        return found
+        return [
+            known[words[0]]
+            if len(words) == 1 and words[0].__class__ is bytes
+            else b"".join([known[x] if x.__class__ is bytes else x[0] for x in words])
+            for words in cut
+        ]
 
-    def _one(self, i: int) -> tuple[bytes, str]:
-        return np.array(i, "<u4").tobytes(), self.names[i]
+    @staticmethod
+    def _one(i: int) -> tuple[bytes]:
+        """A special token's id, in a tuple to tell it from a word's bytes."""
+        return (i.to_bytes(4, "little"),)
 
     def decode(self, packed: bytes) -> str:
         """The names of ids (little-endian 32-bit), joined by spaces: the vocabulary has no decoder."""
         names = self.names
-        return " ".join([names[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return " ".join([names[i] for i in memoryview(packed).cast("I")])
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """ids as little-endian 32-bit integers, and what they decode to, of whole texts."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """ids of whole texts as little-endian 32-bit integers."""
         cut = [
             [] if not t else [x for x in _SPACES.split(t) if x] if _CONTROL.search(t) else t.split()
             for t in texts
         ]
         memo = self.memo.have({x for chunks in cut for x in chunks})
-        out = []
-        for chunks in cut:
-            found = [memo[x] for x in chunks]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found])))
-        return out
+        return [b"".join([memo[x] for x in chunks]) for chunks in cut]
 
 
 _made: dict[str, Bpe] = {}
@@ -239,7 +233,8 @@ def with_tokens(
     df: DataFrame, file: str, text: str = "text", keep: list[str] | None = None, decoded: bool = True
 ) -> DataFrame:
     """The columns ``keep`` of df (all if None) with ``ids`` (binary, little-endian 32-bit) and, if asked
-    for, ``decoded``. A narrow operation: no shuffle. Existing columns of these names are replaced.
+    for, ``decoded``, the text that the ids decode to. A narrow operation: no shuffle. Existing columns of
+    these names are replaced; rows that repeat are encoded each.
 
     file: the vocabulary, at the same path on every executor.
     """
@@ -258,9 +253,9 @@ def with_tokens(
             for begin, end in batches(texts):
                 piece = part.slice(begin, end - begin)
                 found = bpe.encode(texts[begin:end])
-                columns = [pa.array([x[0] for x in found], pa.binary())]
+                columns = [pa.array(found, pa.binary())]
                 if decoded:
-                    columns.append(pa.array([x[1] for x in found], pa.string()))
+                    columns.append(pa.array([bpe.decode(x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(c) for c in keep] + columns, names=[*keep, *new]
                 )

@@ -150,7 +150,7 @@ class Model:
 
     def _lattice(self) -> Lattice:
         if self._ready is None:
-            self._ready = (Lattice(self.pieces), Memo(self.score_chunks))
+            self._ready = (Lattice(self.pieces), Memo(self.score_chunks, weigh=lambda v: 0 if v is None else 100 + v.nbytes))
         return self._ready[0]
 
     def score_words(self, words: list[str]) -> np.ndarray:

@@ -72,7 +72,7 @@ class Model(NamedTuple):
                 flat = [j for word in words for j in word]
                 yield (flat, sum(not self.positive.isdisjoint(word) for word in words)) if flat else None
 
-        return Memo(compute)
+        return Memo(compute, weigh=lambda v: 0 if v is None else 150 + 8 * len(v[0]))
 
     def counts(self, texts: list, memo: Memo) -> list[tuple[dict[int, int], int]]:
         """Occurrences of features, and the number of words with a positive one, of each text. A chunk that
@@ -116,7 +116,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        memo = Memo(lambda chunks: [{f for w in _of_chunk(x) for f in w} for x in chunks])
+        memo = Memo(lambda chunks: [{f for w in _of_chunk(x) for f in w} for x in chunks], weigh=lambda v: 200 + 60 * len(v))
         for part in parts:
             texts, toxic = part.column("text").to_pylist(), part.column("toxic").to_pylist()
             for text, grade in zip(texts, toxic):

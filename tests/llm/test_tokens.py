@@ -4,16 +4,17 @@ import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import base64
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 from locusflow.llm import bpe, token_counts, token_files
-from locusflow.llm._chunks import TextEncoder, byte_bpe, rank_bpe
+from locusflow.llm._chunks import Memo, TextEncoder, byte_bpe, rank_bpe
 from locusflow.llm._words import batches
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -32,13 +33,19 @@ def noise(n):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(n)]
 
 
+def library_of(file):
+    with open(file, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def test_bpe_equals_the_library():
     library, own = Tokenizer.from_file(WORD), bpe.Bpe(WORD)
     texts = ODD + noise(1500) + [f"a{chr(c)}b {chr(c)}'s" for c in range(1, 0x500)]
-    for text, (ids, decoded) in zip(texts, own.encode(texts)):
+    for text, ids in zip(texts, own.encode(texts)):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)
-        assert own.decode(ids) == decoded == library.decode(want, skip_special_tokens=False)
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
 def test_segment_tree_takes_the_leftmost_lowest_rank():
@@ -54,7 +61,7 @@ def test_segment_tree_takes_the_leftmost_lowest_rank():
             if best[0] == 1 << 30:
                 break
             ids[best[1] : best[1] + 2] = [int(own.into[best[0]])]
-        assert np.frombuffer(own.merge([word])[0][0], "<u4").tolist() == ids
+        assert np.frombuffer(own.merge([word])[0], "<u4").tolist() == ids
 
 
 def test_bpe_columns_and_empty_tables(spark):
@@ -71,6 +78,23 @@ def test_chunked_encoders_equal_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_rank_encoder_equals_the_library_on_whole_texts():
+    library, own = library_of(RANKS), TextEncoder(rank_bpe(RANKS))
+    texts = [*ODD, " \nb", " \n日", "a \nb c", " \n <", " \n\n<", "a  \n b", *noise(3000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode_ordinary(text or ""), repr(text)
+
+
+def test_memo_is_bounded_and_right():
+    memo = Memo(lambda pieces: [x.encode() * 50 for x in pieces], most=20_000)
+    rng = random.Random(1)
+    for _ in range(300):
+        some = {str(rng.randrange(500)) for _ in range(20)}
+        have = memo.have(some)
+        assert all(have[x] == x.encode() * 50 for x in some)
+        assert memo.size < 30_000 and len(memo.new) + len(memo.old) < 200
+
+
 def test_token_files_round_trip(spark):
     docs = spark.read.parquet(DOCS).select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(5000 + k, t) for k, t in enumerate(ODD)], docs.schema))
@@ -99,8 +123,8 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
     flat = [x for n in lengths for x in [1] * n + [9]] + [1] * 17
     (tmp_path / "a.bin").write_bytes(np.array(flat, "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    rows = [(f"file://{tmp_path}/a.bin", 2 * len(flat)), (f"file://{tmp_path}/b.bin", 0)]
-    files = spark.createDataFrame(rows, "path string, bytes long")
+    rows = [(1, f"file://{tmp_path}/a.bin", 2 * len(flat)), (2, f"file://{tmp_path}/b.bin", 0)]
+    files = spark.createDataFrame(rows, "file long, path string, bytes long")
     for block in (3, 64, 100_000):
         got = token_counts.scan_separators(files, 9, block).orderBy("ordinal").collect()
         assert [(r.ordinal, r.n_tokens, r.ended) for r in got] == [
@@ -109,13 +133,24 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
 
 def test_token_counts(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)] + [(1, "again"), (None, "no id")], "doc_id long, text string")
-    plain = rank_bpe(RANKS)
-    want = sorted((r.doc_id is None, r.doc_id or 0, len(plain([r.text or ""])[0]) // 2) for r in docs.collect())
+    whole = library_of(RANKS)
+    want = sorted((r.doc_id is None, r.doc_id or 0, len(whole.encode_ordinary(r.text or ""))) for r in docs.collect())
     got = token_counts.count_tokens(docs, token_files.rank_encoder(RANKS), 50256).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == want
     assert token_counts.count_tokens(docs.limit(0), token_files.rank_encoder(RANKS), 50256).count() == 0
 
 
+def test_token_counts_of_long_repeated_and_clashing_rows(spark):
+    long = ["ab cd. " * 200_000, "x" * 1_000_000, None, "ab", "ab"]
+    docs = spark.createDataFrame([(k % 4, t, k, "f") for k, t in enumerate(long)], "doc_id long, text string, n_tokens int, file string")
+    library = library_of(RANKS)
+    want = sorted((k % 4, len(library.encode_ordinary(t[:2000] if t and " " not in t else t or ""))) for k, t in enumerate(long))
+    docs = docs.withColumn("text", docs.text.substr(1, 2000)).where("n_tokens = 1").unionAll(docs.where("n_tokens != 1"))
+    found = token_counts.count_tokens(docs, token_files.rank_encoder(RANKS), 50256)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
 def test_batches_cover_all():
     texts = ["a" * n for n in (5, 0, 100, 3, 3)] + [None]
     assert [x for a, b in batches(texts, 8) for x in texts[a:b]] == texts

@@ -11,57 +11,82 @@ Targets: a source gets ``share`` of all tokens by its weight, but at most ``most
 ``least``) times its own size; what is over goes to the others by weight until none is above. The cut is
 to the word: the last document of a source may be taken in part.
 
-Only ids, sources and sizes are shuffled. Prefix sums are taken in two levels: within hash buckets of a
-source and over the buckets, so a source with a third of all rows is spread like the others.
+Only keys, sources and sizes are shuffled; rows that are equal in all of them are one row with a count until
+positions are given out. Prefix sums are taken in two levels: within hash buckets of a source and over the
+buckets, so a source with a third of all rows is spread like the others. The table of sources is never
+collected: ranks and levels come from prefix sums over range-sorted partitions.
 
 Defined results: a null source is a source, after the others; null texts have size 0 and are never taken;
-a source without words has target 0. Rows that repeat a doc_id are documents of their own.
+a source without words has target 0. Rows that repeat a doc_id, null ids too, are documents of their own and
+stand by a hash of id and text. Only the columns doc_id, source and text are looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions, written
+from ._shared import partitions, small, written
+from .ordering import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-SOURCES = 100_000  # bound on the number of sources: their totals are handled on the driver
+SOURCES = 10_000  # a plan of so many sources is broadcast (about 600 bytes each), a larger one is shuffled
 STEPS = 64  # pieces of time in which demand curves are linear
 
 Schedule = list[tuple[float, float]]  # (time, factor on the weight) knots, times ascending from 0 to 1
 
 
+def key_of(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    """The place of a document in its source's order: rows have equal keys iff id and text are equal."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(text)))
+
+
 def sizes(documents: DataFrame) -> DataFrame:
     return documents.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        "doc_id",
+        "source",
+        key_of().alias("key"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
 
 
 def targets(
-    totals: list[tuple[str | None, int]], share: float, most: float, least: float = 0.0,
-    weights: tuple[float, ...] = WEIGHTS,
-) -> dict[str | None, float]:
-    """Target of each source: its weight times a common level, within its bounds, so that all sum to
-    the share (as far as bounds allow). Sources by code point, null last, weigh weights in turn."""
-    order = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be", "surrogatepass")))
-    rows = [(s, n, weights[k % len(weights)]) for k, (s, n) in enumerate(order)]
-    goal = min(share * sum(n for _, n, _ in rows), most * sum(n for _, n, _ in rows))
-    level_at = lambda x: sum(min(most * n, max(least * n, w * x)) for _, n, w in rows)
-    knots = sorted({b * n / w for _, n, w in rows for b in (least, most)})
-    low = level = 0.0
-    for high in knots:
-        if level_at(high) >= goal:
-            # between two knots some sources stay at a bound; the others share the rest by weight
-            mid = (low + high) / 2
-            bound = {s: min(most * n, max(least * n, w * mid)) for s, n, w in rows}
-            free = [(s, w) for s, n, w in rows if bound[s] == w * mid]
-            fixed = sum(v for s, v in bound.items() if s not in {f for f, _ in free})
-            level = (goal - fixed) / sum(w for _, w in free) if free else high
-            break
-        low = level = high
-    return {s: float(min(most * n, max(least * n, w * level))) for s, n, w in rows}
+    totals: DataFrame, share: float, most: float, least: float = 0.0, weights: tuple[float, ...] = WEIGHTS
+) -> DataFrame:
+    """totals: source, n (words). Adds rank (by code point, null last), weight (weights in turn) and target:
+    the weight times a common level, within the source's bounds, so that all sum to the share (as far as
+    bounds allow).
+
+    What all targets sum to is a piecewise linear function of the level: a source joins in where its weight
+    lifts it from its lower bound, and leaves at its upper bound. Prefix sums over these knots give the
+    function's pieces; the level lies in the first piece that reaches the goal.
+    """
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = running(totals, [F.col("source").isNull(), F.col("source")], rank=F.lit(1))
+    ranked = written(ranked.withColumn("weight", turn), "sources")
+    low, high = F.lit(float(least)) * F.col("n"), F.lit(float(most)) * F.col("n")
+    whole = ranked.agg(F.sum("n").alias("n"), F.sum(low).alias("low")).first()
+    goal = min(share, most) * (whole.n or 0)
+    knots = ranked.select(
+        F.inline(
+            F.array(
+                F.struct((low / F.col("weight")).alias("x"), F.col("weight").alias("dw"), (-low).alias("df")),
+                F.struct((high / F.col("weight")).alias("x"), (-F.col("weight")).alias("dw"), high.alias("df")),
+            )
+        )
+    )
+    knots = written(knots, "knots")
+    pieces = running(knots, [F.col("x"), -F.col("dw")], w=F.col("dw"), f=F.col("df"), place=F.lit(1))
+    fixed = F.col("f") + (whole.low or 0.0)
+    reached = pieces.filter(fixed + F.col("w") * F.col("x") >= goal).select(
+        "place", F.when(F.col("w") > 0, (goal - fixed) / F.col("w")).otherwise(F.col("x")).alias("level")
+    )
+    first = reached.orderBy("place").limit(1).first()
+    level = first.level if first else knots.agg(F.max("x")).first()[0] or 0.0
+    return ranked.withColumn("target", F.least(high, F.greatest(low, F.col("weight") * F.lit(float(level)))))
 
 
 def ramp(rank: int) -> Schedule:
@@ -71,19 +96,41 @@ def ramp(rank: int) -> Schedule:
 
 
 def demand(
-    names: list, weights: tuple[float, ...], schedules: dict | None, steps: int = STEPS
-) -> dict[object, list[float]]:
-    """For each source the integral of its share from 0 to k / steps, for k to steps, scaled to end at 1."""
+    sources: DataFrame, weights: tuple[float, ...], schedules: dict | None, steps: int = STEPS
+) -> tuple[Column, DataFrame | None]:
+    """sources: source, rank. The curve of a source as an expression of its rank and ``own``: the integral of its
+    share from 0 to k / steps, for k to steps, scaled to end at 1; and a table (name, own) of the sources that
+    have a schedule of their own. Sources of the default curriculum differ by rank modulo a small number only."""
     import numpy as np
 
     t = (np.arange(steps) + 0.5) / steps
-    factors = []
-    for k, name in enumerate(names):
-        knots = (schedules or {}).get(name) or ramp(k)
-        factors.append(weights[k % len(weights)] * np.interp(t, [x for x, _ in knots], [y for _, y in knots]))
-    share = np.array(factors) / np.sum(factors, 0)
-    total = np.concatenate([np.zeros((len(names), 1)), np.cumsum(share, 1)], 1)
-    return {n: (row / row[-1]).tolist() for n, row in zip(names, total)}
+    kinds = math.lcm(2, len(weights))
+
+    def factor(rank: int, schedule: Schedule) -> np.ndarray:
+        return weights[rank % len(weights)] * np.interp(t, [x for x, _ in schedule], [y for _, y in schedule])
+
+    count = {r[0]: r[1] for r in sources.groupBy(F.col("rank") % kinds).count().collect()}  # at most kinds rows
+    given = dict(schedules or {})
+    names = sources.sparkSession.createDataFrame([(n, k) for k, n in enumerate(given)], "name string, own int") if given else None
+    owned = []
+    if names is not None:
+        met = sources.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")))  # a row a schedule
+        owned = [(r.own, r["rank"]) for r in met.select("own", "rank").collect()]
+    for _, rank in owned:
+        count[rank % kinds] -= 1
+    by_kind = {k: factor(k, ramp(k)) for k in range(kinds)}
+    by_own = {own: factor(rank, list(given.values())[own]) for own, rank in owned}
+    total = sum([n * by_kind[k] for k, n in count.items()]) + sum(by_own.values()) if count else np.ones(steps)
+
+    def curve(f: np.ndarray) -> Column:
+        grown = np.concatenate([[0.0], np.cumsum(f / total)])
+        return F.array(*[F.lit(float(v)) for v in grown / (grown[-1] or 1.0)])
+
+    every = F.element_at(F.array(*[curve(by_kind[k]) for k in range(kinds)]), (F.col("rank") % kinds + 1).cast("int"))
+    if names is None:
+        return every, None
+    mine = F.array(*[curve(by_own.get(own, np.zeros(steps))) for own in range(len(given))])
+    return F.coalesce(F.get(mine, F.col("own")), every), names
 
 
 def _due(curve: Column, x: Column) -> Column:
@@ -97,28 +144,26 @@ def mix(
     documents: DataFrame, share: float = 1.5, most: float = 2.0, least: float = 0.0,
     weights: tuple[float, ...] = WEIGHTS, schedules: dict | None = None, cut: bool = True,
 ) -> DataFrame:
-    """Documents (doc_id, source, text) with size, source_size, target, taken (words, repeats counted) and
+    """Documents (doc_id, source, text) with key, size, source_size, target, taken (words, repeats counted) and
     positions: the training positions in [0, 1] of each time it is taken, and how many words each time.
 
     With cut = False documents are taken whole or not: each time iff more than half of it is wanted.
     """
-    spark = documents.sparkSession
-    rows = written(sizes(documents), "sizes")
-    totals = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size")).limit(SOURCES + 1).collect()]
-    if len(totals) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    goal = targets(totals, share, most, least, weights)
-    curves = demand(list(goal), weights, schedules) if goal else {}
-    plan = spark.createDataFrame(
-        [(s, n, goal[s], curves[s]) for s, n in totals] or [("", 0, 0.0, [0.0])],
-        "name string, source_size long, target double, curve array<double>",
+    alike = sizes(documents).groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("rows"))
+    rows = written(alike, "sizes")
+    words = F.col("size") * F.col("rows")
+    totals = written(rows.groupBy("source").agg(F.sum(words).alias("n")), "totals")
+    goals = targets(totals, share, most, least, weights)
+    curve, names = demand(goals, weights, schedules)
+    if names is not None:
+        goals = goals.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")), "left")
+    plan = written(
+        goals.select(F.col("source").alias("name"), F.col("n").alias("source_size"), "target", curve.alias("curve")), "plan"
     )
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("size")]
-    # the first bits of the order's key name a bucket: buckets follow each other in that order
-    buckets = 4096
-    bucket = F.conv(F.substring(F.coalesce(order[0], F.lit("000")), 1, 3), 16, 10).cast("int")
-    dealt = rows.withColumn("bucket", bucket)
-    per = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    order = [F.col("key"), F.col("size")]
+    # the first digits of the key name a bucket: buckets follow each other in that order
+    dealt = rows.withColumn("bucket", F.substring("key", 1, 3))
+    per = dealt.groupBy("source", "bucket").agg(F.sum(words).alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(
         F.col("source").alias("s"), F.col("bucket").alias("b"),
@@ -128,11 +173,12 @@ def mix(
         Window.unboundedPreceding, -1
     )
     placed = (
-        dealt.repartition(partitions(spark), "source", "bucket")
-        .withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        dealt.repartition(partitions(documents.sparkSession), "source", "bucket")
+        .withColumn("within", F.coalesce(F.sum(words).over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))  # at most SOURCES rows
-        .withColumn("begin", F.col("offset") + F.col("within"))
+        .join(small(plan, SOURCES), F.col("source").eqNullSafe(F.col("name")))
+        .withColumn("copy", F.explode(F.expr("sequence(0L, rows - 1)")))
+        .withColumn("begin", F.col("offset") + F.col("within") + F.col("copy") * F.col("size"))
     )
     wanted = F.floor("target").cast("long") if cut else F.col("target")
 
@@ -154,6 +200,7 @@ def mix(
     )
     return taken.select(
         "doc_id",
+        "key",
         "source",
         "size",
         "source_size",

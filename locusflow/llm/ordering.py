@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions
+from ._shared import partitions, written
 
 LEAST = -(1 << 63)  # the key of a null id: it comes first
 
@@ -78,3 +78,27 @@ def in_ranges(df: DataFrame, name: str, order: list[str], guests: bool = False)
     return dealt.repartitionById(max(n, len(bounds) + 1), F.col("_range")).sortWithinPartitions(
         "_guest", "_key", *order
     ).drop("_key")
+
+
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with the sum of each of the given columns over all rows before it, by ascending ``order``.
+
+    Rows are range-sorted and summed in their partitions; sums of whole partitions, a row each, come on top.
+    """
+    spark = df.sparkSession
+    keys = {f"_k{k}": c for k, c in enumerate(order)}
+    dealt = df.withColumns(keys).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = written(
+        dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "sorted"
+    )
+    whole = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = whole.select("_part", *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    return (
+        placed.withColumns({n: F.coalesce(F.sum(c).over(inside), zero) for n, c in sums.items()})
+        .join(F.broadcast(offsets), "_part")
+        .withColumns({n: F.col(n) + F.coalesce(F.col(f"_{n}"), zero) for n in sums})
+        .drop("_part", "_row", *[f"_{n}" for n in sums])
+    )

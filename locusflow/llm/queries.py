@@ -66,19 +66,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._shared import written
     from .mixing import mix
 
+    def at(k: int):
+        return F.round(F.get("positions", F.lit(k))["position"], 6)
+
     mixed = written(mix(table(spark, sf_dir, "documents")), "mixed")
-    first = F.when(F.size("positions") > 0, F.element_at("positions", 1)["position"])
-    return mixed.orderBy(first.asc_nulls_last(), "doc_id").select(
-        "doc_id", "size", "source_size", "target", "taken"
+    return (
+        mixed.select("doc_id", "size", "source_size", "target", "taken", at(0).alias("position"), at(1).alias("position_again"))
+        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )
 
 
 OP4_SQL = r"""
 with d as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
+  select doc_id, source, md5(concat_ws(':', coalesce(cast(doc_id as varchar), ''), md5(text))) as key,
+    cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
   from documents
 ), s as (
-  select source, cast(sum(size) as bigint) as n,
+  select source, cast(sum(size) as bigint) as n, row_number() over (order by source nulls last) - 1 as rank,
     case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w
   from d group by source
 ), k as (
@@ -90,16 +94,34 @@ with d as (
 ), l as (
   select arg_min((goal - capped) / free_w, knot) as level from k where (goal - capped) / free_w <= knot
 ), t as (
-  select source, n, least(2.0::double * n, w * level) as target from k, l
+  select source, n, rank, least(2.0::double * n, w * level) as target from k, l
+), f as (
+  select source, i, w * case when rank % 2 = 1 then 0.5 + (i + 0.5) / 64 else 1.5 - (i + 0.5) / 64 end as factor from s, range(64) r(i)
+), h as (
+  select source, i, factor / sum(factor) over (partition by i) as part from f
+), g as (
+  select source, i, sum(part) over (partition by source order by i) / sum(part) over (partition by source) as y from h
+), c as (
+  select source, list_concat([0.0::double], list(y order by i)) as curve from g group by source
 ), o as (
-  select d.doc_id, d.size, t.n as source_size, t.target,
-    coalesce(sum(d.size) over (partition by d.source order by md5(cast(d.doc_id as varchar)), d.doc_id, d.size
+  select d.doc_id, d.size, t.source, t.n as source_size, t.target,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.size
       rows between unbounded preceding and 1 preceding), 0) as c
   from d join t on d.source is not distinct from t.source
+), e as (
+  select *, greatest(0, least(size, floor(target) - c)) as one, greatest(0, least(size, floor(target) - c - source_size)) as two,
+    case when target > 0 then least(1.0, c / target) else 0.0 end as x1,
+    case when target > 0 then least(1.0, (c + source_size) / target) else 0.0 end as x2
+  from o
+), q as (
+  select e.*, curve, greatest(1, least(64, len(list_filter(curve, lambda v: v <= x1)))) as k1,
+    greatest(1, least(64, len(list_filter(curve, lambda v: v <= x2)))) as k2
+  from e join c on e.source is not distinct from c.source
 )
-select doc_id, size, source_size, target,
-  cast(greatest(0, least(size, floor(target) - c)) + greatest(0, least(size, floor(target) - c - source_size)) as bigint) as taken
-from o
+select doc_id, size, source_size, target, cast(one + two as bigint) as taken,
+  case when one > 0 then round((k1 - 1 + case when curve[k1 + 1] > curve[k1] then (x1 - curve[k1]) / (curve[k1 + 1] - curve[k1]) else 0 end) / 64, 6) end as position,
+  case when two > 0 then round((k2 - 1 + case when curve[k2 + 1] > curve[k2] then (x2 - curve[k2]) / (curve[k2 + 1] - curve[k2]) else 0 end) / 64, 6) end as position_again
+from q
 """
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm import components, fingerprints, jaccard_join, language_id, maxscore, mixing, secret_scan, toxicity
 from locusflow.llm.automaton import Automaton
+from locusflow.llm.ordering import running
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string"
@@ -284,9 +285,14 @@ def test_languages_on_held_out_documents(spark, documents):
 # mixing
 
 
-def test_targets_by_redistribution():
+def test_targets_by_redistribution(spark):
     totals = [("a", 100), ("b", 1000), ("c", 50), (None, 10), ("d", 400)]
-    got = mixing.targets(totals, 1.5, 2.0)
+    table = spark.createDataFrame(totals, "source string, n long")
+    got = {r.source: r.target for r in mixing.targets(table, 1.5, 2.0).collect()}
+    every = {r.source: r.target for r in mixing.targets(table, 1.5, 2.0, 1.0).collect()}
+    assert all(n - 1e-9 <= every[s] <= 2 * n + 1e-9 for s, n in totals) and sum(every.values()) == pytest.approx(1.5 * 1560)
+    full = {r.source: r.target for r in mixing.targets(table, 2.5, 2.0).collect()}
+    assert full == {s: 2.0 * n for s, n in totals} and mixing.targets(table.limit(0), 1.5, 2.0).count() == 0
     weights = {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
     want, over, left = {}, dict(weights), 1.5 * 1560
     while over:
@@ -313,6 +319,19 @@ def test_mix_of_odd_rows(spark):
     assert at == sorted(at) and all(0 <= x <= 1 for x in at)
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, mixing.mix(df.repartition(7)).toPandas().values.tolist()))
     assert mixing.mix(df.limit(0)).count() == 0
+    clash = df.withColumns({"key": F.lit(1), "size": F.lit("x"), "target": F.lit(None), "positions": F.lit(0)})
+    assert sorted(map(str, got.values.tolist())) == sorted(map(str, mixing.mix(clash).toPandas().values.tolist()))
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.randrange(9)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = running(df, [F.col("a"), F.col("b")], n=F.lit(1), s=F.col("b")).orderBy("n").collect()
+    total = 0
+    for k, (r, (a, b)) in enumerate(zip(got, sorted(rows), strict=True)):
+        assert (r.a, r.b, r.n, r.s) == (a, b, k, total)
+        total += b
 
 
 def test_curriculum_follows_its_schedule(spark):

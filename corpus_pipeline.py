@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm._shared import new_path
+from locusflow.llm._shared import new_path, written
 from locusflow.llm.bpe import with_tokens
 from locusflow.llm.jaccard_join import one_of_each
-from locusflow.llm.mixing import mix
+from locusflow.llm.mixing import key_of, mix
 from locusflow.llm.secret_scan import MASK, with_spans
 from locusflow.llm.toxicity import fit, with_severity
 
@@ -41,31 +41,40 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, at least once and at most twice, in training order:
-    sources get 150 % of all words by weight, between one and two times their own size."""
+    sources get 150 % of all words by weight, between one and two times their own size.
+
+    Positions are shares of all words, so equal ranges of them hold about equal texts and need no sample.
+    Documents without words have no position and stand anywhere, by a hash of their key. Equal rows are
+    taken alike.
+    """
     docs = docs.select(*COLUMNS)
-    taken = mix(docs, least=1.0, cut=False).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("positions.position").alias("_at")  # rows that repeat a doc_id are taken alike
-    )
-    rows = docs.join(taken, docs.doc_id.eqNullSafe(F.col("_id")), "left").withColumn(
-        "position", F.explode_outer("_at")  # documents without words have no position and stand at the start
+    taken = (
+        mix(docs, least=1.0, cut=False)
+        .groupBy(F.col("key").alias("_key"))
+        .agg(F.min("positions.position").alias("_at"))
     )
+    taken = written(taken, "taken")
+    rows = docs.withColumn("_row", key_of()).join(taken.hint("merge"), F.col("_row") == F.col("_key"), "left")
+    anywhere = F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("_position", F.explode(F.when(F.size("_at") > 0, F.col("_at")).otherwise(F.array(anywhere))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
+    place = F.least(F.lit(n - 1), F.floor(F.col("_position") * n)).cast("int")
+    return rows.repartitionById(n, place).sortWithinPartitions("_position", "doc_id").select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text (little-endian 32-bit), with their number and checksum."""
+    """The ids of every text (little-endian 32-bit), with their number and checksum, and the checksum of the
+    text that they decode to."""
     import public_tokenizers
 
-    coded = with_tokens(
-        docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "source", "lang"], decoded=False
-    )
+    coded = with_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "source", "lang"])
     return coded.select(
         "doc_id",
         "source",
         "lang",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
         "ids",
     )
 

@@ -132,17 +132,17 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as q
+with v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as q
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), p as (
-  select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
-  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+  select a.row, a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v b on a.row <> b.row and len(a.q) = len(b.q)
   where a.vec_id % 50 = 0
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  select query_id, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank, vec_id, score
   from p
 )
 select query_id, rank, vec_id, score from r where rank <= 5

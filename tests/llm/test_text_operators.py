@@ -346,17 +346,32 @@ def test_curriculum_follows_its_schedule(spark):
 
 
 @pytest.mark.parametrize("k", [1, 5, 30])
-def test_maxscore_equals_all_scores(spark, k):
+def test_maxscore_equals_all_scores(spark, monkeypatch, k):
     rng = np.random.default_rng(k)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(200)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties
+    rows += [(50, rows[3][1]), (50, rows[50][1]), (50, rows[50][1]), (7, rows[9][1])]  # repeated ids are rows of their own
     odd = [(500, None), (501, [None] * 16), (502, [float("nan")] + [0.0] * 15), (503, [1.0]), (None, [0.0] * 16)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    got = maxscore.top_k(maxscore.quantised(df), F.col("vec_id") % 50 == 0, k).collect()
-    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
-    want = set()
-    for i in (i for i in q if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:k]
-        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("q", F.lit("x")).withColumn("row", F.lit(1))
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for mine, (i, v) in enumerate(q):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for n, (j, w) in enumerate(q) if n != mine)[:k]
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    for cells, queries, seeds in ((1 << 21, 4096, 2048), (16 * 30, 3, 40), (16 * 30, 3, 1)):
+        monkeypatch.setattr(maxscore, "CELLS", cells)
+        monkeypatch.setattr(maxscore, "QUERIES", queries)
+        monkeypatch.setattr(maxscore, "SEEDS", seeds)
+        got = maxscore.top_k(maxscore.quantised(df), F.col("vec_id") % 50 == 0, k).collect()
+        assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert maxscore.top_k(maxscore.quantised(df.limit(0)), F.lit(True), k).count() == 0
+
+
+def test_maxscore_of_huge_components(spark):
+    big = [(0, [2.0**20, 2.0**20]), (1, [2.0**21, -(2.0**21)]), (2, [2.0**22, 1.0])]
+    get = lambda rows: maxscore.top_k(maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") == 0, 2)
+    assert [(r.vec_id, r.score) for r in get(big).orderBy("rank").collect()] == [(2, 2**58 + 2**36), (1, 0)]
+    for x in (2.0**40, 1e300):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            get([(0, [x, x]), (1, [x, x])]).collect()

@@ -14,7 +14,10 @@ import numpy as np
 
 
 class _Nfa:
-    def __init__(self) -> None:
+    """backward: patterns are read from their ends, for scans from the end of a text to its start."""
+
+    def __init__(self, backward: bool = False) -> None:
+        self.backward = backward
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.free: list[list[int]] = []
 
@@ -25,7 +28,7 @@ class _Nfa:
 
     def add(self, tree, at: int, fold: bool) -> int:
         """Extends the automaton by a parsed pattern from a state; the state at its end."""
-        for kind, value in tree:
+        for kind, value in reversed(tree) if self.backward else tree:
             if kind is c.LITERAL or kind is c.IN:
                 end = self.state()
                 self.moves[at].append((_bytes(kind, value, fold), end))
@@ -88,9 +91,9 @@ class Automaton:
     """classes[byte] names a byte's class, moves[state, class] the next state, accepts[state] a bit for
     each pattern that ends there. State 0 is dead (without search), ``start`` is where runs begin."""
 
-    def __init__(self, patterns: list[str], search: bool = False, absorb: bool = False) -> None:
-        """search: patterns may begin at any byte. absorb: an accepting state is never left."""
-        nfa = _Nfa()
+    def __init__(self, patterns: list[str], search: bool = False, backward: bool = False) -> None:
+        """search: patterns may begin at any byte. backward: for bytes from the last to the first."""
+        nfa = _Nfa(backward)
         first = nfa.state()
         ends = {nfa.add(parser.parse(p), first, False): 1 << k for k, p in enumerate(patterns)}
         sets = sorted({s for moves in nfa.moves for s, _ in moves}, key=sorted)
@@ -110,12 +113,8 @@ class Automaton:
         table: list[list[int]] = []
         queue = list(known)
         for now in queue:
-            hit = any(s in ends for s in now)
             row = []
             for inside in of:
-                if absorb and hit:
-                    row.append(known[now])
-                    continue
                 into = {t for s in now for k, t in steps[s] if k in inside}
                 target = nfa.closure(into | ({first} if search else set()))
                 if target not in known:
@@ -124,8 +123,6 @@ class Automaton:
                 row.append(known[target])
             table.append(row)
         accepts = np.array([sum(bit for s, bit in ends.items() if s in now) for now in queue])
-        if absorb:
-            accepts = (accepts > 0).astype(np.int64)
         self.made = len(queue)
         self._minimise(np.array(table), accepts, 0 if search else 1)
 
@@ -147,11 +144,12 @@ class Automaton:
         self.accepts = accepts[index[rank]]
         self.start = int(order[finer[start]])
 
-    def rows(self) -> list[list]:
+    def rows(self, stop: bool = False) -> list[list]:
         """For each state a list of 256 next states, which are such lists themselves; item 256 has the
-        accept bits. A step of a scan is one indexing."""
+        accept bits, item 257 the state's number. A step of a scan is one indexing. stop: an accepting state
+        is never left."""
         rows: list[list] = [[] for _ in self.moves]
-        for row, moves, bits in zip(rows, self.moves[:, self.classes].tolist(), self.accepts.tolist()):
-            row.extend(rows[t] for t in moves)
-            row.append(bits)
+        for k, (row, moves, bits) in enumerate(zip(rows, self.moves[:, self.classes].tolist(), self.accepts.tolist())):
+            row.extend([row] * 256 if stop and bits else [rows[t] for t in moves])
+            row += [bits, k]
         return rows

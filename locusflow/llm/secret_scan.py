@@ -3,13 +3,17 @@
 A rule is a head and a body: it matches its head followed by one or more body bytes, as many as there
 are; matches of a kind are leftmost and do not overlap, and one with fewer than ``least`` body bytes
 is dropped (what it covers stays covered). A rule may have a tail, which a match takes in as well if it
-follows: that of a private key runs from its BEGIN line to its END line. All rules together are compiled
-into one minimised automaton, and one pass over the bytes of a text tells whether any rule can have a
-match. (Behind a head it asks for SEEN body bytes at most: counting each body to its full length would
-multiply the states.) Only texts in which it does are resolved into spans, by a second automaton over all heads.
+follows: that of a private key runs from its BEGIN line to its END line.
+
+All rules, read backward, are compiled into one automaton by subset construction and minimisation. One pass
+over the bytes of a text, from the last to the first, is in an accepting state of a rule exactly where a
+match of that rule can begin: no start is tried in vain. A match then takes its head, by the transition
+array of its rule's head, and the run of its body, and the next one begins behind it. So the work is linear in
+the text, whatever it holds. (Of a rule without a head only starts with ``least`` body bytes are accepted.
+Tails are regular expressions, tried once behind each match of their rule.)
 
 Spans are code points, end exclusive, sorted by start and then by the order of the rules. Null and
-empty texts have none. Texts are scanned whole, whatever their length.
+empty texts have none. Texts are scanned whole, whatever their length; rows that repeat are scanned each.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 from operator import getitem
 from typing import NamedTuple
 
@@ -70,64 +75,100 @@ MORE = (
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
-SEEN = 4
-
-
-def _seen(rule: Rule) -> str:
-    least = min(rule.least, SEEN) if rule.head else rule.least
-    return f"{rule.head}{rule.body}{{{least},}}"
+BLOCK = 2048  # bytes
+
+
+class _Compiled:
+    def __init__(self, rules: tuple[Rule, ...]) -> None:
+        self.rules = rules
+        whole = Automaton([r.head + r.body if r.head else f"{r.body}{{{r.least}}}" for r in rules], search=True, backward=True)
+        #: The same states twice: those of a block are passed until one accepts, then listed.
+        self.every, self.until, self.start = whole.rows(), whole.rows(stop=True), whole.start
+        self.heads = [(a.rows()[a.start] if r.head else None) for r in rules for a in [Automaton([r.head])]]
+        bodies = [Automaton([r.body]) for r in rules]
+        inside = [a.accepts[a.moves[a.start, a.classes]] > 0 for a in bodies]
+        self.bodies = [bytes(x.astype(np.uint8)) for x in inside]
+        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
+
+    def starts(self, data: bytes) -> list[list[int]]:
+        """Where matches of each rule can begin, ascending."""
+        found: list[list[int]] = [[] for _ in self.rules]
+        back = data[::-1]
+        state, n = self.start, len(data)
+        for begin in range(0, n, BLOCK):
+            block = back[begin : begin + BLOCK]
+            if not self.every[state][256]:
+                row = reduce(getitem, block, self.until[state])
+                if not row[256]:
+                    state = row[257]
+                    continue
+            row = self.every[state]
+            for k, row in enumerate(accumulate(block, getitem, initial=row)):
+                if k and (bits := row[256]):
+                    at = n - begin - k
+                    for kind in self.kinds(bits):
+                        found[kind].append(at)
+            state = row[257]
+        for x in found:
+            x.reverse()
+        return found
+
+    @staticmethod
+    @lru_cache(4096)
+    def kinds(bits: int) -> list[int]:
+        return [k for k in range(bits.bit_length()) if bits >> k & 1]
+
+    def matches(self, data: bytes) -> list[tuple[int, int, int]]:
+        """start, rule and end, in bytes, of every match."""
+        out = []
+        for k, starts in enumerate(self.starts(data)):
+            if not starts:
+                continue
+            least, tail, head = self.rules[k].least, self.tails[k], self.heads[k]
+            body = data.translate(self.bodies[k])
+            free = 0
+            for at in starts:
+                if at < free:
+                    continue
+                begin = self._head_end(head, body, data, at)
+                free = body.find(0, begin)
+                free = free if free >= 0 else len(data)
+                if free - begin >= least:
+                    if tail and (m := tail.match(data, free)):
+                        free = m.end()
+                    out.append((at, k, free))
+        out.sort()
+        return out
+
+    @staticmethod
+    def _head_end(head: list | None, body: bytes, data: bytes, at: int) -> int:
+        """The end of the longest head from a start that a body byte follows."""
+        if head is None:
+            return at
+        row, i, end = head, at, at
+        while i < len(data):
+            if row[256] and body[i]:
+                end = i
+            row = row[data[i]]
+            if not row[257]:  # the dead state
+                break
+            i += 1
+        return end
 
 
 @lru_cache(4)
-def _compiled(rules: tuple[Rule, ...]):
-    whole = Automaton([_seen(r) for r in rules], search=True, absorb=True)
-    heads = Automaton([r.head for r in rules])
-    rows = whole.rows()
-    body = [re.compile(f"{r.body}+".encode()) for r in rules]
-    tail = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
-    starts = np.zeros(256, bool)
-    starts[:] = heads.moves[heads.start, heads.classes] != 0
-    for k, r in enumerate(rules):
-        if heads.accepts[heads.start] >> k & 1:  # an empty head: any body byte begins a match
-            starts |= [bool(body[k].match(bytes([b]))) for b in range(256)]
-    head_rows = heads.rows()
-    return rows[whole.start], head_rows[heads.start], head_rows[0], body, tail, starts
+def _compiled(rules: tuple[Rule, ...]) -> _Compiled:
+    return _Compiled(rules)
 
 
 def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
     if not text:
         return []
-    start, head, dead, body, tail, starts = _compiled(rules)
     data = text.encode("utf-8", "surrogatepass")
-    if not reduce(getitem, data, start)[256]:
-        return []
-    free = [0] * len(rules)  # where the next match of each kind may begin
-    found = []
-    for at in np.flatnonzero(starts[np.frombuffer(data, np.uint8)]).tolist():
-        row, i, ends = head, at, {}
-        while row is not dead:
-            bits = row[256]
-            k = 0
-            while bits:
-                if bits & 1 and at >= free[k] and (m := body[k].match(data, i)):
-                    ends[k] = m.span()
-                bits >>= 1
-                k += 1
-            if i == len(data):
-                break
-            row = row[data[i]]
-            i += 1
-        for k, (begin, end) in ends.items():
-            long = end - begin >= rules[k].least
-            if long and tail[k] and (m := tail[k].match(data, end)):
-                end = m.end()
-            free[k] = end
-            if long:
-                found.append((at, k, end))
-    found.sort()
-    if not text.isascii():
-        place = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80).tolist()
-        return [(rules[k].kind, place[a] - 1, place[e - 1]) for a, k, e in found]
+    found = _compiled(rules).matches(data)
+    if found and not text.isascii():
+        place = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        return [(rules[k].kind, int(place[a]) - 1, int(place[e - 1])) for a, k, e in found]
     return [(rules[k].kind, a, e) for a, k, e in found]
 
 
@@ -162,7 +203,8 @@ def with_spans(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """df (or its columns ``keep``) with a column ``spans``; with a mask, the text column is redacted
-    too. A narrow operation: no shuffle. An existing column ``spans`` is replaced."""
+    too. A narrow operation: no shuffle. An existing column ``spans`` is replaced, others are kept as they
+    are, whatever their names."""
     tune(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c != "spans"]
     into = T.StructType([df.schema[c] for c in keep] + [T.StructField("spans", SPANS)])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,49 @@ def test_base_spans_equal_regular_expressions(documents):
         assert [s for s in secret_scan.find_spans(text) if s[0] in ("assign", "access", "hex")] == brute_spans(text)
 
 
+def test_more_spans_equal_regular_expressions():
+    rng = random.Random(9)
+    rules = {
+        "github": "gh[oprsu]_([A-Za-z0-9]+)", "slack": "xox[abprs]-([A-Za-z0-9-]+)", "google": "AIza([A-Za-z0-9_-]+)",
+        "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)",
+        "private_key": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?----(-+)",
+    }
+    least = {r.kind: r.least for r in secret_scan.MORE}
+    pieces = ["gh", "ghp_", "_", "xoxb-", "xox", "-", "AIza", "eyJ", ".", "eyJab.eyJc_.", "a1" * 6, "Zz9" * 13, "b", " ", "é",
+              "-----BEGIN ", "RSA ", "PRIVATE KEY", " BLOCK", "-----", "ghs_" * 3, "aaaaaaaaaa"]
+    seen = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        want = {(k, m.start(), m.end()) for k, p in rules.items() for m in re.finditer(p, text, re.A) if len(m[1]) >= least[k]}
+        got = {s for s in secret_scan.find_spans(text) if s[0] in rules}
+        # the tail of a private key reaches beyond its BEGIN line, and covers what it reaches
+        keys = [s for s in got if s[0] == "private_key"]
+        assert {s for s in got if s[0] != "private_key"} == {s for s in want if s[0] != "private_key"}, text
+        assert all(any(a == b[1] for b in want if b[0] == "private_key") for _, a, _ in keys)
+        assert all(any(a <= b[1] < e for _, a, e in keys) for b in want if b[0] == "private_key")
+        seen.update(s[0] for s in got)
+    assert min(seen[k] for k in rules) >= 10
+
+
+def test_scans_of_adversarial_texts_are_linear():
+    texts = ["eyJ" * 333_333 + " AKIAABCD1234EFGHIJ", "ab" * 500_000, "token:" * 166_000, "eyJa." * 200_000, "ghp_" * 250_000,
+             "-----BEGIN PRIVATE KEY-----\n" * 35_000, "password" + " " * 1_000_000, "x" * 3_000_000]
+    counts = []
+    for text in texts:
+        began = time.process_time()
+        counts.append(len(secret_scan.find_spans(text)))
+        assert time.process_time() - began < 8
+    assert counts == [1, 1, 0, 0, 0, 35_000, 0, 0]
+
+
+def test_repeated_rows_and_clashing_columns_of_a_scan(spark):
+    text = "token=abcdefgh"
+    df = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, text, None)], "doc_id long, text string, kind string")
+    got = secret_scan.with_spans(df).collect()
+    assert [(r.doc_id, r.kind, r.spans) for r in sorted(got, key=str)] == [
+        (1, "s", [("assign", 0, 14)])] * 2 + [(None, None, [("assign", 0, 14)])]
+
+
 def test_more_rules_and_redaction(spark):
     text = "é ghp_" + "aB3" * 13 + " k -----BEGIN RSA PRIVATE KEY----- token=12345678"
     kinds = [s[0] for s in secret_scan.find_spans(text)]

@@ -19,7 +19,8 @@ No candidate is capped or sampled; bucket sizes only decide how work is split.
 Defined results: a text without words has no shingles, links to nothing and is its own class. Texts of
 one to four words have one shingle. Rows with one doc_id are one document, equal texts of which count
 once; all its texts are compared, and its links are those of all of them. Each row without a doc_id is a
-document of its own.
+document of its own. Texts are compared whole, whatever their length; only the columns doc_id and text are
+looked at, the others stay as they are.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import small, tune, written
+from ._shared import partitions, small, tune, written
 from ._words import batches, mix, shingle_hashes
 from .components import components
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.9999, 5
+CHUNK = 64  # blocks of a set that another block of it meets at a time
 BLOCK, HASHES = 512, 1 << 19  # a block's texts, and the shingle hashes in them (8 bytes each), on average
 SKETCH = "doc_id long, mark long, k1 long, k2 long, shingles long, bands array<long>"
 _U = np.uint64
@@ -143,9 +145,21 @@ def _blocks(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     meet = own.select("block", F.explode("buckets").alias("bucket")).distinct()
     sets = meet.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("b"))
     # the buckets of a large group hold the same blocks: each set of blocks is paired once
+    sets = written(sets.select("b").distinct().withColumn("set", F.monotonically_increasing_id()), "sets-of-blocks")
+    # a block of a set meets the set's blocks in chunks: the pairs of a large set are made by many tasks
+    last = F.expr(f"(size(b) - 1) div {CHUNK}")
+    chunks = sets.select(
+        "set", F.posexplode(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda c: F.slice("b", c * CHUNK + 1, CHUNK))).alias("chunk", "rights")
+    )
+    lefts = (
+        sets.select("set", last.alias("last"), F.posexplode("b").alias("i", "left"))
+        .repartition(partitions(reps.sparkSession), "left")
+        .select("set", "left", F.explode(F.expr(f"sequence(cast(i div {CHUNK} as int), cast(last as int))")).alias("chunk"))
+    )
     pairs = (
-        sets.select("b").distinct().select(F.posexplode("b").alias("i", "left"), "b")
-        .select("left", F.explode(F.expr("slice(b, i + 1, size(b) - i)")).alias("right"))
+        lefts.join(chunks, ["set", "chunk"])
+        .select("left", F.explode("rights").alias("right"))
+        .filter("left <= right")
         .distinct()
     )
     return own.select("rep", "block"), pairs

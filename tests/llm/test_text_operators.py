@@ -111,6 +111,41 @@ def test_join_equals_all_pairs(spark):
     assert {r.doc_id: r.n_copies for r in got}[953] == 6
 
 
+def test_many_blocks_meet_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    rng = random.Random(8)
+    base = [str(rng.random()) for _ in range(200)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(200)] = str(rng.random())
+        rows.append((k, " ".join(words)))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(rows)
+
+
+def test_recall_of_links_against_the_exact_join(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    want = brute_join(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(documents).collect()}
+    found, every = sum(min(got[k][1], want[k][1]) for k in want), sum(n for _, n in want.values())
+    print("links found", found, "of", every)
+    assert found >= 0.999 * every and all(got[k][1] <= want[k][1] for k in want)
+    assert sum(got[k][0] == want[k][0] for k in want) >= 0.999 * len(want)
+
+
+def test_join_of_clashing_columns_and_long_texts(spark):
+    long = " ".join(str(k) for k in range(200_000))
+    rows = [(1, long, "x", 1), (2, long + " end", "y", 2), (3, "z" * 1_500_000, None, 3), (4, None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep string, bands int")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns and {(r.doc_id, r.rep, r.bands) for r in left.collect()} == {(1, "x", 1), (3, None, 3), (4, None, 4)}
+
+
 def test_join_of_repeated_ids_and_nothing(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "v w x y z"), (None, "a b c d e"), (2, "a b c d e")]
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()

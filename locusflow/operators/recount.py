@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignments import MASK_PILEUP, aligned_blocks, allele_frequency, has_flag, passes
-from .stats import _pileup_counts
+from ..functions.alignments import MASK_PILEUP, allele_frequency, has_flag, passes
+from ..storage import written
+from .pileups import TILE, base_sums, counts_at
+from .stats import depth_of
 
 OUTPUT = ("sample", "chrom", "pos", "ref", "A", "C", "G", "T", "N", "DP", "ALT_COUNT", "AF", "alt")
-WINDOW = 1 << 12
 
 
 def recount(
@@ -19,31 +20,26 @@ def recount(
     """sites: site_idx, chrom, pos0, ref, alt. A row for each site, repeated ones too, in OUTPUT columns and
     site_idx; sites that no read covers have zeros. Sites with fewer than min_alt alternative bases go.
 
-    Distinct sites are grouped into windows of positions; aligned runs meet the windows they touch by an
-    equi-join and become only the bases at sites, not all their bases.
+    Bases are counted by tiles of the reference, as in a pileup, in the tiles that have sites; a tile's counts meet
+    its sites and become rows of the sites alone.
     """
-    # sites of one window: bounded by its positions
-    wanted = sites.select("chrom", "pos0").distinct().groupBy(
-        "chrom", F.expr(f"pos0 div {WINDOW}").alias("window")
-    ).agg(F.collect_list("pos0").alias("at"))
+    tile = F.expr(f"pos0 div {TILE}")
+    distinct = sites.select("chrom", "pos0").filter("pos0 >= 0").distinct()
+    # a tile's sites are bounded by its positions
+    wanted = distinct.groupBy(F.col("chrom").alias("contig"), tile.alias("tile")).agg(
+        F.collect_list((F.col("pos0") % TILE).cast("int")).alias("places")
+    )
+    wanted = written(wanted, "site-tiles")
     reads = alignments.filter(
         passes(MASK_PILEUP)
         & ~has_flag("is_unmapped")
+        & F.col("reference_name").isNotNull()
         & (F.col("reference_start") >= 0)
         & F.col("cigar").isNotNull()
         & (F.col("mapping_quality") >= min_mapping_quality)
-    )
-    runs = reads.select(
-        F.col("reference_name").alias("chrom"), "query_sequence", "query_qualities", F.inline(aligned_blocks())
-    ).withColumn("window", F.explode(F.expr(f"sequence(lo div {WINDOW}, (hi - 1) div {WINDOW})")))
-    at = F.expr(
-        "transform(filter(at, p -> p >= lo and p < hi), p -> struct(p as pos0, "
-        "substring(query_sequence, cast(q + p - lo + 1 as int), 1) as base, "
-        "get(query_qualities, cast(q + p - lo as int)) as quality))"
-    )
-    kept = F.filter(at, lambda b: (b["quality"] >= min_base_quality) & (b["base"] != ""))
-    found = runs.join(wanted, ["chrom", "window"]).select("chrom", F.explode(kept).alias("b"))
-    counted = _pileup_counts(found.select("chrom", "b.pos0", F.upper("b.base").alias("base")), "chrom", "pos0")
+    ).withColumn("contig", F.col("reference_name"))
+    sums = base_sums(reads, 0, None, min_base_quality, True, wanted.select("contig", "tile"))
+    counted = counts_at(sums, wanted).withColumnsRenamed({"contig": "chrom", "pos": "pos0"}).withColumn("depth", depth_of())
     joined = sites.join(counted, ["chrom", "pos0"], "left").na.fill(0, [*"ACGTN", "depth"])
     first = F.upper(F.substring("alt", 1, 1))
     alt = F.col("N")

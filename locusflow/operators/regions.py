@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.alignments import overlaps_region, span_end
 from ..storage import written
 
-BIN = 1 << 14  # about the length of the longest usual span: most reads fall into one bin
+NARROW, WIDE = 1 << 9, 1 << 17  # bounds on the width of bins
+FEW = 500_000  # so many binned regions are broadcast (about 50 bytes each); more are shuffled
 TILE = 1_000_000
 
 
@@ -85,33 +86,41 @@ def contig_windows(contigs: DataFrame, width: int = TILE) -> DataFrame:
 
 
 def _bins(start: Column, stop: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((stop - 1) / width)))
+    shift = width.bit_length() - 1
+    return F.explode(F.sequence(F.shiftright(start, shift), F.shiftright(stop - 1, shift)))
 
 
-def overlap_join(alignments: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def overlap_join(alignments: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
     """Alignments with each region (contig, start, stop, others) that they overlap.
 
-    Both sides are binned and meet on (contig, bin), an equi-join that Spark can shuffle, broadcast and
-    split; a pair that shares several bins is kept in the first only. Region columns named like alignment
-    columns must be renamed before.
+    Both sides are binned and meet on (contig, bin), an equi-join that Spark can shuffle and split; a pair that
+    shares several bins is kept in the first only. Bins are about as wide as a region is on average (width: a
+    power of two). Regions are written and counted: few are broadcast, many are shuffled, and reads are never
+    the broadcast side. Region columns named like alignment columns must be renamed before.
     """
-    regions = regions.filter("start < stop")
+    whole = [F.col(c).cast("long").alias(c) if c in ("start", "stop") else F.col(c) for c in regions.columns]
+    regions = written(regions.filter("start < stop").select(*whole), "regions")
+    size = regions.agg(F.count("*").alias("n"), F.avg(F.col("stop") - F.col("start")).alias("length")).first()
+    if width is None:
+        width = min(WIDE, max(NARROW, 1 << int(size.length or 1).bit_length() - 1))
     reads = alignments.filter((F.col("reference_start") >= 0) & (F.col("reference_id") >= 0)).withColumn(
         "_end", span_end()
     )
     binned = reads.withColumn("_bin", _bins(F.col("reference_start"), F.col("_end"), width))
     spread = regions.withColumn("_rbin", _bins(F.col("start"), F.col("stop"), width))
+    binned_regions = size.n * (1 + int((size.length or 0) / width))
+    spread = F.broadcast(spread) if binned_regions <= FEW else spread.hint("merge")
     meets = (
         (F.col("reference_name") == F.col("contig"))
         & (F.col("_bin") == F.col("_rbin"))
         & (F.col("reference_start") < F.col("stop"))
         & (F.col("_end") > F.col("start"))
     )
-    owner = F.col("_bin") == F.floor(F.greatest(F.col("reference_start"), F.col("start")) / width)
+    owner = F.col("_bin") == F.shiftright(F.greatest(F.col("reference_start"), F.col("start")), width.bit_length() - 1)
     return binned.join(spread, meets & owner).drop("_bin", "_rbin", "_end")
 
 
-def overlapping_any(alignments: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
+def overlapping_any(alignments: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
     """Reads that overlap at least one region, once each (a semi-join).
 
     Merged regions do not touch, so the first that a read meets is the one whose predecessor ends at or

@@ -9,17 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignments import (
-    MASK_ALL,
-    MASK_PILEUP,
-    aligned_blocks,
-    has_flag,
-    overlaps_region,
-    passes,
-    read_filter,
-)
+from ..functions.alignments import MASK_ALL, MASK_PILEUP, has_flag, overlaps_region, passes, read_filter
+from .pileups import TILE, base_sums, counts_at, depth_steps
 
-TILE = 1 << 14  # positions whose running sum is one window
 
 
 def count(alignments: DataFrame, contig: str, start: int, stop: int, read_callback: str = "nofilter") -> DataFrame:
@@ -28,47 +20,24 @@ def count(alignments: DataFrame, contig: str, start: int, stop: int, read_callba
     return chosen.agg(F.count("*").alias("count"))
 
 
-def blocks(
-    alignments: DataFrame, contig: str, start: int, stop: int, mask: int = MASK_ALL, keep: tuple = ()
-) -> DataFrame:
-    """Aligned runs (lo, hi, q) of unmasked mapped reads, cut to the region."""
+def mapped_reads(alignments: DataFrame, contig: str, start: int, stop: int, mask: int) -> DataFrame:
+    """Unmasked mapped reads of a contig that begin before the region's end; what of them lies in the region is
+    decided where their CIGARs are parsed. Adds ``contig``."""
+    if start >= stop:
+        return alignments.filter(F.lit(False)).withColumn("contig", F.lit(contig))
+    near = (F.col("reference_name") == contig) & (F.col("reference_start") >= 0) & (F.col("reference_start") < stop)
     mapped = ~has_flag("is_unmapped") & F.col("cigar").isNotNull()
-    chosen = alignments.filter(overlaps_region(contig, start, stop) & passes(mask) & mapped)
-    runs = chosen.select(*keep, F.inline(aligned_blocks())).filter((F.col("lo") < stop) & (F.col("hi") > start))
-    low = F.greatest(F.col("lo"), F.lit(start))
-    return runs.select(
-        *keep,
-        low.alias("lo"),
-        F.least(F.col("hi"), F.lit(stop)).alias("hi"),
-        (F.col("q") + low - F.col("lo")).alias("q"),
-    )
-
-
-def positions(alignments: DataFrame, start: int, stop: int) -> DataFrame:
-    """Every position of a region, as a range that executors make."""
-    return alignments.sparkSession.range(start, max(start, stop)).withColumnRenamed("id", "pos")
+    return alignments.filter(near & passes(mask) & mapped).withColumn("contig", F.lit(contig))
 
 
-def depth_runs(alignments: DataFrame, contig: str, start: int, stop: int, tile: int = TILE) -> DataFrame:
+def depth_runs(alignments: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
     """Runs of equal depth (start, stop, depth, tile) that cover the region, cut at tile borders.
 
     Each aligned run adds one at its start and takes one at its end, so rows follow runs, not bases. The
-    running sum is taken in tiles, which need no row of their neighbours: a run that enters a tile from
-    the left adds its one at the tile's border.
+    running sum is taken in tiles, which need no row of their neighbours.
     """
-    runs = blocks(alignments, contig, start, stop).withColumn(
-        "tile", F.explode(F.expr(f"sequence(lo div {tile}, (hi - 1) div {tile})"))
-    )
-    low, high = F.greatest("lo", F.col("tile") * tile), F.least("hi", (F.col("tile") + 1) * tile)
-    steps = runs.select(
-        "tile",
-        F.explode(
-            F.array(
-                F.struct(low.alias("pos"), F.lit(1).cast("long").alias("d")),
-                F.struct(high.alias("pos"), F.lit(-1).cast("long").alias("d")),
-            )
-        ).alias("s"),
-    ).select("tile", "s.pos", "s.d")
+    tile = TILE
+    steps = depth_steps(mapped_reads(alignments, contig, start, stop, MASK_ALL), start, stop).drop("contig")
     spark = alignments.sparkSession
     tiles = spark.range(start // tile, -(-stop // tile) if stop > start else start // tile)
     borders = tiles.select(
@@ -135,28 +104,17 @@ def depth_blocks(alignments: DataFrame, contig: str, start: int, stop: int) -> D
     )
 
 
-def bases(
-    alignments: DataFrame, contig: str, start: int, stop: int, mask: int, min_quality: int, min_mapq: int = 0
+def _counts(
+    alignments: DataFrame, contig: str, start: int, stop: int, mask: int, min_quality: int, others: bool
 ) -> DataFrame:
-    """pos, base of each aligned base in the region whose quality is high enough; bases without a
-    quality are left out."""
-    chosen = alignments.filter(F.col("mapping_quality") >= min_mapq) if min_mapq > 0 else alignments
-    runs = blocks(chosen, contig, start, stop, mask, ("query_sequence", "query_qualities"))
-    at = F.expr("transform(sequence(0L, hi - lo - 1), i -> struct(lo + i as pos, substring(query_sequence, cast(q + i + 1 as int), 1) as base, get(query_qualities, cast(q + i as int)) as quality))")
-    # filtered as arrays: only bases that count become rows
-    kept = F.filter(at, lambda b: (b["quality"] >= min_quality) & (b["base"] != ""))
-    return runs.select(F.explode(kept).alias("b")).select("b.pos", F.upper("b.base").alias("base"))
-
-
-def _filled(alignments: DataFrame, counted: DataFrame, start: int, stop: int) -> DataFrame:
-    names = [c for c in counted.columns if c != "pos"]
-    return positions(alignments, start, stop).join(counted, "pos", "left").select(
-        "pos", *[F.coalesce(c, F.lit(0)).alias(c) for c in names]
-    )
-
-
-def _of(letter: str) -> Column:
-    return F.count_if(F.col("base") == letter).alias(letter)
+    """pos, A, C, G, T, N of every position of the region."""
+    reads = mapped_reads(alignments, contig, start, stop, mask)
+    last = -(-stop // TILE) if stop > start else start // TILE
+    tiles = alignments.sparkSession.range(start // TILE, last)
+    low, high = F.greatest(F.lit(start), F.col("id") * TILE), F.least(F.lit(stop), (F.col("id") + 1) * TILE)
+    places = F.sequence((low - F.col("id") * TILE).cast("int"), (high - F.col("id") * TILE - 1).cast("int"))
+    wanted = tiles.select(F.lit(contig).alias("contig"), F.col("id").alias("tile"), places.alias("places"))
+    return counts_at(base_sums(reads, start, stop, min_quality, others), wanted).drop("contig")
 
 
 def count_coverage(
@@ -165,14 +123,7 @@ def count_coverage(
 ) -> DataFrame:
     """pos, A, C, G, T of every position; other letters are not counted."""
     mask = read_filter(read_callback)
-    found = bases(alignments, contig, start, stop, mask, quality_threshold)
-    counted = found.filter(F.col("base").isin(*"ACGT")).groupBy("pos").agg(*map(_of, "ACGT"))
-    return _filled(alignments, counted, start, stop)
-
-
-def _pileup_counts(found: DataFrame, *keys: str) -> DataFrame:
-    other = F.count_if(~F.col("base").isin(*"ACGT")).alias("N")
-    return found.groupBy(*keys).agg(*map(_of, "ACGT"), other, F.count("*").alias("depth"))
+    return _counts(alignments, contig, start, stop, mask, quality_threshold, False).drop("N")
 
 
 def pileup_counts(
@@ -180,8 +131,14 @@ def pileup_counts(
     min_mapping_quality: int = 0, mask: int = MASK_PILEUP,
 ) -> DataFrame:
     """pos, A, C, G, T, N, depth of every position; N is any other letter."""
-    found = bases(alignments, contig, start, stop, mask, min_base_quality, min_mapping_quality)
-    return _filled(alignments, _pileup_counts(found, "pos"), start, stop)
+    if min_mapping_quality > 0:
+        alignments = alignments.filter(F.col("mapping_quality") >= min_mapping_quality)
+    counted = _counts(alignments, contig, start, stop, mask, min_base_quality, True)
+    return counted.withColumn("depth", depth_of())
+
+
+def depth_of() -> Column:
+    return F.col("A") + F.col("C") + F.col("G") + F.col("T") + F.col("N")
 
 
 def flag_summary(alignments: DataFrame) -> DataFrame:

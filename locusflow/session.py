@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Rows and bytes of one Arrow batch sent to Python: long rows stay within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +25,19 @@ def ship(spark: SparkSession) -> None:
         made = shutil.make_archive(str(Path(tempfile.mkdtemp(), here.name)), "zip", copy.parent)
     spark.sparkContext.addPyFile(made)
     _sent.add(app)
+
+
+def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sends the package to the executors and lowers the Arrow batch limits to the bounds above (never
+    raises them)."""
+    ship(spark)
+    for key, limit in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
+    ):
+        try:
+            now = int(str(spark.conf.get(key)).rstrip("bB"))
+        except ValueError:
+            now = 0
+        if now <= 0 or now > limit:
+            spark.conf.set(key, str(limit))

@@ -1,21 +1,24 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its lower-cased words and the prefixes of PREFIXES letters of them, hashed; the
-value of a feature is 1 + ln(occurrences). One weight vector w serves all ordered thresholds
+value of a feature is ln(1 + occurrences per hundred chunks between white space), so that a text's length does
+not speak. One weight vector w serves all ordered thresholds
 b1 < b2 < b3: P(grade >= k) = sigmoid(w.x - bk). The expected severity is the sum of these over k. A
 document is rejected when P(grade >= 1) reaches ``cutoff``.
 
 Fitting takes a bounded sample, SAMPLE labelled documents of each class by a hash of their id; its
 examples are weighted back to the classes' shares. Features that occur with the two classes alike (G2
-test) are left out, at most FEATURES stay. Labels are 0 or 1; documents labelled 1 are graded 1 to 3 by
-terciles of how many of their words have a feature that speaks for toxicity.
+test) are left out; as each needs a share of a class's documents, their number is bounded by the sample's.
+Labels are 0 or 1; documents labelled 1 are graded 1 to 3 by terciles of the share of their chunks (between
+white space) that hold a feature that speaks for toxicity, whatever their length.
 
 Defined results: null and empty texts have no features. Null labels do not count, of several labels of a
-document the greatest does. Without labels of both classes no document is rejected, and severities are 0.
+document the greatest does. Rows that repeat are scored each. Without labels of both classes no document is rejected, and severities are 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from ._chunks import Memo
 from ._shared import partitions, tune, written
 from ._words import batches
 
-SAMPLE, FEATURES, GRADES = 6000, 20_000, 4
+SAMPLE, GRADES = 6000, 4
 PREFIXES = (4, 5, 6)
 #: A feature needs so many documents, this share of a class's documents, and this G2. The share keeps
 #: out what only a group of near copies says.
@@ -63,20 +66,20 @@ class Model(NamedTuple):
 
     def lexicon(self) -> Memo:
         """For each white-space separated chunk of text the indices of its features, repeats included, and
-        how many of its words have a positive one; None for a chunk without features."""
+        whether one is positive; None for a chunk without features."""
         places = self.places
 
         def compute(chunks: list[str]):
             for chunk in chunks:
                 words = [[places[f] for f in word if f in places] for word in _of_chunk(chunk)]
                 flat = [j for word in words for j in word]
-                yield (flat, sum(not self.positive.isdisjoint(word) for word in words)) if flat else None
+                yield (flat, not self.positive.isdisjoint(flat)) if flat else None
 
         return Memo(compute, weigh=lambda v: 0 if v is None else 150 + 8 * len(v[0]))
 
-    def counts(self, texts: list, memo: Memo) -> list[tuple[dict[int, int], int]]:
-        """Occurrences of features, and the number of words with a positive one, of each text. A chunk that
-        a text repeats is looked up once."""
+    def values(self, texts: list, memo: Memo) -> list[tuple[dict[int, float], float]]:
+        """Values of features, and the share of chunks with a positive one, of each text. A chunk that a text
+        repeats is looked up once."""
         tallies = [Counter(t.split()) if t else Counter() for t in texts]
         known = memo.have(set().union(*tallies))
         out = []
@@ -88,13 +91,14 @@ class Model(NamedTuple):
                     for j in have[0]:
                         found[j] = found.get(j, 0) + n
                     marked += n * have[1]
-            out.append((found, marked))
+            chunks = max(1, tally.total())
+            out.append(({j: math.log1p(100 * n / chunks) for j, n in found.items()}, marked / chunks))
         return out
 
-    def at_least(self, found: dict[int, int]) -> np.ndarray:
-        """P(grade >= k) for k from 1."""
-        at, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
-        s = self.weights[at] @ (1 + np.log(n))
+    def at_least(self, found: dict[int, float]) -> np.ndarray:
+        """P(grade >= k) for k from 1, from the values of features."""
+        at, x = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.float64, len(found))
+        s = self.weights[at] @ x
         return 1 / (1 + np.exp(np.clip(self.cuts - s, -60, 60)))
 
 
@@ -136,7 +140,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 
 
 def _telling(counts: DataFrame, clean: int, toxic: int) -> DataFrame:
-    """Features whose frequencies differ between the classes, by G2; at most FEATURES."""
+    """Features whose frequencies differ between the classes, by G2."""
 
     def term(n, expected):
         return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
@@ -155,7 +159,6 @@ def _telling(counts: DataFrame, clean: int, toxic: int) -> DataFrame:
         .withColumn("g2", g2)
         .filter(F.col("g2") >= EVIDENCE)
         .orderBy(F.col("g2").desc(), "feature")
-        .limit(FEATURES)
         .select("feature", (F.col("toxic") / toxic > F.col("clean") / clean).alias("positive"))
     )
 
@@ -171,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     every = {
         r.toxic: r["count"] for r in labels.filter("toxic in (0, 1)").groupBy("toxic").count().collect()
     }
-    chosen = _telling(_document_counts(known), sizes[0], sizes[1]).collect()  # at most FEATURES rows
+    chosen = _telling(_document_counts(known), sizes[0], sizes[1]).collect()  # bounded by the sample
     if not chosen:
         return none
     places = {r.feature: k for k, r in enumerate(chosen)}
@@ -181,63 +184,73 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.lexicon()
         for part in parts:
-            found = model.counts(part.column("text").to_pylist(), memo)
+            found = model.values(part.column("text").to_pylist(), memo)
             yield pa.record_batch(
                 [
                     part.column("toxic").cast(pa.int32()),
-                    pa.array([n for _, n in found], pa.int64()),
+                    pa.array([x for _, x in found], pa.float64()),
                     pa.array([list(c) for c, _ in found], pa.list_(pa.int32())),
-                    pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())),
+                    pa.array([list(c.values()) for c, _ in found], pa.list_(pa.float64())),
                 ],
-                names=["toxic", "marked", "at", "n"],
+                names=["toxic", "marked", "at", "x"],
             )
 
-    rows = known.mapInArrow(run, "toxic int, marked long, at array<int>, n array<int>").toPandas()
+    rows = known.mapInArrow(run, "toxic int, marked double, at array<int>, x array<double>").toPandas()
     toxic, marked = rows["toxic"].to_numpy(), rows["marked"].to_numpy()
     low, high = np.quantile(marked[toxic == 1], [1 / 3, 2 / 3], method="lower")
     grade = np.where(toxic == 1, 1 + (marked > low) + (marked > high), 0)
     weight = np.where(toxic == 1, every[1] / sizes[1], every[0] / sizes[0])
-    return _regress(model, grade, weight / weight.mean(), rows["at"].to_list(), rows["n"].to_list())
-
-
-def _regress(model: Model, grade: np.ndarray, weight: np.ndarray, at: list, n: list) -> Model:
-    """Maximum likelihood with an L2 penalty, by Adam. Thresholds are the first and logarithms of gaps."""
+    return _regress(model, grade, weight / weight.mean(), rows["at"].to_list(), rows["x"].to_list())
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _cuts(params: np.ndarray, size: int) -> np.ndarray:
+    """Thresholds from the first of them and the logarithms of the gaps between them."""
+    return params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
+
+
+def loss_and_gradient(
+    params: np.ndarray, size: int, grade: np.ndarray, weight: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray
+) -> tuple[float, np.ndarray]:
+    """Mean weighted negative log likelihood of the grades, with the penalty, and its gradient. params: size weights,
+    the first threshold and the logarithms of the gaps; row, column and value: the sparse features."""
+    w, n, steps = params[:size], len(grade), GRADES - 1
+    s = np.bincount(row, value * w[column], n)
+    # P(grade <= k) at the two thresholds around each example's grade
+    edges = np.concatenate([[-np.inf], _cuts(params, size), [np.inf]])
+    above, below = _sigmoid(edges[grade + 1] - s), _sigmoid(edges[grade] - s)
+    p = np.maximum(above - below, 1e-12)
+    d_above, d_below = weight * above * (1 - above) / p, weight * below * (1 - below) / p
+    d_cut = np.array([d_below[grade == k + 1].sum() - d_above[grade == k].sum() for k in range(steps)])
+    gaps = np.exp(params[size + 1 :])
+    gradient = np.concatenate(
+        [
+            np.bincount(column, value * (d_above - d_below)[row], size),
+            [d_cut.sum()],
+            [d_cut[k:].sum() * gaps[k - 1] for k in range(1, steps)],
+        ]
+    ) / n
+    gradient[:size] += PENALTY * w
+    return float(-(weight * np.log(p)).sum() / n + PENALTY / 2 * w @ w), gradient
+
+
+def _regress(model: Model, grade: np.ndarray, weight: np.ndarray, at: list, x: list) -> Model:
+    """Maximum likelihood with an L2 penalty, by Adam."""
     row = np.repeat(np.arange(len(at)), [len(x) for x in at])
     column = np.concatenate([*at, []]).astype(np.int64)
-    value = 1 + np.log(np.concatenate([*n, []]).astype(np.float64))
-    size, steps = len(model.weights), GRADES - 1
-    params = np.concatenate([np.zeros(size), [1.0], np.zeros(steps - 1)])
+    value = np.concatenate([*x, []])
+    size = len(model.weights)
+    params = np.concatenate([np.zeros(size), [1.0], np.zeros(GRADES - 2)])
     first, second = np.zeros_like(params), np.zeros_like(params)
-
-    def sigmoid(x):
-        return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-
     for step in range(1, STEPS + 1):
-        w, gaps = params[:size], np.exp(params[size + 1 :])
-        cuts = params[size] + np.concatenate([[0], np.cumsum(gaps)])
-        s = np.bincount(row, value * w[column], len(at))
-        # P(grade <= k) at the two thresholds around each example's grade
-        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-        above, below = sigmoid(edges[grade + 1] - s), sigmoid(edges[grade] - s)
-        p = np.maximum(above - below, 1e-12)
-        d_above, d_below = weight * above * (1 - above) / p, weight * below * (1 - below) / p
-        d_s = d_above - d_below  # of the negative log likelihood
-        d_cut = np.array(
-            [d_below[grade == k + 1].sum() - d_above[grade == k].sum() for k in range(steps)]
-        )
-        grad = np.concatenate(
-            [
-                np.bincount(column, value * d_s[row], size),
-                [d_cut.sum()],
-                [d_cut[k:].sum() * gaps[k - 1] for k in range(1, steps)],
-            ]
-        ) / len(at)
-        grad[:size] += PENALTY * w
-        first += 0.1 * (grad - first)
-        second += 0.01 * (grad**2 - second)
+        _, gradient = loss_and_gradient(params, size, grade, weight, row, column, value)
+        first += 0.1 * (gradient - first)
+        second += 0.01 * (gradient**2 - second)
         params -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    cuts = params[size] + np.concatenate([[0], np.cumsum(np.exp(params[size + 1 :]))])
-    return model._replace(weights=params[:size].copy(), cuts=cuts)
+    return model._replace(weights=params[:size].copy(), cuts=_cuts(params, size))
 
 
 def with_severity(
@@ -257,7 +270,7 @@ def with_severity(
         for part in parts:
             texts = part.column("text").to_pylist()
             for begin, end in batches(texts):
-                p = np.array([model.at_least(found) for found, _ in model.counts(texts[begin:end], memo)])
+                p = np.array([model.at_least(found) for found, _ in model.values(texts[begin:end], memo)])
                 each = np.column_stack([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]])
                 none = not model.places
                 piece = part.slice(begin, end - begin)

@@ -10,12 +10,14 @@ Words are maximal runs of letters, lower-cased, with the vocabulary's word mark
 is no piece alone can always be passed at the probability of an unknown piece.
 
 Fitting takes a bounded sample, about SAMPLE texts of each language by a hash of the id, and ROUNDS of
-expectation-maximisation: expected piece counts over all segmentations (forward-backward) of the distinct
-words, from even probabilities on. Counts are smoothed with ALPHA of the pooled distribution.
+expectation-maximisation, a task for each language: expected piece counts over all segmentations
+(forward-backward) of the distinct words, from even probabilities on. Counts are smoothed with ALPHA of the
+pooled distribution. A model has a number for each piece and language (32,000 pieces: 256 KB a language).
 
 Defined results: a null text and one without letters is ``und`` with score 0; so is every text when
 nothing was learned. The score is the posterior probability of the prediction. Of languages with equal
-scores the first by code point is predicted.
+scores the first by code point is predicted. Texts and words are scored whole, whatever their length. Rows that
+repeat are scored each; only lang, text and doc_id are looked at to learn, only text to predict.
 """
 
 from __future__ import annotations
@@ -25,17 +27,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._chunks import Memo
-from ._shared import tune, written
+from ._shared import small, tune, written
 from ._words import batches
 
-SAMPLE, ROUNDS, ALPHA, LANGUAGES = 1500, 4, 0.5, 500
-LONGEST = 12  # letters of a piece that is used
+SAMPLE, ROUNDS, ALPHA = 1500, 4, 0.5
+LONG = 48  # letters from which a word's sums are taken by their logarithms
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -43,7 +46,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 18
 
 
-def vocabulary(file: str, longest: int = LONGEST) -> list[str]:
+def vocabulary(file: str) -> list[str]:
     """Lower-case pieces of letters, with or without the word mark, of a sentencepiece model."""
     import sentencepiece
 
@@ -52,7 +55,7 @@ def vocabulary(file: str, longest: int = LONGEST) -> list[str]:
     return [
         p
         for p in pieces
-        if 0 < len(p) <= longest and p == p.lower() and (_WORD.fullmatch(p.lstrip(_MARK)) or p == _MARK)
+        if p and p == p.lower() and (_WORD.fullmatch(p.lstrip(_MARK)) or p == _MARK)
         and _MARK not in p[1:]
     ]
 
@@ -210,8 +213,14 @@ def _forward(lattice: Lattice, codes: np.ndarray, lengths: np.ndarray, probs: np
 
 
 def _expected(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts by forward-backward; words of at most 64 letters."""
-    out = np.zeros((lattice.n + 1, probs.shape[1]))
+    """Expected piece counts by forward-backward, for one language (probs: one column)."""
+    out = np.zeros((lattice.n + 1, 1))
+    long = [k for k, w in enumerate(words) if len(w) >= LONG]
+    for k in long:
+        _expected_long(lattice, words[k], counts[k, 0], probs, out)
+    if long:
+        short = np.setdiff1d(np.arange(len(words)), long)
+        words, counts = [words[k] for k in short], counts[short]
     for part in _groups(words):
         codes, lengths = _matrix([words[i] for i in part])
         edges = list(lattice.edges(codes, lengths))
@@ -230,25 +239,46 @@ def _expected(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.
     return out
 
 
+def _expected_long(lattice: Lattice, word: str, count: float, probs: np.ndarray, out: np.ndarray) -> None:
+    """The same for one word, by logarithms: no product is too small."""
+    codes, lengths = _matrix([word])
+    edges = [(start, size, int(ids[0])) for start, size, _, ids in lattice.edges(codes, lengths)]
+    log = np.log(np.maximum(probs[[i for _, _, i in edges], 0], 1e-300)).tolist()
+    alpha, beta = [-np.inf] * (len(word) + 1), [-np.inf] * (len(word) + 1)
+    alpha[0] = beta[-1] = 0.0
+    for (start, size, _), x in zip(edges, log):
+        alpha[start + size] = np.logaddexp(alpha[start + size], alpha[start] + x)
+    for (start, size, _), x in zip(reversed(edges), reversed(log)):
+        beta[start] = np.logaddexp(beta[start], beta[start + size] + x)
+    for (start, size, i), x in zip(edges, log):
+        out[i, 0] += count * np.exp(alpha[start] + x + beta[start + size] - alpha[-1])
+
+
+def learn(lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Probabilities of the pieces (and of an unknown letter, the last) from distinct marked words."""
+    mine = np.full((lattice.n + 1, 1), 1 / (lattice.n + 1))
+    for _ in range(ROUNDS if words else 0):
+        got = _expected(lattice, words, counts[:, None], mine) + ALPHA / 10
+        mine = got / got.sum()
+    return mine[:, 0]
+
+
 def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model:
     """documents: doc_id, text, lang; those with a null lang or text teach nothing."""
     spark = documents.sparkSession
     tune(spark)
     known = documents.filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    languages = sorted(r.lang for r in sizes)
+    sizes = written(known.groupBy("lang").count(), "languages")
     pieces = vocabulary(file)
-    shares = spark.createDataFrame([(r.lang, sample / r["count"]) for r in sizes], "lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
+    shares = sizes.select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    texts = known.select("doc_id", "lang", "text").join(small(shares), "lang").filter(draw < F.col("share"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for part in parts:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                seen.update((lang, w) for w in _WORD.findall(text.lower()) if len(w) < 64)
+                seen.update((lang, w) for w in _WORD.findall(text.lower()))
         keys = list(seen)
         for k in range(0, len(keys), 50_000):
             part = keys[k : k + 50_000]
@@ -258,19 +288,18 @@ def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model:
             )
 
     counted = texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = written(counted, "language-words")
-    lattice = Lattice(pieces)
-    even = np.full((lattice.n + 1, 1), 1 / (lattice.n + 1))
-    probs = np.repeat(even, max(1, len(languages)), 1)
-    for k, lang in enumerate(languages):
-        rows = counted.filter(F.col("lang") == lang).select("word", "n").toPandas()
-        words = [_MARK + w for w in sorted(rows["word"])]
-        counts = rows.sort_values("word")["n"].to_numpy(np.float64)[:, None]
-        mine = even
-        for _ in range(ROUNDS if words else 0):
-            got = _expected(lattice, words, counts, mine)
-            mine = (got + ALPHA / 10) / (got + ALPHA / 10).sum()
-        probs[:, k : k + 1] = mine
+
+    def of_language(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("word")
+        words, counts = [_MARK + w for w in rows["word"]], rows["n"].to_numpy(np.float64)
+        probs = learn(Lattice(vocabulary(file)), words, counts)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "probs": [probs]})
+
+    learned = written(counted.groupBy("lang").applyInPandas(of_language, "lang string, probs array<double>"), "learned")
+    found = {r.lang: r.probs for r in learned.collect()}  # a row a language
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
+    even = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+    probs = np.array([found.get(x, even) for x in languages]).T if languages else even[:, None]
     pooled = probs.mean(1, keepdims=True)
     probs = 0.98 * probs + 0.02 * pooled  # no piece is impossible in a language
     return Model(pieces, languages, probs)

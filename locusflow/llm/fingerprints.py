@@ -112,12 +112,12 @@ def neighbour_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter of code points is replaced
     by as many from the start of the next document's text (ascending doc_id, after the last the first).
 
-    Null ids come first, equal ids by text, null texts count as empty. Documents are dealt once into
-    ranges of ids; every range also gets the row that follows it.
+    Null ids come first, equal ids by a hash of the text, null texts count as empty. Documents are dealt once
+    into ranges of ids; every range also gets the row that follows it. Other columns are not looked at.
     """
     tune(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return in_ranges(rows, "doc_id", ["text"], guests=True).select(
+    return in_ranges(rows, "doc_id", "text", guests=True).select(
         "doc_id", "text", "_guest"
     ).mapInArrow(_neighbours, NEIGHBOURS)
 

@@ -7,7 +7,8 @@ is padded. A record batch has ROWS sequences, so sequence i is row i % ROWS of b
 memory-mapped file gives it without a copy. Beside each file stands one with the ids of its documents.
 
 Documents are dealt once into ranges of ascending doc_id; each range is one file. Null texts count as
-empty, null ids come first, equal ids are ordered by text. An empty table writes no file.
+empty, null ids come first, equal ids are ordered by a hash of the text (a frequent one spans files). An empty
+table writes no file. Only the columns doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def write_token_files(
             )
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = in_ranges(rows, "doc_id", ["text"]).select("doc_id", "text", "_range")
+    dealt = in_ranges(rows, "doc_id", "text").select("doc_id", "text", "_range")
     return written(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 

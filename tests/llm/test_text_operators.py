@@ -10,9 +10,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from locusflow.llm import components, fingerprints, jaccard_join, language_id, maxscore, mixing, secret_scan, toxicity
+from locusflow.llm._words import shingle_hashes
 from locusflow.llm.automaton import Automaton
 from locusflow.llm.ordering import running
 
@@ -51,8 +53,16 @@ def test_fingerprints_estimate_the_similarity():
 
 def test_neighbours(spark):
     rows = [(5, "a b c d e f g h"), (1, None), (3, ""), (9, "x" * 41), (5, "a b c d e f g h"), (None, "né é")]
-    got = fingerprints.neighbour_fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()
-    order = sorted(((-(2**63) if k is None else k, t or "", k) for k, t in rows))
+    rows += [(None, f"no id {k} " + "w " * k) for k in range(60)] + [(7, f"same id {k}") for k in range(40)] + [(8, "y z " * 300_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("fingerprint", F.lit(1)).withColumn("_key", F.lit("x"))
+    got = fingerprints.neighbour_fingerprints(docs).collect()
+
+    def mark(text):  # Spark's hash of a text, signed
+        x = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        return x - (1 << 64) if x >> 63 else x
+
+    order = sorted((-(2**63) if k is None else k, mark(t or ""), t or "", k) for k, t in rows)
+    order = [(k, t, i) for k, _, t, i in order]
     want = Counter()
     for k, (_, text, doc_id) in enumerate(order):
         n = len(text) // 4
@@ -65,6 +75,23 @@ def test_neighbours(spark):
     assert fingerprints.neighbour_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_densification_equals_a_slow_twin():
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.randrange(50)) for _ in range(n)) for n in (1, 3, 5, 6, 9, 40, 400, 2000)]
+    order = fingerprints._order(fingerprints.BINS)
+    for text, packed in zip(texts, fingerprints.fingerprint_texts(texts)):
+        hashes = {int(h) for h in shingle_hashes([text], fingerprints.WORDS)[0]}
+        shift = 64 - (fingerprints.BINS.bit_length() - 1)
+        bins = {}
+        for h in hashes:
+            bins[h >> shift] = min(bins.get(h >> shift, 1 << 64), h & (1 << shift) - 1)
+        low = []
+        for i in range(fingerprints.BINS):
+            j = i if i in bins else min(bins, key=lambda j: order[i, j])
+            low.append(bins[j] & 15)
+        assert packed == bytes(a << 4 | b for a, b in zip(low[::2], low[1::2]))
+
+
 def test_fingerprint_column_replaces_a_clashing_one(spark):
     df = spark.createDataFrame([(1, "a", "old")], "doc_id long, text string, fingerprint string")
     row = fingerprints.with_fingerprints(df).first()
@@ -315,6 +342,48 @@ def test_toxicity_on_held_out_labels(spark, documents):
     clean, toxic = got[got.toxic == 0], got[got.toxic == 1]
     assert (clean.rejected).mean() < 0.01 and (toxic.rejected).mean() > 0.85
     assert toxic.severity.mean() > clean.severity.mean() + 0.8 and (np.diff(model.cuts) > 0).all()
+    length = np.log(1 + toxic.text.str.split().str.len())
+    assert abs(np.corrcoef(toxic.severity, length)[0, 1]) < 0.7  # severity is not the length of a text
+
+
+def test_regression_gradient_and_severity():
+    rng = np.random.default_rng(4)
+    n, size = 40, 6
+    row, column = np.repeat(np.arange(n), 3), rng.integers(0, size, 3 * n)
+    value, grade, weight = 1 + rng.random(3 * n), rng.integers(0, 4, n), 0.5 + rng.random(n)
+    params = rng.normal(0, 0.5, size + 3)
+    _, gradient = toxicity.loss_and_gradient(params, size, grade, weight, row, column, value)
+    # a plain likelihood
+    def loss(x):
+        cuts, total = [x[size], x[size] + math.exp(x[size + 1])], 0.0
+        cuts.append(cuts[1] + math.exp(x[size + 2]))
+        for i in range(n):
+            s = sum(value[j] * x[column[j]] for j in range(3 * n) if row[j] == i)
+            at_least = [1.0, *[1 / (1 + math.exp(c - s)) for c in cuts], 0.0]
+            total -= weight[i] * math.log(at_least[grade[i]] - at_least[grade[i] + 1])
+        return total / n + toxicity.PENALTY / 2 * sum(x[:size] ** 2)
+
+    for k in range(len(params)):
+        step = np.eye(len(params))[k] * 1e-6
+        assert gradient[k] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-6, abs=1e-6)
+    assert toxicity.loss_and_gradient(params, size, grade, weight, row, column, value)[0] == pytest.approx(loss(params))
+    model = toxicity.Model({}, params[:size], np.array([-1.0, 0.5, 2.0]), frozenset())
+    p = model.at_least({0: 2.5, 3: 1.0})
+    s = params[0] * 2.5 + params[3]
+    assert p == pytest.approx([1 / (1 + math.exp(c - s)) for c in (-1.0, 0.5, 2.0)])
+
+
+def test_toxicity_of_odd_rows(spark, documents):
+    model = toxicity.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    word = next(iter(model.places), None)
+    assert word is not None
+    rows = [(1, None, "a"), (1, None, "a"), (None, "", "b"), (2, "x" * 1_200_000, "c"), (3, "ab cd " * 300_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade string")
+    got = toxicity.with_severity(docs, model).collect()
+    assert len(got) == 5 and all(0 <= r.severity <= 3 and not r.rejected for r in got)
+    assert toxicity.with_severity(docs.limit(0), model).count() == 0
+    none = toxicity.fit(documents.limit(0), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert toxicity.with_severity(docs, none).filter("rejected").count() == 0
 
 
 def test_toxicity_without_labels(spark):
@@ -349,6 +418,36 @@ def test_forward_sums_all_segmentations():
         assert row == pytest.approx([math.log(brute(word, k)) for k in range(2)])
 
 
+def test_expected_counts_sum_over_all_segmentations(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
+    probs = np.random.default_rng(2).random((len(pieces) + 1, 1))
+    probs /= probs.sum()
+    words, counts = ["▁ab", "▁abba", "▁zab", "▁aabab"], np.array([3.0, 1.0, 2.0, 5.0])
+
+    def cuts(word):
+        if not word:
+            yield []
+        for size in range(1, min(3, len(word)) + 1):
+            if word[:size] in pieces or size == 1:
+                at = pieces.index(word[:size]) if word[:size] in pieces else len(pieces)
+                for rest in cuts(word[size:]):
+                    yield [at, *rest]
+
+    want = np.zeros(len(pieces) + 1)
+    for word, n in zip(words, counts):
+        ways = list(cuts(word))
+        weight = np.array([math.prod(probs[i, 0] for i in way) for way in ways])
+        for way, x in zip(ways, weight / weight.sum()):
+            for i in way:
+                want[i] += n * x
+    lattice = language_id.Lattice(pieces)
+    assert language_id._expected(lattice, words, counts[:, None], probs)[:, 0] == pytest.approx(want)
+    monkeypatch.setattr(language_id, "LONG", 4)
+    assert language_id._expected(lattice, words, counts[:, None], probs)[:, 0] == pytest.approx(want)
+    long = language_id._expected(lattice, ["▁" + "ab" * 3000], np.ones((1, 1)), probs)
+    assert np.isfinite(long).all() and long.sum() > 3000
+
+
 def test_languages_on_held_out_documents(spark, documents):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = language_id.fit(documents.filter(~held), VOCABULARY)
@@ -357,6 +456,10 @@ def test_languages_on_held_out_documents(spark, documents):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "x" * 3000)], SCHEMA)
     rows = {r.doc_id: r for r in language_id.with_language(odd, model).collect()}
     assert [rows[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and rows[4].lang_pred in model.languages
+    many = spark.createDataFrame([(k, f"word{k} text", f"l{k}") for k in range(600)], SCHEMA + ", lang string")
+    assert len(language_id.fit(many.filter("doc_id % 60 = 0"), VOCABULARY).languages) == 10
+    clash = odd.unionByName(odd).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
+    assert Counter(r.lang_pred for r in language_id.with_language(clash, model).collect())["und"] == 6
     none = language_id.fit(documents.limit(0), VOCABULARY)
     assert language_id.with_language(odd, none).filter("lang_pred = 'und'").count() == 4
 

@@ -138,7 +138,7 @@ class AlignmentFile:
     def __next__(self) -> AlignedSegment:
         self._ready("iteration")
         if self._rows is None:
-            self._rows = self._records(self.dataframe().orderBy("file_offset"))
+            self._rows = self._records(self.dataframe())  # partitions follow each other in the file's order
         return next(self._rows)
 
     @staticmethod
@@ -152,7 +152,7 @@ class AlignmentFile:
         return regions.fetch(self._scan(region), *region)
 
     def fetch(self, contig: str, start: int | None = None, stop: int | None = None) -> Iterator[AlignedSegment]:
-        return self._records(self.fetch_df(contig, start, stop).orderBy("file_offset"))
+        return self._records(self.fetch_df(contig, start, stop))
 
     def count(
         self, contig: str, start: int | None = None, stop: int | None = None, read_callback: str = "nofilter",
@@ -224,7 +224,7 @@ class AlignmentFile:
         self._ready("iter_batches")
         _threads(threads)
         size, held = max(1, batch_size), []
-        for record in self._records(self.dataframe().orderBy("file_offset")):
+        for record in self._records(self.dataframe()):
             held.append(record)
             if len(held) == size:
                 yield held
@@ -288,29 +288,13 @@ class Samples:
         }
 
 
-def _typed(text: str):
-    """A flag, a number, a tuple of numbers or texts, or a text."""
-    def one(x: str):
-        for kind in (int, float):
-            try:
-                return kind(x)
-            except ValueError:
-                continue
-        return None if x == "." else x
-
-    if text == "":
-        return True
-    parts = [one(x) for x in text.split(",")]
-    return parts[0] if len(parts) == 1 else tuple(parts)
-
-
 class VariantFile:
     def __init__(self, filename: str, mode: str = "r", spark: SparkSession | None = None) -> None:
         if mode not in ("r", "rb"):
             raise ValueError(f"unsupported mode: {mode}")
         self.filename = filename
         self._spark = spark or SparkSession.builder.getOrCreate()
-        self.header = vcf.read_header(self._spark, filename)
+        self.header = vcf.read_header(filename)
         self._closed = False
         self._rows: Iterator | None = None
 
@@ -325,14 +309,18 @@ class VariantFile:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def dataframe(self) -> DataFrame:
+    def dataframe(self, *region) -> DataFrame:
+        """All records, or those of the part of the file that can hold a region's."""
         if self._closed:
             raise ValueError("I/O operation on a closed file")
-        return vcf.parse(vcf.read_lines(self._spark, self.filename))
+        return vcf.parse(vcf.read_lines(self._spark, self.filename, *region))
+
+    def _declared(self, key: str) -> tuple[str, str]:
+        return self.header.info.get(key) or vcf.RESERVED.get(key, ("1", "String"))
 
     def _records(self, df: DataFrame) -> Iterator[VariantRecord]:
         for r in df.toLocalIterator():
-            info = {k: _typed(v) for k, v in sorted(r["info"].items())}
+            info = {k: vcf.value_of(v, *self._declared(k)) for k, v in sorted(r["info"].items())}
             yield VariantRecord(
                 r["chrom"], r["pos"], r["start"], r["stop"], r["id"], r["ref"], tuple(r["alts"]), r["qual"],
                 list(r["filter"]), list(r["format"]), info, Samples(self.header.samples, r["samples"]),
@@ -348,18 +336,18 @@ class VariantFile:
         return next(self._rows)
 
     def fetch_df(self, contig: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
-        rows = self.dataframe()
         if contig is None:
-            return rows
+            return self.dataframe()
         if contig not in self.header.contigs:
             raise ValueError(f"unknown contig: {contig}")
         if any(x is not None and x < 0 for x in (start, stop)):
             raise ValueError("coordinates must not be negative")
         if contig in self.header.lengths:
-            return vcf.fetch(rows, *resolve(self.header.lengths, contig, start, stop))
+            region = tuple(resolve(self.header.lengths, contig, start, stop))
+            return vcf.fetch(self.dataframe(*region), *region)
         if stop is not None and (start or 0) > stop:
             raise ValueError("start is greater than stop")
-        return vcf.fetch(rows, contig, start or 0, stop)
+        return vcf.fetch(self.dataframe(contig, start or 0, stop), contig, start or 0, stop)
 
     def fetch(self, contig: str | None = None, start: int | None = None, stop: int | None = None) -> Iterator[VariantRecord]:
         return self._records(self.fetch_df(contig, start, stop))

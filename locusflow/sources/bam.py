@@ -3,8 +3,9 @@
 ``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``
 
 With an index (.bai or .csi) beside the file, partitions are runs of virtual offsets at which records are
-known to begin, and a region reads only those that can hold its records; without one, the file is one
-partition. ``columns`` (comma-separated) leaves the others undecoded (null). Rows carry ``file_offset``,
+known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records; without
+one, the file is one partition, as nothing tells where records begin. A task decodes a chunk of records at a time
+into Arrow columns. ``columns`` (comma-separated) leaves the others undecoded (null). Rows carry ``file_offset``,
 the virtual offset of their record, which restores the order of the file.
 """
 
@@ -14,6 +15,7 @@ import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,9 +25,17 @@ from ..functions.alignments import ALIGNMENTS, CIGAR_OPS
 from .bgzf import BgzfReader, open_file
 
 _LETTERS = "=ACMGRSVTWYHKDBN"
-_PAIRS = [a + b for a in _LETTERS for b in _LETTERS]
+_PAIRS = np.frombuffer("".join(a + b for a in _LETTERS for b in _LETTERS).encode(), np.uint8).reshape(256, 2)
+_OPS = np.frombuffer(CIGAR_OPS.encode().ljust(16, b"?"), np.uint8)
+#: The fixed part of a record, behind its size.
+_FIXED = np.dtype(
+    [
+        ("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"),
+        ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("length", "<i4"),
+    ]
+)
 _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-ROWS, SPLITS = 4096, 64
+CHUNK, SPLIT = 8 << 20, 32 << 20  # plain bytes decoded at a time, packed bytes of a partition
 
 
 class Header(NamedTuple):
@@ -96,108 +106,213 @@ def decode_tags(data: bytes, at: int) -> dict:
     return out
 
 
-def decode(data: bytes, offset: int, names: list[str], want: frozenset[str]) -> dict:
-    """A record's row; what is not wanted stays null."""
-    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, size = struct.unpack_from(
-        "<iiBBHHHiiii", data
-    )
-    row: dict = {
-        "flag": flag,
-        "reference_id": ref,
-        "reference_name": names[ref] if ref >= 0 else None,
-        "reference_start": pos,
-        "mapping_quality": mapq,
-        "next_reference_id": next_ref,
-        "next_reference_start": next_pos,
-        "template_length": size,
-        "file_offset": offset,
+def _within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, .. for each length, one after another, and the offsets of each (one more at the end)."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths), offsets
+
+
+def _slices(raw: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of many slices, one after another, and their offsets."""
+    k, offsets = _within(lengths)
+    return raw[np.repeat(at, lengths) + k], offsets
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    valid = None if missing is None else pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+    buffers = [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, buffers)
+
+
+def _cigars(raw: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of packed operations: their bytes and offsets."""
+    packed, _ = _slices(raw, at, 4 * counts)
+    ops = packed.view("<u4")
+    value = (ops >> 4).astype(np.int64)
+    digits = np.ones(len(ops), np.int64)
+    for k in range(1, 9):
+        digits += value >= 10**k
+    ends = np.cumsum(digits + 1)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    out[ends - 1] = _OPS[ops & 15]
+    for k in range(int(digits.max(initial=0))):
+        has = digits > k
+        out[ends[has] - 2 - k] = ord("0") + value[has] // 10**k % 10
+    return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str], want: frozenset[str]) -> pa.RecordBatch:
+    """The rows of the records that begin at ``at`` (their sizes) in plain bytes; columns not wanted are null."""
+    form = to_arrow_schema(ALIGNMENTS)
+    n = len(at)
+    fixed = raw[at[:, None] + np.arange(_FIXED.itemsize)].reshape(-1).view(_FIXED) if n else np.zeros(0, _FIXED)
+    l_name, n_ops, l_seq = (fixed[c].astype(np.int64) for c in ("l_name", "n_ops", "l_seq"))
+    at_ops = at + _FIXED.itemsize + l_name
+    at_seq = at_ops + 4 * n_ops
+    at_qual = at_seq + (l_seq + 1) // 2
+    mapped = (n_ops > 0) & (fixed["flag"] & 4 == 0)
+    placed = fixed["ref"] >= 0
+    columns: dict[str, pa.Array] = {
+        "flag": pa.array(fixed["flag"].astype(np.int32)),
+        "reference_id": pa.array(fixed["ref"].astype(np.int32)),
+        "reference_name": pa.array(names, pa.string()).take(pa.array(np.where(placed, fixed["ref"], 0), mask=~placed)),
+        "reference_start": pa.array(fixed["pos"].astype(np.int64)),
+        "mapping_quality": pa.array(fixed["mapq"].astype(np.int32)),
+        "next_reference_id": pa.array(fixed["next_ref"].astype(np.int32)),
+        "next_reference_start": pa.array(fixed["next_pos"].astype(np.int64)),
+        "template_length": pa.array(fixed["length"].astype(np.int32)),
+        "file_offset": pa.array(offsets),
     }
-    at = 32 + l_name
     if "query_name" in want:
-        row["query_name"] = data[32 : at - 1].decode()
-    if n_ops and not flag & 4 and "cigar" in want:
-        ops = struct.unpack_from(f"<{n_ops}I", data, at)
-        row["cigar"] = "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in ops)
-    at += 4 * n_ops
+        columns["query_name"] = _texts(*_slices(raw, at + _FIXED.itemsize, l_name - 1))
+    if "cigar" in want:
+        columns["cigar"] = _texts(*_cigars(raw, at_ops, np.where(mapped, n_ops, 0)), ~mapped)
     if "query_sequence" in want:
-        row["query_sequence"] = "".join([_PAIRS[b] for b in data[at : at + (l_seq + 1) // 2]])[:l_seq]
-    at += (l_seq + 1) // 2
+        packed, _ = _slices(raw, at_seq, (l_seq + 1) // 2)
+        letters = _PAIRS[packed].reshape(-1)
+        odd = np.flatnonzero(l_seq & 1)
+        if len(odd):  # the half byte behind an odd number of letters
+            letters = np.delete(letters, np.cumsum(l_seq + (l_seq & 1))[odd] - 1)
+        columns["query_sequence"] = _texts(letters, np.concatenate([[0], np.cumsum(l_seq)]))
     if "query_qualities" in want:
-        quality = data[at : at + l_seq]
-        row["query_qualities"] = [] if quality[:1] == b"\xff" else list(quality)
+        first = raw[np.minimum(at_qual, len(raw) - 1)] if n else raw[:0]
+        numbers, ends = _slices(raw, at_qual, np.where((l_seq > 0) & (first != 255), l_seq, 0))
+        columns["query_qualities"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers.view(np.int8)))
     if "tags" in want:
-        row["tags"] = list(decode_tags(data, at + l_seq).items())
-    return row
+        data, ends = raw.tobytes(), (at + 4 + fixed["size"]).tolist()
+        found = [
+            [(k, dict(zip(_FIELDS, v))) for k, v in decode_tags(data[a:b], 0).items()]
+            for a, b in zip((at_qual + l_seq).tolist(), ends)
+        ]
+        columns["tags"] = pa.array(found, form.field("tags").type)
+    return pa.RecordBatch.from_arrays(
+        [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in form], schema=form
+    )
 
 
 class Index(NamedTuple):
-    """starts[reference]: ascending (position, virtual offset) pairs: records that reach the position or
-    beyond begin at the offset or later. splits: offsets at which records begin."""
+    """What an index says: names of the contigs, if it holds them; for each, its bins (number to chunks of virtual
+    offsets) and the least offset of records that reach into each window; and how bins divide positions."""
 
-    starts: list[list[tuple[int, int]]]
-    splits: list[int]
+    names: list[str]
+    bins: list[dict[int, list[tuple[int, int]]]]
+    windows: list[list[int]]
+    shift: int = 14
+    depth: int = 5
+
+    def splits(self) -> list[int]:
+        """Offsets at which records begin, ascending."""
+        found = {c[0] for bins in self.bins for chunks in bins.values() for c in chunks}
+        return sorted(found.union(v for line in self.windows for v in line if v))
+
+    def span(self, contig: int, start: int, stop: int | None) -> tuple[int, int] | None:
+        """A run of offsets that holds all records of a contig that overlap [start, stop); None if there are none."""
+        if contig >= len(self.bins):
+            return None
+        bins, line = self.bins[contig], self.windows[contig]
+        top = 1 << self.shift + 3 * self.depth
+        low, high = min(start, top - 1), min(top if stop is None else max(stop, start + 1), top) - 1
+        chunks, first = [], 0
+        for level in range(self.depth + 1):
+            size = self.shift + 3 * (self.depth - level)
+            a, b = first + (low >> size), first + (high >> size)
+            chunks += [c for number, c in bins.items() if a <= number <= b]
+            first += 1 << 3 * level
+        chunks = [c for some in chunks for c in some]
+        # an empty window before the region's may stand between records that reach over it
+        reach = max(line[: (low >> self.shift) + 1], default=0) if line and low >> self.shift < len(line) else 0
+        chunks = [c for c in chunks if c[1] > reach]
+        if not chunks:
+            return None
+        return max(reach, min(c[0] for c in chunks)), max(c[1] for c in chunks)
+
+
+def cut(begin: int, end: int | None, splits: list[int], size: int) -> list[tuple[int, int | None]]:
+    """Runs of offsets of at least so many packed bytes, cut where records begin."""
+    edges = [begin]
+    for x in splits:
+        if (x >> 16) - (edges[-1] >> 16) >= size and (end is None or x < end):
+            edges.append(x)
+    edges.append(end)
+    return list(zip(edges, edges[1:]))
 
 
 def read_index(path: str) -> Index | None:
-    """The .bai or .csi index beside a file."""
-    for name in (path + ".bai", path.rsplit(".", 1)[0] + ".bai", path + ".csi"):
+    """The .bai, .tbi or .csi index beside a file."""
+    for name in (path + ".bai", path.rsplit(".", 1)[0] + ".bai", path + ".tbi", path + ".csi"):
         try:
             with open_file(name) as file:
                 data = file.read()
         except FileNotFoundError:
             continue
-        return _bai(data) if data[:4] == b"BAI\1" else _csi(data)
+        if data[:2] == b"\x1f\x8b":
+            data = _inflated(data)
+        if data[:4] == b"BAI\1":
+            return _bins_and_windows(data, 8, struct.unpack_from("<i", data, 4)[0], [])
+        if data[:4] == b"TBI\1":
+            size = struct.unpack_from("<i", data, 32)[0]
+            return _bins_and_windows(data, 36 + size, struct.unpack_from("<i", data, 4)[0], _listed(data[36 : 36 + size]))
+        return _csi(data)
     return None
 
 
-def _bai(data: bytes) -> Index:
-    starts, splits = [], set()
-    n, at = struct.unpack_from("<i", data, 4)[0], 8
+def _inflated(data: bytes) -> bytes:
+    import zlib
+
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _listed(names: bytes) -> list[str]:
+    return [x.decode() for x in names.split(b"\0")[:-1]]
+
+
+def _bins_and_windows(data: bytes, at: int, n: int, names: list[str]) -> Index:
+    """The common part of .bai and .tbi."""
+    every, windows = [], []
     for _ in range(n):
-        bins, at = struct.unpack_from("<i", data, at)[0], at + 4
-        for _ in range(bins):
+        count, at = struct.unpack_from("<i", data, at)[0], at + 4
+        bins = {}
+        for _ in range(count):
             number, chunks = struct.unpack_from("<Ii", data, at)
             pairs = struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)
             if number != 37450:  # that one has counts
-                splits.update(pairs[::2])
+                bins[number] = list(zip(pairs[::2], pairs[1::2]))
             at += 8 + 16 * chunks
         size = struct.unpack_from("<i", data, at)[0]
-        line = struct.unpack_from(f"<{size}Q", data, at + 4)
+        windows.append(list(struct.unpack_from(f"<{size}Q", data, at + 4)))
+        every.append(bins)
         at += 4 + 8 * size
-        starts.append([(k << 14, v) for k, v in enumerate(line) if v])
-        splits.update(v for v in line if v)
-    return Index(starts, sorted(splits))
+    return Index(names, every, windows)
 
 
 def _csi(data: bytes) -> Index:
-    import zlib
-
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest:
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(out)
     if data[:4] != b"CSI\1":
         raise OSError("not an index")
     shift, depth, extra = struct.unpack_from("<iii", data, 4)
+    names = _listed(data[44 : 16 + extra]) if extra >= 28 else []
     n, at = struct.unpack_from("<i", data, 16 + extra)[0], 20 + extra
-    starts, splits = [], set()
-    first = ((1 << 3 * depth) - 1) // 7
+    every, windows = [], []
+    first, beyond = ((1 << 3 * depth) - 1) // 7, ((1 << 3 * depth + 3) - 1) // 7
     for _ in range(n):
-        bins, at = struct.unpack_from("<i", data, at)[0], at + 4
-        mine = []
-        for _ in range(bins):
-            number, begin, chunks = struct.unpack_from("<IQi", data, at)
+        count, at = struct.unpack_from("<i", data, at)[0], at + 4
+        bins, line = {}, {}
+        for _ in range(count):
+            number, least, chunks = struct.unpack_from("<IQi", data, at)
             pairs = struct.unpack_from(f"<{2 * chunks}Q", data, at + 16)
-            if number <= ((1 << 3 * depth + 3) - 1) // 7:
-                splits.update(pairs[::2])
-            if first <= number <= ((1 << 3 * depth + 3) - 1) // 7 and begin:
-                mine.append(((number - first) << shift, begin))
+            if number < beyond:
+                bins[number] = list(zip(pairs[::2], pairs[1::2]))
+            if first <= number < beyond and least:
+                line[number - first] = least
             at += 16 + 16 * chunks
-        starts.append(sorted(mine))
-    return Index(starts, sorted(splits))
+        every.append(bins)
+        # a bin's offset is the least of records that reach into it: as in a linear index
+        windows.append([line.get(k, 0) for k in range(max(line, default=-1) + 1)])
+    return Index(names, every, windows, shift, depth)
 
 
 class BamPartition(InputPartition):
@@ -222,7 +337,7 @@ class BamReader(DataSourceReader):
         self.path = options["path"]
         chosen = options.get("columns")
         self.want = frozenset(c.strip() for c in chosen.split(",")) if chosen else frozenset(ALIGNMENTS.names)
-        self.splits = int(options.get("splits", SPLITS))
+        self.split = int(options.get("split", SPLIT))
         self.contig = options.get("contig")
         self.start = int(options["start"]) if "start" in options else 0
         self.stop = int(options["stop"]) if "stop" in options else None
@@ -231,67 +346,71 @@ class BamReader(DataSourceReader):
         with open_file(self.path) as file:
             reader = BgzfReader(file)
             header = read_header(reader)
-            first = reader.tell()
+            begin, end = reader.tell(), None
         index = read_index(self.path)
         if index is None:
-            return [BamPartition(first, None)]
-        cuts = [x for x in index.splits if x > first]
+            return [BamPartition(begin, None)]
         if self.contig is not None:
             if self.contig not in header.names:
                 raise ValueError(f"unknown contig: {self.contig}")
-            at = header.names.index(self.contig)
-            mine = index.starts[at] if at < len(index.starts) else []
-            if not mine:
-                return [BamPartition(first, None)]
-            # a position's entry is the least offset of records that reach into its window
-            begin = max([mine[0][1], *(v for p, v in mine if p <= self.start)])
-            later = [v for rows in index.starts[at + 1 :] for _, v in rows]
-            end = min(later, default=None)
-            cuts = [x for x in cuts if x > begin and (end is None or x < end)]
-        else:
-            begin, end = first, None
-        step = max(1, -(-len(cuts) // self.splits))
-        edges = [begin, *cuts[step - 1 :: step], end]
-        return [BamPartition(a, b) for a, b in zip(edges, edges[1:]) if b is None or b > a]
+            begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
+        return [BamPartition(a, b) for a, b in cut(begin, end, index.splits(), self.split)]
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
-        form = to_arrow_schema(ALIGNMENTS)
         with open_file(self.path) as file:
             names = read_header(BgzfReader(file)).names
-            reader = BgzfReader(file, partition.begin)
-            rows: list[dict] = []
-            while partition.end is None or reader.tell() < partition.end:
-                offset = reader.tell()
-                size = reader.read(4)
-                if len(size) < 4:
-                    break
-                data = reader.read(struct.unpack("<i", size)[0])
-                if self.contig is not None:
-                    ref, pos = struct.unpack_from("<ii", data)
-                    if ref < 0 or names[ref] != self.contig:
-                        if ref < 0 or ref > names.index(self.contig):
-                            break
-                        continue
-                    if self.stop is not None and pos >= self.stop:
-                        break  # an indexed file is sorted
-                rows.append(decode(data, offset, names, self.want))
-                if len(rows) == ROWS:
-                    yield _batch(rows, form)
-                    rows = []
-            if rows:
-                yield _batch(rows, form)
+            contig = None if self.contig is None else names.index(self.contig)
+            for raw, at, offsets in _records(BgzfReader(file, partition.begin), partition.end):
+                ended = False
+                if contig is not None and len(at):
+                    place = raw[at[:, None] + np.arange(4, 12)].reshape(-1).view("<i4").reshape(-1, 2)
+                    ref, pos = place[:, 0], place[:, 1]
+                    past = (ref > contig) | (ref < 0) | ((ref == contig) & (pos >= self.stop) if self.stop is not None else False)
+                    ended = bool(past.any())  # an indexed file is sorted
+                    keep = (ref == contig) & ~past
+                    at, offsets = at[keep], offsets[keep]
+                if len(at):
+                    yield decode(raw, at, offsets, names, self.want)
+                if ended:
+                    return
+
+
+def _records(reader: BgzfReader, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of plain bytes, where records begin in them, and the records' virtual offsets, up to an offset."""
+    data, marks = bytearray(), []  # marks: place in data of a member's first byte, and the member's in the file
+    blocks = reader.blocks()
+    while True:
+        more = False
+        for block, plain, skip in blocks:
+            if end is not None and block << 16 >= end:
+                break
+            marks.append((len(data) - skip, block))
+            data += plain[skip:]
+            if len(data) >= CHUNK:
+                more = True
+                break
+        at, found, size = 0, [], len(data)
+        while at + 4 <= size and (upto := at + 4 + int.from_bytes(data[at : at + 4], "little")) <= size:
+            found.append(at)
+            at = upto
+        if found:
+            begins, places = (np.array(x, np.int64) for x in zip(*marks))
+            at_record = np.array(found, np.int64)
+            member = np.searchsorted(begins, at_record, side="right") - 1
+            offsets = places[member] << 16 | (at_record - begins[member])
+            inside = len(found) if end is None else int(np.searchsorted(offsets, end))
+            yield np.frombuffer(bytes(data), np.uint8), at_record[:inside], offsets[:inside]
+            if inside < len(found):
+                return
+        if not more:
+            return
+        marks = [(p - at, b) for k, (p, b) in enumerate(marks) if k + 1 == len(marks) or marks[k + 1][0] > at]
+        del data[:at]
 
 
 _FIELDS = ("type", "i", "f", "s", "ia", "fa")
 
 
-def _batch(rows: list[dict], form: pa.Schema) -> pa.RecordBatch:
-    for row in rows:
-        if row.get("tags") is not None:
-            row["tags"] = [(k, dict(zip(_FIELDS, v))) for k, v in row["tags"]]
-    return pa.RecordBatch.from_pylist(rows, schema=form)
-
-
 def register(spark: SparkSession) -> None:
     from ..session import ship
 

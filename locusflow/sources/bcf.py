@@ -6,10 +6,15 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .bgzf import BgzfReader, open_file
+from .bam import cut, read_index
+from .bgzf import SPLIT, BgzfReader, open_file
+
+ROWS = 10_000
 
 _INTS = {1: ("b", -128), 2: ("h", -32768), 3: ("i", -(1 << 31))}
 _MISSING_FLOAT, _END_FLOAT = 0x7F800001, 0x7F800002
@@ -39,6 +44,11 @@ def _dictionary(text: str) -> tuple[list[str], list[str]]:
     return listed(keys), listed(contigs)
 
 
+def _number(x: float) -> str:
+    """The shortest text that gives the same 32-bit number."""
+    return np.format_float_positional(np.float32(x), trim="-") if np.isfinite(x) else str(x)
+
+
 class _Values:
     """Typed values in a record's bytes."""
 
@@ -64,7 +74,7 @@ class _Values:
             bits = struct.unpack_from(f"<{size}I", self.data, self.at)
             floats = struct.unpack_from(f"<{size}f", self.data, self.at)
             self.at += 4 * size
-            return ["." if b == _MISSING_FLOAT else f"{x:g}" for b, x in zip(bits, floats) if b != _END_FLOAT]
+            return ["." if b == _MISSING_FLOAT else _number(x) for b, x in zip(bits, floats) if b != _END_FLOAT]
         if kind in _INTS:
             code, missing = _INTS[kind]
             form = f"<{size}{code}"
@@ -112,7 +122,7 @@ def line_of(shared: bytes, each: bytes, keys: list[str], contigs: list[str]) ->
             column.append(_genotype(values) if formats[-1] == "GT" else ",".join(values) or ".")
     fields = [
         contigs[chrom], str(pos + 1), name, alleles[0] if alleles else ".", ",".join(alleles[1:]) or ".",
-        "." if quality == _MISSING_FLOAT else f"{qual:g}", ";".join(filters) or ".", ";".join(info) or ".",
+        "." if quality == _MISSING_FLOAT else _number(qual), ";".join(filters) or ".", ";".join(info) or ".",
     ]
     if n_format:
         fields += [":".join(formats), *(":".join(c) for c in columns)]
@@ -128,30 +138,67 @@ class BcfLines(DataSource):
         return "value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _BcfReader(self.options["path"])
+        return _BcfReader(dict(self.options))
+
+
+def header_text(path: str) -> str:
+    with open_file(path) as file:
+        return _header(BgzfReader(file))
+
+
+def _header(reader: BgzfReader) -> str:
+    if reader.read(5)[:3] != b"BCF":
+        raise OSError("not a BCF file")
+    return reader.read(struct.unpack("<I", reader.read(4))[0]).rstrip(b"\0").decode()
+
+
+class BcfPartition(InputPartition):
+    def __init__(self, begin: int, end: int | None) -> None:
+        self.begin, self.end = begin, end
 
 
 class _BcfReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """Partitions are cut where the index (.csi) says that records begin; without one there is one."""
 
-    def read(self, partition) -> Iterator[tuple]:
+    def __init__(self, options: dict) -> None:
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+        self.span = (int(options["begin"]), int(options["end"])) if "begin" in options else None
+
+    def partitions(self) -> list[BcfPartition]:
         with open_file(self.path) as file:
             reader = BgzfReader(file)
-            if reader.read(5)[:3] != b"BCF":
-                raise OSError("not a BCF file")
-            text = reader.read(struct.unpack("<I", reader.read(4))[0]).rstrip(b"\0").decode()
-            for line in text.splitlines():
-                yield (line,)
-            keys, contigs = _dictionary(text)
-            while len(sizes := reader.read(8)) == 8:
+            _header(reader)
+            begin, end = reader.tell(), None
+        index = read_index(self.path)
+        if self.span is not None:
+            begin, end = max(begin, self.span[0]), max(begin, self.span[1])
+        splits = index.splits() if index is not None else []
+        return [BcfPartition(a, b) for a, b in cut(begin, end, splits, self.split)]
+
+    def read(self, partition: BcfPartition) -> Iterator[pa.RecordBatch]:
+        with open_file(self.path) as file:
+            keys, contigs = _dictionary(_header(BgzfReader(file)))
+            reader = BgzfReader(file, partition.begin)
+            held: list[str] = []
+            while partition.end is None or reader.tell() < partition.end:
+                if len(sizes := reader.read(8)) < 8:
+                    break
                 a, b = struct.unpack("<II", sizes)
-                yield (line_of(reader.read(a), reader.read(b), keys, contigs),)
+                held.append(line_of(reader.read(a), reader.read(b), keys, contigs))
+                if len(held) == ROWS:
+                    yield pa.record_batch([pa.array(held)], names=["value"])
+                    held = []
+            if held:
+                yield pa.record_batch([pa.array(held)], names=["value"])
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, span: tuple[int, int] | None = None) -> DataFrame:
+    """Records as lines (column value), without the header; of a run of virtual offsets, if one is given."""
     from ..session import ship
 
     ship(spark)
     spark.dataSource.register(BcfLines)
-    return spark.read.format("bcf_lines").load(path)
+    reader = spark.read.format("bcf_lines")
+    if span is not None:
+        reader = reader.option("begin", str(span[0])).option("end", str(span[1]))
+    return reader.load(path)

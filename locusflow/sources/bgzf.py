@@ -11,9 +11,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+SPLIT, BATCH = 32 << 20, 4 << 20  # bytes of a partition (packed) and of a batch (plain)
+MEMBER = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S)
 
 
 def open_file(path: str):
@@ -69,6 +73,14 @@ class BgzfReader:
             if self.data:
                 return True
 
+    def blocks(self) -> Iterator[tuple[int, bytes, int]]:
+        """Each member from here on: its place in the file, its plain bytes, and how many of them come before the
+        reader's offset (in the first)."""
+        if self.at or self.data:
+            yield self.block, self.data, self.at
+        while self._load():
+            yield self.block, self.data, 0
+
     def tell(self) -> int:
         if self.at >= len(self.data):
             return self.next << 16
@@ -85,17 +97,38 @@ class BgzfReader:
             out.append(piece)
         return out[0] if len(out) == 1 else b"".join(out)
 
-    def lines(self) -> Iterator[str]:
-        rest = b""
-        while True:
-            if self.at >= len(self.data) and not self._load():
-                break
-            *whole, rest = (rest + self.data[self.at :]).split(b"\n")
-            self.at = len(self.data)
-            for line in whole:
-                yield line.decode()
+    def lines(self) -> Iterator[tuple[int, bytes]]:
+        """Each line from here on, and the virtual offset of its first byte."""
+        rest, start = b"", None
+        for block, data, at in self.blocks():
+            if start is None:
+                start = block << 16 | at
+            while (end := data.find(b"\n", at)) >= 0:
+                yield start, rest + data[at:end]
+                rest, at = b"", end + 1
+                start = block << 16 | at
+            rest += data[at:]
+            if not rest:
+                start = None  # the next line begins with the next member
         if rest:
-            yield rest.decode()
+            yield start, rest
+
+
+def member_from(file, offset: int, size: int) -> int:
+    """Where the first BGZF member with bytes at a place of the file or behind it begins (the size, if none does)."""
+    step = 1 << 17  # two members at most
+    while offset < size:
+        file.seek(offset)
+        data = file.read(step)
+        for found in MEMBER.finditer(data):
+            at = offset + found.start()
+            length = int.from_bytes(found[1], "little") + 1
+            file.seek(at + length - 4)
+            tail = file.read(22)
+            if (at + length == size or MEMBER.match(tail[4:])) and tail[:4] != bytes(4):
+                return at  # what follows it is a member as well, and it has bytes
+        offset += max(1, len(data) - 17)
+    return size
 
 
 def compress(data: bytes, size: int = 60_000) -> bytes:
@@ -111,7 +144,7 @@ def compress(data: bytes, size: int = 60_000) -> bytes:
 
 
 class BgzfLines(DataSource):
-    """Lines of a BGZF text file (column value)."""
+    """Lines of a BGZF text file (column value), or those that begin in a run of virtual offsets."""
 
     @classmethod
     def name(cls) -> str:
@@ -121,17 +154,60 @@ class BgzfLines(DataSource):
         return "value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _LineReader(self.options["path"])
+        return _LineReader(dict(self.options))
+
+
+class LinePartition(InputPartition):
+    def __init__(self, begin: int, end: int) -> None:
+        self.begin, self.end = begin, end
 
 
 class _LineReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """Partitions of SPLIT bytes. Each seeks its first member, skips to the first line that begins there, and reads
+    the line that begins at its end, as the next one skips that."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
+        self.begin = int(options.get("begin", 0))
+        self.end = int(options["end"]) if "end" in options else None
+
+    def partitions(self) -> list[LinePartition]:
+        with open_file(self.path) as file:
+            size = file.size()
+        end = size << 16 if self.end is None else self.end
+        cuts = range((self.begin >> 16) + self.split, (end >> 16) + (1 if end & 0xFFFF else 0), self.split)
+        edges = [self.begin, *(x << 16 for x in cuts), end]
+        return [LinePartition(a, b) for a, b in zip(edges, edges[1:])]
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition: LinePartition) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as file:
-            for line in BgzfReader(file).lines():
-                yield (line,)
+            size = file.size()
+            first = partition.begin == self.begin
+            begin = partition.begin if first else member_from(file, partition.begin >> 16, size) << 16
+            end = partition.end
+            last = end == (size << 16 if self.end is None else self.end)
+            if not last:
+                end = member_from(file, end >> 16, size) << 16
+            if begin >= end:
+                return
+            skip, held, n = not first, [], 0
+            for start, line in BgzfReader(file, begin).lines():
+                if skip:
+                    skip = False
+                    continue
+                if start >= end and (last or start > end):
+                    break
+                held.append(line)
+                n += len(line)
+                if n > BATCH:
+                    yield _lines(held)
+                    held, n = [], 0
+            if held:
+                yield _lines(held)
+
+
+def _lines(held: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x.decode() for x in held], pa.string())], names=["value"])
 
 
 def register(spark: SparkSession) -> None:

@@ -38,6 +38,7 @@ def header_line(header) -> str:
     return json.dumps({"type": "header", "references": header.names, "lengths": header.lengths})
 
 
-def write_json_lines(alignments: DataFrame, path: str) -> None:
-    """Objects in file order, as text files."""
-    json_lines(alignments).orderBy("file_offset").select("value").write.text(path)
+def write_json_lines(alignments: DataFrame, path: str, header) -> None:
+    """The header's line, then objects in file order, as text files."""
+    first = alignments.sparkSession.createDataFrame([(-1, header_line(header))], "file_offset long, value string")
+    first.unionByName(json_lines(alignments)).orderBy("file_offset").select("value").write.text(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def parse_sites(lines: DataFrame) -> DataFrame:
     """lines: line (number from 0), value. Gives site_idx, chrom, pos0, ref, alt.
@@ -33,7 +35,17 @@ def parse_sites(lines: DataFrame) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Sites of one file, numbered in its order. A site list is read in one piece: lines have no numbers."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return parse_sites(lines.withColumn("line", F.col("line").cast("long")))
+    """Sites of one file, numbered in its order: a text split holds lines that follow each other, and begins where
+    the split before it ends, so lines are numbered from the sum of those in earlier splits."""
+    held = spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_row")
+    )
+    placed = written(held, "site-lines")
+    inside = Window.partitionBy("_part").orderBy("_row")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    sizes = placed.groupBy("_part").count()
+    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    lines = placed.join(F.broadcast(offsets), "_part").withColumn(
+        "line", F.row_number().over(inside) - 1 + F.col("_before")
+    )
+    return parse_sites(lines.select("line", "value"))

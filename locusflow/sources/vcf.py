@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bam import read_index
+from .bgzf import MEMBER, open_file, register
+
 GENOTYPE = "array<struct<gt:array<int>,dp:int,ad:array<int>>>"
 
 
@@ -14,58 +20,120 @@ class VariantHeader(NamedTuple):
     samples: list[str]
     contigs: list[str]
     lengths: dict[str, int]  # of those that declare one
+    info: dict[str, tuple[str, str]]  # Number and Type of each declared key
+
+
+# Fixed values of the file format: Number and Type of the keys that it reserves, for files that do not declare them.
+RESERVED = {
+    "AA": ("1", "String"), "AC": ("A", "Integer"), "AD": ("R", "Integer"), "ADF": ("R", "Integer"), "ADR": ("R", "Integer"),
+    "AF": ("A", "Float"), "AN": ("1", "Integer"), "BQ": ("1", "Float"), "CIGAR": ("A", "String"), "DB": ("0", "Flag"),
+    "DP": ("1", "Integer"), "END": ("1", "Integer"), "H2": ("0", "Flag"), "H3": ("0", "Flag"), "MQ": ("1", "Float"),
+    "MQ0": ("1", "Integer"), "NS": ("1", "Integer"), "SB": ("4", "Integer"), "SOMATIC": ("0", "Flag"),
+    "VALIDATED": ("0", "Flag"), "1000G": ("0", "Flag"),
+}
 
 
 def kind_of(path: str) -> str:
-    """"vcf", "bgz" (compressed text that the text reader does not know) or "bcf"."""
+    """"vcf" (plain text), "gz", "bgz" (a gzip file that can be read from its middle) or "bcf"."""
     name = path.lower()
-    for kind, ends in (("vcf", (".vcf", ".vcf.gz")), ("bgz", (".vcf.bgz",)), ("bcf", (".bcf",))):
-        if name.endswith(ends):
-            return kind
+    if name.endswith(".bcf"):
+        return "bcf"
+    if name.endswith(".vcf"):
+        return "vcf"
+    if name.endswith((".vcf.gz", ".vcf.bgz")):
+        with open_file(path) as file:
+            return "bgz" if MEMBER.match(file.read(18)) else "gz"
     raise ValueError(f"not a variant file: {path}")
 
 
 def header_of(lines: list[str]) -> VariantHeader:
-    import re
-
-    contigs, lengths, samples = [], {}, []
+    contigs, lengths, samples, info = [], {}, [], {}
     for line in lines:
-        if line.startswith("##contig=<"):
-            found = re.search(r"[<,]ID=([^,>]+)", line)
-            if found:
-                contigs.append(found[1])
-                size = re.search(r"[<,]length=(\d+)", line)
-                if size:
-                    lengths[found[1]] = int(size[1])
+        name = re.search(r"[<,]ID=([^,>]+)", line)
+        if line.startswith("##contig=<") and name:
+            contigs.append(name[1])
+            size = re.search(r"[<,]length=(\d+)", line)
+            if size:
+                lengths[name[1]] = int(size[1])
+        elif line.startswith("##INFO=<") and name:
+            number, kind = re.search(r"[<,]Number=([^,>]+)", line), re.search(r"[<,]Type=([^,>]+)", line)
+            if number and kind:
+                info[name[1]] = (number[1], kind[1])
         elif line.startswith("#CHROM"):
-            samples = line.rstrip("\n").split("\t")[9:]
-    return VariantHeader(samples, contigs, lengths)
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (column value) of a variant file; .vcf.bgz and .bcf through their own readers."""
-    if kind_of(path) == "bcf":
+            samples = line.rstrip("\r\n").split("\t")[9:]
+    return VariantHeader(samples, contigs, lengths, info)
+
+
+def value_of(text: str, number: str, kind: str):
+    """A value of INFO by its declared Number and Type: True, a number or a text, or a tuple of them."""
+    if kind == "Flag":
+        return True
+
+    def one(x: str):
+        if x in (".", ""):
+            return None
+        return int(x) if kind == "Integer" else float(np.float32(x)) if kind == "Float" else x
+
+    return one(text) if number == "1" else tuple(one(x) for x in text.split(","))
+
+
+def read_lines(
+    spark: SparkSession, path: str, contig: str | None = None, start: int = 0, stop: int | None = None
+) -> DataFrame:
+    """Lines (column value) of a variant file. For a region of a file with an index (.tbi or .csi) only the part that
+    can hold its records is read; which of them overlap it is the caller's filter."""
+    kind = kind_of(path)
+    if kind in ("vcf", "gz"):
+        return spark.read.text(path)
+    span = None
+    if contig is not None and (index := read_index(path)) is not None:
+        names = index.names or read_header(path).contigs
+        span = (index.span(names.index(contig), start, stop) if contig in names else None) or (0, 0)
+    if kind == "bcf":
         from . import bcf
 
-        return bcf.read_lines(spark, path)
-    if kind_of(path) == "bgz":
-        from .bgzf import register
+        return bcf.read_lines(spark, path, span)
+    register(spark)
+    reader = spark.read.format("bgzf_lines")
+    if span is not None:
+        reader = reader.option("begin", str(span[0])).option("end", str(span[1]))
+    return reader.load(path)
 
-        register(spark)
-        return spark.read.format("bgzf_lines").load(path)
-    return spark.read.text(path)
 
+def head_lines(path: str) -> list[str]:
+    """The header's lines, read from the file's start up to the names of the columns."""
+    if kind_of(path) == "bcf":
+        from . import bcf
 
-def read_header(spark: SparkSession, path: str) -> VariantHeader:
-    return header_of([r.value for r in read_lines(spark, path).filter(F.col("value").startswith("#")).collect()])
+        return bcf.header_text(path).splitlines()
+    out: list[str] = []
+    rest = b""
+    with open_file(path) as file:
+        inflate = zlib.decompressobj(31) if path.lower().endswith("gz") else None
+        while piece := file.read(1 << 16):
+            while piece:
+                rest += inflate.decompress(piece) if inflate else piece
+                piece = b""
+                if inflate and inflate.eof:
+                    piece, inflate = inflate.unused_data, zlib.decompressobj(31)
+            *whole, rest = rest.split(b"\n")
+            for line in whole:
+                if not line.startswith(b"#"):
+                    return out
+                out.append(line.decode().rstrip("\r"))
+                if line.startswith(b"#CHROM"):
+                    return out
+    return out + ([rest.decode()] if rest.startswith(b"#") else [])
+
+
+def read_header(path: str) -> VariantHeader:
+    return header_of(head_lines(path))
 
 
 def _missing(x: Column) -> Column:
     return F.when((x != ".") & (x != ""), x)
 
 
-
-
 def _int(text: Column) -> Column:
     return F.when(text.rlike("^-?[0-9]+$"), text.cast("int"))
 

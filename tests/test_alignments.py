@@ -1,38 +1,47 @@
-"""Files, statistics and the facade over the 14-record fixture: golden values and brute force."""
+"""Files, statistics and the facade over generated reads, against plain computations over the same rows."""
 
+import json
 import random
 from collections import Counter
 
 import files
 import pytest
 
+import locusflow
 from locusflow.api import AlignmentFile
 from locusflow.functions.alignments import MASK_ALL, MASK_PILEUP
 from locusflow.functions.coords import Interval, resolve
-from locusflow.sources import bam
+from locusflow.operators import regions, stats
+from locusflow.sources import bam, cram, dump
 
 LENGTHS = dict(files.CONTIGS)
+NAMES = [n for n, _ in files.CONTIGS]
 
 
-@pytest.fixture(scope="module")
-def small(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("bam") / "small.bam")
-    files.write_bam(path, block=300)
+@pytest.fixture(scope="module", params=["bai", "csi"])
+def small(spark, tmp_path_factory, request):
+    path = str(tmp_path_factory.mktemp("bam") / "some.bam")
+    files.write_bam(path, block=300, index=request.param)
     return AlignmentFile(path, spark=spark)
 
 
+def of_contig(contig):
+    return [r for r in files.RECORDS if r[2] >= 0 and NAMES[r[2]] == contig]
+
+
+def overlapping(contig, start, stop):
+    return [r for r in of_contig(contig) if files.span(r)[0] < stop and files.span(r)[1] > start]
+
+
 def brute_depth(contig, start, stop):
-    n = Counter()
-    for r in files.RECORDS:
-        if r[2] >= 0 and files.CONTIGS[r[2]][0] == contig and not r[1] & MASK_ALL:
-            n.update(p for p, _ in files.blocks(r))
+    n = Counter(p for r in of_contig(contig) if not r[1] & MASK_ALL for p, _ in files.blocks(r))
     return [n[p] for p in range(start, stop)]
 
 
 def brute_bases(contig, start, stop, mask, quality, mapq=0):
     found = {c: Counter() for c in "ACGTN"}
-    for r in files.RECORDS:
-        if r[2] < 0 or files.CONTIGS[r[2]][0] != contig or r[1] & (mask | 4) or r[4] < mapq:
+    for r in of_contig(contig):
+        if r[1] & (mask | 4) or r[4] < mapq or r[7] is None:
             continue
         for p, q in files.blocks(r):
             if r[7][q] >= quality:
@@ -42,105 +51,109 @@ def brute_bases(contig, start, stop, mask, quality, mapq=0):
 
 def test_records_come_back(small):
     got = list(small)
-    assert len(got) == 14
+    assert len(got) == len(files.RECORDS)
     for a, r in zip(got, files.RECORDS):
         assert (a.query_name, a.flag, a.reference_id, a.reference_start, a.mapping_quality) == r[:5]
-        assert (a.cigarstring or "") == r[5] and a.query_sequence == r[6] and a.query_qualities == r[7]
+        assert (a.cigarstring or "") == r[5] and a.query_sequence == r[6] and a.query_qualities == (r[7] or [])
         assert (a.next_reference_id, a.next_reference_start, a.template_length) == r[8:11]
-        assert {k: v for k, _, v in r[11]} == a.tags
-    assert got[3].cigartuples == [(0, 10), (1, 2), (0, 8), (2, 3), (0, 10)]
-    assert got[3].reference_end == 231 and got[13].reference_end is None
-    assert got[0].is_paired and got[0].is_read1 and not got[0].is_reverse
+        assert {k: v for k, _, v in r[11]} == a.tags and a.is_reverse == bool(r[1] & 16)
+        ops = [(files.OPS.index(op), n) for n, op in files.ops_of(r[5])]
+        assert a.cigartuples == ops and a.reference_end == (files.span(r)[1] if r[5] else None)
     with pytest.raises(KeyError):
-        got[5].get_tag("NM")
+        got[0].get_tag("ZZ")
+    assert [r.query_name for r in regions.unplaced(small.dataframe()).collect()] == [r[0] for r in files.RECORDS if r[2] < 0]
 
 
-def test_header(small):
-    assert small.references == ("chr1", "chr2") and small.lengths == (1000, 500)
-    assert small.header["SQ"][0] == {"SN": "chr1", "LN": 1000} and small.header["HD"]["SO"] == "coordinate"
+def test_header_and_names(small):
+    assert small.references == tuple(NAMES) and small.lengths == tuple(LENGTHS.values())
+    assert small.header["SQ"][1] == {"SN": "beta", "LN": 900} and small.header["HD"]["SO"] == "coordinate"
+    assert [x["ID"] for x in small.header["RG"]] == ["lane0", "lane1"]
+    assert locusflow.AlignmentFile is AlignmentFile and locusflow.version() == locusflow.__version__
+    with pytest.raises(AttributeError):
+        locusflow.nothing
 
 
-@pytest.mark.parametrize(
-    "region,every,chosen",
-    [(("chr1", 0, 1000), 11, 7), (("chr1", 0, 100), 3, 2), (("chr1", 590, 650), 4, 1), (("chr1", 200, 250), 1, 1),
-     (("chr1", 100, 100), 0, 0), (("chr2", 0, 100), 2, 2)],
-)
-def test_count(small, region, every, chosen):
-    assert small.count(*region) == every
-    assert small.count(*region, read_callback="all") == chosen
+def test_count(small):
+    rng = random.Random(5)
+    for contig, start, stop in [("alpha", 0, 2600), ("gamma", 0, 70), ("beta", 100, 100)] + [
+        (c, s, s + rng.choice([1, 40, 300])) for c in ("alpha", "beta") for s in rng.sample(range(800), 3)
+    ]:
+        found = overlapping(contig, start, stop) if start < stop else []
+        assert small.count(contig, start, stop) == len(found)
+        assert small.count(contig, start, stop, read_callback="all") == sum(not r[1] & MASK_ALL for r in found)
 
 
 def test_depth_blocks(small):
-    assert small.depth_blocks("chr2") == [(0, 10, 0), (10, 30, 1), (40, 10, 0), (50, 30, 1), (80, 420, 0)]
-    got = small.depth_blocks("chr1")
-    assert got[:4] == [(0, 10, 0), (10, 50, 1), (60, 20, 0), (80, 50, 1)]
-    assert sum(n for _, n, _ in got) == 1000 and all(a[2] != b[2] for a, b in zip(got, got[1:]))
-    assert small.depth_blocks("chr1", 5, 5) == []
-
-
-def test_blocks_do_not_depend_on_tiles(small):
-    from locusflow.operators import stats
-
-    df = small.dataframe()
-    import unittest.mock as mock
-
-    want = small.depth_blocks("chr1")
-    for tile in (7, 64, 333):
-        with mock.patch.object(stats.depth_runs, "__defaults__", (tile,)):
-            rows = stats.depth_blocks(df, "chr1", 0, 1000).orderBy("start").collect()
-        assert [(r.start, r.length, r.depth) for r in rows] == want
-
-
-def test_pileup_and_coverage_sums(small):
-    p = small.pileup_counts("chr1")
-    assert {c: int(p[c].sum()) for c in p} == {"A": 57, "C": 57, "G": 52, "T": 50, "N": 2, "depth": 218}
-    q = small.pileup_counts("chr2", 0, 500, min_mapping_quality=60)
-    assert {c: int(q[c].sum()) for c in q} == {"A": 7, "C": 8, "G": 8, "T": 7, "N": 0, "depth": 30}
-    assert [sum(x) for x in small.count_coverage("chr1")] == [64, 63, 58, 56]
-    assert [sum(x) for x in small.count_coverage("chr1", quality_threshold=0, read_callback="nofilter")] == [85, 81, 76, 74]
+    for contig in ("beta", "gamma"):
+        at, want = 0, []
+        for n in brute_depth(contig, 0, LENGTHS[contig]):
+            if want and want[-1][2] == n:
+                want[-1] = (want[-1][0], want[-1][1] + 1, n)
+            else:
+                want.append((at, 1, n))
+            at += 1
+        assert small.depth_blocks(contig) == want
+    assert small.depth_blocks("alpha", 5, 5) == []
+
+
+def test_runs_over_tile_borders(spark):
+    border = 1 << 14
+    rows = [("r1", 0, "c", border - 5, 9, "10M", "ACGTACGTAC", [30] * 10), ("r2", 0, "c", border - 3, 9, "3M2D40000N4M", "ACGTACG", [30] * 7),
+            ("r3", 0, "c", 10, 9, "50000M", "A" * 50000, [30] * 50000), ("r4", 0, "c", border, 9, "5M", "ACGNt", [30] * 5)]
+    df = spark.createDataFrame(rows, "query_name string, flag int, reference_name string, reference_start long, mapping_quality int, cigar string, query_sequence string, query_qualities array<tinyint>")
+    depth, letters = Counter(), Counter()
+    for _, _, _, start, _, cigar, seq, _ in rows:
+        for p, q in files.blocks((0, 0, 0, start, 0, cigar)):
+            depth[p] += 1
+            letters[p, seq[q].upper() if seq[q].upper() in "ACGT" else "N"] += 1
+    for a, b in ((0, 60_000), (border - 1, border + 1), (border, 2 * border)):
+        got = {r.pos: r.depth for r in stats.depth(df, "c", a, b).collect()}
+        assert got == {p: depth[p] for p in range(a, b)}
+        found = stats.depth_blocks(df, "c", a, b).orderBy("start").collect()
+        assert sum(r.length for r in found) == b - a and all(x.depth != y.depth for x, y in zip(found, found[1:]))
+        counts = stats.pileup_counts(df, "c", a, b).collect()
+        assert len(counts) == b - a and all(r[c] == letters[r.pos, c] for r in counts for c in "ACGTN")
 
 
 def test_random_regions(small):
-    rng = random.Random(20260813)
-    for _ in range(6):
-        contig = rng.choice(sorted(LENGTHS))
+    rng = random.Random(20)
+    for _ in range(5):
+        contig = rng.choice(["alpha", "beta"])
         start = rng.randrange(LENGTHS[contig])
         stop = min(LENGTHS[contig], start + rng.choice([1, 7, 100, 500]))
         assert small.depth_numpy(contig, start, stop).tolist() == brute_depth(contig, start, stop)
-        want = brute_bases(contig, start, stop, MASK_PILEUP, 10)
-        got = small.pileup_counts(contig, start, stop, min_base_quality=10)
+        want = brute_bases(contig, start, stop, MASK_PILEUP, 10, 20)
+        got = small.pileup_counts(contig, start, stop, min_base_quality=10, min_mapping_quality=20)
         assert {c: got[c].tolist() for c in "ACGTN"} == want
-        reads = [r[0] for r in files.RECORDS if r[2] >= 0 and files.CONTIGS[r[2]][0] == contig
-                 and files.span(r)[0] < stop and files.span(r)[1] > start]
-        assert [a.query_name for a in small.fetch(contig, start, stop)] == reads
+        assert got["depth"].tolist() == [sum(x) for x in zip(*want.values())]
+        want = brute_bases(contig, start, stop, MASK_ALL, 15)
+        assert [x.tolist() for x in small.count_coverage(contig, start, stop)] == [want[c] for c in "ACGT"]
+        assert [a.query_name for a in small.fetch(contig, start, stop)] == [r[0] for r in overlapping(contig, start, stop)]
 
 
 def test_partitioning_does_not_matter(small):
-    from locusflow.operators import stats
-
     df = small.dataframe()
-    got = [
-        sorted(map(tuple, stats.pileup_counts(df.repartition(n), "chr1", 0, 700).collect())) for n in (1, 4, 16)
-    ]
+    got = [sorted(map(tuple, stats.pileup_counts(df.repartition(n), "alpha", 0, 700).collect())) for n in (1, 4, 16)]
     assert got[0] == got[1] == got[2]
 
 
 def test_batches_and_parallel_fetch(small):
-    assert [len(b) for b in small.iter_batches(5)] == [5, 5, 4]
-    assert [len(b) for b in small.iter_batches(4)] == [4, 4, 4, 2]
-    got = small.parallel_fetch([("chr1", 0, 40), ("chr1", 40, 60), ("chr1", 55, 58), ("chr2", 0, 500)])
-    assert [a.query_name for a in got] == ["pair1", "unmap_placed", "mapq0", "mapq255"]
-    twice = small.parallel_fetch([("chr1", 405, 410), ("chr1", 470, 475)])
-    assert [a.query_name for a in twice] == ["splice1", "splice1"]
+    n = len(files.RECORDS)
+    assert [len(b) for b in small.iter_batches(10)] == [10] * (n // 10) + [n % 10] * (n % 10 > 0)
+    assert [a.query_name for b in small.iter_batches(7) for a in b] == [r[0] for r in files.RECORDS]
+    wanted = [("alpha", 0, 400), ("alpha", 400, 600), ("alpha", 550, 580), ("beta", 0, 900), ("alpha", 1200, 1300)]
+    merged = [("alpha", 0, 600), ("alpha", 1200, 1300), ("beta", 0, 900)]
+    got = small.parallel_fetch(wanted)
+    assert [a.query_name for a in got] == [r[0] for w in merged for r in overlapping(*w)]
     with pytest.raises(ValueError):
-        small.parallel_fetch([("chr1", 1500, 1200)])
-    assert list(small.fetch("chr1", 1500, 1200)) == []
+        small.parallel_fetch([("alpha", 5500, 5200)])
+    assert list(small.fetch("alpha", 5500, 5200)) == [] and small.parallel_fetch([]) == []
 
 
 def test_errors(spark, small, tmp_path):
     for call in (
-        lambda: small.count("chrX"), lambda: small.count("chr1", -1), lambda: small.count("chr1", 50, 40),
-        lambda: small.count("chr1", read_callback="other"), lambda: small.depth_numpy("chr1", threads=0),
+        lambda: small.count("delta"), lambda: small.count("alpha", -1), lambda: small.count("alpha", 50, 40),
+        lambda: small.count("alpha", read_callback="other"), lambda: small.depth_numpy("alpha", threads=0),
         lambda: AlignmentFile(small.filename, "wb", spark=spark),
     ):
         with pytest.raises(ValueError):
@@ -151,11 +164,11 @@ def test_errors(spark, small, tmp_path):
     files.write_bam(path, index=False)
     plain = AlignmentFile(path, spark=spark)
     with pytest.raises(ValueError, match="index"):
-        plain.count("chr1")
-    assert sum(len(b) for b in plain.iter_batches(100)) == 14
+        plain.count("alpha")
+    assert sum(len(b) for b in plain.iter_batches(100)) == len(files.RECORDS)
     plain.close()
     with pytest.raises(ValueError):
-        plain.count("chr1")
+        plain.count("alpha")
 
 
 def test_equal_rows_and_arrays(spark, tmp_path):
@@ -164,22 +177,57 @@ def test_equal_rows_and_arrays(spark, tmp_path):
     path = str(tmp_path / "dup.bam")
     files.write_bam(path, [row("a", 10), row("a", 10), row("b", 10, tags), row("c", 100)])
     f = AlignmentFile(path, spark=spark)
-    assert [a.query_name for a in f.parallel_fetch([("chr1", 0, 50)])] == ["a", "a", "b"]
-    third = [a for a in f.fetch("chr1", 0, 50)][2]
+    assert [a.query_name for a in f.parallel_fetch([("alpha", 0, 50)])] == ["a", "a", "b"]
+    third = [a for a in f.fetch("alpha", 0, 50)][2]
     assert third.get_tag("Ti").typecode == "i" and list(third.get_tag("Tf")) == [1.5, 2.5] and third.get_tag("TA") == "x"
-    assert f.depth_numpy("chr1", 10, 12).tolist() == [3, 3]
-    assert f.pileup_counts("chr1", 10, 12)["depth"].tolist() == [0, 0]  # no qualities
+    assert f.depth_numpy("alpha", 10, 12).tolist() == [3, 3]
+    assert f.pileup_counts("alpha", 10, 12)["depth"].tolist() == [0, 0]  # no qualities
 
 
-def test_split_scan_reads_each_record_once(spark, tmp_path):
+@pytest.mark.parametrize("index", ["bai", "csi"])
+def test_split_scan_reads_each_record_once(spark, tmp_path, monkeypatch, index):
     rows = [(f"r{k}", 0, 0, k * 700, 9, "10M", "ACGTACGTAC", [30] * 10, -1, -1, 0, []) for k in range(400)]
+    rows.insert(200, ("wide", 0, 0, 139_400, 9, "5M60000N5M", "ACGTACGTAC", [30] * 10, -1, -1, 0, []))
     path = str(tmp_path / "big.bam")
-    files.write_bam(path, rows, (("chr1", 300_000), ("chr2", 10)), block=400)
-    df = bam.read_bam(spark, path)
+    files.write_bam(path, rows, (("alpha", 300_000), ("beta", 10)), block=400, index=index)
+    bam.register(spark)
+    df = spark.read.format("bam").option("split", "1000").load(path)
     assert df.rdd.getNumPartitions() > 4
-    assert sorted(r.query_name for r in df.select("query_name").collect()) == sorted(r[0] for r in rows)
+    assert [r.query_name for r in df.select("query_name").toLocalIterator()] == [r[0] for r in rows]
     f = AlignmentFile(path, spark=spark)
-    assert f.count("chr1", 140_000, 150_000) == sum(140_000 - 10 < r[3] < 150_000 for r in rows)
+    for start, stop in ((140_000, 150_000), (190_000, 200_000), (0, 1), (299_000, 300_000)):
+        want = [r[0] for r in rows if r[3] < stop and files.span(r)[1] > start]
+        assert [a.query_name for a in f.fetch("alpha", start, stop)] == want
+    assert f.count("beta") == 0 and f._scan(("beta", 0, 10)).count() == 0
+    monkeypatch.setattr(bam, "CHUNK", 100)  # records span chunks of plain bytes
+    reader = bam.BamReader({"path": path})
+    names = [x for b in reader.read(bam.BamPartition(*_whole(path))) for x in b.column("query_name").to_pylist()]
+    assert names == [r[0] for r in rows]
+
+
+def _whole(path):
+    with bam.open_file(path) as file:
+        reader = bam.BgzfReader(file)
+        bam.read_header(reader)
+        return reader.tell(), None
+
+
+def test_json_lines_with_their_header(spark, small, tmp_path):
+    header = bam.header_of(small.filename)
+    dump.write_json_lines(small.dataframe(), str(tmp_path / "out"), header)
+    lines = [x for p in sorted((tmp_path / "out").glob("part*")) for x in p.read_text().splitlines()]
+    first, *rest = map(json.loads, lines)
+    assert first["references"] == NAMES and [x["query_name"] for x in rest] == [r[0] for r in files.RECORDS]
+    assert all(x["tags"].get("RG") == dict((k, v) for k, _, v in r[11]).get("RG") for x, r in zip(rest, files.RECORDS))
+
+
+def test_cram_is_recognised(spark, tmp_path):
+    assert cram.is_cram_path("a/B.CRAM") and not cram.is_cram_path("a.bam")
+    (tmp_path / "x.fa").write_text(">alpha\nACGT\n")
+    assert cram.sibling_fasta(str(tmp_path / "x.cram")) == str(tmp_path / "x.fa") and cram.sibling_fasta(str(tmp_path / "y.cram")) is None
+    for mode in ("rb", "rc"):
+        with pytest.raises((OSError, ValueError)):
+            AlignmentFile(str(tmp_path / "y.cram"), mode, spark=spark)
 
 
 def test_intervals():
@@ -188,4 +236,4 @@ def test_intervals():
     assert Interval.of(4, 4).is_empty and Interval.of(4, 4).to_1based() is None
     assert Interval.of_1based(1, 10) == (0, 10) and Interval(0, 10).to_1based() == (1, 10)
     assert Interval(0, 10).overlap(8, 20) == (8, 10) and Interval(0, 10).overlap(10, 20) is None
-    assert resolve(LENGTHS, "chr1", 1500, 1200) == ("chr1", 1000, 1000)
+    assert resolve(LENGTHS, "beta", 1500, 1200) == ("beta", 900, 900)

@@ -1,120 +1,149 @@
-import struct
+"""Variant files of four kinds, candidate sites, recounts and the command line."""
 
 import files
+import numpy as np
 import pytest
 
 from locusflow import cli
 from locusflow.api import VariantFile
 from locusflow.operators import recount
-from locusflow.sources import bam, sites
-from locusflow.sources.bgzf import compress
+from locusflow.sources import bam, bgzf, sites, vcf
 
 
 @pytest.fixture(scope="module")
 def paths(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("vcf")
-    (folder / "small.vcf").write_text(files.VCF)
-    for name in ("small.vcf.gz", "small.vcf.bgz"):
-        (folder / name).write_bytes(compress(files.VCF.encode(), 100))
-    (folder / "small.bcf").write_bytes(_bcf())
-    return {n: str(folder / n) for n in ("small.vcf", "small.vcf.gz", "small.vcf.bgz", "small.bcf")}
-
-
-def _typed(kind, values):
-    code = {1: "b", 5: "f", 7: "s"}[kind]
-    if kind == 7:
-        return bytes([len(values) << 4 | 7]) + values.encode()
-    return bytes([len(values) << 4 | kind]) + struct.pack(f"<{len(values)}{code}", *values)
-
-
-def _bcf():
-    """The records of files.VCF as BCF: keys PASS 0, LowQual 1, DP 2, AF 3, GT 4, AD 5."""
-    lines = files.VCF.splitlines()
-    text = "\n".join(x for x in lines if x.startswith("#")) + "\n\0"
-    out = b"BCF\2\2" + struct.pack("<I", len(text)) + text.encode()
-    for line in lines:
-        if line.startswith("#"):
-            continue
-        chrom, pos, name, ref, alt, qual, filt, info, _, sample = line.split("\t")
-        alts = alt.split(",")
-        pairs = dict(x.split("=") for x in info.split(";"))
-        shared = struct.pack("<iiifII", ["chr1", "chr2"].index(chrom), int(pos) - 1, len(ref), float(qual),
-                             2 | (1 + len(alts)) << 16, 1 | 3 << 24)
-        shared += _typed(7, "" if name == "." else name) + b"".join(_typed(7, x) for x in [ref, *alts])
-        shared += _typed(1, [{"PASS": 0, "LowQual": 1}[filt]])
-        shared += _typed(1, [2]) + _typed(1, [int(pairs["DP"])])
-        shared += _typed(1, [3]) + _typed(5, [float(x) for x in pairs["AF"].split(",")])
-        gt, dp, ad = sample.split(":")
-        phased = "|" in gt
-        a, b = map(int, gt.replace("|", "/").split("/"))
-        each = _typed(1, [4]) + bytes([2 << 4 | 1, (a + 1) << 1, (b + 1) << 1 | phased])
-        each += _typed(1, [2]) + bytes([1 << 4 | 1, int(dp)])
-        values = [int(x) for x in ad.split(",")]
-        each += _typed(1, [5]) + bytes([len(values) << 4 | 1, *values])
-        out += struct.pack("<II", len(shared), len(each)) + shared + each
-    return compress(out, 150)
-
-
-@pytest.mark.parametrize("name", ["small.vcf", "small.vcf.gz", "small.vcf.bgz", "small.bcf"])
-def test_variants(spark, paths, name):
-    with VariantFile(paths[name], spark=spark) as f:
-        assert f.samples == ["S1"] and f.header.lengths == {"chr1": 1000, "chr2": 500}
+    return files.write_variants(tmp_path_factory.mktemp("vcf"))
+
+
+def value(key, values):
+    number, kind = files._META[key]
+    if kind == "Flag":
+        return True
+    found = tuple(float(np.float32(x)) if kind == "Float" else x for x in values)
+    return found[0] if number == "1" else found
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_variants(spark, paths, kind):
+    with VariantFile(paths[kind], spark=spark) as f:
+        assert f.samples == ["one", "two"] and f.header.lengths == dict(files.CONTIGS)
         got = list(f)
-        assert [(v.chrom, v.pos, v.stop, v.id) for v in got] == [
-            ("chr1", 15, 15, None), ("chr1", 250, 250, "ins1"), ("chr1", 260, 262, "del1"),
-            ("chr1", 510, 510, "multi1"), ("chr2", 20, 20, None),
-        ]
-        assert got[3].alleles == ("C", "G", "T") and got[3].info["AF"] == pytest.approx((0.3, 0.2))
-        assert got[3].samples["S1"] == {"GT": (1, 2), "DP": 30, "AD": (5, 15, 10)}
-        assert got[4].filter == ["LowQual"] and got[4].qual == 10.0 and got[0].info["DP"] == 20
+        assert len(got) == len(files.VARIANTS)
+        for v, w in zip(got, files.VARIANTS):
+            contig, pos, name, ref, alts, qual, filters, info, samples = w
+            assert (v.chrom, v.pos, v.start, v.id, v.ref, v.alts) == (files.CONTIGS[contig][0], pos, pos - 1, name, ref, tuple(alts))
+            assert v.alleles == (ref, *alts) and v.stop == files.variant_stop(w) and v.filter == filters
+            assert v.qual == (None if qual is None else float(np.float32(qual)))
+            assert v.info == {k: value(k, x) for k, x in info.items()}, (v.info, info)
+            assert len(v.samples) == 2
+            for name, (gt, dp, ad) in zip(("one", "two"), samples):
+                assert v.samples[name] == {"GT": gt[:2], "DP": dp, "AD": tuple(ad)}
         with pytest.raises(KeyError):
             got[0].samples[-1]
-        where = lambda *a: [v.pos for v in f.fetch(*a)]
-        assert where("chr1", 14, 15) == [15] and where("chr1", 0, 14) == []
-        assert where("chr1", 249, 261) == [250, 260] and where("chr1", 100, 100) == [] and where("chr2", 0, 50) == [20]
-        for bad in (("chrX",), ("chr1", -1, 5), ("chr1", 9, 5)):
+        for region in (("alpha", 0, 300), ("alpha", 900, 901), ("alpha", 500, 500), ("beta", 100, 800), ("beta",), ("gamma",), ("alpha", 1000)):
+            start, stop = (*region[1:], *[0, 3000][len(region) - 1 :])[:2]
+            want = [v[1] for v in files.VARIANTS if files.CONTIGS[v[0]][0] == region[0] and start < stop and v[1] - 1 < stop and files.variant_stop(v) > start]
+            assert [v.pos for v in f.fetch(*region)] == want, region
+        for bad in (("delta",), ("alpha", -1, 5), ("alpha", 9, 5)):
             with pytest.raises(ValueError):
                 f.fetch(*bad)
 
 
+def test_a_region_reads_a_part_of_an_indexed_file(spark, paths):
+    for path in paths[1:]:
+        whole, part = vcf.read_lines(spark, path), vcf.read_lines(spark, path, "beta", 0, 200)
+        assert 0 < part.filter("value not like '#%'").count() < whole.filter("value not like '#%'").count() / 2
+        assert vcf.read_lines(spark, path, "gamma", 0, 70).filter("value not like '#%'").count() == 0
+
+
+@pytest.mark.parametrize("block", [37, 400, 60_000])
+def test_lines_of_splits_are_those_of_the_file(spark, tmp_path, block):
+    lines = [f"line {k} " + "x" * (k * 37 % 300) for k in range(400)] + ["", "", "last"]
+    path = str(tmp_path / "lines.vcf.gz")
+    data = ("\n".join(lines) + "\n").encode()
+    packed = bgzf.compress(data[:5000], block) + bgzf.compress(data[5000:], block)  # an empty member inside
+    with open(path, "wb") as f:
+        f.write(packed)
+    bgzf.register(spark)
+    for split in (100, 777, 1 << 30):
+        df = spark.read.format("bgzf_lines").option("split", str(split)).load(path)
+        assert [r.value for r in df.toLocalIterator()] == lines
+
+
 def test_missing_values_and_open_ends(spark, tmp_path):
     path = tmp_path / "plain.vcf"
     path.write_text(
-        "##fileformat=VCFv4.2\n##contig=<ID=chr1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n"
-        "chr1\t10\ta;b\tA\t.\t.\t.\tDB;X=.\tGT:AD\t./1:3\t.:.\nchr1\t20\t.\tAC\tA\t1\tPASS\tEND=40\t.\n"
+        "##fileformat=VCFv4.2\n##contig=<ID=q>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n"
+        "q\t10\tx;y\tA\t.\t.\t.\tDB;X=.;AC=1;ZZ=007\tGT:AD\t./1:3\t.:.\nq\t20\t.\tAC\tA\t1\tPASS\tEND=40\t.\n"
     )
     f = VariantFile(str(path), spark=spark)
-    assert [v.pos for v in f.fetch("chr1")] == [10, 20] and [v.pos for v in f.fetch("chr1", 0, 15)] == [10]
+    assert [v.pos for v in f.fetch("q")] == [10, 20] and [v.pos for v in f.fetch("q", 0, 15)] == [10]
     first, second = f.fetch()
-    assert first.alts == () and first.qual is None and first.filter == [] and first.info == {"DB": True}
-    assert first.id == "a;b" and first.samples["A"] == {"GT": (None, 1), "DP": None, "AD": (3,)}
+    assert first.alts == () and first.qual is None and first.filter == []
+    assert first.info == {"DB": True, "AC": (1,), "ZZ": "007"}  # reserved keys have their types, others are texts
+    assert first.id == "x;y" and first.samples["A"] == {"GT": (None, 1), "DP": None, "AD": (3,)}
     assert second.stop == 40 and len(second.samples) == 0
     with pytest.raises(ValueError):
         VariantFile(str(tmp_path / "x.txt"), spark=spark)
 
 
+def plain_counts(contig, pos0, quality=0, mapq=0):
+    found = dict.fromkeys("ACGTN", 0)
+    for r in files.RECORDS:
+        if r[2] >= 0 and files.CONTIGS[r[2]][0] == contig and not r[1] & 0xF04 and r[4] >= mapq and r[7]:
+            for p, q in files.blocks(r):
+                if p == pos0 and r[7][q] >= quality:
+                    found[r[6][q] if r[6][q] in "ACGT" else "N"] += 1
+    return found
+
+
 def test_recount(spark, tmp_path, capsys):
-    path, where = str(tmp_path / "small.bam"), tmp_path / "sites.bed"
+    path, where = str(tmp_path / "some.bam"), tmp_path / "sites.bed"
     files.write_bam(path)
-    where.write_text("chrom\tstart\tstop\tx\n#c\n\nchr1\t50\t51\tA>C\nchr1\t100\t101\tG>T\nchr1\t50\t51\tA>C\nchr1\t53\tA\tA\nchr2\t900\tG\tA\n")
-    got = recount.recount(bam.read_bam(spark, path), sites.read_sites(spark, str(where)), "s").orderBy("site_idx").collect()
-    assert [(r.chrom, r.pos, r.A, r.DP, r.ALT_COUNT, r.AF) for r in got[:3]] == [
-        ("chr1", 51, 1, 1, 0, 0.0), ("chr1", 101, 1, 1, 0, 0.0), ("chr1", 51, 1, 1, 0, 0.0)]
-    assert (got[3].pos, got[4].DP) == (53, 0)
+    at = sorted({p for r in files.RECORDS[:12] if not r[1] & 0xF04 for p, _ in list(files.blocks(r))[:3]})
+    bed = [(p, "ACGT"[p % 4], "CGTA"[p % 4]) for p in at]
+    text = "chrom\tstart\tstop\tx\n#c\n\n" + "".join(f"alpha\t{p}\t{p + 1}\t{a}>{b}\n" for p, a, b in bed)
+    text += f"alpha\t{at[0]}\t{at[0] + 1}\tA>CC\nalpha\t{at[0] + 1}\tA\tC\nbeta\t890\tG\tA\n"
+    where.write_text(text)
+    for quality, mapq in ((0, 0), (20, 30)):
+        got = recount.recount(bam.read_bam(spark, path), sites.read_sites(spark, str(where)), "s", quality, mapq).orderBy("site_idx").collect()
+        want = [("alpha", p, a, b) for p, a, b in bed] + [("alpha", at[0], "A", "CC"), ("alpha", at[0], "A", "C"), ("beta", 889, "G", "A")]
+        assert len(got) == len(want) and [r.site_idx for r in got] == list(range(3, 3 + len(want)))
+        for r, (contig, p, a, b) in zip(got, want):
+            n = plain_counts(contig, p, quality, mapq)
+            assert (r.chrom, r.pos, r.ref, r.alt) == (contig, p + 1, a, b) and {c: r[c] for c in "ACGTN"} == n
+            alt = n[b] if len(b) == 1 else 0
+            assert r.DP == sum(n.values()) and r.ALT_COUNT == alt and r.AF == (alt / r.DP if r.DP else 0.0)
     assert cli.main(["recount", "--bam", path, "--sites", str(where), "--sample", "s"]) == 0
     lines = capsys.readouterr().out.splitlines()
-    assert len(lines) == 6 and lines[1].split("\t") == ["s", "chr1", "51", "A", "1", "0", "0", "0", "0", "1", "0", "0.000000", "C"]
+    assert len(lines) == len(want) + 1 and lines[1].split("\t")[:4] == ["s", "alpha", str(at[0] + 1), bed[0][1]]
     assert cli.main(["dump-records", "--bam", path, "--limit", "2"]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 3
-    where.write_text("chr1\t0\tA\tC\n")
+    where.write_text("alpha\t0\tA\tC\n")
     with pytest.raises(Exception, match="invalid site in line 1"):
         sites.read_sites(spark, str(where)).collect()
 
 
+def test_sites_are_numbered_across_splits(spark, tmp_path):
+    where = tmp_path / "many.tsv"
+    where.write_text("".join(f"c\t{k + 1}\tA\tC\n" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sites.read_sites(spark, str(where)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.site_idx, r.pos0) for r in got) == [(k, k) for k in range(3000)]
+
+
 def test_output_table(spark, tmp_path):
-    path = str(tmp_path / "small.bam")
+    path = str(tmp_path / "some.bam")
     files.write_bam(path)
-    table = spark.createDataFrame([(0, "chr1", 50, "A", "A")], "site_idx long, chrom string, pos0 long, ref string, alt string")
+    p = next(p for r in files.RECORDS if not r[1] & 0xF04 and r[2] == 0 and r[7] for p, _ in files.blocks(r))
+    n = plain_counts("alpha", p)
+    table = spark.createDataFrame([(0, "alpha", p, "A", "A")], "site_idx long, chrom string, pos0 long, ref string, alt string")
     recount.to_tsv(recount.recount(bam.read_bam(spark, path), table, "s").coalesce(1), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
-    assert text == "\t".join(recount.OUTPUT) + "\ns\tchr1\t51\tA\t1\t0\t0\t0\t0\t1\t1\t1.000000\tA\n"
+    depth = sum(n.values())
+    row = ["s", "alpha", p + 1, "A", *[n[c] for c in "ACGTN"], depth, n["A"], f"{n['A'] / depth:.6f}", "A"]
+    assert text == "\t".join(recount.OUTPUT) + "\n" + "\t".join(map(str, row)) + "\n"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alignments import MASK_PILEUP, allele_frequency, has_flag, passes
@@ -56,8 +56,13 @@ def recount(
     )
 
 
+def tsv_line() -> Column:
+    """The OUTPUT columns, tab-separated; AF with six decimals."""
+    return F.concat_ws("\t", *[F.format_string("%.6f", "AF") if c == "AF" else F.col(c).cast("string") for c in OUTPUT])
+
+
 def to_tsv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes the OUTPUT columns, tab-separated with a header, in site order; AF with six decimals."""
+    """Writes the lines in site order, each file with a header."""
     (
         rows.orderBy("site_idx")
         .withColumn("AF", F.format_string("%.6f", "AF"))

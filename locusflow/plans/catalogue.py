@@ -16,7 +16,8 @@ from ..functions import alignments as A
 from ..operators import recount as R
 from ..operators import regions as G
 from ..operators import stats as S
-from ..sources import vcf
+from ..sources import dump, vcf
+from ..sources.sites import parse_sites
 from . import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +166,26 @@ def recount_min_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site_idx", "chrom", "pos", "DP", "ALT_COUNT", "AF")
 
 
+def recount_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.recount(D.alignments(spark, sf_dir), parse_sites(D.site_lines(spark)), "s1", min_base_quality=10)
+    return rows.select("site_idx", R.tsv_line().alias("value"))
+
+
+def sites_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_sites(D.site_lines(spark))
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.json_lines(D.tagged(spark, sf_dir)).select("value")
+
+
+def tag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.tagged(spark, sf_dir).select(
+        "query_name", A.has_tag("MD").alias("has_md"), A.has_tag("XX").alias("has_xx"), A.get_tag("NM")["i"].alias("nm"),
+        dump.tag_text(A.get_tag("RG")).alias("rg"), dump.tag_text(A.get_tag("XS")).alias("xs"), dump.tag_text(A.get_tag("MD")).alias("md"),
+    )
+
+
 def genomic_order_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.genomic_order(D.alignments(spark, sf_dir), "query_name").limit(500)
     return rows.select(
@@ -245,6 +266,10 @@ QUERIES: dict[str, Query] = {
     "region_any_overlap": region_any_overlap,
     "recount_sites": recount_sites,
     "recount_min_alt": recount_min_alt,
+    "recount_lines": recount_lines,
+    "sites_text": sites_text,
+    "record_lines": record_lines,
+    "tag_values": tag_values,
     "genomic_order_dump": genomic_order_dump,
     "read_batches": read_batches,
     "variant_fetch": variant_fetch,
@@ -332,6 +357,14 @@ ORACLE_SQL: dict[str, str] = {
     "region_any_overlap": f"with {_READS}, r as ({D.REGIONS_SQL}) {_NAMES} from a where exists (select 1 from r where {_HITS})",
     "recount_sites": _sites(0, 10) + " select site_idx, 's1' as sample, chrom, pos0 + 1 as pos, ref, \"A\", \"C\", \"G\", \"T\", \"N\", \"DP\", \"ALT_COUNT\", alt from f",
     "recount_min_alt": _sites(5, 0) + ' select site_idx, chrom, pos0 + 1 as pos, "DP", "ALT_COUNT", case when "DP" > 0 then cast("ALT_COUNT" as double) / "DP" else 0.0 end as "AF" from f where "ALT_COUNT" >= 2',
+    "recount_lines": _sites(0, 10) + """ select 2 * site_idx + 2 as site_idx, concat_ws(chr(9), 's1', chrom, pos0 + 1, ref, "A", "C", "G", "T", "N", "DP", "ALT_COUNT",
+      printf('%.6f', case when "DP" > 0 then cast("ALT_COUNT" as double) / "DP" else 0.0 end), alt) as value from f""",
+    "sites_text": f"select cast(2 * site_idx + 2 as bigint) as site_idx, chrom, pos0, ref, alt from ({D.SITES_SQL}) s",
+    "record_lines": f"""with {_READS} select concat('{{"query_name":"', read_id, '","flag":', flag, ',"reference_id":', reference_id, ',"reference_name":"', reference_name,
+      '","reference_start":', reference_start, ',"mapping_quality":', mapping_quality, ',"cigar":', case when cigar is null then 'null' else concat('"', cigar, '"') end,
+      ',"query_sequence":"', query_sequence, '","next_reference_id":-1,"next_reference_start":-1,"template_length":', k - 3,
+      ',"tags":{{"NM":"', mapping_quality, '","RG":"lane', k, '","XS":"', k, ',', flag, '"}}}}') as value from a""",
+    "tag_values": f"with {_READS} {_NAMES}, false as has_md, true as has_xx, cast(mapping_quality as bigint) as nm, concat('lane', cast(k as string)) as rg, concat(cast(k as string), ',', cast(flag as string)) as xs, cast(null as varchar) as md from a",
     "genomic_order_dump": f"""with {_READS} {_NAMES}, concat('{{"query_name":"', read_id, '","flag":', cast(flag as string), ',"reference_name":"', reference_name, '","reference_start":', cast(reference_start as string), ',"mapping_quality":', cast(mapping_quality as string), '}}') as line
       from a order by reference_id, reference_start, read_id limit 500""",
     "read_batches": f"with {_READS} {_NAMES}, (row_number() over (order by reference_id, reference_start, read_id) - 1) // 256 as batch from a",

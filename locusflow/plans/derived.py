@@ -90,3 +90,34 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
           case when kind = 1 then 'LowQual;q10' when kind = 4 then '.' else 'PASS' end,
           info, 'GT:DP:AD', sample) as value from ({VARIANTS_SQL}) v"""
     )
+
+
+def site_lines(spark: SparkSession) -> DataFrame:
+    """The derived sites as lines of text (columns line, value): a header, comments, blank lines, and sites of both
+    kinds, each behind a line that is none."""
+    every = sites(spark).selectExpr(
+        "2 * site_idx + 2 as line",
+        "case when site_idx % 2 = 0 then concat_ws('\t', chrom, cast(pos0 as string), cast(pos0 + 1 as string), concat(ref, '>', alt)) "
+        "else concat_ws('\t', chrom, cast(pos0 + 1 as string), ref, alt) end as value",
+    )
+    other = spark.range(3 * CONTIG_LENGTH // 50).selectExpr("2 * id + 1 as line", "case when id % 3 = 0 then '# x' else '  ' end as value")
+    head = spark.range(1).selectExpr("0L as line", "'chrom\tpos\tref\talt' as value")
+    return every.unionByName(other).unionByName(head)
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived reads with a mate and tags, as a file has them."""
+    value = "named_struct('type', {0}, 'i', cast({1} as bigint), 'f', cast(null as float), 's', {2}, 'ia', {3}, 'fa', cast(null as array<float>))"
+    none = "cast(null as string)", "cast(null as array<bigint>)"
+    tags = ", ".join(
+        (
+            "'NM', " + value.format("'C'", "mapping_quality", *none),
+            "'RG', " + value.format("'Z'", "null", "concat('lane', cast(k as string))", none[1]),
+            "'XX', " + value.format("'i'", "1", *none),
+            "'XS', " + value.format("'Bc'", "null", none[0], "array(cast(k as bigint), cast(flag as bigint))"),
+        )
+    )
+    return alignments(spark, sf_dir).selectExpr(
+        "*", "-1 as next_reference_id", "-1L as next_reference_start", "k - 3 as template_length", f"map({tags}) as tags",
+        "reference_start as file_offset",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,17 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir. A temporary one only where that is unset and the driver's machine is the
+    only one (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="locusflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/locusflow-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes every intermediate table of this process; call it once its results are saved."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended: the folder's owner cleans it
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once and read from there by whatever follows."""
+    """The rows of df, written once to the shared folder and read from there: later jobs and lost
+    executors start from the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/locusflow-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

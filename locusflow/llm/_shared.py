@@ -3,75 +3,22 @@ intermediate tables, and broadcasts behind a measured size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .. import session
+from ..storage import clean, new_path, shared_dir, written
+
+__all__ = ["clean", "new_path", "partitions", "shared_dir", "small", "tune", "written"]
 
-#: Rows and bytes of one Arrow batch sent to Python: long texts stay within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows of one Arrow batch sent to Python: long texts stay within a worker's memory.
+BATCH_ROWS = 2000
 #: Largest number of fixed-width rows that is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Sends the package to the executors and lowers the Arrow batch limits to the bounds above (never
-    raises them)."""
-    ship(spark)
-    for key, limit in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
-    ):
-        try:
-            now = int(str(spark.conf.get(key)).rstrip("bB"))
-        except ValueError:
-            now = 0
-        if now <= 0 or now > limit:
-            spark.conf.set(key, str(limit))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="locusflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/locusflow-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def clean() -> None:
-    """Deletes every intermediate table of this process; call it once its results are saved."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: the folder's owner cleans it
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there: later jobs and lost
-    executors start from the files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    session.tune(spark, BATCH_ROWS)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

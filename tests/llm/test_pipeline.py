@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -60,6 +61,36 @@ def test_mixing_stage(stages):
     assert all(times[k] == max(1, n) for k, n in want.items()) and set(times) == set(want)
 
 
+def odd(spark):
+    """Null columns, empty and very long texts, repeated and equal rows, ids without a value."""
+    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None), (None, None, None, None, None),
+            (None, "", "en", "t", 0), (None, "token=abcdefgh z", None, "t", 16), (3, "word " * 300_000, "de", None, 1), (4, "q" * 1_200_000, "fr", "s", 1),
+            (5, "   ", "fr", "u", 3), (6, "A b  c d\ne f", "en", "v", 12)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("spans", F.lit(1)).withColumn("_row", F.lit("x"))
+
+
+def test_stages_of_odd_rows(spark):
+    docs = odd(spark)
+    kept = cp.toxicity(spark, docs, SF)
+    assert kept.count() == 10 and tuple(kept.columns) == cp.COLUMNS
+    left = cp.near_duplicates(spark, docs, SF)
+    ids = Counter(r.doc_id for r in left.collect())
+    assert ids == Counter({1: 1, 2: 1, None: 3, 3: 1, 4: 1, 5: 1}) and tuple(left.columns) == cp.COLUMNS
+    clean = cp.secrets(spark, docs, SF).collect()
+    assert len(clean) == 10 and "[SECRET] z" in {r.text for r in clean} and all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean)
+    mixed = cp.mixing(spark, docs, SF).collect()
+    times = Counter((r.doc_id, (r.text or "")[:20], r.source) for r in mixed)
+    want = Counter((r.doc_id, (r.text or "")[:20], r.source) for r in docs.collect())
+    assert times.keys() == want.keys() and all(n <= times[k] <= 2 * n for k, n in want.items())
+    assert cp.bpe_encoding(spark, docs, SF).count() == 10
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = odd(spark).limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_encoding_stage(stages):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in stages[4].collect()}

@@ -151,6 +151,38 @@ def test_token_counts_of_long_repeated_and_clashing_rows(spark):
     assert sorted(tuple(r) for r in found.collect()) == want
 
 
+def odd_table(spark):
+    """Null and repeated ids, repeated rows, very long texts and columns whose names clash."""
+    texts = [*ODD, "same", "same", None, "ab cd. " * 250_000, "y" * 3000]
+    ids = [None if k % 9 == 4 else k % 30 for k in range(len(texts))]
+    rows = [(i, t, f"x{k}", k, "s") for k, (i, t) in enumerate(zip(ids, texts))] * 2
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int, _range string"), [(i, t) for i, t, *_ in rows]
+
+
+def test_encoding_of_odd_rows(spark):
+    docs, rows = odd_table(spark)
+    library = Tokenizer.from_file(WORD)
+    got = bpe.with_tokens(docs, WORD, keep=["doc_id", "n_tokens"]).collect()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
+    assert sorted(map(str, ((r.doc_id, bytes(r.ids), r.decoded) for r in got))) == sorted(map(str, want))
+
+
+def test_token_files_of_odd_rows(spark):
+    docs, rows = odd_table(spark)
+    library = Tokenizer.from_file(BYTE)
+    got = token_files.read_documents(token_files.write_token_files(docs, token_files.byte_encoder(BYTE), 2)).orderBy("start").collect()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in got))) == sorted(map(str, want))
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
 def test_batches_cover_all():
     texts = ["a" * n for n in (5, 0, 100, 3, 3)] + [None]
     assert [x for a, b in batches(texts, 8) for x in texts[a:b]] == texts

@@ -4,7 +4,7 @@ The leaves of a word's tree are its adjacent pairs, valued rank first and positi
 node has the least of its two children. The root is the leftmost lowest-rank pair. Merging it changes
 three leaves (the pair, the one it swallows, the one before it), each a point update of logarithmic
 depth; a word is done when no leaf has a rank. Words are merged side by side, those of similar length
-in one array.
+in one array; a word of LONG bytes or more has a tree of its own, in lists.
 
 Text is normalised and cut into words as the vocabulary's file says: NFC, lower case, white space
 dropped, contractions, runs of letters, single digits, runs of others; a word's last byte carries the
@@ -29,6 +29,7 @@ from ._words import batches
 _NONE = np.int64(1 << 62)
 _SLOTS = 20
 _STEP = 1 << 16  # symbols merged side by side
+LONG = 1 << 12
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[^\\S\x1c-\x1f]+")
@@ -71,6 +72,7 @@ class Bpe:
                 self.keys[slot], self.ranks[slot] = key, rank
             self.probes = max(self.probes, n)
         self._library = None
+        self._ranks: dict[int, int] = {}
         self._text = text
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memo = Memo(self._chunks)
@@ -98,6 +100,10 @@ class Bpe:
         sizes = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for size in np.unique(sizes).tolist():
             of = np.flatnonzero(sizes == size)
+            if size >= LONG:
+                for i in of.tolist():
+                    out[i] = self._merge_long(words[i], size)
+                continue
             step = max(1, _STEP // size)
             for k in range(0, len(of), step):
                 part = of[k : k + step]
@@ -157,6 +163,51 @@ class Bpe:
             out[i] = packed[begin:end]
             begin = end
 
+    def _merge_long(self, word: bytes, size: int) -> bytes:
+        if not self._ranks:
+            have = self.keys >= 0
+            self._ranks = dict(zip(self.keys[have].tolist(), self.ranks[have].tolist()))
+        ranks, into, n, none = self._ranks, self.into.tolist(), len(word), int(_NONE)
+        symbols = self.inner[np.frombuffer(word, np.uint8)]
+        symbols[-1] = self.last[word[-1]]
+        made = np.full(2 * size, _NONE)
+        made[size : size + n - 1] = self._leaf(symbols[:-1], symbols[1:], np.arange(n - 1), size)
+        level = size
+        while level > 1:
+            made[level // 2 : level] = np.minimum(made[level : 2 * level : 2], made[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, ids = made.tolist(), symbols.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+
+        def put(at: int, value: int) -> None:
+            node = size + at
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                a, b = tree[2 * node], tree[2 * node + 1]
+                value = a if a < b else b
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        def leaf(a: int, b: int) -> int:
+            rank = ranks.get(ids[a] << 32 | ids[b], -1)
+            return rank * size + a if rank >= 0 else none
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], size)
+            gone = after[at]
+            nxt = after[gone]
+            ids[at] = into[rank]
+            ids[gone] = -1
+            after[at] = nxt
+            before[nxt] = at
+            put(gone, none)
+            put(at, leaf(at, nxt) if nxt < n else none)
+            if before[at] >= 0:
+                put(before[at], leaf(before[at], at))
+        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+
     def _library_words(self, chunk: str) -> list[str]:
         """Words of a chunk outside Latin letters: the library's own normaliser and splitter decide."""
         if self._library is None:

@@ -38,7 +38,8 @@ from ._shared import small, tune, written
 from ._words import batches
 
 SAMPLE, ROUNDS, ALPHA = 1500, 4, 0.5
-LONG = 48  # letters from which a word's sums are taken by their logarithms
+LONG = 48  # letters from which a word's expected counts are taken by logarithms
+LONGER = 512  # letters from which a word is scored by itself
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -88,6 +89,30 @@ class Lattice:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * _FACTOR) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
+    def edges_of(self, word: str) -> list[list[tuple[int, int]]]:
+        """Length and id of the pieces at each start of one word, all starts side by side."""
+        codes = _matrix([word])[0][0]
+        h = np.zeros(len(codes), np.uint64)
+        out: list[list[tuple[int, int]]] = [[] for _ in codes]
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = self._add(h[: len(codes) - size + 1], codes[size - 1 :])
+            found = self._find(h)
+            if size == 1:
+                found = np.where(found < 0, self.n, found)
+            for start in np.flatnonzero(found >= 0).tolist():
+                out[start].append((size, int(found[start])))
+        return out
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for none."""
+        slot = self._slot(h)
+        found = np.full(len(h), -1, np.int32)
+        for _ in range(self.probes):
+            same = self.keys[slot] == h
+            found[same] = self.ids[slot[same]]
+            slot = slot + 1 & (1 << _SLOTS) - 1
+        return found
+
     def edges(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """codes: (words, letters), padded. For each start and length of a piece: the words that have a
         piece there and its ids. Starts ascend."""
@@ -102,12 +127,7 @@ class Lattice:
                 if not len(inside):
                     break
                 h = self._add(h, codes[inside, start + size - 1])
-                slot = self._slot(h)
-                found = np.full(len(h), -1, np.int32)
-                for _ in range(self.probes):
-                    same = self.keys[slot] == h
-                    found[same] = self.ids[slot[same]]
-                    slot = slot + 1 & (1 << _SLOTS) - 1
+                found = self._find(h)
                 if size == 1:
                     found = np.where(found < 0, self.n, found)
                 have = found >= 0
@@ -160,9 +180,16 @@ class Model:
         """Log probability of each (marked) word in each language, summed over all segmentations."""
         lattice = self._lattice()
         out = np.zeros((len(words), len(self.languages)))
-        for part in _groups(words):
-            codes, lengths = _matrix([words[i] for i in part])
-            out[part] = _forward(lattice, codes, lengths, self.probs)[1]
+        short = []
+        for i, word in enumerate(words):
+            if len(word) >= LONGER:
+                out[i] = _forward_long(lattice, word, self.probs)
+            else:
+                short.append(i)
+        for part in _groups([words[i] for i in short]):
+            at = np.array(short)[part]
+            codes, lengths = _matrix([words[i] for i in at])
+            out[at] = _forward(lattice, codes, lengths, self.probs)[1]
         return out
 
     def score_chunks(self, chunks: list[str]) -> list[np.ndarray | None]:
@@ -212,6 +239,23 @@ def _forward(lattice: Lattice, codes: np.ndarray, lengths: np.ndarray, probs: np
     return alpha, total
 
 
+def _forward_long(lattice: Lattice, word: str, probs: np.ndarray) -> np.ndarray:
+    """The log totals of one word, rescaled as its positions are completed."""
+    edges = lattice.edges_of(word)
+    alpha = np.zeros((len(word) + 1, probs.shape[1]))
+    alpha[0] = 1
+    scale = np.zeros(probs.shape[1])
+    for start, pieces in enumerate(edges):
+        row = alpha[start]
+        if start % 16 == 0 and start:
+            by = np.maximum(row, 1e-300)
+            alpha[start : start + lattice.longest] /= by
+            scale += np.log(by)
+        for size, i in pieces:
+            alpha[start + size] += row * probs[i]
+    return np.log(np.maximum(alpha[-1], 1e-300)) + scale
+
+
 def _expected(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts by forward-backward, for one language (probs: one column)."""
     out = np.zeros((lattice.n + 1, 1))
@@ -241,8 +285,7 @@ def _expected(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.
 
 def _expected_long(lattice: Lattice, word: str, count: float, probs: np.ndarray, out: np.ndarray) -> None:
     """The same for one word, by logarithms: no product is too small."""
-    codes, lengths = _matrix([word])
-    edges = [(start, size, int(ids[0])) for start, size, _, ids in lattice.edges(codes, lengths)]
+    edges = [(start, size, i) for start, pieces in enumerate(lattice.edges_of(word)) for size, i in pieces]
     log = np.log(np.maximum(probs[[i for _, _, i in edges], 0], 1e-300)).tolist()
     alpha, beta = [-np.inf] * (len(word) + 1), [-np.inf] * (len(word) + 1)
     alpha[0] = beta[-1] = 0.0

@@ -397,7 +397,7 @@ def test_toxicity_without_labels(spark):
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
     probs = np.random.default_rng(1).random((len(pieces) + 1, 2))
     model = language_id.Model(pieces, ["x", "y"], probs / probs.sum(0))
@@ -414,8 +414,15 @@ def test_forward_sums_all_segmentations():
         return total
 
     words = ["▁ab", "▁abba", "▁zab", "▁aaaaabab", "▁"]
-    for word, row in zip(words, model.score_words(words)):
-        assert row == pytest.approx([math.log(brute(word, k)) for k in range(2)])
+    for longer in (512, 1):
+        monkeypatch.setattr(language_id, "LONGER", longer)
+        for word, row in zip(words, model.score_words(words)):
+            assert row == pytest.approx([math.log(brute(word, k)) for k in range(2)])
+    long = "▁" + "abazab" * 200
+    monkeypatch.setattr(language_id, "LONGER", 512)
+    got = model.score_words([long, "▁ab"])
+    monkeypatch.setattr(language_id, "LONGER", 10_000)
+    assert got == pytest.approx(model.score_words([long, "▁ab"]))
 
 
 def test_expected_counts_sum_over_all_segmentations(monkeypatch):

@@ -48,6 +48,18 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    library, own = Tokenizer.from_file(WORD), bpe.Bpe(WORD)
+    rng = random.Random(12)
+    texts = ["q" * 100_000, "".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "x" * 4097, "ab" * 5000]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "LONG", 2)
+    words = [w for t in ODD + noise(200) for w in (t or "").split()]
+    for text, ids in zip(words, bpe.Bpe(WORD).encode(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_segment_tree_takes_the_leftmost_lowest_rank():
     own = bpe.Bpe(WORD)
     ranks = {}

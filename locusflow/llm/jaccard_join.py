@@ -8,7 +8,8 @@
    with others belongs to one *block*: a hash share of those that name the same largest bucket, of about
    BLOCK members or HASHES shingles, whichever is fewer. Two blocks that meet in any bucket become one block
    pair, once.
-3. Verification: a block pair's shingle sets are compared in full, by one sparse product. Only counts of
+3. Verification: block pairs are dealt to tasks by their sizes, the largest first, in turn. The shingle sets of a
+   pair are compared in full, by one sparse product. Only counts of
    links and a local root leave the task, never pairs: a group of m near copies costs (m / BLOCK)^2
    tasks' worth of comparisons, spread over the cluster, for which each text's set is sent m / BLOCK
    times, and gives m rows a block.
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 from ._shared import partitions, small, tune, written
 from ._words import batches, mix, shingle_hashes
 from .components import components
+from .ordering import running
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.9999, 5
 CHUNK = 64  # blocks of a set that another block of it meets at a time
-BLOCK, HASHES = 512, 1 << 19  # a block's texts, and the shingle hashes in them (8 bytes each), on average
+BLOCK, HASHES = 128, 1 << 17  # a block's texts, and the shingle hashes in them (8 bytes each), on average
 SKETCH = "doc_id long, mark long, k1 long, k2 long, shingles long, bands array<long>"
 _U = np.uint64
 
@@ -211,7 +213,7 @@ def _sets(documents: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 
 def _verify(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("rep")
         sides = group["side"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
@@ -250,6 +252,28 @@ def _verify(threshold: float):
         out = pd.DataFrame({"rep": ids, "links": links, "root": np.sort(ids)[root]})
         return out[linked.any(1)]
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's rows are sorted by pair: each pair is compared when the next one begins."""
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def compared() -> pa.RecordBatch:
+            found = compare(pa.Table.from_batches(held).to_pandas())
+            return pa.record_batch([pa.array(found[c].to_numpy(np.int64)) for c in found], names=list(found))
+
+        for part in parts:
+            pairs = part.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(pairs)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin < end:
+                    if held and pairs[begin] != now:
+                        yield compared()
+                        held = []
+                    now = pairs[begin]
+                    held.append(part.slice(begin, end - begin))
+        if held:
+            yield compared()
+
     return run
 
 
@@ -289,27 +313,22 @@ def _texts(
     own, pairs = _blocks(reps)
     chosen = written(own.join(reps.select("rep", "copies", "k1", "row.*"), "rep"), "candidates")
     sets = written(_sets(documents, chosen, words), "sets")
-    seats = (
-        pairs.select(
-            F.xxhash64("left", "right").alias("pair"),
-            F.explode(
-                F.when(
-                    F.col("left") == F.col("right"),
-                    F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("block"))),
-                ).otherwise(
-                    F.array(
-                        F.struct(F.lit(0).alias("side"), F.col("left").alias("block")),
-                        F.struct(F.lit(1).alias("side"), F.col("right").alias("block")),
-                    )
-                )
-            ).alias("s"),
-        ).select("pair", "s.*")
+    n = partitions(documents.sparkSession)
+    size = written(own.groupBy("block").count(), "block-sizes")
+    left, right = (size.select(F.col("block").alias(c), F.col("count").alias(f"n_{c}")) for c in ("left", "right"))
+    sized = pairs.join(left, "left").join(right, "right")
+    placed = running(sized, [-(F.col("n_left") + F.col("n_right")), F.col("left"), F.col("right")], pair=F.lit(1).cast("long"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("left").alias("block")), F.struct(F.lit(1).alias("side"), F.col("right").alias("block"))
     )
+    sides = F.when(F.col("left") == F.col("right"), F.slice(sides, 1, 1)).otherwise(sides)
+    seats = placed.select("pair", F.pmod("pair", F.lit(n)).cast("int").alias("task"), F.inline(sides))
     found = written(
         sets.join(seats, "block")
-        .select("pair", "side", "rep", "copies", "hashes")
-        .groupBy("pair")
-        .applyInPandas(_verify(threshold), "rep long, links long, root long"),
+        .select("task", "pair", "side", "rep", "copies", "hashes")
+        .repartitionById(n, F.col("task"))
+        .sortWithinPartitions("pair")
+        .mapInArrow(_verify(threshold), "rep long, links long, root long"),
         "links",
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -2,6 +2,12 @@
 
 Every stage works on all that the one before it kept; its rows are written as Parquet and read again.
 The stages but the last return the columns of documents.
+
+Defined results, in every stage: null columns are kept as they are; null and empty texts are not toxic, are no
+copies of each other unless their ids are equal, hold no secrets, stay in the mix once and have no ids. Texts are
+worked on whole, whatever their length. Of equal rows the second stage keeps one; the others treat them alike. Rows
+without a doc_id are documents of their own. An empty table gives an empty table. Columns that documents do not have
+are dropped first, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -17,6 +17,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ONE = re.compile(r" ?\S+")
 
 
+#: Bytes of a generation of an encoder's pieces: many of them are rare, and encoding them again is most of the work.
+HELD = 64 << 20
+
+
 class Memo:
     """Values of pieces, computed in groups. Two generations of about ``most`` bytes each are kept: what was
     used lately stays, memory is bounded. (The pieces of one call are all held until the next.)"""
@@ -40,12 +44,15 @@ class Memo:
             if self.size > self.most:
                 self.old, self.new, self.size = self.new, {}, 0
                 missing = pieces
-            found = {x: self.old[x] for x in missing & self.old.keys()}
-            todo = list(missing - found.keys())
-            found.update(zip(todo, self.compute(todo), strict=True))
-            self.new.update(found)
-            weigh = self.weigh
-            self.size += sum([self.ENTRY + len(x) + weigh(v) for x, v in found.items()])
+            old = self.old
+            known = missing & old.keys() if old else ()
+            todo = list(missing.difference(known))
+            values = list(self.compute(todo))
+            self.new.update(zip(todo, values, strict=True))
+            held = [old[x] for x in known]
+            self.new.update(zip(known, held))
+            self.size += self.ENTRY * len(missing) + sum(map(len, missing))
+            self.size += sum(map(self.weigh, values)) + sum(map(self.weigh, held))
         return self.new
 
 
@@ -53,7 +60,7 @@ class TextEncoder:
     """compute: gives the encoded bytes of each of a list of strings."""
 
     def __init__(self, compute: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.inner = Memo(lambda pieces: compute([" " + x for x in pieces]))
+        self.inner = Memo(lambda pieces: compute([" " + x for x in pieces]), HELD)
         self.first = Memo(compute)
         self.newline = next(iter(compute(["\n"])))
 
@@ -67,12 +74,9 @@ class TextEncoder:
                 first.add(line[0])
                 inner.update(line[1:])
             lines.append(parts)
-        heads, rest = self.first.have(first), self.inner.have(inner)
+        heads, rest = self.first.have(first), self.inner.have(inner).__getitem__
         return [
-            self.newline.join(
-                [b"".join([heads[line[0]], *[rest[x] for x in line[1:]]]) for line in parts]
-            )
-            for parts in lines
+            self.newline.join([b"".join([heads[line[0]], *map(rest, line[1:])]) for line in parts]) for parts in lines
         ]
 
     @staticmethod
@@ -165,7 +169,7 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
             out.append(b"".join([packed[t.id] for t in model.tokenize(x)]))
         return out
 
-    words = Memo(words_of)
+    words = Memo(words_of, HELD)
 
     def compute(pieces: list[str]) -> list[bytes]:
         out = [b""] * len(pieces)

@@ -75,7 +75,7 @@ class Bpe:
         self._ranks: dict[int, int] = {}
         self._text = text
         self._split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.memo = Memo(self._chunks)
+        self.memo = Memo(self._chunks, 24 << 20)
         self.words = Memo(self.merge)
 
     @staticmethod

@@ -37,8 +37,11 @@ SEEDS = 2048
 _RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
-def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and q: floor(scale * x) of each component as array<long>; rows that take no part are gone."""
+def quantised(
+    vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256, **more: Column
+) -> DataFrame:
+    """vec_id and q: floor(scale * x) of each component as array<long>; rows that take no part are gone. ``more``:
+    further columns of the result."""
     x = F.col(vector).cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
 
@@ -48,7 +51,7 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
         )
 
     return vectors.filter(F.col(vec_id).isNotNull() & x.isNotNull() & ~bad).select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("q")
+        F.col(vec_id).cast("long").alias("vec_id"), *[c.alias(n) for n, c in more.items()], F.transform(x, whole).alias("q")
     )
 
 

@@ -185,6 +185,40 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+    from .maxscore import quantised
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = quantised(table(spark, sf_dir, "embeddings"), label=label)
+    return mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+OP11_SQL = """
+with v as materialized (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as materialized (
+  select a.row as anchor, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from v a join v b on a.row <> b.row and len(a.q) = len(b.q)
+  where a.vec_id % 100 = 0
+), p as (
+  select anchor, anchor_id, vec_id as positive_id, score as positive_score, cast(row_number() over (partition by anchor order by score desc, vec_id) as integer) as positive_rank
+  from s where same
+), n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    cast(row_number() over (partition by p.anchor, positive_rank order by s.score desc, s.vec_id) as integer) as rank
+  from p join s on p.anchor = s.anchor and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+  where positive_rank <= 5
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score, positive_rank from n where rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -196,9 +230,11 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op5_maxscore": OP5_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }

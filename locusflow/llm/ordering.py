@@ -94,14 +94,15 @@ def in_ranges(df: DataFrame, name: str, text: str, guests: bool = False) -> Data
     ).drop("_key", "_mark")
 
 
-def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
-    """df with the sum of each of the given columns over all rows before it, by ascending ``order``.
+def running(df: DataFrame, order: list[Column], drop: tuple[str, ...] = (), **sums: Column) -> DataFrame:
+    """df with the sum of each of the given columns over all rows before it, by ascending ``order``. Columns to
+    drop go once the rows are sorted.
 
     Rows are range-sorted and summed in their partitions; sums of whole partitions, a row each, come on top.
     """
     spark = df.sparkSession
     keys = {f"_k{k}": c for k, c in enumerate(order)}
-    dealt = df.withColumns(keys).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys)
+    dealt = df.withColumns(keys).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys, *drop)
     placed = written(
         dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "sorted"
     )

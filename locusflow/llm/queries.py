@@ -219,6 +219,110 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judged
+
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op12_sql() -> str:
+    from .url_filters import DEPTH, DIGITS, KINDS, LIMIT, LONGEST, LOWER, SHARE, SLACK, SUPPORT, UPPER
+
+    def kind(s: str) -> str:
+        return (f"case when {s} is null then 0 when translate({s}, '{DIGITS}', '') = '' then 1 when translate({s}, '{UPPER}{LOWER}-_', '') = '' then 2 "
+                f"when length(translate({s}, '{DIGITS}', '')) < length({s}) then 3 else 4 end")
+
+    cases = " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{verdict}:{h}/{p}'"
+        for verdict, rule in sorted(URL_RULES, key=lambda r: (-len(r[1]), -r[1].find("/")))
+        for h, _, p in [rule.partition("/")]
+    )
+    sums = "sum(n) as n, sum(blocked) as blocked, sum(labelled) as labelled"
+    steps = [
+        f"""r as (select *, case {cases} end as fit from (select page_id,
+          case when instr(url, '://') > 0 then translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*', 0), '{UPPER}', '{LOWER}') else '' end as host,
+          case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from pages))""",
+        "s as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as s from r)",
+        "t0 as (select *, '' as template, 1 as n, case when fit like 'block:%' then 1 else 0 end as blocked, case when fit is null then 0 else 1 end as labelled, "
+        + ", ".join(f"case when length(s[{d}]) > {LONGEST} then '*' else s[{d}] end as s{d}" for d in range(1, DEPTH + 1))
+        + f", {kind(f's[{DEPTH + 1}]')} as more from s)",
+    ]
+    for d in range(1, DEPTH + 1):
+        follow = kind(f"s{d + 1}") if d < DEPTH else "more"
+        kinds = ", ".join(f"sum(case when {follow} = {k} then n else 0 end) as k{k}" for k in range(KINDS))
+        chi = " + ".join(
+            f"case when w{k} > 0 then (k{k}::double * total - n::double * w{k}) * (k{k}::double * total - n::double * w{k}) / (n::double * w{k} * total) else 0.0 end"
+            for k in range(KINDS)
+        )
+        pooled = ", ".join(f"sum(k{k}) over pool::double as w{k}" for k in range(KINDS))
+        steps += [
+            f"g{d} as (select host, template, s{d} as segment, {sums}, {kinds} from t{d - 1} where s{d} is not null group by all)",
+            f"h{d} as (select *, sum(n) over (partition by host, template) as urls from g{d})",
+            f"""l{d} as (select *, case when 5 * (blocked + 1) >= 4 * (labelled + 2) then 'block' when 5 * (labelled - blocked + 1) >= 4 * (labelled + 2) then 'allow'
+              when labelled < {SUPPORT} then 'open' else 'mixed' end as lean from h{d} where n >= {SUPPORT} and segment <> '*' and n * {SHARE} >= urls)""",
+            f"""m{d} as (select *, case when lean = 'open' and a + b = 1 then case when a = 1 then 'allow' else 'block' end else lean end as side from (
+              select *, max(case when lean = 'allow' then 1 else 0 end) over (partition by host, template) as a, max(case when lean = 'block' then 1 else 0 end) over (partition by host, template) as b from l{d}))""",
+            f"p{d} as (select *, sum(n) over pool::double as total, {pooled} from m{d} window pool as (partition by host, template, side))",
+            f"c{d} as (select *, {chi} <= greatest({LIMIT}, n::double * {SLACK}) as alike from p{d})",
+            f"n{d} as (select host, template, segment, case when alike and count(case when alike then 1 end) over (partition by host, template, side) > 1 then '+' || side else segment end as name from c{d})",
+            f"""t{d} as (select t.* exclude (template), t.template || case when s{d} is null then '' else '/' || coalesce(name, '*') end as template
+              from t{d - 1} t left join n{d} n on t.host = n.host and t.template = n.template and s{d} = segment)""",
+        ]
+    return "with " + ", ".join(steps) + f""", z as (select *, template || case when more > 0 then '/**' else '' end as whole from t{DEPTH}),
+      y as (select host, whole, {sums} from z group by all)
+      select page_id, z.host, path, split_part(fit, ':', 2) as rule, coalesce(split_part(fit, ':', 1), case when 5 * (y.blocked + 1) >= 4 * (y.labelled + 2) then 'block' else 'allow' end) as verdict,
+        z.whole as template, cast(y.n as bigint) as urls, cast(y.labelled as bigint) as labelled, cast(y.blocked as bigint) as blocked
+      from z join y on z.host = y.host and z.whole = y.whole"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+with t as materialized (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+), crc as (
+  select conv_id, xor(list_reduce(range(8 * length(name)), lambda s, i: xor(
+      (case when i % 8 = 0 then xor(s, ord(name[cast(i // 8 + 1 as integer)])) else s end) >> 1,
+      3988292384 * ((case when i % 8 = 0 then xor(s, ord(name[cast(i // 8 + 1 as integer)])) else s end) & 1)), 4294967295::bigint), 4294967295::bigint) % 6 as h
+  from (select distinct conv_id, cast(conv_id as varchar) as name from t)
+), r as (
+  select c.conv_id, b.k, b.role, b.text from crc c join t b on b.conv_id = c.conv_id - c.conv_id % 100 and b.k <= h
+  union all select c.conv_id, t.k, role, text from crc c join t using (conv_id) where t.k > h
+), o as (
+  select *, row_number() over (partition by conv_id order by k) as pos from r
+), p as materialized (
+  select conv_id, pos, length(text) as chars, list(length(role) || ':' || role || length(text) || ':' || text) over (partition by conv_id order by pos) as path from o
+  union all select conv_id, 0, 0, [] from crc
+), q as materialized (
+  select conv_id, pos, chars, sha256(array_to_string(path, ',')) as key, sha256(array_to_string(path[:-2], ',')) as above from p
+), n as materialized (
+  select pos, key, any_value(above) as above, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs from q group by pos, key
+), c as materialized (
+  select n.*, (select count(*) from n m where m.pos = n.pos + 1 and m.above = n.key) as n_children,
+    (select conv_id from n m where m.pos = n.pos - 1 and m.key = n.above) as parent_conv_id from n
+), s as (
+  select q.pos, q.key, count(case when x.n_children = 0 then 1 end) as n_leaves, sum((x.n_convs - 1) * x.chars) as saved_tokens
+  from c x join q on q.conv_id = x.conv_id and q.pos <= x.pos group by q.pos, q.key
+), e as (
+  select pos, key, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ends
+  from q where (conv_id, pos) in (select (conv_id, max(pos)) from q group by conv_id) group by pos, key
+)
+select c.conv_id, cast(c.pos as bigint) as depth, parent_conv_id, n_convs, n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens,
+  sha256(coalesce(ends, '')) as ends_sha256
+from c join s using (pos, key) left join e using (pos, key)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -231,10 +335,14 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filters": op12_url_filters,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op5_maxscore": OP5_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_url_filters": _op12_sql(),
+    "op13_conversation_trie": OP13_SQL,
 }

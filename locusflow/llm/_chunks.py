@@ -94,6 +94,30 @@ class TextEncoder:
         return [line.split(" ") for line in text.split("\n")]
 
 
+#: White space of the pattern, so much of it that a library's recursion would not end well.
+LONG_SPACE = 4096
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def without_long_spaces(
+    encode: Callable[[str], list[int]], single: Callable[[str], list[int]], least: int = LONG_SPACE
+) -> Callable[[str], list[int]]:
+    """encode, with long runs of white space cut out first. Of a run before another character the pattern takes all
+    but the last as a piece, and at a text's end all; ``single`` encodes a piece."""
+    runs = re.compile(f"[{_SPACES}]{{{least},}}")
+
+    def whole(text: str) -> list[int]:
+        out, at = [], 0
+        for run in runs.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += encode(text[at : run.start()])
+            out += single(text[run.start() : end])
+            at = end
+        return out + encode(text[at:]) if at else encode(text)
+
+    return whole
+
+
 def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[[list[str]], list[bytes]]:
     """ids (as 16-bit integers) of many pieces in few calls: pieces without white space inside are encoded
     as lines of one text, whose newlines keep them apart."""
@@ -206,7 +230,8 @@ def rank_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
 
     with open(file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding(
-        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    encoding, single = (
+        tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for name, pattern in (("ranks", public_tokenizers.PATTERN), ("piece", "(?s:.+)"))
     )
-    return by_lines(encoding.encode_ordinary)
+    return by_lines(without_long_spaces(encoding.encode_ordinary, single.encode_ordinary))

@@ -7,8 +7,20 @@ of all of them. A text without words (null, empty, white space) has none.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+
 import numpy as np
 
+
+def _letters() -> re.Pattern:
+    """Runs of letters: what Python takes for them, without numbers that are no digits (as \u00bd and \u2167)."""
+    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
+    return re.compile(f"[^\\W\\d_{''.join(numbers)}]+")
+
+
+LETTERS = _letters()
 PIECE = 1 << 19  # bytes hashed at a time, whatever the length of a text
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64

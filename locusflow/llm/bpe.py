@@ -9,6 +9,7 @@ in one array; a word of LONG bytes or more has a tree of its own, in lists.
 Text is normalised and cut into words as the vocabulary's file says: NFC, lower case, white space
 dropped, contractions, runs of letters, single digits, runs of others; a word's last byte carries the
 end-of-word mark. Special tokens in the raw text become their ids. Null and empty texts have no ids.
+Texts and words may be of any length; rows that repeat are encoded each; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ is no piece alone can always be passed at the probability of an unknown piece.
 Fitting takes a bounded sample, about SAMPLE texts of each language by a hash of the id, and ROUNDS of
 expectation-maximisation, a task for each language: expected piece counts over all segmentations
 (forward-backward) of the distinct words, from even probabilities on. Counts are smoothed with ALPHA of the
-pooled distribution. A model has a number for each piece and language (32,000 pieces: 256 KB a language).
+pooled distribution. A model has a number for each piece and language (32,000 pieces: 256 KB a language); languages are
+loaded, sent and scored in blocks of LANGUAGES, each block's best and sum carried on to the next, so no process holds
+more. Words are scored in groups bounded by letters times languages.
 
 Defined results: a null text and one without letters is ``und`` with score 0; so is every text when
 nothing was learned. The score is the posterior probability of the prediction. Of languages with equal
@@ -22,7 +24,7 @@ repeat are scored each; only lang, text and doc_id are looked at to learn, only
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,13 +37,13 @@ from pyspark.sql import types as T
 
 from ._chunks import Memo
 from ._shared import small, tune, written
-from ._words import batches
+from ._words import LETTERS, batches
 
 SAMPLE, ROUNDS, ALPHA = 1500, 4, 0.5
-LONG = 48  # letters from which a word's expected counts are taken by logarithms
+LANGUAGES = 128  # of a block
+SMALLEST = -290  # power of ten below which a word's least probability is not computed plainly, but by logarithms
 LONGER = 512  # letters from which a word is scored by itself
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 18
@@ -56,7 +58,7 @@ def vocabulary(file: str) -> list[str]:
     return [
         p
         for p in pieces
-        if p and p == p.lower() and (_WORD.fullmatch(p.lstrip(_MARK)) or p == _MARK)
+        if p and p == p.lower() and (LETTERS.fullmatch(p.lstrip(_MARK)) or p == _MARK)
         and _MARK not in p[1:]
     ]
 
@@ -186,38 +188,78 @@ class Model:
                 out[i] = _forward_long(lattice, word, self.probs)
             else:
                 short.append(i)
-        for part in _groups([words[i] for i in short]):
+        for part in _groups([words[i] for i in short], (1 << 19) // max(4, len(self.languages))):
             at = np.array(short)[part]
             codes, lengths = _matrix([words[i] for i in at])
             out[at] = _forward(lattice, codes, lengths, self.probs)[1]
         return out
 
     def score_chunks(self, chunks: list[str]) -> list[np.ndarray | None]:
-        cut = [_WORD.findall(x.lower()) for x in chunks]
+        cut = [LETTERS.findall(x.lower()) for x in chunks]
         distinct = sorted({w for words in cut for w in words})
         scores = self.score_words([_MARK + w for w in distinct]).astype(np.float32) if distinct else []
         row = {w: k for k, w in enumerate(distinct)}
         return [
-            None if not words else scores[row[words[0]]] if len(words) == 1
+            None if not words else scores[row[words[0]]].copy() if len(words) == 1
             else scores[[row[w] for w in words]].sum(0)
             for words in cut
         ]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def totals(self, texts: list[str | None]) -> list[tuple[str, float, float] | None]:
+        """The best language of each text, its total, and the sum of all exp(total - best); None without letters."""
         self._lattice()
         cut = [t.split() if t else [] for t in texts]
-        memo = self._ready[1].have({x for chunks in cut for x in chunks})
+        step = max(1, (1 << 23) // max(4, len(self.languages)))  # chunks scored at a time
+        many = sum(map(len, cut)) > step
+        memo = {} if many else self._ready[1].have({x for chunks in cut for x in chunks})
         out = []
         for chunks in cut:
-            found = [s for x in chunks if (s := memo[x]) is not None]
-            if not found or not self.languages:
-                out.append((UNKNOWN, 0.0))
+            total, seen = np.zeros(len(self.languages)), False
+            for k in range(0, len(chunks), step):
+                part = chunks[k : k + step]
+                if many:
+                    memo = self._ready[1].have(set(part))
+                found = [s for x in part if (s := memo[x]) is not None]
+                if found:
+                    total, seen = total + np.sum(found, 0, dtype=np.float64), True
+            if not seen or not self.languages:
+                out.append(None)
                 continue
-            total = np.sum(found, 0, dtype=np.float64)
             best = int(total.argmax())
-            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
+            out.append((self.languages[best], float(total[best]), float(np.exp(total - total[best]).sum())))
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(x[0], 1 / x[2]) if x else (UNKNOWN, 0.0) for x in self.totals(texts)]
+
+    def blocks(self) -> Iterator[Model]:
+        yield self
+
+
+class Models:
+    """A model of many languages, of which a block at a time is loaded from a table (lang, probs)."""
+
+    def __init__(self, pieces: list[str], languages: list[str], learned: DataFrame) -> None:
+        """languages: sorted."""
+        self.pieces, self.languages, self.learned = pieces, languages, learned
+        total = sum(self._loaded(names).sum(1, keepdims=True) for names in self._names())
+        self.pooled = total / len(languages)
+
+    def _names(self) -> Iterator[list[str]]:
+        for k in range(0, len(self.languages), LANGUAGES):
+            yield self.languages[k : k + LANGUAGES]
+
+    def _loaded(self, names: list[str]) -> np.ndarray:
+        rows = self.learned.filter(F.col("lang").isin(names)).collect()  # at most LANGUAGES rows
+        found = {r.lang: r.probs for r in rows}
+        even = np.full(len(self.pieces) + 1, 1 / (len(self.pieces) + 1))
+        return np.array([found.get(x, even) for x in names]).T
+
+    def blocks(self) -> Iterator[Model]:
+        for names in self._names():
+            probs = 0.98 * self._loaded(names) + 0.02 * self.pooled  # no piece is impossible in a language
+            yield Model(self.pieces, names, probs)
+
 
 def _forward(lattice: Lattice, codes: np.ndarray, lengths: np.ndarray, probs: np.ndarray):
     """Forward probabilities of all positions, rescaled as they are completed; log totals; scales; edges."""
@@ -257,9 +299,11 @@ def _forward_long(lattice: Lattice, word: str, probs: np.ndarray) -> np.ndarray:
 
 
 def _expected(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts by forward-backward, for one language (probs: one column)."""
+    """Expected piece counts by forward-backward, for one language (probs: one column). A word is taken by logarithms if
+    as many letters of the least probability would come near the smallest double."""
     out = np.zeros((lattice.n + 1, 1))
-    long = [k for k, w in enumerate(words) if len(w) >= LONG]
+    least = SMALLEST / min(-1.0, np.log10(max(float(probs.min()), 1e-300)))
+    long = [k for k, w in enumerate(words) if len(w) >= least]
     for k in long:
         _expected_long(lattice, words[k], counts[k, 0], probs, out)
     if long:
@@ -306,7 +350,7 @@ def learn(lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
     return mine[:, 0]
 
 
-def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model:
+def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model | Models:
     """documents: doc_id, text, lang; those with a null lang or text teach nothing."""
     spark = documents.sparkSession
     tune(spark)
@@ -321,7 +365,7 @@ def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model:
         seen: Counter = Counter()
         for part in parts:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                seen.update((lang, w) for w in _WORD.findall(text.lower()))
+                seen.update((lang, w) for w in LETTERS.findall(text.lower()))
         keys = list(seen)
         for k in range(0, len(keys), 50_000):
             part = keys[k : k + 50_000]
@@ -339,35 +383,60 @@ def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model:
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "probs": [probs]})
 
     learned = written(counted.groupBy("lang").applyInPandas(of_language, "lang string, probs array<double>"), "learned")
-    found = {r.lang: r.probs for r in learned.collect()}  # a row a language
-    languages = sorted(r.lang for r in sizes.select("lang").collect())
-    even = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
-    probs = np.array([found.get(x, even) for x in languages]).T if languages else even[:, None]
-    pooled = probs.mean(1, keepdims=True)
-    probs = 0.98 * probs + 0.02 * pooled  # no piece is impossible in a language
-    return Model(pieces, languages, probs)
+    languages = sorted(r.lang for r in sizes.select("lang").collect())  # names only
+    if not languages:
+        return Model(pieces, [], np.full((len(pieces) + 1, 1), 1 / (len(pieces) + 1)))
+    return Models(pieces, languages, learned)
 
 
-def with_language(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def with_language(documents: DataFrame, model: Model | Models, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of documents (all if None) with lang_pred and score. Only the text is read for
-    them. A narrow operation; existing columns of these names are replaced."""
+    them. A narrow operation, a step for each block of languages; existing columns of these names are replaced."""
     spark = documents.sparkSession
     tune(spark)
     new = T.StructType().add("lang_pred", "string").add("score", "double")
-    keep = [c for c in (documents.columns if keep is None else keep) if c not in new.names]
-    into = T.StructType([documents.schema[c] for c in keep] + new.fields)
-    shared = spark.sparkContext.broadcast(model)  # vocabulary x languages: bounded
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            for begin, end in batches(texts):
-                found = shared.value.predict(texts[begin:end])
-                piece = part.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(c) for c in keep]
-                    + [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                    names=[*keep, *new.names],
-                )
-
-    return documents.select(*{*keep, "text"}).mapInArrow(run, into)
+    steps = T.StructType().add("_lang", "string").add("_best", "double").add("_sum", "double")
+    keep = [c for c in (documents.columns if keep is None else keep) if c not in new.names + steps.names]
+    rows = documents.select(*{*keep, "text"})
+
+    def step(block: Model, first: bool, last: bool):
+        shared = spark.sparkContext.broadcast(block)  # vocabulary x LANGUAGES: bounded
+        own = keep if last else rows_names
+        into = T.StructType([documents.schema[c] for c in own] + (new if last else steps).fields)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                texts = part.column("text").to_pylist()
+                for begin, end in batches(texts):
+                    found = shared.value.totals(texts[begin:end])
+                    piece = part.slice(begin, end - begin)
+                    if not first:
+                        before = zip(*(piece.column(c).to_pylist() for c in steps.names))
+                        found = [_better(a if a[0] is not None else None, b) for a, b in zip(before, found)]
+                    if last:
+                        ended = [(x[0], 1 / x[2]) if x else (UNKNOWN, 0.0) for x in found]
+                    else:
+                        ended = [x or (None, None, None) for x in found]
+                    kinds = [pa.string(), pa.float64(), pa.float64()]
+                    columns = zip(kinds, zip(*ended)) if ended else zip(kinds, [()] * len(kinds))
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column(c) for c in own] + [pa.array(x, kind) for kind, x in columns],
+                        names=into.names,
+                    )
+
+        return run, into
+
+    rows_names = list(rows.columns)
+    blocks = list(range(max(1, -(-len(model.languages) // LANGUAGES)))) if isinstance(model, Models) else [0]
+    for k, block in zip(blocks, model.blocks()):
+        rows = rows.mapInArrow(*step(block, k == 0, k == blocks[-1]))
+    return rows
+
+
+def _better(a: tuple[str, float, float] | None, b: tuple[str, float, float] | None):
+    """The best of two blocks, the sums of both measured from it; the first of equals."""
+    if a is None or b is None:
+        return a or b
+    if b[1] > a[1]:
+        return b[0], b[1], b[2] + a[2] * math.exp(a[1] - b[1])
+    return a[0], a[1], a[2] + b[2] * math.exp(b[1] - a[1])

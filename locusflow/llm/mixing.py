@@ -18,7 +18,7 @@ collected: ranks and levels come from prefix sums over range-sorted partitions.
 
 Defined results: a null source is a source, after the others; null texts have size 0 and are never taken;
 a source without words has target 0. Rows that repeat a doc_id, null ids too, are documents of their own and
-stand by a hash of id and text. Only the columns doc_id, source and text are looked at.
+stand by a hash of id and text. Texts of any length are counted whole; an empty table gives no rows. Only the columns doc_id, source and text are looked at.
 """
 
 from __future__ import annotations

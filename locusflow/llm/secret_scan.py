@@ -10,7 +10,7 @@ over the bytes of a text, from the last to the first, is in an accepting state o
 match of that rule can begin: no start is tried in vain. A match then takes its head, by the transition
 array of its rule's head, and the run of its body, and the next one begins behind it. So the work is linear in
 the text, whatever it holds. (Of a rule without a head only starts with ``least`` body bytes are accepted.
-Tails are regular expressions, tried once behind each match of their rule.)
+Tails are regular expressions, tried behind each match of their rule; no place is read again for another match.)
 
 Spans are code points, end exclusive, sorted by start and then by the order of the rules. Null and
 empty texts have none. Texts are scanned whole, whatever their length; rows that repeat are scanned each.
@@ -35,12 +35,22 @@ from ._shared import tune
 from .automaton import Automaton
 
 
+class Tail(NamedTuple):
+    """What a match takes in behind it: any number of header fields (``field`` and the rest of its line), then a run of
+    ``body`` and ``end``; or, without an end there, ``open``."""
+
+    field: str
+    body: str
+    end: str
+    open: str
+
+
 class Rule(NamedTuple):
     kind: str
     head: str
     body: str
     least: int
-    tail: str = ""
+    tail: Tail | None = None
 
 
 # What follows the BEGIN line of a private key. Line breaks may be written as escapes, lines may have
@@ -48,12 +58,14 @@ class Rule(NamedTuple):
 # fields and a key's characters; without one, the lines of base64 that follow, or runs of 40 and more.
 _BREAK = r"[\x20\t\"',+;]*+(?:\\(?:r\\n|[nr])(?:[\x20\t\"',+;]*+\r?\n)?+|\r?\n|\r)"
 _MARGIN = r"[\x20\t>#|*\"',+]*+"
-_FIELDS = r"(?:(?:\\[nr]|[\s>#|*\"',+])++[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
-_END = r"-{4,}+END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-*+"
-_CLOSED = rf"{_FIELDS}(?:[A-Za-z0-9+/=_\s\\\"'>#|*,]|\.{{2,}}+|-(?!---))*+{_END}"
 _LINE = rf"{_MARGIN}[A-Za-z0-9+/=]++(?=[\x20\t\"',+;]*+(?:[\r\n\\]|\Z))"
 _LATER = rf"(?:{_BREAK}{_MARGIN})++[A-Za-z0-9+/=]{{16,}}+(?=[\x20\t\"',+;]*+(?:[\r\n\\]|\Z))"
-_OPEN = rf"{_FIELDS}(?:{_BREAK}{_LINE}|{_LATER}|{_MARGIN}[A-Za-z0-9+/=]{{40,}}+)++"
+KEY = Tail(
+    field=r"(?:\\[nr]|[\s>#|*\"',+])++[A-Z][A-Za-z0-9-]*+:\x20",
+    body=r"(?:[A-Za-z0-9+/=_\s\\\"'>#|*,]|\.{2,}+|-(?!---))*+",
+    end=r"-{4,}+END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-*+",
+    open=rf"(?:{_BREAK}{_LINE}|{_LATER}|{_MARGIN}[A-Za-z0-9+/=]{{40,}}+)++",
+)
 
 BASE = (
     Rule(
@@ -71,13 +83,65 @@ MORE = (
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]", 35),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]", 10),
-    Rule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?----", "-", 1, f"{_CLOSED}|{_OPEN}"),
+    Rule("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?----", "-", 1, KEY),
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
 BLOCK = 2048  # bytes
 
 
+class _Tails:
+    """The tails of one rule in a text. Places that several matches lead to are read once: where a field's line ends,
+    the fields from there on, a run of the body, an end, an open tail."""
+
+    def __init__(self, data: bytes, tail: Tail) -> None:
+        self.data, self.tail = data, tail
+        self.fields: dict[int, int] = {}
+        self.closed: dict[int, int] = {}
+        self.opened: dict[int, int] = {}
+        self.line, self.run = (0, -1), (0, -1)
+
+    def end(self, free: int) -> int:
+        """Where the match that has come to ``free`` ends with its tail; ``free`` if it has none."""
+        at = self._behind_fields(free)
+        begin, stop = self.run
+        if not begin <= at <= stop:
+            stop = self.tail.body.match(self.data, at).end()
+            self.run = at, stop
+        if stop not in self.closed:
+            m = self.tail.end.match(self.data, stop)
+            self.closed[stop] = m.end() if m else -1
+        if self.closed[stop] >= 0:
+            return self.closed[stop]
+        if at not in self.opened:
+            m = self.tail.open.match(self.data, at)
+            self.opened[at] = m.end() if m else -1
+        return self.opened[at] if self.opened[at] >= 0 else free
+
+    def _behind_fields(self, at: int) -> int:
+        passed = []
+        while at not in self.fields:
+            passed.append(at)
+            m = self.tail.field.match(self.data, at)
+            if not m:
+                break
+            at = self._line_end(m.end())
+        last = self.fields.get(at, at)
+        self.fields.update(dict.fromkeys(passed, last))
+        return last
+
+    def _line_end(self, at: int) -> int:
+        begin, stop = self.line
+        if not begin <= at <= stop:
+            m = _LINE_END.search(self.data, at)
+            stop = m.start() if m else len(self.data)
+            self.line = at, stop
+        return stop
+
+
+_LINE_END = re.compile(rb"[\r\n\\]")
+
+
 class _Compiled:
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
@@ -88,7 +152,7 @@ class _Compiled:
         bodies = [Automaton([r.body]) for r in rules]
         inside = [a.accepts[a.moves[a.start, a.classes]] > 0 for a in bodies]
         self.bodies = [bytes(x.astype(np.uint8)) for x in inside]
-        self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
+        self.tails = [Tail(*(re.compile(x.encode()) for x in r.tail)) if r.tail else None for r in rules]
 
     def starts(self, data: bytes) -> list[list[int]]:
         """Where matches of each rule can begin, ascending."""
@@ -126,6 +190,7 @@ class _Compiled:
                 continue
             least, tail, head = self.rules[k].least, self.tails[k], self.heads[k]
             body = data.translate(self.bodies[k])
+            tail = _Tails(data, tail) if tail else None
             free = 0
             for at in starts:
                 if at < free:
@@ -134,8 +199,7 @@ class _Compiled:
                 free = body.find(0, begin)
                 free = free if free >= 0 else len(data)
                 if free - begin >= least:
-                    if tail and (m := tail.match(data, free)):
-                        free = m.end()
+                    free = tail.end(free) if tail else free
                     out.append((at, k, free))
         out.sort()
         return out

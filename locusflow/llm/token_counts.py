@@ -7,7 +7,8 @@ between them. A prefix scan over the blocks of each file (running sums, and the
 last separator's position) tells how many documents came before a block and how many tokens of the
 document that is open at its start, which stitches documents that span blocks.
 
-Tokens behind a file's last separator are a document with ``ended`` = false. Empty files have none.
+Tokens behind a file's last separator are a document with ``ended`` = false. Empty files have none. Texts may be of
+any length (a null one counts as empty); rows that repeat are counted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,14 +116,14 @@ def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width:
                     names=["file", "block", "tokens", "tail", "lengths"],
                 )
 
-    scanned = blocks.mapInArrow(
-        run, "file long, block long, tokens long, tail long, lengths array<long>"
+    scanned = written(
+        blocks.mapInArrow(run, "file long, block long, tokens long, tail long, lengths array<long>"), "separators"
     )
     # the separators themselves are tokens of the stream: positions count them
     seen = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        scanned.withColumn("n", F.size("lengths").cast("long"))
+    narrow = (  # a short row a block: a file of a terabyte has 250,000
+        scanned.select("file", "block", "tokens", "tail", F.size("lengths").cast("long").alias("n"))
         .withColumn("before", F.coalesce(F.sum("tokens").over(seen), F.lit(0)))
         .withColumn("done", F.coalesce(F.sum("n").over(seen), F.lit(0)))
         .withColumn("last", F.when(F.col("n") > 0, F.col("before") + F.col("tokens") - F.col("tail") - 1))
@@ -130,6 +131,9 @@ def scan_separators(files: DataFrame, separator: int, block: int = BLOCK, width:
         .withColumn("end", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
         .withColumn("rest", F.col("before") + F.col("tokens") - F.coalesce(F.max("last").over(upto), F.lit(-1)) - 1)
     )
+    placed = scanned.select("file", "block", "lengths").join(
+        narrow.select("file", "block", "done", "open", "end", "rest").hint("merge"), ["file", "block"]
+    )
     every = F.concat(
         F.transform(
             "lengths",

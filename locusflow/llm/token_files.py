@@ -8,7 +8,8 @@ memory-mapped file gives it without a copy. Beside each file stands one with the
 
 Documents are dealt once into ranges of ascending doc_id; each range is one file. Null texts count as
 empty, null ids come first, equal ids are ordered by a hash of the text (a frequent one spans files). An empty
-table writes no file. Only the columns doc_id and text are looked at.
+table writes no file. Texts may be of any length; rows that repeat are
+documents each. Only the columns doc_id and text are looked at.
 """
 
 from __future__ import annotations

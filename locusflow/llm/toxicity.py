@@ -12,14 +12,14 @@ test) are left out; as each needs a share of a class's documents, their number i
 Labels are 0 or 1; documents labelled 1 are graded 1 to 3 by terciles of the share of their chunks (between
 white space) that hold a feature that speaks for toxicity, whatever their length.
 
-Defined results: null and empty texts have no features. Null labels do not count, of several labels of a
+Defined results: null and empty texts have no features; texts of any length are read whole. An empty table gives no
+rows. Only labels of documents that are there count. Null labels do not count, of several labels of a
 document the greatest does. Rows that repeat are scored each. Without labels of both classes no document is rejected, and severities are 0.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._chunks import Memo
 from ._shared import partitions, tune, written
-from ._words import batches
+from ._words import LETTERS, batches
 
 SAMPLE, GRADES = 6000, 4
 PREFIXES = (4, 5, 6)
@@ -42,7 +42,6 @@ PREFIXES = (4, 5, 6)
 LEAST, SHARE, EVIDENCE = 3, 0.01, 15.0
 CUTOFF = 0.5
 STEPS, PENALTY = 1000, 1e-5
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -52,7 +51,7 @@ def features(word: str) -> tuple[int, ...]:
 
 
 def _of_chunk(chunk: str) -> list[tuple[int, ...]]:
-    return [features(w) for w in _WORD.findall(chunk.lower())]
+    return [features(w) for w in LETTERS.findall(chunk.lower())]
 
 
 class Model(NamedTuple):
@@ -102,17 +101,19 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(self.cuts - s, -60, 60)))
 
 
-def _sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """At most so many labelled documents of either class: those of the least hashes of the id."""
+def _sample(documents: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most so many labelled documents of either class, those of the least hashes of the id; and how many documents
+    of each class there are."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = written(known, "labels")
+    known = written(known.join(documents.select("doc_id"), "doc_id", "left_semi"), "labels")
+    every = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [
         known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)
     ]
     both = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * most rows
     rows = documents.select("doc_id", "text").join(both, "doc_id")
     copies = rows.groupBy("toxic", F.xxhash64("text")).agg(F.min(F.struct("doc_id", "text")).alias("d"))
-    return written(copies.select("toxic", "d.text"), "labelled")  # exact copies speak once
+    return written(copies.select("toxic", "d.text"), "labelled"), every  # exact copies speak once
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
@@ -167,13 +168,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """documents: doc_id, text. labels: doc_id, toxic."""
     tune(documents.sparkSession)
     none = Model({}, np.zeros(0), np.full(GRADES - 1, 60.0), frozenset())
-    known = _sample(documents, labels, sample)
+    known, every = _sample(documents, labels, sample)
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return none
-    every = {
-        r.toxic: r["count"] for r in labels.filter("toxic in (0, 1)").groupBy("toxic").count().collect()
-    }
     chosen = _telling(_document_counts(known), sizes[0], sizes[1]).collect()  # bounded by the sample
     if not chosen:
         return none

@@ -259,13 +259,36 @@ def test_more_spans_equal_regular_expressions():
 
 def test_scans_of_adversarial_texts_are_linear():
     texts = ["eyJ" * 333_333 + " AKIAABCD1234EFGHIJ", "ab" * 500_000, "token:" * 166_000, "eyJa." * 200_000, "ghp_" * 250_000,
-             "-----BEGIN PRIVATE KEY-----\n" * 35_000, "password" + " " * 1_000_000, "x" * 3_000_000]
+             "-----BEGIN PRIVATE KEY-----\n" * 35_000, "password" + " " * 1_000_000, "x" * 3_000_000,
+             ("-----BEGIN PRIVATE KEY-----" + "\nA: x" * 20 + "--- ") * 9000, "-----BEGIN PRIVATE KEY-----\tA: x " * 35_000,
+             ("-----BEGIN PRIVATE KEY-----" + "\nA: x" * 20 + "\n") * 9000 + "ab " * 50_000 + "-" * 200_000,
+             "-----BEGIN PRIVATE KEY-----" + " \n" * 500_000 + "-----BEGIN PRIVATE KEY-----"]
     counts = []
     for text in texts:
         began = time.process_time()
         counts.append(len(secret_scan.find_spans(text)))
         assert time.process_time() - began < 8
-    assert counts == [1, 1, 0, 0, 0, 35_000, 0, 0]
+    assert counts == [1, 1, 0, 0, 0, 35_000, 0, 0, 9000, 35_000, 9000, 2]
+
+
+def test_tails_equal_one_regular_expression():
+    tail = secret_scan.KEY
+    fields = rf"(?:{tail.field}[^\r\n\\]*+)*+"
+    twin = re.compile(f"{fields}{tail.body}{tail.end}|{fields}{tail.open}".encode())
+    rng = random.Random(8)
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pieces = [begin, begin, end, "\n", "\n", "\r\n", "\\n", "A: x", "Proc-Type: 4", "QUJD" * 8, "abc=", " ", "> ", "..", ".", "-", "---", "\n\n", "é", "\tB: "]
+    whole = secret_scan._compiled(secret_scan.RULES)
+    compiled = whole.tails[len(secret_scan.RULES) - 1]
+    met = Counter()
+    for _ in range(6000):
+        data = "".join(rng.choice(pieces) for _ in range(rng.randint(2, 25))).encode()
+        tails = secret_scan._Tails(data, compiled)
+        for m in re.finditer(begin.encode(), data):  # as if no match covered another
+            want = twin.match(data, m.end())
+            assert tails.end(m.end()) == (want.end() if want else m.end()), data
+            met[bool(want)] += 1
+    assert min(met.values()) > 500
 
 
 def test_repeated_rows_and_clashing_columns_of_a_scan(spark):
@@ -449,8 +472,13 @@ def test_expected_counts_sum_over_all_segmentations(monkeypatch):
                 want[i] += n * x
     lattice = language_id.Lattice(pieces)
     assert language_id._expected(lattice, words, counts[:, None], probs)[:, 0] == pytest.approx(want)
-    monkeypatch.setattr(language_id, "LONG", 4)
+    monkeypatch.setattr(language_id, "SMALLEST", -1)
     assert language_id._expected(lattice, words, counts[:, None], probs)[:, 0] == pytest.approx(want)
+    monkeypatch.setattr(language_id, "SMALLEST", -290)
+    rare = np.array([[0.5 - 5e-9], [1e-9], [1e-9], [1e-9], [1e-9], [0.5], [1e-9]])
+    for n in (10, 30, 36, 40, 44, 47, 48, 60, 300):  # of every segmentation all letters are passed
+        got = language_id._expected(lattice, ["a" * n], np.full((1, 1), 2.0), rare)[:, 0]
+        assert got == pytest.approx([0, 2 * n, 0, 0, 0, 0, 0], abs=1e-6), n
     long = language_id._expected(lattice, ["▁" + "ab" * 3000], np.ones((1, 1)), probs)
     assert np.isfinite(long).all() and long.sum() > 3000
 
@@ -467,10 +495,37 @@ def test_languages_on_held_out_documents(spark, documents):
     assert len(language_id.fit(many.filter("doc_id % 60 = 0"), VOCABULARY).languages) == 10
     clash = odd.unionByName(odd).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
     assert Counter(r.lang_pred for r in language_id.with_language(clash, model).collect())["und"] == 6
+    numbers = spark.createDataFrame([(k, t) for k, t in enumerate(["½", "²", "Ⅷ", "1 ² 3", "ⅷ½", "一"])], SCHEMA)
+    assert [r.lang_pred == "und" for r in language_id.with_language(numbers, model).orderBy("doc_id").collect()] == [True] * 5 + [False]
     none = language_id.fit(documents.limit(0), VOCABULARY)
     assert language_id.with_language(odd, none).filter("lang_pred = 'und'").count() == 4
 
 
+def test_many_languages_are_scored_in_blocks(spark, documents, monkeypatch):
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    known = documents.filter(~held).withColumn("lang", F.concat("lang", F.lit("-"), F.col("doc_id") % 3))
+    rows = documents.filter(held).limit(60).unionByName(spark.createDataFrame([(1, None), (2, "½"), (3, "zzq " * 5)], SCHEMA), allowMissingColumns=True)
+    found, model = [], language_id.fit(known, VOCABULARY)
+    for size in (128, 5, 1):
+        monkeypatch.setattr(language_id, "LANGUAGES", size)
+        found.append(sorted((r.doc_id, r.text or "", r.lang_pred, round(r.score, 6)) for r in language_id.with_language(rows, model).collect()))
+    assert found[0] == found[1] == found[2] and len({x[2] for x in found[0]}) > 4
+
+
+def test_memory_of_many_languages_is_bounded():
+    import tracemalloc
+
+    pieces = language_id.vocabulary(VOCABULARY)[:2000]
+    model = language_id.Model(pieces, [f"l{k:03}" for k in range(400)], np.full((2001, 400), 1 / 2001))
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("etaoinsr") for _ in range(rng.randint(2, 12))) for _ in range(40_000))
+    model._lattice()
+    tracemalloc.start()
+    assert model.predict([text])[0] == ("l000", pytest.approx(1 / 400))
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 # mixing
 
 

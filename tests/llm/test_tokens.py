@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from locusflow.llm import bpe, token_counts, token_files
-from locusflow.llm._chunks import Memo, TextEncoder, byte_bpe, rank_bpe
+from locusflow.llm._chunks import Memo, TextEncoder, byte_bpe, rank_bpe, without_long_spaces
 from locusflow.llm._words import batches
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -97,6 +97,24 @@ def test_rank_encoder_equals_the_library_on_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == library.encode_ordinary(text or ""), repr(text)
 
 
+def test_long_white_space_equals_the_library():
+    library, own = library_of(RANKS), TextEncoder(rank_bpe(RANKS))
+    spaces = [" ", "\n", " \n", "\t", "\u3000", "\xa0 ", "\r\n"]
+    texts = [x for s in spaces for x in (s * 20_000, s * 20_000 + "b", "a" + s * 20_000, "é" + s * 9000 + "'s" + s * 9000 + "1 2")]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode_ordinary(text), repr(text[:3] + text[-3:])
+    short = without_long_spaces(library.encode_ordinary, library._encode_single_piece, 2)
+    for text in [*ODD, *noise(3000)]:
+        assert not text or short(text) == library.encode_ordinary(text), repr(text)
+    for s in spaces:
+        for tail in ("", "b", " b"):
+            n = 10**6 // len(s)
+            ids = np.frombuffer(own.encode([s * n + tail])[0], "<u2")
+            assert library.decode(ids.tolist()) == s * n + tail
+    word = np.frombuffer(own.encode(["x" * 10**6])[0], "<u2")
+    assert word.tolist() == library.encode_ordinary("x" * 10**6)
+
+
 def test_memo_is_bounded_and_right():
     memo = Memo(lambda pieces: [x.encode() * 50 for x in pieces], most=20_000)
     rng = random.Random(1)

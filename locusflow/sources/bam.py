@@ -3,8 +3,8 @@
 ``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``
 
 With an index (.bai or .csi) beside the file, partitions are runs of virtual offsets at which records are
-known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records; without
-one, the file is one partition, as nothing tells where records begin. A task decodes a chunk of records at a time
+known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records. Without
+one, the file is cut at any place and each task finds its first record (``boundaries``). A task decodes a chunk of records at a time
 into Arrow columns. ``columns`` (comma-separated) leaves the others undecoded (null). Rows carry ``file_offset``,
 the virtual offset of their record, which restores the order of the file.
 """
@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.alignments import ALIGNMENTS, CIGAR_OPS
 from .bgzf import BgzfReader, open_file
+from .boundaries import BamShape, first_record, ranges
 
 _LETTERS = "=ACMGRSVTWYHKDBN"
 _PAIRS = np.frombuffer("".join(a + b for a in _LETTERS for b in _LETTERS).encode(), np.uint8).reshape(256, 2)
@@ -35,6 +36,7 @@ _FIXED = np.dtype(
     ]
 )
 _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+LOST = "records cannot be told apart where the file is cut: write an index"
 CHUNK, SPLIT = 8 << 20, 32 << 20  # plain bytes decoded at a time, packed bytes of a partition
 
 
@@ -316,8 +318,10 @@ def _csi(data: bytes) -> Index:
 
 
 class BamPartition(InputPartition):
-    def __init__(self, begin: int, end: int | None) -> None:
-        self.begin, self.end = begin, end
+    """Virtual offsets at which records begin; or, if ``found`` is false, places of the file, anywhere."""
+
+    def __init__(self, begin: int, end: int | None, found: bool = True) -> None:
+        self.begin, self.end, self.found = begin, end, found
 
 
 class BamSource(DataSource):
@@ -347,9 +351,10 @@ class BamReader(DataSourceReader):
             reader = BgzfReader(file)
             header = read_header(reader)
             begin, end = reader.tell(), None
+            size = file.size()
         index = read_index(self.path)
         if index is None:
-            return [BamPartition(begin, None)]
+            return [BamPartition(a, b, False) for a, b in ranges(size, self.split)]
         if self.contig is not None:
             if self.contig not in header.names:
                 raise ValueError(f"unknown contig: {self.contig}")
@@ -358,15 +363,25 @@ class BamReader(DataSourceReader):
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as file:
-            names = read_header(BgzfReader(file)).names
+            reader = BgzfReader(file)
+            names = read_header(reader).names
+            begin, end = partition.begin, partition.end
+            if not partition.found:
+                shape, first, size = BamShape(len(names)), reader.tell(), file.size()
+                begin, end = (first_record(file, shape, first, x, size) for x in (begin, end))
+                if begin > end:
+                    raise OSError(LOST)
+                if begin == end:
+                    return
+                end = None if end == size << 16 else end
             contig = None if self.contig is None else names.index(self.contig)
-            for raw, at, offsets in _records(BgzfReader(file, partition.begin), partition.end):
+            for raw, at, offsets in _records(BgzfReader(file, begin), end, not partition.found):
                 ended = False
                 if contig is not None and len(at):
                     place = raw[at[:, None] + np.arange(4, 12)].reshape(-1).view("<i4").reshape(-1, 2)
                     ref, pos = place[:, 0], place[:, 1]
                     past = (ref > contig) | (ref < 0) | ((ref == contig) & (pos >= self.stop) if self.stop is not None else False)
-                    ended = bool(past.any())  # an indexed file is sorted
+                    ended = partition.found and bool(past.any())  # an indexed file is sorted
                     keep = (ref == contig) & ~past
                     at, offsets = at[keep], offsets[keep]
                 if len(at):
@@ -375,14 +390,19 @@ class BamReader(DataSourceReader):
                     return
 
 
-def _records(reader: BgzfReader, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of plain bytes, where records begin in them, and the records' virtual offsets, up to an offset."""
+def _records(
+    reader: BgzfReader, end: int | None, checked: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of plain bytes, where records begin in them, and the records' virtual offsets, up to an offset. checked:
+    a record that reaches over that offset is an error."""
     data, marks = bytearray(), []  # marks: place in data of a member's first byte, and the member's in the file
+    border = None
     blocks = reader.blocks()
     while True:
         more = False
         for block, plain, skip in blocks:
             if end is not None and block << 16 >= end:
+                border = block << 16
                 break
             marks.append((len(data) - skip, block))
             data += plain[skip:]
@@ -401,8 +421,14 @@ def _records(reader: BgzfReader, end: int | None) -> Iterator[tuple[np.ndarray,
             inside = len(found) if end is None else int(np.searchsorted(offsets, end))
             yield np.frombuffer(bytes(data), np.uint8), at_record[:inside], offsets[:inside]
             if inside < len(found):
+                if checked and offsets[inside] != end:
+                    raise OSError(LOST)
                 return
         if not more:
+            if checked and end is not None:
+                reached = border if at == size or not marks else marks[-1][1] << 16 | max(0, at - marks[-1][0])
+                if reached != end:
+                    raise OSError(LOST)
             return
         marks = [(p - at, b) for k, (p, b) in enumerate(marks) if k + 1 == len(marks) or marks[k + 1][0] > at]
         del data[:at]

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .bam import cut, read_index
+from .bam import LOST, cut, read_index
 from .bgzf import SPLIT, BgzfReader, open_file
+from .boundaries import BcfShape, first_record, ranges
 
 ROWS = 10_000
 
@@ -153,12 +154,14 @@ def _header(reader: BgzfReader) -> str:
 
 
 class BcfPartition(InputPartition):
-    def __init__(self, begin: int, end: int | None) -> None:
-        self.begin, self.end = begin, end
+    """Virtual offsets at which records begin; or, if ``found`` is false, places of the file, anywhere."""
+
+    def __init__(self, begin: int, end: int | None, found: bool = True) -> None:
+        self.begin, self.end, self.found = begin, end, found
 
 
 class _BcfReader(DataSourceReader):
-    """Partitions are cut where the index (.csi) says that records begin; without one there is one."""
+    """Partitions are cut where the index (.csi) says that records begin; without one, anywhere (``boundaries``)."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
@@ -168,19 +171,31 @@ class _BcfReader(DataSourceReader):
         with open_file(self.path) as file:
             reader = BgzfReader(file)
             _header(reader)
-            begin, end = reader.tell(), None
+            begin, end, size = reader.tell(), None, file.size()
         index = read_index(self.path)
+        if index is None:
+            return [BcfPartition(a, b, False) for a, b in ranges(size, self.split)]
         if self.span is not None:
             begin, end = max(begin, self.span[0]), max(begin, self.span[1])
-        splits = index.splits() if index is not None else []
-        return [BcfPartition(a, b) for a, b in cut(begin, end, splits, self.split)]
+        return [BcfPartition(a, b) for a, b in cut(begin, end, index.splits(), self.split)]
 
     def read(self, partition: BcfPartition) -> Iterator[pa.RecordBatch]:
         with open_file(self.path) as file:
-            keys, contigs = _dictionary(_header(BgzfReader(file)))
-            reader = BgzfReader(file, partition.begin)
+            reader = BgzfReader(file)
+            text = _header(reader)
+            keys, contigs = _dictionary(text)
+            begin, end = partition.begin, partition.end
+            if not partition.found:
+                shape = BcfShape(len(contigs), max(0, len(text.splitlines()[-1].split("\t")) - 9))
+                first, size = reader.tell(), file.size()
+                begin, end = (first_record(file, shape, first, x, size) for x in (begin, end))
+                if begin > end:
+                    raise OSError(LOST)
+                if begin == end:
+                    return
+            reader = BgzfReader(file, begin)
             held: list[str] = []
-            while partition.end is None or reader.tell() < partition.end:
+            while end is None or reader.where() < end:
                 if len(sizes := reader.read(8)) < 8:
                     break
                 a, b = struct.unpack("<II", sizes)
@@ -188,6 +203,8 @@ class _BcfReader(DataSourceReader):
                 if len(held) == ROWS:
                     yield pa.record_batch([pa.array(held)], names=["value"])
                     held = []
+            if not partition.found and reader.where() > end:
+                raise OSError(LOST)
             if held:
                 yield pa.record_batch([pa.array(held)], names=["value"])
 

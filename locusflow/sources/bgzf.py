@@ -86,6 +86,12 @@ class BgzfReader:
             return self.next << 16
         return self.block << 16 | self.at
 
+    def where(self) -> int:
+        """The virtual offset of the next byte, in the member that has it; of the file's end, if there is none."""
+        if self.at >= len(self.data) and not self._load():
+            return self.next << 16
+        return self.block << 16 | self.at
+
     def read(self, size: int) -> bytes:
         out = []
         while size > 0:

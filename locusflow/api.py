@@ -128,8 +128,7 @@ class AlignmentFile:
         return bam.read_bam(self._spark, self.filename, columns=columns)
 
     def _scan(self, region, *columns: str) -> DataFrame:
-        need = ["cigar", *columns] if columns else None
-        return bam.read_bam(self._spark, self.filename, *region, columns=need)
+        return bam.read_bam(self._spark, self.filename, *region, columns=list(columns) or None)
 
     def __iter__(self) -> AlignmentFile:
         self._check()
@@ -162,7 +161,7 @@ class AlignmentFile:
         _threads(threads)
         read_filter(read_callback)
         region = self._region(contig, start, stop)
-        return stats.count(self._scan(region, "flag"), *region, read_callback=read_callback).first()[0]
+        return stats.count(self._scan(region, "span_end"), *region, read_callback=read_callback).first()[0]
 
     def count_coverage_df(
         self, contig: str, start: int | None = None, stop: int | None = None, quality_threshold: int = 15,
@@ -170,7 +169,7 @@ class AlignmentFile:
     ) -> DataFrame:
         self._ready("count_coverage")
         region = self._region(contig, start, stop)
-        scan = self._scan(region, "query_sequence", "query_qualities")
+        scan = self._scan(region, "cigar", "query_sequence", "query_qualities")
         return stats.count_coverage(scan, *region, quality_threshold, read_callback)
 
     def count_coverage(
@@ -186,7 +185,7 @@ class AlignmentFile:
     def depth_df(self, contig: str, start: int | None = None, stop: int | None = None) -> DataFrame:
         self._ready("depth")
         region = self._region(contig, start, stop)
-        return stats.depth(self._scan(region, "flag"), *region)
+        return stats.depth(self._scan(region, "cigar"), *region)
 
     def depth_numpy(self, contig: str, start: int | None = None, stop: int | None = None, threads: int = 1):
         _threads(threads)
@@ -198,7 +197,7 @@ class AlignmentFile:
         self._ready("depth_blocks")
         _threads(threads)
         region = self._region(contig, start, stop)
-        rows = stats.depth_blocks(self._scan(region, "flag"), *region).orderBy("start").collect()
+        rows = stats.depth_blocks(self._scan(region, "cigar"), *region).orderBy("start").collect()
         return [(r.start, r.length, r.depth) for r in rows]
 
     def pileup_counts_df(
@@ -207,7 +206,7 @@ class AlignmentFile:
     ) -> DataFrame:
         self._ready("pileup_counts")
         region = self._region(contig, start, stop)
-        scan = self._scan(region, "query_sequence", "query_qualities")
+        scan = self._scan(region, "cigar", "query_sequence", "query_qualities")
         return stats.pileup_counts(scan, *region, min_base_quality, min_mapping_quality)
 
     def pileup_counts(

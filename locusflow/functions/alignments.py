@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 TAG = T.StructType(
     [
         T.StructField("type", T.StringType()),
@@ -32,6 +34,7 @@ ALIGNMENTS = T.StructType(
         T.StructField("template_length", T.IntegerType()),
         T.StructField("tags", T.MapType(T.StringType(), TAG)),
         T.StructField("file_offset", T.LongType()),
+        T.StructField("span_end", T.LongType()),
     ]
 )
 
@@ -120,20 +123,31 @@ def reference_end() -> Column:
 
 
 def span_end() -> Column:
-    """End of what a read covers for overlaps: one base at least, one for placed unmapped reads."""
-    length = F.when(has_flag("is_unmapped"), 0).otherwise(reference_length())
+    """End of what a read covers for overlaps: one base at least, one for placed unmapped reads. CIGARs of an Arrow
+    batch are parsed together; only they go to Python."""
+    from .runs import reference_lengths
+
+    length = F.arrow_udf(reference_lengths, "bigint")(F.when(~has_flag("is_unmapped"), F.col("cigar")))
     return F.col("reference_start") + F.greatest(F.lit(1), length)
 
 
+def with_span(alignments: DataFrame) -> DataFrame:
+    """alignments with span_end: that of the source, which has it from the packed CIGARs, or parsed from the texts."""
+    if "span_end" in alignments.columns:
+        return alignments
+    ship(alignments.sparkSession)
+    return alignments.withColumn("span_end", span_end())
+
+
 def overlaps_region(contig: str, start: int, stop: int) -> Column:
-    """The first three tests reach the scan; the last needs the CIGAR."""
+    """Of alignments with a span_end. All tests are of columns, so a source can take them."""
     if start >= stop:
         return F.lit(False)
     return (
         (F.col("reference_name") == contig)
         & (F.col("reference_start") >= 0)
         & (F.col("reference_start") < stop)
-        & (span_end() > start)
+        & (F.col("span_end") > start)
     )
 
 

@@ -95,6 +95,13 @@ def parse_cigars(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, data[at], length
 
 
+def reference_lengths(cigars: pa.Array) -> pa.Array:
+    """How many positions of the reference each CIGAR takes; nulls take none."""
+    row, letter, length = parse_cigars(cigars)
+    taken = np.bincount(row, np.where(_REFERENCE[letter], length, 0), len(cigars))
+    return pa.array(taken.astype(np.int64))
+
+
 def aligned_runs(cigars: pa.Array, starts: np.ndarray) -> Runs:
     """The runs of a batch of reads, in the order of reads and operations."""
     row, letter, length = parse_cigars(cigars)

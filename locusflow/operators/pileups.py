@@ -51,7 +51,7 @@ def _rows(names: dict[str, int], keys: np.ndarray, sums: np.ndarray, kinds: int)
     )
 
 
-def depth_steps(reads: DataFrame, start: int, stop: int) -> DataFrame:
+def depth_steps(reads: DataFrame, start: int, stop: int | None) -> DataFrame:
     """reads: contig, reference_start, cigar. contig, tile, pos, d: by how much the depth changes at a position. A run
     that enters a tile from the left counts at the tile's border."""
     tune(reads.sparkSession)
@@ -60,7 +60,8 @@ def depth_steps(reads: DataFrame, start: int, stop: int) -> DataFrame:
         names: dict[str, int] = {}
         tally = Tally()
         for part in parts:
-            runs = aligned_runs(part.column("cigar"), part.column("reference_start").to_numpy()).within(start, stop)
+            runs = aligned_runs(part.column("cigar"), part.column("reference_start").to_numpy())
+            runs = runs.within(start, (1 << _PLACE) - 1 if stop is None else stop)
             base = _numbered(names, part.column("contig"))[runs.row] << _PLACE
             high = runs.lo + runs.size
             inner = (high - 1 >> BITS) - (runs.lo >> BITS)  # borders that a run crosses

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignments import overlaps_region, span_end
+from ..functions.alignments import overlaps_region, with_span
 from ..storage import written
 
-NARROW, WIDE = 1 << 9, 1 << 17  # bounds on the width of bins
+#: Bins of a level are 2^STEP times as wide as those of the level below; the highest level has one bin.
+STEP, FINEST, HIGHEST = 3, 9, 36
+SPREAD = 8  # rows of a region in all levels of bins, on average, that the finest level is chosen for
 FEW = 500_000  # so many binned regions are broadcast (about 50 bytes each); more are shuffled
+STARTS = 16  # bits of a position in the tile that regions are merged in
 TILE = 1_000_000
 
 
 def fetch(alignments: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
     """Reads that overlap a region, placed unmapped ones by their one base."""
-    return alignments.filter(overlaps_region(contig, start, stop))
+    found = with_span(alignments).filter(overlaps_region(contig, start, stop))
+    return found.select(*alignments.columns)
 
 
 def unplaced(alignments: DataFrame) -> DataFrame:
@@ -41,20 +45,50 @@ def clamp_regions(regions: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:
-    """Overlapping and touching regions of a contig become one."""
-    order = Window.partitionBy("contig").orderBy("start", "stop")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("stop").over(before)
-    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
+    """Overlapping and touching regions of a contig become one.
+
+    In two levels: regions are merged in tiles of their starts, of which there are at most 2^STARTS in a tile; then a
+    row a tile tells how far the tiles before it reach and which merged region is open there.
+    """
+    inside = Window.partitionBy("contig", "tile").orderBy("start")
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
         regions.filter("start < stop")
-        .withColumn("opens", opens)
-        .withColumn("island", island)
-        .groupBy("contig", "island")
+        .groupBy("contig", F.col("start").cast("long").alias("start"))
+        .agg(F.max(F.col("stop").cast("long")).alias("stop"))
+        .withColumn("tile", F.shiftright("start", STARTS))
+    )
+    reach = F.max("stop").over(upto)
+    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    islands = (
+        starts.withColumn("opens", opens)
+        .withColumn("island", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("contig", "tile", "island")
         .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-        .drop("island")
     )
+    islands = written(islands, "islands")
+    before = Window.partitionBy("contig").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)  # a row a tile
+    tiles = islands.groupBy("contig", "tile").agg(F.max("stop").alias("stop"), F.max("start").alias("last"))
+    tiles = tiles.withColumn("reached", F.max("stop").over(before))
+    # the last island of a tile opens a region unless the tiles before reach over it
+    opened = F.when(F.col("reached").isNull() | (F.col("last") > F.col("reached")), F.col("last"))
+    tiles = tiles.withColumn("open", F.last(opened, ignorenulls=True).over(before))
+    apart = F.col("reached").isNull() | (F.col("start") > F.col("reached"))
+    return (
+        islands.join(tiles.select("contig", "tile", "reached", "open"), ["contig", "tile"])
+        .groupBy("contig", F.when(apart, F.col("start")).otherwise(F.col("open")).alias("start"))
+        .agg(F.max("stop").alias("stop"))
+    )
+
+
+def _ended(merged: DataFrame) -> DataFrame:
+    """Merged regions with the end of the one before them on the contig (-1 before the first), tile by tile."""
+    tiled = written(merged.withColumn("tile", F.shiftright("start", STARTS)), "merged")
+    before = Window.partitionBy("contig").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)  # a row a tile
+    tiles = tiled.groupBy("contig", "tile").agg(F.max("stop").alias("most")).withColumn("reached", F.max("most").over(before))
+    inside = F.lag("stop").over(Window.partitionBy("contig", "tile").orderBy("start"))
+    found = tiled.join(tiles.drop("most"), ["contig", "tile"])
+    return found.withColumn("_ended", F.coalesce(inside, "reached", F.lit(-1))).drop("tile", "reached")
 
 
 def tile_regions(regions: DataFrame, width: int = TILE) -> DataFrame:
@@ -85,50 +119,71 @@ def contig_windows(contigs: DataFrame, width: int = TILE) -> DataFrame:
     return tile_regions(every, width)
 
 
-def _bins(start: Column, stop: Column, width: int) -> Column:
-    shift = width.bit_length() - 1
-    return F.explode(F.sequence(F.shiftright(start, shift), F.shiftright(stop - 1, shift)))
+def _levels(finest: int) -> list[int]:
+    return [*range(finest, HIGHEST, STEP), HIGHEST]
 
 
-def overlap_join(alignments: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
+def _bin(level: Column, number: Column) -> Column:
+    return F.shiftleft(level.cast("long"), 48).bitwiseOR(number)
+
+
+def smallest_bin(start: Column, stop: Column, finest: int) -> Column:
+    """The number of the smallest bin that holds [start, stop)."""
+    found = F.lit(None).cast("long")
+    for shift in reversed(_levels(finest)):
+        low = F.shiftright(start, shift)
+        found = F.when(low == F.shiftright(stop - 1, shift), _bin(F.lit(shift), low)).otherwise(found)
+    return found
+
+
+def met_bins(start: Column, stop: Column, finest: int) -> Column:
+    """Numbers of all bins, of every level, that [start, stop) meets."""
+
+    def of_level(shift: int) -> Column:
+        numbers = F.sequence(F.shiftright(start, shift), F.shiftright(stop - 1, shift))
+        return F.transform(numbers, lambda k: _bin(F.lit(shift), k))
+
+    return F.concat(*map(of_level, _levels(finest)))
+
+
+def overlap_join(alignments: DataFrame, regions: DataFrame, finest: int | None = None) -> DataFrame:
     """Alignments with each region (contig, start, stop, others) that they overlap.
 
-    Both sides are binned and meet on (contig, bin), an equi-join that Spark can shuffle and split; a pair that
-    shares several bins is kept in the first only. Bins are about as wide as a region is on average (width: a
-    power of two). Regions are written and counted: few are broadcast, many are shuffled, and reads are never
-    the broadcast side. Region columns named like alignment columns must be renamed before.
+    Bins are nested. A read has one row, with the smallest bin that holds it; a region has a row for each bin that it
+    meets in each level. They meet on (contig, bin), an equi-join that Spark can shuffle and split, and a pair in one
+    bin only. So a read is never repeated, however long it is. The finest bins (2^finest wide) are the narrowest with
+    which regions have about SPREAD rows on average. Regions are written and counted: few are broadcast, many are
+    shuffled, and reads are never the broadcast side. Region columns named like alignment columns must be renamed before.
     """
     whole = [F.col(c).cast("long").alias(c) if c in ("start", "stop") else F.col(c) for c in regions.columns]
     regions = written(regions.filter("start < stop").select(*whole), "regions")
-    size = regions.agg(F.count("*").alias("n"), F.avg(F.col("stop") - F.col("start")).alias("length")).first()
-    if width is None:
-        width = min(WIDE, max(NARROW, 1 << int(size.length or 1).bit_length() - 1))
-    reads = alignments.filter((F.col("reference_start") >= 0) & (F.col("reference_id") >= 0)).withColumn(
-        "_end", span_end()
-    )
-    binned = reads.withColumn("_bin", _bins(F.col("reference_start"), F.col("_end"), width))
-    spread = regions.withColumn("_rbin", _bins(F.col("start"), F.col("stop"), width))
-    binned_regions = size.n * (1 + int((size.length or 0) / width))
-    spread = F.broadcast(spread) if binned_regions <= FEW else spread.hint("merge")
+    size = regions.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("length")).first()
+    length = int(size.length or 0)
+    if finest is None:
+        finest = max(FINEST, (length // (SPREAD * size.n + FEW // SPREAD)).bit_length())
+    reads = with_span(alignments).filter((F.col("reference_start") >= 0) & (F.col("reference_id") >= 0))
+    binned = reads.withColumn("_bin", smallest_bin(F.col("reference_start"), F.col("span_end"), finest))
+    spread = regions.withColumn("_rbin", F.explode(met_bins(F.col("start"), F.col("stop"), finest)))
+    rows = 2 * len(_levels(finest)) * size.n + 2 * (length >> finest)  # at most
+    spread = F.broadcast(spread) if rows <= FEW else spread.hint("merge")
     meets = (
         (F.col("reference_name") == F.col("contig"))
         & (F.col("_bin") == F.col("_rbin"))
         & (F.col("reference_start") < F.col("stop"))
-        & (F.col("_end") > F.col("start"))
+        & (F.col("span_end") > F.col("start"))
     )
-    owner = F.col("_bin") == F.shiftright(F.greatest(F.col("reference_start"), F.col("start")), width.bit_length() - 1)
-    return binned.join(spread, meets & owner).drop("_bin", "_rbin", "_end")
+    joined = binned.join(spread, meets)
+    return joined.select(*alignments.columns, *[c for c in regions.columns])
 
 
-def overlapping_any(alignments: DataFrame, regions: DataFrame, width: int | None = None) -> DataFrame:
+def overlapping_any(alignments: DataFrame, regions: DataFrame, finest: int | None = None) -> DataFrame:
     """Reads that overlap at least one region, once each (a semi-join).
 
     Merged regions do not touch, so the first that a read meets is the one whose predecessor ends at or
     before the read's start: that one owns the read, and no distinct is needed.
     """
-    merged = merge_regions(regions.select("contig", "start", "stop"))
-    ended = F.lag("stop").over(Window.partitionBy("contig").orderBy("start"))
-    joined = overlap_join(alignments, merged.withColumn("_ended", F.coalesce(ended, F.lit(-1))), width)
+    merged = _ended(merge_regions(regions.select("contig", "start", "stop")))
+    joined = overlap_join(alignments, merged, finest)
     return joined.filter(F.col("_ended") <= F.col("reference_start")).drop("contig", "start", "stop", "_ended")
 
 

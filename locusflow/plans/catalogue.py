@@ -7,7 +7,6 @@ way to the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +53,8 @@ def _depth(contig: str, start: int, stop: int) -> str:
 
 
 def region_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.fetch(D.alignments(spark, sf_dir), *REGION).select(
-        "query_name", "flag", "reference_start", A.span_end().alias("span_end")
+    return G.fetch(A.with_span(D.alignments(spark, sf_dir)), *REGION).select(
+        "query_name", "flag", "reference_start", "span_end"
     )
 
 
@@ -111,15 +110,10 @@ def pileup_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def every_contig(statistic: Callable[..., DataFrame], **options) -> Query:
-    """A statistic over the whole of all contigs, so over all reads."""
+    """A statistic over the whole of all contigs, so over all reads, in one pass."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        reads = D.alignments(spark, sf_dir)
-        parts = [
-            statistic(reads, name, 0, D.CONTIG_LENGTH, **options).select(F.lit(name).alias("contig"), "*")
-            for name in D.CONTIGS
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        return statistic(D.alignments(spark, sf_dir), D.contigs(spark), **options)
 
     return run
 
@@ -133,7 +127,7 @@ def contig_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.merge_regions(D.regions(spark))
+    return G.merge_regions(D.order_regions(spark, sf_dir))
 
 
 def tile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +166,7 @@ def recount_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_sites(D.site_lines(spark))
+    return parse_sites(D.part_site_lines(spark, sf_dir))
 
 
 def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,12 +245,12 @@ QUERIES: dict[str, Query] = {
     "count_coverage_nofilter": count_coverage_all,
     "pileup_counts": pileup_counts,
     "pileup_filtered": pileup_filtered,
-    "depth_profile_contigs": every_contig(S.depth),
-    "depth_blocks_contigs": every_contig(S.depth_blocks),
-    "count_coverage_contigs": every_contig(S.count_coverage),
-    "count_coverage_nofilter_contigs": every_contig(S.count_coverage, quality_threshold=0, read_callback="nofilter"),
-    "pileup_counts_contigs": every_contig(S.pileup_counts),
-    "pileup_filtered_contigs": every_contig(S.pileup_counts, min_base_quality=13, min_mapping_quality=10),
+    "depth_profile_contigs": every_contig(S.depth_contigs),
+    "depth_blocks_contigs": every_contig(S.depth_blocks_contigs),
+    "count_coverage_contigs": every_contig(S.count_coverage_contigs),
+    "count_coverage_nofilter_contigs": every_contig(S.count_coverage_contigs, quality_threshold=0, read_callback="nofilter"),
+    "pileup_counts_contigs": every_contig(S.pileup_counts_contigs),
+    "pileup_filtered_contigs": every_contig(S.pileup_counts_contigs, min_base_quality=13, min_mapping_quality=10),
     "flag_summary": flag_summary,
     "contig_summary": contig_summary,
     "merge_regions": merge_regions,
@@ -279,9 +273,13 @@ QUERIES: dict[str, Query] = {
 }
 
 _IN = "reference_name = '{0}' and reference_start < {2} and reference_start + ({3}) > {1}".format(*REGION, _SPAN)
-_MERGED = f"""r as ({D.REGIONS_SQL}), o as (select *, case when start <= max(stop) over (partition by contig order by start, stop rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from r),
+def _merged(regions: str) -> str:
+    return f"""r as (select * from ({regions}) x where start < stop), o as (select *, case when start <= max(stop) over (partition by contig order by start, stop rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from r),
  i as (select *, sum(opens) over (partition by contig order by start, stop rows unbounded preceding) as island from o),
  m as (select contig, min(start) as start, max(stop) as stop from i group by contig, island)"""
+
+
+_MERGED = _merged(D.REGIONS_SQL)
 _HITS = f"reference_name = contig and reference_start < stop and reference_start + ({_SPAN}) > start"
 _NAMES = "select read_id as query_name"
 _OPS = {
@@ -349,7 +347,7 @@ ORACLE_SQL: dict[str, str] = {
         f"cast(count(case when (flag & {m}) <> 0 then 1 end) as bigint) as {f[3:] if f.startswith('is_') else f}" for f, m in A.FLAGS.items()
     ) + " from a",
     "contig_summary": f"with {_READS} select reference_id, reference_name, count(case when (flag & 4) = 0 then 1 end) as mapped, count(case when (flag & 4) <> 0 then 1 end) as unmapped from a group by all",
-    "merge_regions": f"with {_MERGED} select * from m",
+    "merge_regions": f"with {_merged(D.ORDER_REGIONS_SQL)} select * from m",
     "tile_counts": f"""with {_READS}, t as (select concat('ctg', cast(c as string)) as contig, s * 1000 as start, least(s * 1000 + 1000, {D.CONTIG_LENGTH}) as stop from range(3) x(c), range({-(-D.CONTIG_LENGTH // 1000)}) y(s))
       select contig, start, stop, cast(count(read_id) as bigint) as reads from t left join a on {_HITS} group by all""",
     "region_join": f"with {_READS}, r as ({D.REGIONS_SQL}) {_NAMES}, region_id from a join r on {_HITS}",
@@ -359,7 +357,7 @@ ORACLE_SQL: dict[str, str] = {
     "recount_min_alt": _sites(5, 0) + ' select site_idx, chrom, pos0 + 1 as pos, "DP", "ALT_COUNT", case when "DP" > 0 then cast("ALT_COUNT" as double) / "DP" else 0.0 end as "AF" from f where "ALT_COUNT" >= 2',
     "recount_lines": _sites(0, 10) + """ select 2 * site_idx + 2 as site_idx, concat_ws(chr(9), 's1', chrom, pos0 + 1, ref, "A", "C", "G", "T", "N", "DP", "ALT_COUNT",
       printf('%.6f', case when "DP" > 0 then cast("ALT_COUNT" as double) / "DP" else 0.0 end), alt) as value from f""",
-    "sites_text": f"select cast(2 * site_idx + 2 as bigint) as site_idx, chrom, pos0, ref, alt from ({D.SITES_SQL}) s",
+    "sites_text": f"select 2 * site_idx + 2 as site_idx, chrom, pos0, ref, alt from ({D.PART_SITES_SQL}) s",
     "record_lines": f"""with {_READS} select concat('{{"query_name":"', read_id, '","flag":', flag, ',"reference_id":', reference_id, ',"reference_name":"', reference_name,
       '","reference_start":', reference_start, ',"mapping_quality":', mapping_quality, ',"cigar":', case when cigar is null then 'null' else concat('"', cigar, '"') end,
       ',"query_sequence":"', query_sequence, '","next_reference_id":-1,"next_reference_start":-1,"template_length":', k - 3,

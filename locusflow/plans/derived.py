@@ -66,6 +66,33 @@ def regions(spark: SparkSession) -> DataFrame:
 REGIONS_SQL = "select cast(id as int) as region_id, concat('ctg', cast(id % 3 as string)) as contig, id * 97 % 19500 as start, id * 97 % 19500 + 1 + id * 7 % 900 as stop from range(200) t(id)"
 
 
+#: Regions of orders, many of which overlap or touch.
+ORDER_REGIONS_SQL = """
+select concat('ctg', cast(o_custkey % 3 as string)) as contig, cast((o_orderkey * 9973) % 50000000 as bigint) as start,
+ cast((o_orderkey * 9973) % 50000000 + o_custkey % 1700 as bigint) as stop
+from orders
+"""
+
+
+def order_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(ORDER_REGIONS_SQL)
+
+
+#: A site for each part.
+PART_SITES_SQL = """
+select cast(p_partkey as bigint) as site_idx, concat('ctg', cast(p_partkey % 3 as string)) as chrom, cast((p_partkey * 53) % 20000 as bigint) as pos0,
+ substr('ACGT', cast(p_partkey % 4 + 1 as int), cast(1 as int)) as ref, substr('ACGT', cast((p_partkey + 1 + p_size % 3) % 4 + 1 as int), cast(1 as int)) as alt
+from part
+"""
+
+
+def part_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of parts as lines of text (columns line, value), of both kinds, each behind a line that is none."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    return _lines_of(spark, spark.sql(PART_SITES_SQL))
+
+
 def sites(spark: SparkSession) -> DataFrame:
     return spark.range(3 * CONTIG_LENGTH // 50).selectExpr(
         "id as site_idx",
@@ -92,19 +119,23 @@ def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def site_lines(spark: SparkSession) -> DataFrame:
-    """The derived sites as lines of text (columns line, value): a header, comments, blank lines, and sites of both
-    kinds, each behind a line that is none."""
-    every = sites(spark).selectExpr(
+def _lines_of(spark: SparkSession, sites: DataFrame) -> DataFrame:
+    every = sites.selectExpr(
         "2 * site_idx + 2 as line",
         "case when site_idx % 2 = 0 then concat_ws('\t', chrom, cast(pos0 as string), cast(pos0 + 1 as string), concat(ref, '>', alt)) "
         "else concat_ws('\t', chrom, cast(pos0 + 1 as string), ref, alt) end as value",
     )
-    other = spark.range(3 * CONTIG_LENGTH // 50).selectExpr("2 * id + 1 as line", "case when id % 3 = 0 then '# x' else '  ' end as value")
+    other = sites.selectExpr("2 * site_idx + 1 as line", "case when site_idx % 3 = 0 then '# x' else '  ' end as value")
     head = spark.range(1).selectExpr("0L as line", "'chrom\tpos\tref\talt' as value")
     return every.unionByName(other).unionByName(head)
 
 
+def site_lines(spark: SparkSession) -> DataFrame:
+    """The derived sites as lines of text (columns line, value): a header, comments, blank lines, and sites of both
+    kinds, each behind a line that is none."""
+    return _lines_of(spark, sites(spark))
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived reads with a mate and tags, as a file has them."""
     value = "named_struct('type', {0}, 'i', cast({1} as bigint), 'f', cast(null as float), 's', {2}, 'ia', {3}, 'fa', cast(null as array<float>))"

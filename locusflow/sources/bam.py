@@ -1,6 +1,7 @@
 """BAM files as a Python data source.
 
-``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``
+``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``, or filters on
+reference_name, reference_start and span_end.
 
 With an index (.bai or .csi) beside the file, partitions are runs of virtual offsets at which records are
 known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records. Without
@@ -18,16 +19,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
+)
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.alignments import ALIGNMENTS, CIGAR_OPS
+from ..functions.alignments import ALIGNMENTS, CIGAR_OPS, ON_REFERENCE
 from .bgzf import BgzfReader, open_file
 from .boundaries import BamShape, first_record, ranges
 
 _LETTERS = "=ACMGRSVTWYHKDBN"
 _PAIRS = np.frombuffer("".join(a + b for a in _LETTERS for b in _LETTERS).encode(), np.uint8).reshape(256, 2)
 _OPS = np.frombuffer(CIGAR_OPS.encode().ljust(16, b"?"), np.uint8)
+_ON_REFERENCE = np.array([c in ON_REFERENCE for c in CIGAR_OPS.ljust(16, "?")])
 #: The fixed part of a record, behind its size.
 _FIXED = np.dtype(
     [
@@ -108,6 +112,20 @@ def decode_tags(data: bytes, at: int) -> dict:
     return out
 
 
+def tag_places(raw: np.ndarray, at: int, end: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """Name, type and place of the value of each tag of a record."""
+    while at < end:
+        name, kind, at = raw[at : at + 2].tobytes(), raw[at + 2 : at + 3].tobytes(), at + 3
+        yield name, kind, at
+        if kind in b"ZH":
+            at += int(np.flatnonzero(raw[at:end] == 0)[0]) + 1
+        elif kind == b"B":
+            size = struct.calcsize(_NUMBERS[chr(raw[at])])
+            at += 5 + size * int.from_bytes(raw[at + 1 : at + 5].tobytes(), "little")
+        else:
+            at += 1 if kind == b"A" else struct.calcsize(_NUMBERS[kind.decode()])
+
+
 def _within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """0, 1, .. for each length, one after another, and the offsets of each (one more at the end)."""
     offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -143,6 +161,23 @@ def _cigars(raw: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     return out, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
 
+def _long_cigars(
+    raw: np.ndarray, at_ops: np.ndarray, n_ops: np.ndarray, l_seq: np.ndarray, at_tags: np.ndarray, ends: np.ndarray
+) -> dict[int, tuple[int, int]]:
+    """Of reads with more operations than a record's field can count: place and number of those in their tag CG. Their
+    records hold two instead, which clip the whole read and skip the whole span."""
+    two = np.flatnonzero((n_ops == 2) & (l_seq > 0))
+    if not len(two):
+        return {}
+    ops = raw[at_ops[two][:, None] + np.arange(8)].reshape(-1).view("<u4").reshape(-1, 2).astype(np.int64)
+    found = {}
+    for k in two[(ops[:, 0] == l_seq[two] << 4 | 4) & (ops[:, 1] & 15 == 3)].tolist():
+        for name, kind, at in tag_places(raw, int(at_tags[k]), int(ends[k])):
+            if name == b"CG" and kind == b"B" and int(raw[at]) in b"iI":
+                found[k] = at + 5, int.from_bytes(raw[at + 1 : at + 5].tobytes(), "little")
+    return found
+
+
 def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str], want: frozenset[str]) -> pa.RecordBatch:
     """The rows of the records that begin at ``at`` (their sizes) in plain bytes; columns not wanted are null."""
     form = to_arrow_schema(ALIGNMENTS)
@@ -152,6 +187,9 @@ def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str
     at_ops = at + _FIXED.itemsize + l_name
     at_seq = at_ops + 4 * n_ops
     at_qual = at_seq + (l_seq + 1) // 2
+    long = _long_cigars(raw, at_ops, n_ops, l_seq, at_qual + l_seq, at + 4 + fixed["size"])
+    for k, (place, count) in long.items():
+        at_ops[k], n_ops[k] = place, count
     mapped = (n_ops > 0) & (fixed["flag"] & 4 == 0)
     placed = fixed["ref"] >= 0
     columns: dict[str, pa.Array] = {
@@ -169,6 +207,11 @@ def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str
         columns["query_name"] = _texts(*_slices(raw, at + _FIXED.itemsize, l_name - 1))
     if "cigar" in want:
         columns["cigar"] = _texts(*_cigars(raw, at_ops, np.where(mapped, n_ops, 0)), ~mapped)
+    if "span_end" in want:
+        packed, edges = _slices(raw, at_ops, 4 * np.where(mapped, n_ops, 0))
+        ops = packed.view("<u4")
+        taken = np.append(0, np.cumsum(np.where(_ON_REFERENCE[ops & 15], ops >> 4, 0).astype(np.int64)))[edges // 4]
+        columns["span_end"] = pa.array(fixed["pos"] + np.maximum(1, np.diff(taken)))
     if "query_sequence" in want:
         packed, _ = _slices(raw, at_seq, (l_seq + 1) // 2)
         letters = _PAIRS[packed].reshape(-1)
@@ -183,8 +226,8 @@ def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str
     if "tags" in want:
         data, ends = raw.tobytes(), (at + 4 + fixed["size"]).tolist()
         found = [
-            [(k, dict(zip(_FIELDS, v))) for k, v in decode_tags(data[a:b], 0).items()]
-            for a, b in zip((at_qual + l_seq).tolist(), ends)
+            [(t, dict(zip(_FIELDS, v))) for t, v in decode_tags(data[a:b], 0).items() if t != "CG" or k not in long]
+            for k, (a, b) in enumerate(zip((at_qual + l_seq).tolist(), ends))
         ]
         columns["tags"] = pa.array(found, form.field("tags").type)
     return pa.RecordBatch.from_arrays(
@@ -345,6 +388,23 @@ class BamReader(DataSourceReader):
         self.contig = options.get("contig")
         self.start = int(options["start"]) if "start" in options else 0
         self.stop = int(options["stop"]) if "stop" in options else None
+        self.exact = self.contig is not None  # a region by options, not by filters
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """A contig and bounds on reference_start and span_end choose what is read by the index; Spark filters what
+        comes back, so all filters are returned."""
+        low, high = [], []
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if isinstance(f, EqualTo) and column == ("reference_name",) and self.contig is None:
+                self.contig, self.exact = f.value, False
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and column == ("reference_start",):
+                high.append(f.value + isinstance(f, LessThanOrEqual))
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and column in (("reference_start",), ("span_end",)):
+                low.append(f.value - isinstance(f, GreaterThanOrEqual))
+        if not self.exact:
+            self.start, self.stop = max([0, *low]), max(0, min(high)) if high else None
+        yield from filters
 
     def partitions(self) -> list[BamPartition]:
         with open_file(self.path) as file:
@@ -356,9 +416,12 @@ class BamReader(DataSourceReader):
         if index is None:
             return [BamPartition(a, b, False) for a, b in ranges(size, self.split)]
         if self.contig is not None:
-            if self.contig not in header.names:
+            if self.contig in header.names:
+                begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
+            elif self.exact:
                 raise ValueError(f"unknown contig: {self.contig}")
-            begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
+            else:
+                end = begin
         return [BamPartition(a, b) for a, b in cut(begin, end, index.splits(), self.split)]
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
@@ -374,7 +437,7 @@ class BamReader(DataSourceReader):
                 if begin == end:
                     return
                 end = None if end == size << 16 else end
-            contig = None if self.contig is None else names.index(self.contig)
+            contig = names.index(self.contig) if self.contig in names else None
             for raw, at, offsets in _records(BgzfReader(file, begin), end, not partition.found):
                 ended = False
                 if contig is not None and len(at):
@@ -441,6 +504,7 @@ def register(spark: SparkSession) -> None:
     from ..session import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
 
 

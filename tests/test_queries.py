@@ -1,5 +1,8 @@
 """Every query of the catalogue against its SQL, and regions that merge, tile and batch."""
 
+import random
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -15,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for name in ("lineitem", "part", "events"):
+    for name in ("lineitem", "part", "events", "orders"):
         con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
@@ -61,6 +64,72 @@ def test_merge_and_tiles(spark):
     assert regions.chunk_width(1000, 4, 4) == 63 and regions.chunk_width(0, 1, 1) == 1
 
 
+def _plain_merge(rows):
+    out = []
+    for c, a, b in sorted(r for r in rows if r[1] < r[2]):
+        if out and out[-1][0] == c and a <= out[-1][2]:
+            out[-1] = (c, out[-1][1], max(out[-1][2], b))
+        else:
+            out.append((c, a, b))
+    return out
+
+
+@pytest.mark.parametrize("bits", [2, 6, 16])
+def test_merge_over_tiles(spark, monkeypatch, bits):
+    monkeypatch.setattr(regions, "STARTS", bits)
+    rng = random.Random(bits)
+    for most in (3, 30, 400):
+        rows = [(rng.choice("ab"), a, a + rng.randrange(most)) for a in (rng.randrange(3000) for _ in range(300))]
+        df = spark.createDataFrame(rows, "contig string, start long, stop long")
+        merged = regions.merge_regions(df)
+        want = _plain_merge(rows)
+        assert sorted(map(tuple, merged.collect())) == want
+        ended = {(r.contig, r.start): r._ended for r in regions._ended(merged).collect()}
+        before = {(c, a): want[k - 1][2] if k and want[k - 1][0] == c else -1 for k, (c, a, _) in enumerate(want)}
+        assert ended == before
+    assert regions.merge_regions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_overlaps_of_mixed_widths(spark, monkeypatch, few):
+    monkeypatch.setattr(regions, "FEW", few)
+    rng = random.Random(few)
+    widths = [20, 150, 511, 512, 513, 5000, 100_000, 1_000_000, 10_000_000]
+    place = lambda: rng.choice([rng.randrange(20_000), rng.randrange(1 << 26), (1 << rng.randrange(9, 26)) - rng.randrange(3)])
+    reads = [(f"r{k}", 4 * (k % 29 == 0), k % 2, "ab"[k % 2], place(), f"10M{rng.choice(widths)}N10M") for k in range(400)]
+    reads += [("same", 0, 0, "a", 777, "40M")] * 3 + [("none", 0, -1, None, -1, None), ("odd", 0, 0, "a", 512, None)]
+    spans = [(k, rng.choice("ab"), a, a + rng.choice(widths)) for k, a in enumerate(place() for _ in range(120))] + [(999, "a", 5, 5)]
+    df = spark.createDataFrame(reads, "query_name string, flag int, reference_id int, reference_name string, reference_start long, cigar string")
+    table = spark.createDataFrame(spans, "region_id int, contig string, start long, stop long")
+
+    def end(flag, start, cigar):
+        return start + max(1, 0 if flag & 4 or not cigar else sum(int(n) for n, op in re.findall(r"(\d+)([A-Z])", cigar) if op in "MN"))
+
+    def met(some):
+        return [(n, i) for n, f, ref, c, a, cigar in reads for i, d, s, e in some if ref >= 0 and c == d and a < e and end(f, a, cigar) > s and s < e]
+
+    for finest in (None, 9, 14):
+        joined = regions.overlap_join(df, table, finest)
+        assert joined.columns == [*df.columns, *table.columns]
+        assert sorted((r.query_name, r.region_id) for r in joined.collect()) == sorted(met(spans))
+    merged = [(k, *m) for k, m in enumerate(_plain_merge([s[1:] for s in spans]))]
+    assert sorted(r.query_name for r in regions.overlapping_any(df, table).collect()) == sorted(
+        r[0] for r in reads if any(r[2] >= 0 and r[3] == c and r[4] < e and end(r[1], r[4], r[5]) > s for _, c, s, e in merged))
+    assert sorted(r.query_name for r in regions.multi_fetch(df, table).collect()) == sorted(n for n, _ in met(merged))
+
+
+def test_reads_are_not_repeated_in_joins_and_genomes_take_one_scan(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    for name in ("region_join", "tile_counts", "multi_region_fetch", "region_any_overlap", "region_fetch", "region_count_all"):
+        text = plan(QUERIES[name](spark, SF))
+        assert "regexp_extract_all" not in text and "lambdafunction(cast(regexp" not in text, name
+    for name in sorted(QUERIES):
+        if name.endswith("_contigs") and not name.startswith("depth_blocks"):
+            assert plan(QUERIES[name](spark, SF)).split("Final Plan")[-1].count("FileScan") == 1, name
+
+
 def test_stream_of_tiles(spark, tmp_path):
     rows = spark.createDataFrame(
         [("a", 5, 0), ("a", 1500, 0), ("a", 1600, 4)], "reference_name string, reference_start long, flag int"

@@ -14,13 +14,18 @@ import unicodedata
 import numpy as np
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: what Python takes for them, without numbers that are no digits (as \u00bd and \u2167)."""
-    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
-    return re.compile(f"[^\\W\\d_{''.join(numbers)}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits, as \u00bd and \u2167: Python takes them for letters.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters."""
+    if not text.isascii() and _NUMBERS.search(text):
+        text = _NUMBERS.sub(" ", text)
+    return _LETTERS.findall(text)
 
 
-LETTERS = _letters()
 PIECE = 1 << 19  # bytes hashed at a time, whatever the length of a text
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64

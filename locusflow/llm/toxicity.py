@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._chunks import Memo
 from ._shared import partitions, tune, written
-from ._words import LETTERS, batches
+from ._words import batches, letter_runs
 
 SAMPLE, GRADES = 6000, 4
 PREFIXES = (4, 5, 6)
@@ -51,7 +51,7 @@ def features(word: str) -> tuple[int, ...]:
 
 
 def _of_chunk(chunk: str) -> list[tuple[int, ...]]:
-    return [features(w) for w in LETTERS.findall(chunk.lower())]
+    return [features(w) for w in letter_runs(chunk.lower())]
 
 
 class Model(NamedTuple):

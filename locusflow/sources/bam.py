@@ -1,7 +1,9 @@
 """BAM files as a Python data source.
 
-``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``, or filters on
-reference_name, reference_start and span_end.
+``spark.read.format("bam").option("contig", ..).option("start", ..).option("stop", ..).load(path)``
+
+The region is an option, not a pushed filter: Spark 4.1.2 keeps what a Python source's ``pushFilters`` has chosen with the
+table, so a second scan of the same DataFrame, with other filters or none, would lose rows.
 
 With an index (.bai or .csi) beside the file, partitions are runs of virtual offsets at which records are
 known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records. Without
@@ -19,9 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.alignments import ALIGNMENTS, CIGAR_OPS, ON_REFERENCE
@@ -388,23 +388,6 @@ class BamReader(DataSourceReader):
         self.contig = options.get("contig")
         self.start = int(options["start"]) if "start" in options else 0
         self.stop = int(options["stop"]) if "stop" in options else None
-        self.exact = self.contig is not None  # a region by options, not by filters
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """A contig and bounds on reference_start and span_end choose what is read by the index; Spark filters what
-        comes back, so all filters are returned."""
-        low, high = [], []
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if isinstance(f, EqualTo) and column == ("reference_name",) and self.contig is None:
-                self.contig, self.exact = f.value, False
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and column == ("reference_start",):
-                high.append(f.value + isinstance(f, LessThanOrEqual))
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and column in (("reference_start",), ("span_end",)):
-                low.append(f.value - isinstance(f, GreaterThanOrEqual))
-        if not self.exact:
-            self.start, self.stop = max([0, *low]), max(0, min(high)) if high else None
-        yield from filters
 
     def partitions(self) -> list[BamPartition]:
         with open_file(self.path) as file:
@@ -416,12 +399,9 @@ class BamReader(DataSourceReader):
         if index is None:
             return [BamPartition(a, b, False) for a, b in ranges(size, self.split)]
         if self.contig is not None:
-            if self.contig in header.names:
-                begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
-            elif self.exact:
+            if self.contig not in header.names:
                 raise ValueError(f"unknown contig: {self.contig}")
-            else:
-                end = begin
+            begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
         return [BamPartition(a, b) for a, b in cut(begin, end, index.splits(), self.split)]
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
@@ -504,7 +484,6 @@ def register(spark: SparkSession) -> None:
     from ..session import ship
 
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
 
 

@@ -58,6 +58,9 @@ def encode(r):
     name, flag, ref, pos, mapq, cigar, seq, qual, nref, npos, size, tags = r
     ops = ops_of(cigar)
     codes = [LETTERS.index(x) for x in seq] + [0] * (len(seq) % 2)
+    if len(ops) > 65535:  # more than the field can count: the operations stand in a tag
+        tags = [*tags, ("CG", "BI", [n << 4 | OPS.index(op) for n, op in ops])]
+        ops = [(len(seq), "S"), (sum(n for n, op in ops if op in "MDN=X"), "N")]
     body = struct.pack(
         "<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(ops), flag, len(seq), nref, npos, size
     )

@@ -6,6 +6,7 @@ from collections import Counter
 
 import files
 import pytest
+from pyspark.sql import functions as F
 
 import locusflow
 from locusflow.api import AlignmentFile
@@ -212,6 +213,51 @@ def _whole(path):
         return reader.tell(), None
 
 
+def test_operations_in_a_tag(spark, tmp_path):
+    rng = random.Random(4)
+    cigar = "".join(f"{rng.randrange(1, 3)}{op}" for _ in range(35_000) for op in ("M", rng.choice("DIN=X")))
+    size = sum(n for n, op in files.ops_of(cigar) if op in "MIS=X")
+    whole = ("long", 0, 0, 100, 9, cigar, "".join(rng.choice("ACGT") for _ in range(size)), [30] * size, -1, -1, 0, [("NM", "C", 3), ("ZB", "Bs", [1, -2])])
+    fake = ("fake", 0, 0, 120, 9, "4S30N", "ACGT", [30] * 4, -1, -1, 0, [("CH", "BI", [64]), ("ZZ", "Z", "CGBI")])  # looks so, has no tag
+    both = [whole, fake, ("plain", 0, 0, 130, 9, "20M", "A" * 20, [30] * 20, -1, -1, 0, [("CG", "BI", [16])])]
+    path = str(tmp_path / "long.bam")
+    files.write_bam(path, both, (("alpha", 300_000),))
+    f = AlignmentFile(path, spark=spark)
+    got = list(f)
+    assert [x.cigarstring for x in got] == [r[5] for r in both]
+    assert got[0].tags.keys() == {"NM", "ZB"} and set(got[2].tags) == {"CG"} and [x.reference_end for x in got] == [files.span(r)[1] for r in both]
+    n = Counter(p for r in both for p, _ in files.blocks(r))
+    stop = files.span(whole)[1]
+    assert f.depth_numpy("alpha", 90, stop + 5).tolist() == [n[p] for p in range(90, stop + 5)]
+    assert [f.count("alpha", a, a + 1) for a in (99, 100, stop - 1, stop)] == [0, 1, 1, 0]
+    pile = f.pileup_counts("alpha", 100, 200)
+    want = Counter((p, whole[6][q]) for p, q in files.blocks(whole)) + Counter((p, "A") for p, _ in files.blocks(both[2]))
+    assert all(pile[c].tolist() == [want[p, c] for p in range(100, 200)] for c in "ACGT")
+
+
+@pytest.mark.parametrize("index", ["bai", "csi", None])
+def test_regions_by_options_and_by_filters(spark, tmp_path, index):
+    rows = [(f"r{k}", 0, int(k >= 300), k % 300 * 700, 9, "10M", "ACGTACGTAC", [30] * 10, -1, -1, 0, []) for k in range(400)]
+    rows.insert(200, ("wide", 0, 0, 139_400, 9, "5M60000N5M", "ACGTACGTAC", [30] * 10, -1, -1, 0, []))
+    path = str(tmp_path / "big.bam")
+    files.write_bam(path, rows, (("alpha", 300_000), ("beta", 300_000)), block=400, index=index)
+    bam.register(spark)
+    c = F.col
+    whole = spark.read.format("bam").option("split", "100").load(path)
+    for name, start, stop in (("alpha", 190_000, 200_000), ("beta", 0, 1400), ("alpha", 0, 1), ("gamma", 0, 10)):
+        want = [r[0] for r in rows if ["alpha", "beta"][r[2]] == name and r[3] < stop and files.span(r)[1] > start]
+        asked = whole.filter((c("reference_name") == name) & (c("reference_start") < stop) & (c("span_end") > start))
+        assert [r.query_name for r in asked.select("query_name", "reference_name", "reference_start", "span_end").collect()] == want
+        assert [r.query_name for r in regions.fetch(whole, name, start, stop).collect()] == want
+        if index and name != "gamma":
+            part = spark.read.format("bam").options(split=100, contig=name, start=start, stop=stop).load(path)
+            assert [r.query_name for r in regions.fetch(part, name, start, stop).collect()] == want
+            assert part.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    late = whole.filter((c("reference_name") == "alpha") & (c("reference_start") >= 200_000) & (c("reference_start") <= 207_000))
+    assert [r.query_name for r in late.collect()] == [r[0] for r in rows if r[2] == 0 and 200_000 <= r[3] <= 207_000]
+    assert whole.filter(c("reference_start") < 700).count() == 2 and whole.count() == 401
+
+
 def test_json_lines_with_their_header(spark, small, tmp_path):
     header = bam.header_of(small.filename)
     dump.write_json_lines(small.dataframe(), str(tmp_path / "out"), header)

@@ -127,6 +127,11 @@ class AlignmentFile:
         self._ready("reading records")
         return bam.read_bam(self._spark, self.filename, columns=columns)
 
+    def unplaced_df(self) -> DataFrame:
+        """Reads without a contig, which stand at the file's end."""
+        self._ready("reading records")
+        return bam.read_unplaced(self._spark, self.filename)
+
     def _scan(self, region, *columns: str) -> DataFrame:
         return bam.read_bam(self._spark, self.filename, *region, columns=list(columns) or None)
 
@@ -314,12 +319,14 @@ class VariantFile:
             raise ValueError("I/O operation on a closed file")
         return vcf.parse(vcf.read_lines(self._spark, self.filename, *region))
 
-    def _declared(self, key: str) -> tuple[str, str]:
-        return self.header.info.get(key) or vcf.RESERVED.get(key, ("1", "String"))
+    def typed_dataframe(self, *region) -> DataFrame:
+        """The same with ``info`` as a struct of typed values, and ``more_info`` for keys that nothing declares."""
+        return vcf.with_typed_info(self.dataframe(*region), self.header)
 
     def _records(self, df: DataFrame) -> Iterator[VariantRecord]:
-        for r in df.toLocalIterator():
-            info = {k: vcf.value_of(v, *self._declared(k)) for k, v in sorted(r["info"].items())}
+        for r in vcf.with_typed_info(df, self.header).toLocalIterator():
+            typed = {k: tuple(v) if isinstance(v, list) else v for k, v in r["info"].asDict().items() if v is not None}
+            info = dict(sorted({**typed, **r["more_info"]}.items()))
             yield VariantRecord(
                 r["chrom"], r["pos"], r["start"], r["stop"], r["id"], r["ref"], tuple(r["alts"]), r["qual"],
                 list(r["filter"]), list(r["format"]), info, Samples(self.header.samples, r["samples"]),

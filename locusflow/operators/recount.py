@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alignments import MASK_PILEUP, allele_frequency, has_flag, passes
+from ..sources.lines import write_lines
 from ..storage import written
 from .pileups import TILE, base_sums, counts_at
 from .stats import depth_of
@@ -62,11 +63,6 @@ def tsv_line() -> Column:
 
 
 def to_tsv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Writes the lines in site order, each file with a header."""
-    (
-        rows.orderBy("site_idx")
-        .withColumn("AF", F.format_string("%.6f", "AF"))
-        .select(*OUTPUT)
-        .write.mode(mode)
-        .csv(path, sep="\t", header=True, quote="", emptyValue="")
-    )
+    """Writes the lines in site order behind one header, in parts that follow each other."""
+    lines = rows.orderBy("site_idx").select(tsv_line().alias("value"))
+    write_lines(lines, path, "\t".join(OUTPUT), mode)

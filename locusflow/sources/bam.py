@@ -8,7 +8,8 @@ table, so a second scan of the same DataFrame, with other filters or none, would
 With an index (.bai or .csi) beside the file, partitions are runs of virtual offsets at which records are
 known to begin, of about ``split`` packed bytes, and a region reads only those that can hold its records. Without
 one, the file is cut at any place and each task finds its first record (``boundaries``). A task decodes a chunk of records at a time
-into Arrow columns. ``columns`` (comma-separated) leaves the others undecoded (null). Rows carry ``file_offset``,
+into Arrow columns. ``unplaced`` = true gives the reads without a contig only, from behind the index's last chunk.
+``columns`` (comma-separated) leaves the others undecoded (null). Rows carry ``file_offset``,
 the virtual offset of their record, which restores the order of the file.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.alignments import ALIGNMENTS, CIGAR_OPS, ON_REFERENCE
 from .bgzf import BgzfReader, open_file
 from .boundaries import BamShape, first_record, ranges
+from .tags import Tags
 
 _LETTERS = "=ACMGRSVTWYHKDBN"
 _PAIRS = np.frombuffer("".join(a + b for a in _LETTERS for b in _LETTERS).encode(), np.uint8).reshape(256, 2)
@@ -39,7 +41,6 @@ _FIXED = np.dtype(
         ("flag", "<u2"), ("l_seq", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("length", "<i4"),
     ]
 )
-_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 LOST = "records cannot be told apart where the file is cut: write an index"
 CHUNK, SPLIT = 8 << 20, 32 << 20  # plain bytes decoded at a time, packed bytes of a partition
 
@@ -83,49 +84,6 @@ def header_of(path: str) -> Header:
         return read_header(BgzfReader(file))
 
 
-def decode_tags(data: bytes, at: int) -> dict:
-    """Tag to (type, integer, float, text, integers, floats); arrays have type B and their number type."""
-    out = {}
-    while at < len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        value: list = [kind, None, None, None, None, None]
-        if kind == "A":
-            value[3] = chr(data[at])
-            at += 1
-        elif kind in "ZH":
-            end = data.index(0, at)
-            value[3] = data[at:end].decode()
-            at = end + 1
-        elif kind == "B":
-            code = chr(data[at])
-            n = struct.unpack_from("<i", data, at + 1)[0]
-            form = f"<{n}{_NUMBERS[code]}"
-            value[0] = "B" + code
-            value[5 if code == "f" else 4] = list(struct.unpack_from(form, data, at + 5))
-            at += 5 + struct.calcsize(form)
-        else:
-            form = "<" + _NUMBERS[kind]
-            value[2 if kind == "f" else 1] = struct.unpack_from(form, data, at)[0]
-            at += struct.calcsize(form)
-        out[name] = tuple(value)
-    return out
-
-
-def tag_places(raw: np.ndarray, at: int, end: int) -> Iterator[tuple[bytes, bytes, int]]:
-    """Name, type and place of the value of each tag of a record."""
-    while at < end:
-        name, kind, at = raw[at : at + 2].tobytes(), raw[at + 2 : at + 3].tobytes(), at + 3
-        yield name, kind, at
-        if kind in b"ZH":
-            at += int(np.flatnonzero(raw[at:end] == 0)[0]) + 1
-        elif kind == b"B":
-            size = struct.calcsize(_NUMBERS[chr(raw[at])])
-            at += 5 + size * int.from_bytes(raw[at + 1 : at + 5].tobytes(), "little")
-        else:
-            at += 1 if kind == b"A" else struct.calcsize(_NUMBERS[kind.decode()])
-
-
 def _within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """0, 1, .. for each length, one after another, and the offsets of each (one more at the end)."""
     offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -170,12 +128,10 @@ def _long_cigars(
     if not len(two):
         return {}
     ops = raw[at_ops[two][:, None] + np.arange(8)].reshape(-1).view("<u4").reshape(-1, 2).astype(np.int64)
-    found = {}
-    for k in two[(ops[:, 0] == l_seq[two] << 4 | 4) & (ops[:, 1] & 15 == 3)].tolist():
-        for name, kind, at in tag_places(raw, int(at_tags[k]), int(ends[k])):
-            if name == b"CG" and kind == b"B" and int(raw[at]) in b"iI":
-                found[k] = at + 5, int.from_bytes(raw[at + 1 : at + 5].tobytes(), "little")
-    return found
+    some = two[(ops[:, 0] == l_seq[two] << 4 | 4) & (ops[:, 1] & 15 == 3)]
+    tags = Tags(raw, at_tags[some], ends[some])
+    tags.take((tags.name == int.from_bytes(b"CG")) & np.isin(tags.sub, list(b"iI")))
+    return {int(some[r]): (int(a), int(c)) for r, a, c in zip(tags.row, tags.at, tags.n)}
 
 
 def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str], want: frozenset[str]) -> pa.RecordBatch:
@@ -224,12 +180,11 @@ def decode(raw: np.ndarray, at: np.ndarray, offsets: np.ndarray, names: list[str
         numbers, ends = _slices(raw, at_qual, np.where((l_seq > 0) & (first != 255), l_seq, 0))
         columns["query_qualities"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(numbers.view(np.int8)))
     if "tags" in want:
-        data, ends = raw.tobytes(), (at + 4 + fixed["size"]).tolist()
-        found = [
-            [(t, dict(zip(_FIELDS, v))) for t, v in decode_tags(data[a:b], 0).items() if t != "CG" or k not in long]
-            for k, (a, b) in enumerate(zip((at_qual + l_seq).tolist(), ends))
-        ]
-        columns["tags"] = pa.array(found, form.field("tags").type)
+        tags = Tags(raw, at_qual + l_seq, at + 4 + fixed["size"])
+        tags.drop_repeated()
+        if long:
+            tags.take((tags.name != int.from_bytes(b"CG")) | ~np.isin(tags.row, list(long)))
+        columns["tags"] = tags.column(n, form.field("tags").type)
     return pa.RecordBatch.from_arrays(
         [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in form], schema=form
     )
@@ -388,6 +343,7 @@ class BamReader(DataSourceReader):
         self.contig = options.get("contig")
         self.start = int(options["start"]) if "start" in options else 0
         self.stop = int(options["stop"]) if "stop" in options else None
+        self.unplaced = options.get("unplaced", "false").lower() == "true"
 
     def partitions(self) -> list[BamPartition]:
         with open_file(self.path) as file:
@@ -398,7 +354,9 @@ class BamReader(DataSourceReader):
         index = read_index(self.path)
         if index is None:
             return [BamPartition(a, b, False) for a, b in ranges(size, self.split)]
-        if self.contig is not None:
+        if self.unplaced:  # they stand behind all others
+            begin = max([begin, *(c[1] for bins in index.bins for chunks in bins.values() for c in chunks)])
+        elif self.contig is not None:
             if self.contig not in header.names:
                 raise ValueError(f"unknown contig: {self.contig}")
             begin, end = index.span(header.names.index(self.contig), self.start, self.stop) or (begin, begin)
@@ -427,6 +385,9 @@ class BamReader(DataSourceReader):
                     ended = partition.found and bool(past.any())  # an indexed file is sorted
                     keep = (ref == contig) & ~past
                     at, offsets = at[keep], offsets[keep]
+                if self.unplaced and len(at):
+                    keep = raw[at[:, None] + np.arange(4, 8)].reshape(-1).view("<i4") < 0
+                    at, offsets = at[keep], offsets[keep]
                 if len(at):
                     yield decode(raw, at, offsets, names, self.want)
                 if ended:
@@ -477,9 +438,6 @@ def _records(
         del data[:at]
 
 
-_FIELDS = ("type", "i", "f", "s", "ia", "fa")
-
-
 def register(spark: SparkSession) -> None:
     from ..session import ship
 
@@ -504,3 +462,9 @@ def read_bam(
     if columns is not None:
         reader = reader.option("columns", ",".join(columns))
     return reader.load(path)
+
+
+def read_unplaced(spark: SparkSession, path: str) -> DataFrame:
+    """Reads without a contig; with an index only the file's end is read."""
+    register(spark)
+    return spark.read.format("bam").option("unplaced", "true").load(path)

@@ -20,15 +20,20 @@ SPLIT, BATCH = 32 << 20, 4 << 20  # bytes of a partition (packed) and of a batch
 MEMBER = re.compile(rb"\x1f\x8b\x08\x04.{6}\x06\x00BC\x02\x00(..)", re.S)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a path or URI."""
+    uri = re.sub(r"^file:/(?!/)", "file:///", path)
+    if "://" not in uri and not uri.startswith("/"):
+        from os.path import abspath
+
+        uri = abspath(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
 def open_file(path: str):
     """A seekable file for a path or URI."""
     try:
-        uri = re.sub(r"^file:/(?!/)", "file:///", path)
-        if "://" not in uri and not uri.startswith("/"):
-            from os.path import abspath
-
-            uri = abspath(uri)
-        system, name = fs.FileSystem.from_uri(uri)
+        system, name = place(path)
         return system.open_input_file(name)
     except FileNotFoundError:
         raise

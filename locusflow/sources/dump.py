@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lines import write_lines
+
 TAGS = ("NM", "RG", "MD", "AS", "XS")
 FIELDS = (
     "query_name", "flag", "reference_id", "reference_name", "reference_start", "mapping_quality", "cigar",
@@ -38,7 +40,6 @@ def header_line(header) -> str:
     return json.dumps({"type": "header", "references": header.names, "lengths": header.lengths})
 
 
-def write_json_lines(alignments: DataFrame, path: str, header) -> None:
-    """The header's line, then objects in file order, as text files."""
-    first = alignments.sparkSession.createDataFrame([(-1, header_line(header))], "file_offset long, value string")
-    first.unionByName(json_lines(alignments)).orderBy("file_offset").select("value").write.text(path)
+def write_json_lines(alignments: DataFrame, path: str, header, mode: str = "errorifexists") -> None:
+    """The header's line, then objects in file order, in parts that follow each other."""
+    write_lines(json_lines(alignments).orderBy("file_offset"), path, header_line(header), mode)

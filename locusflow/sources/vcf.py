@@ -6,7 +6,6 @@ import re
 import zlib
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +63,6 @@ def header_of(lines: list[str]) -> VariantHeader:
     return VariantHeader(samples, contigs, lengths, info)
 
 
-def value_of(text: str, number: str, kind: str):
-    """A value of INFO by its declared Number and Type: True, a number or a text, or a tuple of them."""
-    if kind == "Flag":
-        return True
-
-    def one(x: str):
-        if x in (".", ""):
-            return None
-        return int(x) if kind == "Integer" else float(np.float32(x)) if kind == "Float" else x
-
-    return one(text) if number == "1" else tuple(one(x) for x in text.split(","))
-
-
 def read_lines(
     spark: SparkSession, path: str, contig: str | None = None, start: int = 0, stop: int | None = None
 ) -> DataFrame:
@@ -204,6 +190,28 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def with_typed_info(variants: DataFrame, header: VariantHeader) -> DataFrame:
+    """``info`` becomes a struct with a field for each key that the header declares or the format reserves, typed by
+    Number and Type: flags are true or null, of Number 1 one value, of others an array; what is no such number is null.
+    ``more_info`` holds the texts of other keys."""
+    kinds = {"Integer": "int", "Float": "float"}
+    every = {**RESERVED, **header.info}
+
+    def typed(key: str) -> Column:
+        number, kind = every[key]
+        text = F.col("info")[key]
+
+        def one(x: Column) -> Column:
+            return _missing(x).try_cast(kinds.get(kind, "string"))
+
+        if kind == "Flag":
+            return F.when(F.map_contains_key("info", key), F.lit(True))
+        return one(text) if number == "1" else F.transform(F.split(text, ","), one)
+
+    others = F.map_filter("info", lambda k, _: ~k.isin(*every))
+    return variants.withColumn("more_info", others).withColumn("info", F.struct(*[typed(k).alias(k) for k in sorted(every)]))
+
+
 def fetch(variants: DataFrame, contig: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """Records that overlap [start, stop); without stop, up to the contig's end."""
     if stop is not None and start >= stop:

@@ -1,19 +1,26 @@
 """Files, statistics and the facade over generated reads, against plain computations over the same rows."""
 
+import bz2
+import gzip
 import json
+import lzma
 import random
+import struct
 from collections import Counter
 
 import files
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import locusflow
 from locusflow.api import AlignmentFile
-from locusflow.functions.alignments import MASK_ALL, MASK_PILEUP
+from locusflow.functions.alignments import ALIGNMENTS, MASK_ALL, MASK_PILEUP
 from locusflow.functions.coords import Interval, resolve
 from locusflow.operators import regions, stats
 from locusflow.sources import bam, cram, dump
+from locusflow.sources.tags import Tags
 
 LENGTHS = dict(files.CONTIGS)
 NAMES = [n for n, _ in files.CONTIGS]
@@ -258,6 +265,76 @@ def test_regions_by_options_and_by_filters(spark, tmp_path, index):
     assert whole.filter(c("reference_start") < 700).count() == 2 and whole.count() == 401
 
 
+def plain_tags(data):
+    """name: (type, i, f, s, ia, fa)"""
+    out, at = {}, 0
+    codes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+    while at < len(data):
+        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
+        at += 3
+        value = [kind, None, None, None, None, None]
+        if kind in "ZH":
+            end = data.index(0, at)
+            value[3], at = data[at:end].decode(), end + 1
+        elif kind == "A":
+            value[3], at = chr(data[at]), at + 1
+        elif kind == "B":
+            code, (n,) = chr(data[at]), struct.unpack_from("<i", data, at + 1)
+            form = f"<{n}{codes[code]}"
+            value[0], value[5 if code == "f" else 4] = "B" + code, list(struct.unpack_from(form, data, at + 5))
+            at += 5 + struct.calcsize(form)
+        else:
+            value[2 if kind == "f" else 1] = struct.unpack_from("<" + codes[kind], data, at)[0]
+            at += struct.calcsize("<" + codes[kind])
+        out[name] = tuple(value)
+    return out
+
+
+def test_tags_of_many_records_equal_one_at_a_time():
+    rng = random.Random(6)
+    value = {
+        "A": lambda: rng.choice("xY*"), "Z": lambda: rng.choice(["", "text", "x" * 300]), "f": lambda: rng.choice([0.5, -2.0]),
+        "c": lambda: rng.randrange(-128, 128), "C": lambda: 200, "s": lambda: -30000, "S": lambda: 60000, "i": lambda: -(2**31), "I": lambda: 2**32 - 1,
+    }
+    records = []
+    for k in range(300):
+        tags = []
+        for j in range(rng.choice([0, 0, 1, 3, 12])):
+            name = rng.choice([f"T{'abcdefghijkl'[j]}", "NM", "RG"])
+            kind = rng.choice([*value, "B"])
+            if kind == "B":
+                sub = rng.choice("cCsSiIf")
+                tags.append((name, "B" + sub, [value[sub]() for _ in range(rng.choice([0, 1, 7]))]))
+            else:
+                tags.append((name, kind, value[kind]()))
+        records.append(b"".join(files._tag(*t) for t in tags))
+    raw = np.frombuffer(b"\0" + b"".join(records) + b"abc", np.uint8)
+    ends = 1 + np.cumsum([len(x) for x in records])
+    tags = Tags(raw, ends - [len(x) for x in records], ends)
+    tags.drop_repeated()
+    kind = to_arrow_schema(ALIGNMENTS).field("tags").type
+    got = [{name: tuple(v.values()) for name, v in x} for x in tags.column(len(records), kind).to_pylist()]
+    assert got == [plain_tags(x) for x in records]
+    none = Tags(raw, ends[:0], ends[:0])
+    none.drop_repeated()
+    assert none.column(0, kind).to_pylist() == [] and Tags(raw, ends[:2], ends[:2]).column(2, kind).to_pylist() == [[], []]
+
+
+@pytest.mark.parametrize("index", ["bai", "csi", None])
+def test_unplaced_reads_are_read_from_the_end(spark, tmp_path, index):
+    placed = [(f"r{k}", 0, 0, k * 100, 9, "10M", "ACGTACGTAC", [30] * 10, -1, -1, 0, []) for k in range(500)]
+    lost = [(f"u{k}", 4, -1, -1, 0, "", "ACGT", [9] * 4, -1, -1, 0, []) for k in range(30)]
+    path = str(tmp_path / "x.bam")
+    files.write_bam(path, placed + lost, (("alpha", 300_000),), block=500, index=index)
+    f = AlignmentFile(path, spark=spark)
+    assert [r.query_name for r in f.unplaced_df().collect()] == [r[0] for r in lost]
+    if index:
+        reader = bam.BamReader({"path": path, "unplaced": "true"})
+        whole = bam.BamReader({"path": path})
+        at = [r.partitions()[0].begin for r in (whole, reader)]
+        assert at[1] > at[0] and [n for p in reader.partitions() for b in reader.read(p) for n in b["query_name"].to_pylist()] == [r[0] for r in lost]
+
+
 def test_json_lines_with_their_header(spark, small, tmp_path):
     header = bam.header_of(small.filename)
     dump.write_json_lines(small.dataframe(), str(tmp_path / "out"), header)
@@ -276,6 +353,32 @@ def test_cram_is_recognised(spark, tmp_path):
             AlignmentFile(str(tmp_path / "y.cram"), mode, spark=spark)
 
 
+def _itf8(x):
+    if x < 0x80:
+        return bytes([x])
+    if x < 0x4000:
+        return bytes([0x80 | x >> 8, x & 255])
+    return bytes([0xC0 | x >> 16, x >> 8 & 255, x & 255])
+
+
+@pytest.mark.parametrize("major,method", [(3, 0), (3, 1), (2, 1), (3, 2), (3, 3)])
+def test_header_of_a_cram_file(tmp_path, major, method):
+    text = "@HD\tVN:1.6\n@SQ\tSN:alpha\tLN:2600\tM5:x:y\n" + "".join(f"@SQ\tSN:c{k}\tLN:{k + 1}\n" for k in range(900)) + "@RG\tID:lane0\n"
+    plain = struct.pack("<i", len(text)) + text.encode() + b"\0" * 50
+    packed = [bytes, gzip.compress, bz2.compress, lzma.compress][method](plain)
+    crc = b"crc." if major >= 3 else b""
+    block = bytes([method, 0]) + _itf8(0) + _itf8(len(packed)) + _itf8(len(plain)) + packed + crc
+    container = _itf8(0) * 4 + b"\0\0" + _itf8(1) + _itf8(1) + _itf8(0) + crc
+    path = tmp_path / "x.cram"
+    path.write_bytes(b"CRAM" + bytes([major, 0]) + b"name".ljust(20, b"\0") + struct.pack("<i", len(block)) + container + block)
+    header = cram.header_of(str(path))
+    assert header.names[:2] == ["alpha", "c0"] and header.lengths[0] == 2600 and len(header.names) == 901
+    assert header.to_dict()["SQ"][0] == {"SN": "alpha", "LN": 2600, "M5": "x:y"} and header.to_dict()["RG"] == [{"ID": "lane0"}]
+    path.write_bytes(b"CRUM" + bytes(60))
+    with pytest.raises(OSError):
+        cram.header_of(str(path))
+
+
 def test_intervals():
     with pytest.raises(ValueError):
         Interval.of(5, 4)

@@ -143,7 +143,58 @@ def test_output_table(spark, tmp_path):
     n = plain_counts("alpha", p)
     table = spark.createDataFrame([(0, "alpha", p, "A", "A")], "site_idx long, chrom string, pos0 long, ref string, alt string")
     recount.to_tsv(recount.recount(bam.read_bam(spark, path), table, "s").coalesce(1), str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part*")))
     depth = sum(n.values())
     row = ["s", "alpha", p + 1, "A", *[n[c] for c in "ACGTN"], depth, n["A"], f"{n['A'] / depth:.6f}", "A"]
     assert text == "\t".join(recount.OUTPUT) + "\n" + "\t".join(map(str, row)) + "\n"
+
+
+def test_parts_of_a_table_follow_each_other(spark, tmp_path, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rows = [(k, "s", "c", k + 1, "A", *[k % 5] * 5, 5 * (k % 5), k % 5, 0.25, "C") for k in range(3000)]
+    form = "site_idx long, sample string, chrom string, pos long, ref string, A long, C long, G long, T long, N long, DP long, ALT_COUNT long, AF double, alt string"
+    df = spark.createDataFrame(rows, form).repartition(7)
+    out = tmp_path / "out"
+    want = "\t".join(recount.OUTPUT) + "\n" + "".join("\t".join([*map(str, r[1:12]), f"{r[12]:.6f}", r[13]]) + "\n" for r in rows)
+    recount.to_tsv(df, str(out))
+    parts = sorted(x.name for x in out.iterdir())
+    assert len(parts) > 3 and all(x.startswith("part-") for x in parts) and "".join((out / x).read_text() for x in parts) == want
+    with pytest.raises(FileExistsError):
+        recount.to_tsv(df, str(out))
+    recount.to_tsv(df.filter("site_idx < 1000"), f"file://{out}", "overwrite")
+    assert "".join(x.read_text() for x in sorted(out.iterdir())) == "".join(want.splitlines(True)[:1001])
+    recount.to_tsv(df.filter("site_idx >= 1000"), str(out), "append")
+    assert "".join(x.read_text() for x in sorted(out.iterdir())) == want
+    recount.to_tsv(df.limit(0), str(tmp_path / "none"))
+    assert "".join(x.read_text() for x in sorted((tmp_path / "none").iterdir())) == "\t".join(recount.OUTPUT) + "\n"
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    from locusflow.sources.lines import write_lines
+
+    out = tmp_path / "out"
+    df = spark.range(100, numPartitions=4).selectExpr("if(id = 77, raise_error('bad row'), cast(id as string)) as value")
+    with pytest.raises(Exception, match="bad row"):
+        write_lines(df, str(out), "head")
+    assert not out.exists() or list(out.iterdir()) == []
+
+
+def test_typed_info_over_all_kinds_of_files(spark, tmp_path):
+    from locusflow.api import VariantFile
+
+    found = []
+    for path in files.write_variants(tmp_path):
+        f = VariantFile(path, spark=spark)
+        df = f.typed_dataframe()
+        kinds = {x.name: x.dataType.simpleString() for x in df.schema["info"].dataType}
+        assert (kinds["DP"], kinds["AF"], kinds["NOTE"], kinds["SHIFT"], kinds["FLAT"]) == ("int", "array<float>", "string", "array<int>", "boolean")
+        rare = df.filter("info.AF[0] > 0.1 and info.DP < 200").select("chrom", "pos")
+        found.append(sorted(map(tuple, rare.collect())))
+        assert [(r.info.DP, r.info.SHIFT, r.info.FLAT, r.info.NOTE) for r in df.collect()] == [
+            (v[7]["DP"][0], v[7].get("SHIFT"), True if "FLAT" in v[7] else None, v[7].get("NOTE", [None])[0]) for v in files.VARIANTS]
+    want = sorted((files.CONTIGS[v[0]][0], v[1]) for v in files.VARIANTS if v[7].get("AF", [0])[0] > 0.1 and v[7]["DP"][0] < 200)
+    assert found == [want] * 4 and 0 < len(want) < len(files.VARIANTS)
+    line = "alpha\t5\t.\tA\tC\t.\t.\tDP=x7;AF=0.5,.;ODD=1,2;NS=3\t.\t"
+    row = vcf.with_typed_info(vcf.parse(spark.createDataFrame([(line,)], "value string")), vcf.read_header(files.write_variants(tmp_path)[0])).first()
+    assert row.info.DP is None and row.info.AF == [0.5, None] and row.info.NS == 3 and row.more_info == {"ODD": "1,2"}

@@ -14,16 +14,24 @@ import unicodedata
 import numpy as np
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Numbers that are no digits, as \u00bd and \u2167: Python takes them for letters.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits, as \u00bd and \u2167, which the pattern takes for letters.
+_NUMBERS = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
+_IS_NUMBER = np.zeros(sys.maxunicode + 1, bool)
+_IS_NUMBER[_NUMBERS] = True
 
 
-def letter_runs(text: str) -> list[str]:
-    """Maximal runs of letters."""
-    if not text.isascii() and _NUMBERS.search(text):
-        text = _NUMBERS.sub(" ", text)
-    return _LETTERS.findall(text)
+def no_numbers(text: str) -> str:
+    """The text with a sign that is no letter for each of these numbers."""
+    if text.isascii() or not _IS_NUMBER[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+        return text
+    return text.translate(dict.fromkeys(_NUMBERS, "_"))
+
+
+def words_of(chunks: list[str]) -> list[list[str]]:
+    """The lower-cased runs of letters of each of many pieces without white space."""
+    whole = no_numbers(" ".join(chunks)).split(" ") if chunks else []
+    return [LETTERS.findall(x.lower()) for x in whole]
 
 
 PIECE = 1 << 19  # bytes hashed at a time, whatever the length of a text

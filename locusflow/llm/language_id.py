@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from ._chunks import Memo
 from ._shared import small, tune, written
-from ._words import batches, letter_runs
+from ._words import LETTERS, batches, no_numbers, words_of
 
 SAMPLE, ROUNDS, ALPHA = 1500, 4, 0.5
 LANGUAGES = 128  # of a block
@@ -58,7 +58,7 @@ def vocabulary(file: str) -> list[str]:
     return [
         p
         for p in pieces
-        if p and p == p.lower() and (letter_runs(p.lstrip(_MARK)) == [p.lstrip(_MARK)] or p == _MARK)
+        if p and p == p.lower() and (LETTERS.fullmatch(no_numbers(p.lstrip(_MARK))) or p == _MARK)
         and _MARK not in p[1:]
     ]
 
@@ -195,7 +195,7 @@ class Model:
         return out
 
     def score_chunks(self, chunks: list[str]) -> list[np.ndarray | None]:
-        cut = [letter_runs(x.lower()) for x in chunks]
+        cut = words_of(chunks)
         distinct = sorted({w for words in cut for w in words})
         scores = self.score_words([_MARK + w for w in distinct]).astype(np.float32) if distinct else []
         row = {w: k for k, w in enumerate(distinct)}
@@ -365,7 +365,7 @@ def fit(documents: DataFrame, file: str, sample: int = SAMPLE) -> Model | Models
         seen: Counter = Counter()
         for part in parts:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                seen.update((lang, w) for w in letter_runs(text.lower()))
+                seen.update((lang, w) for w in LETTERS.findall(no_numbers(text.lower())))
         keys = list(seen)
         for k in range(0, len(keys), 50_000):
             part = keys[k : k + 50_000]

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._chunks import Memo
 from ._shared import partitions, tune, written
-from ._words import batches, letter_runs
+from ._words import batches, words_of
 
 SAMPLE, GRADES = 6000, 4
 PREFIXES = (4, 5, 6)
@@ -50,8 +50,8 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(crc32(x.encode("utf-8", "surrogatepass")) for x in names)
 
 
-def _of_chunk(chunk: str) -> list[tuple[int, ...]]:
-    return [features(w) for w in letter_runs(chunk.lower())]
+def _of_chunks(chunks: list[str]) -> Iterator[list[tuple[int, ...]]]:
+    return ([features(w) for w in words] for words in words_of(chunks))
 
 
 class Model(NamedTuple):
@@ -69,8 +69,8 @@ class Model(NamedTuple):
         places = self.places
 
         def compute(chunks: list[str]):
-            for chunk in chunks:
-                words = [[places[f] for f in word if f in places] for word in _of_chunk(chunk)]
+            for found in _of_chunks(chunks):
+                words = [[places[f] for f in word if f in places] for word in found]
                 flat = [j for word in words for j in word]
                 yield (flat, not self.positive.isdisjoint(flat)) if flat else None
 
@@ -121,7 +121,7 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        memo = Memo(lambda chunks: [{f for w in _of_chunk(x) for f in w} for x in chunks], weigh=lambda v: 200 + 60 * len(v))
+        memo = Memo(lambda chunks: [{f for w in x for f in w} for x in _of_chunks(chunks)], weigh=lambda v: 200 + 60 * len(v))
         for part in parts:
             texts, toxic = part.column("text").to_pylist(), part.column("toxic").to_pylist()
             for text, grade in zip(texts, toxic):

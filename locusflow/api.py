@@ -321,10 +321,12 @@ class VariantFile:
 
     def typed_dataframe(self, *region) -> DataFrame:
         """The same with ``info`` as a struct of typed values, and ``more_info`` for keys that nothing declares."""
-        return vcf.with_typed_info(self.dataframe(*region), self.header)
+        if self._closed:
+            raise ValueError("I/O operation on a closed file")
+        return vcf.read_typed(self._spark, self.filename, *region)
 
     def _records(self, df: DataFrame) -> Iterator[VariantRecord]:
-        for r in vcf.with_typed_info(df, self.header).toLocalIterator():
+        for r in df.toLocalIterator():
             typed = {k: tuple(v) if isinstance(v, list) else v for k, v in r["info"].asDict().items() if v is not None}
             info = dict(sorted({**typed, **r["more_info"]}.items()))
             yield VariantRecord(
@@ -333,7 +335,7 @@ class VariantFile:
             )
 
     def __iter__(self) -> VariantFile:
-        self._rows = self._records(self.dataframe())
+        self._rows = self._records(self.typed_dataframe())
         return self
 
     def __next__(self) -> VariantRecord:
@@ -341,19 +343,23 @@ class VariantFile:
             iter(self)
         return next(self._rows)
 
-    def fetch_df(self, contig: str | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
+    def fetch_df(
+        self, contig: str | None = None, start: int | None = None, stop: int | None = None, typed: bool = False
+    ) -> DataFrame:
+        """Records of a region; typed: as in typed_dataframe."""
+        read = self.typed_dataframe if typed else self.dataframe
         if contig is None:
-            return self.dataframe()
+            return read()
         if contig not in self.header.contigs:
             raise ValueError(f"unknown contig: {contig}")
         if any(x is not None and x < 0 for x in (start, stop)):
             raise ValueError("coordinates must not be negative")
         if contig in self.header.lengths:
             region = tuple(resolve(self.header.lengths, contig, start, stop))
-            return vcf.fetch(self.dataframe(*region), *region)
+            return vcf.fetch(read(*region), *region)
         if stop is not None and (start or 0) > stop:
             raise ValueError("start is greater than stop")
-        return vcf.fetch(self.dataframe(contig, start or 0, stop), contig, start or 0, stop)
+        return vcf.fetch(read(contig, start or 0, stop), contig, start or 0, stop)
 
     def fetch(self, contig: str | None = None, start: int | None = None, stop: int | None = None) -> Iterator[VariantRecord]:
-        return self._records(self.fetch_df(contig, start, stop))
+        return self._records(self.fetch_df(contig, start, stop, typed=True))

@@ -5,9 +5,13 @@ The view texts run unchanged in Spark and DuckDB, so every operator over them ha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runs import text_of
+
 CONTIG_LENGTH = 20_100
 CONTIGS = ("ctg0", "ctg1", "ctg2")
 
@@ -37,15 +41,22 @@ from part
 """
 
 
+_QUALITY = np.zeros(256, np.int8)
+_QUALITY[list(b"0123456789abcdef")] = 5 + 2 * np.arange(16)
+
+
+def qualities(digits: pa.Array) -> pa.Array:
+    """A quality for each hexadecimal digit: 5 and twice the digit."""
+    data, offsets = text_of(digits)
+    values = pa.array(_QUALITY[data[offsets[0] : offsets[-1]]])
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), values)
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived reads with the columns of the alignment schema that they have."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
     rows = spark.sql(ALIGNMENTS_SQL)
-    digits = F.lit("0123456789abcdef")
-    quality = F.transform(
-        F.sequence(F.lit(1), F.lit(32)),
-        lambda i: (3 + 2 * F.instr(digits, F.substr("qual_hex", i, F.lit(1)))).cast("tinyint"),
-    )
+    quality = F.arrow_udf(qualities, "array<tinyint>")("qual_hex")
     return rows.withColumn("query_qualities", quality).withColumnRenamed("read_id", "query_name")
 
 

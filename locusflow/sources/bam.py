@@ -376,7 +376,7 @@ class BamReader(DataSourceReader):
                     return
                 end = None if end == size << 16 else end
             contig = names.index(self.contig) if self.contig in names else None
-            for raw, at, offsets in _records(BgzfReader(file, begin), end, not partition.found):
+            for raw, at, offsets in records(BgzfReader(file, begin), end, not partition.found):
                 ended = False
                 if contig is not None and len(at):
                     place = raw[at[:, None] + np.arange(4, 12)].reshape(-1).view("<i4").reshape(-1, 2)
@@ -394,11 +394,11 @@ class BamReader(DataSourceReader):
                     return
 
 
-def _records(
-    reader: BgzfReader, end: int | None, checked: bool = False
+def records(
+    reader: BgzfReader, end: int | None, checked: bool = False, sizes: int = 1
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks of plain bytes, where records begin in them, and the records' virtual offsets, up to an offset. checked:
-    a record that reaches over that offset is an error."""
+    a record that reaches over that offset is an error. sizes: how many sizes stand before a record."""
     data, marks = bytearray(), []  # marks: place in data of a member's first byte, and the member's in the file
     border = None
     blocks = reader.blocks()
@@ -414,7 +414,8 @@ def _records(
                 more = True
                 break
         at, found, size = 0, [], len(data)
-        while at + 4 <= size and (upto := at + 4 + int.from_bytes(data[at : at + 4], "little")) <= size:
+        head = struct.Struct(f"<{sizes}I")
+        while at + head.size <= size and (upto := at + head.size + sum(head.unpack_from(data, at))) <= size:
             found.append(at)
             at = upto
         if found:

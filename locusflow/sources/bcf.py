@@ -1,4 +1,4 @@
-"""BCF files as lines of VCF text, so that both formats share one parser."""
+"""BCF files, as typed columns (``read_columns``) or as lines of VCF text for the parser of both formats."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .bam import LOST, cut, read_index
+from .bam import LOST, cut, read_index, records
 from .bgzf import SPLIT, BgzfReader, open_file
+from .bcf_columns import decode, schema_of
 from .boundaries import BcfShape, first_record, ranges
+from .vcf import header_of
 
 ROWS = 10_000
 
@@ -184,15 +186,10 @@ class _BcfReader(DataSourceReader):
             reader = BgzfReader(file)
             text = _header(reader)
             keys, contigs = _dictionary(text)
-            begin, end = partition.begin, partition.end
-            if not partition.found:
-                shape = BcfShape(len(contigs), max(0, len(text.splitlines()[-1].split("\t")) - 9))
-                first, size = reader.tell(), file.size()
-                begin, end = (first_record(file, shape, first, x, size) for x in (begin, end))
-                if begin > end:
-                    raise OSError(LOST)
-                if begin == end:
-                    return
+            span = self._span(file, reader.tell(), partition, contigs, text)
+            if span is None:
+                return
+            begin, end = span
             reader = BgzfReader(file, begin)
             held: list[str] = []
             while end is None or reader.where() < end:
@@ -203,11 +200,67 @@ class _BcfReader(DataSourceReader):
                 if len(held) == ROWS:
                     yield pa.record_batch([pa.array(held)], names=["value"])
                     held = []
-            if not partition.found and reader.where() > end:
+            if not partition.found and end is not None and reader.where() > end:
                 raise OSError(LOST)
             if held:
                 yield pa.record_batch([pa.array(held)], names=["value"])
 
+    @staticmethod
+    def _span(file, first: int, partition: BcfPartition, contigs: list[str], text: str) -> tuple[int, int | None] | None:
+        """The virtual offsets of a partition's records; None if it has none."""
+        begin, end = partition.begin, partition.end
+        if not partition.found:
+            shape, size = BcfShape(len(contigs), max(0, len(text.splitlines()[-1].split("\t")) - 9)), file.size()
+            begin, end = (first_record(file, shape, first, x, size) for x in (begin, end))
+            if begin > end:
+                raise OSError(LOST)
+            if begin == end:
+                return None
+            end = None if end == size << 16 else end
+        return begin, end
+
+
+class BcfColumns(DataSource):
+    """Records as rows of ``bcf_columns.schema_of`` the file's header."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bcf"
+
+    def schema(self):
+        return schema_of(header_of(header_text(self.options["path"]).splitlines()))
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ColumnReader(dict(self.options))
+
+
+class _ColumnReader(_BcfReader):
+    def read(self, partition: BcfPartition) -> Iterator[pa.RecordBatch]:
+        with open_file(self.path) as file:
+            reader = BgzfReader(file)
+            text = _header(reader)
+            keys, contigs = _dictionary(text)
+            header = header_of(text.splitlines())
+            span = self._span(file, reader.tell(), partition, contigs, text)
+            if span is None:
+                return
+            begin, end = span
+            for raw, at, _ in records(BgzfReader(file, begin), end, not partition.found, 2):
+                if len(at):
+                    yield decode(raw, at, keys, contigs, header)
+
+
+def read_columns(spark: SparkSession, path: str, span: tuple[int, int] | None = None) -> DataFrame:
+    """Records with typed columns; of a run of virtual offsets, if one is given."""
+    from ..session import ship
+
+    ship(spark)
+    spark.dataSource.register(BcfColumns)
+    reader = spark.read.format("bcf")
+    if span is not None:
+        reader = reader.option("begin", str(span[0])).option("end", str(span[1]))
+    return reader.load(path)
+
 
 def read_lines(spark: SparkSession, path: str, span: tuple[int, int] | None = None) -> DataFrame:
     """Records as lines (column value), without the header; of a run of virtual offsets, if one is given."""

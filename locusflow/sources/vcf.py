@@ -71,10 +71,7 @@ def read_lines(
     kind = kind_of(path)
     if kind in ("vcf", "gz"):
         return spark.read.text(path)
-    span = None
-    if contig is not None and (index := read_index(path)) is not None:
-        names = index.names or read_header(path).contigs
-        span = (index.span(names.index(contig), start, stop) if contig in names else None) or (0, 0)
+    span = _span(path, contig, start, stop)
     if kind == "bcf":
         from . import bcf
 
@@ -86,6 +83,26 @@ def read_lines(
     return reader.load(path)
 
 
+def _span(path: str, contig: str | None, start: int, stop: int | None) -> tuple[int, int] | None:
+    """The run of virtual offsets that the index gives for a region; None for the whole file."""
+    if contig is None or (index := read_index(path)) is None:
+        return None
+    names = index.names or read_header(path).contigs
+    return (index.span(names.index(contig), start, stop) if contig in names else None) or (0, 0)
+
+
+def read_typed(
+    spark: SparkSession, path: str, contig: str | None = None, start: int = 0, stop: int | None = None
+) -> DataFrame:
+    """Records with typed ``info``, of the part of the file that can hold a region's, if one is given. A BCF file's values
+    come from its bytes, the others' from text."""
+    if kind_of(path) == "bcf":
+        from . import bcf
+
+        return bcf.read_columns(spark, path, _span(path, contig, start, stop))
+    return with_typed_info(parse(read_lines(spark, path, contig, start, stop)), read_header(path))
+
+
 def head_lines(path: str) -> list[str]:
     """The header's lines, read from the file's start up to the names of the columns."""
     if kind_of(path) == "bcf":

@@ -1,5 +1,8 @@
 """Variant files of four kinds, candidate sites, recounts and the command line."""
 
+import random
+import struct
+
 import files
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from locusflow import cli
 from locusflow.api import VariantFile
 from locusflow.operators import recount
 from locusflow.sources import bam, bgzf, sites, vcf
+from locusflow.sources.bgzf import compress
 
 
 @pytest.fixture(scope="module")
@@ -194,7 +198,78 @@ def test_typed_info_over_all_kinds_of_files(spark, tmp_path):
         assert [(r.info.DP, r.info.SHIFT, r.info.FLAT, r.info.NOTE) for r in df.collect()] == [
             (v[7]["DP"][0], v[7].get("SHIFT"), True if "FLAT" in v[7] else None, v[7].get("NOTE", [None])[0]) for v in files.VARIANTS]
     want = sorted((files.CONTIGS[v[0]][0], v[1]) for v in files.VARIANTS if v[7].get("AF", [0])[0] > 0.1 and v[7]["DP"][0] < 200)
+    rows = [[r.asDict(recursive=True) for r in VariantFile(path, spark=spark).typed_dataframe().collect()] for path in files.write_variants(tmp_path)]
+    assert rows[0] == rows[1] == rows[2] == rows[3]
     assert found == [want] * 4 and 0 < len(want) < len(files.VARIANTS)
     line = "alpha\t5\t.\tA\tC\t.\t.\tDP=x7;AF=0.5,.;ODD=1,2;NS=3\t.\t"
     row = vcf.with_typed_info(vcf.parse(spark.createDataFrame([(line,)], "value string")), vcf.read_header(files.write_variants(tmp_path)[0])).first()
     assert row.info.DP is None and row.info.AF == [0.5, None] and row.info.NS == 3 and row.more_info == {"ODD": "1,2"}
+
+
+def _value(rng, kind, n):
+    """Bytes of a typed value, some of it missing or cut short."""
+    if kind == 7:
+        text = rng.choice([b"", b".", b"deep", b"a,b,.", b"x" * rng.choice([14, 15, 300])])
+        return _head(7, len(text)) + text
+    if kind == 5:
+        bits = [rng.choice([0x7F800001, struct.unpack("<I", struct.pack("<f", rng.choice([0.5, -2.25, 0.1, 1e-7])))[0]]) for _ in range(n)]
+        return _head(5, n) + struct.pack(f"<{n}I", *_cut(rng, bits, 0x7F800002))
+    code, low = {1: ("b", -128), 2: ("h", -32768), 3: ("i", -(2**31))}[kind]
+    values = [low if rng.random() < 0.3 else rng.randrange(-100, 100) for _ in range(n)]
+    return _head(kind, n) + struct.pack(f"<{n}{code}", *_cut(rng, values, low + 1))
+
+
+def _cut(rng, values, end):
+    keep = rng.randrange(1, len(values) + 1) if len(values) > 1 and rng.random() < 0.4 else len(values)
+    return values[:keep] + [end] * (len(values) - keep)
+
+
+def _head(kind, n):
+    return bytes([n << 4 | kind]) if n < 15 else bytes([15 << 4 | kind, 1 << 4 | 2]) + struct.pack("<h", n)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_columns_of_bcf_equal_its_text(spark, tmp_path, seed):
+    from locusflow.sources import bcf
+
+    rng = random.Random(seed)
+    head, _ = files.bcf_bytes()
+    key = {k: i for i, k in enumerate(files.KEYS)}
+    records = []
+    for k in range(400):
+        alts = [rng.choice(["C", "GT", "<DEL>", "*"]) for _ in range(rng.choice([0, 1, 1, 3]))]
+        ref = rng.choice(["A", "ACGT" * 5])
+        chosen = rng.sample(["DP", "AF", "NOTE", "SHIFT", "FLAT", "END"], rng.randrange(6))
+        info = b""
+        for name in chosen:
+            info += _head(1, 1) + bytes([key[name]])
+            info += {"DP": lambda: _value(rng, rng.choice([1, 2, 3]), 1), "AF": lambda: _value(rng, 5, rng.choice([1, 2, 20])),
+                     "NOTE": lambda: _value(rng, 7, 0), "SHIFT": lambda: _value(rng, rng.choice([1, 2, 3]), rng.choice([1, 2])),
+                     "FLAT": lambda: bytes([0]), "END": lambda: _head(3, 1) + struct.pack("<i", 5000 + k)}[name]()
+        bits = rng.choice([0x7F800001, struct.unpack("<I", struct.pack("<f", 12.5))[0]])
+        formats = rng.choice([[], ["GT"], ["DP", "GT"], ["GT", "DP", "AD"], ["AD"]])
+        each = b""
+        for name in formats:
+            size = {"GT": rng.choice([1, 2]), "DP": 1, "AD": rng.choice([1, 3])}[name]
+            kind = 1 if name == "GT" else rng.choice([1, 2])
+            one = [_value(rng, kind, size)[1:] for _ in range(2)]
+            if name == "GT":
+                one = [bytes(rng.choice([0, 1, 2, 3, 4, 5]) for _ in range(size)) for _ in range(2)]
+            each += _head(1, 1) + bytes([key[name]]) + _head(kind, size) + b"".join(one)
+        shared = struct.pack("<iiiIII", k % 2, k, len(ref), bits, len(chosen) | (1 + len(alts)) << 16, 2 | len(formats) << 24)
+        shared += _value(rng, 7, 0) if rng.random() < 0.5 else _head(7, 2) + b"id"
+        shared += b"".join(_head(7, len(x)) + x.encode() for x in [ref, *alts])
+        shared += rng.choice([bytes([0]), _head(1, 1) + b"\0", _head(1, 2) + b"\1\2"]) + info
+        records.append(struct.pack("<II", len(shared), len(each)) + shared + each)
+    path = str(tmp_path / "x.bcf")
+    with open(path, "wb") as f:
+        f.write(compress(head + b"".join(records), 900))
+    text = vcf.with_typed_info(vcf.parse(bcf.read_lines(spark, path)), vcf.read_header(path))
+    columns = vcf.read_typed(spark, path)
+    assert [(f.name, f.dataType.simpleString()) for f in columns.schema] == [(f.name, f.dataType.simpleString()) for f in text.schema]
+    got, want = columns.collect(), text.collect()
+    assert len(got) == len(want) == 400
+    for a, b in zip(got, want):
+        assert a.asDict(recursive=True) == b.asDict(recursive=True)
+    split = spark.read.format("bcf").option("split", "700").load(path)
+    assert split.rdd.getNumPartitions() > 5 and [r.pos for r in split.collect()] == [r.pos for r in want]

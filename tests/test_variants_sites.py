@@ -62,7 +62,7 @@ def test_a_region_reads_a_part_of_an_indexed_file(spark, paths):
 
 @pytest.mark.parametrize("block", [37, 400, 60_000])
 def test_lines_of_splits_are_those_of_the_file(spark, tmp_path, block):
-    lines = [f"line {k} " + "x" * (k * 37 % 300) for k in range(400)] + ["", "", "last"]
+    lines = [f"line {k} " + "x" * (k * 37 % 300) for k in range(150)] + ["", "", "last"]
     path = str(tmp_path / "lines.vcf.gz")
     data = ("\n".join(lines) + "\n").encode()
     packed = bgzf.compress(data[:5000], block) + bgzf.compress(data[5000:], block)  # an empty member inside

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as folder:
         copy = Path(folder, "src", here.name)
         shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
-        made = shutil.make_archive(str(Path(tempfile.mkdtemp(), here.name)), "zip", copy.parent)
+        kept = tempfile.mkdtemp()  # the driver serves the file from there
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
+        made = shutil.make_archive(str(Path(kept, here.name)), "zip", copy.parent)
     spark.sparkContext.addPyFile(made)
     _sent.add(app)
 

@@ -11,7 +11,7 @@ from ..storage import written
 #: Bins of a level are 2^STEP times as wide as those of the level below; the highest level has one bin.
 STEP, FINEST, HIGHEST = 3, 9, 36
 SPREAD = 8  # rows of a region in all levels of bins, on average, that the finest level is chosen for
-FEW = 500_000  # so many binned regions are broadcast (about 50 bytes each); more are shuffled
+FEW, NARROW = 500_000, 32 << 20  # so many binned regions, of so many bytes, are broadcast; more are shuffled
 STARTS = 16  # bits of a position in the tile that regions are merged in
 TILE = 1_000_000
 
@@ -146,6 +146,15 @@ def met_bins(start: Column, stop: Column, finest: int) -> Column:
     return F.concat(*map(of_level, _levels(finest)))
 
 
+def _width(rows: DataFrame) -> Column:
+    """About how many bytes a row takes; very many, if it holds what has no simple size."""
+    plain = 16 * len(rows.columns)
+    if any(kind.startswith(("array", "map", "struct", "variant")) for _, kind in rows.dtypes):
+        return F.lit(1 << 40)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")]
+    return sum(texts, F.lit(plain)).cast("long")
+
+
 def overlap_join(alignments: DataFrame, regions: DataFrame, finest: int | None = None) -> DataFrame:
     """Alignments with each region (contig, start, stop, others) that they overlap.
 
@@ -153,11 +162,13 @@ def overlap_join(alignments: DataFrame, regions: DataFrame, finest: int | None =
     meets in each level. They meet on (contig, bin), an equi-join that Spark can shuffle and split, and a pair in one
     bin only. So a read is never repeated, however long it is. The finest bins (2^finest wide) are the narrowest with
     which regions have about SPREAD rows on average. Regions are written and counted: few are broadcast, many are
-    shuffled, and reads are never the broadcast side. Region columns named like alignment columns must be renamed before.
+    shuffled (many or wide ones), and reads are never the broadcast side. Region columns named like alignment columns must be renamed before.
     """
     whole = [F.col(c).cast("long").alias(c) if c in ("start", "stop") else F.col(c) for c in regions.columns]
     regions = written(regions.filter("start < stop").select(*whole), "regions")
-    size = regions.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("length")).first()
+    size = regions.agg(
+        F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("length"), F.max(_width(regions)).alias("width")
+    ).first()
     length = int(size.length or 0)
     if finest is None:
         finest = max(FINEST, (length // (SPREAD * size.n + FEW // SPREAD)).bit_length())
@@ -165,7 +176,8 @@ def overlap_join(alignments: DataFrame, regions: DataFrame, finest: int | None =
     binned = reads.withColumn("_bin", smallest_bin(F.col("reference_start"), F.col("span_end"), finest))
     spread = regions.withColumn("_rbin", F.explode(met_bins(F.col("start"), F.col("stop"), finest)))
     rows = 2 * len(_levels(finest)) * size.n + 2 * (length >> finest)  # at most
-    spread = F.broadcast(spread) if rows <= FEW else spread.hint("merge")
+    few = rows <= FEW and rows * (size.width or 0) <= NARROW
+    spread = F.broadcast(spread) if few else spread.hint("merge")
     meets = (
         (F.col("reference_name") == F.col("contig"))
         & (F.col("_bin") == F.col("_rbin"))

@@ -6,7 +6,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
-from pyspark.sql import functions
+from pyspark.sql import functions as F
 
 from locusflow.operators import regions
 from locusflow.plans.catalogue import ORACLE_SQL, QUERIES
@@ -51,7 +51,7 @@ def _others(spark):
     from locusflow.plans import derived
 
     reads = derived.alignments(spark, SF).filter(~has_flag("is_unmapped"))
-    runs = reads.select("query_sequence", functions.inline(aligned_blocks()))
+    runs = reads.select("query_sequence", F.inline(aligned_blocks()))
     return runs.selectExpr("sum(length(translate(substr(query_sequence, int(q + 1), int(hi - lo)), 'ACGT', '')))").first()[0]
 
 
@@ -112,6 +112,8 @@ def test_overlaps_of_mixed_widths(spark, monkeypatch, few):
         joined = regions.overlap_join(df, table, finest)
         assert joined.columns == [*df.columns, *table.columns]
         assert sorted((r.query_name, r.region_id) for r in joined.collect()) == sorted(met(spans))
+    wide = table.withColumns({"note": F.lit("x" * 300_000), "some": F.array("region_id")})
+    assert "BroadcastExchange" not in regions.overlap_join(df, wide)._jdf.queryExecution().executedPlan().toString()
     merged = [(k, *m) for k, m in enumerate(_plain_merge([s[1:] for s in spans]))]
     assert sorted(r.query_name for r in regions.overlapping_any(df, table).collect()) == sorted(
         r[0] for r in reads if any(r[2] >= 0 and r[3] == c and r[4] < e and end(r[1], r[4], r[5]) > s for _, c, s, e in merged))

@@ -567,6 +567,17 @@ def test_mix_of_odd_rows(spark):
     assert sorted(map(str, got.values.tolist())) == sorted(map(str, mixing.mix(clash).toPandas().values.tolist()))
 
 
+def test_only_small_tables_are_broadcast(spark):
+    from locusflow.llm._shared import small
+
+    def marked(df, **bounds):
+        return "ResolvedHint" in small(df, **bounds)._jdf.queryExecution().analyzed().toString()
+
+    rows = spark.range(1000).withColumn("t", F.lit("x" * 1000))
+    assert marked(rows) and marked(rows.limit(0)) and not marked(rows, rows=999) and not marked(rows, size=1_000_000)
+    assert not marked(spark.range(40).withColumn("t", F.repeat(F.lit("x"), F.lit(1 << 20))))
+
+
 def test_running_sums(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(40), rng.randrange(9)) for _ in range(500)]

@@ -6,6 +6,7 @@ import json
 import lzma
 import random
 import struct
+import tracemalloc
 from collections import Counter
 
 import files
@@ -386,3 +387,28 @@ def test_intervals():
     assert Interval.of_1based(1, 10) == (0, 10) and Interval(0, 10).to_1based() == (1, 10)
     assert Interval(0, 10).overlap(8, 20) == (8, 10) and Interval(0, 10).overlap(10, 20) is None
     assert resolve(LENGTHS, "beta", 1500, 1200) == ("beta", 900, 900)
+
+
+def test_memory_of_sums_does_not_follow_their_number():
+    from locusflow.functions.runs import Tally
+
+    rng = np.random.default_rng(3)
+    blocks = [(rng.integers(0, 3, 200_000) << 39) + rng.integers(0, 150_000, 200_000) for _ in range(30)]
+    tally, sent, want = Tally(), [], Counter()
+    tracemalloc.start()
+    try:
+        for block in blocks:
+            sent.append(tally.add(block.copy()))
+        sent.append(tally.take())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    for keys, sums in filter(None, sent):
+        assert (keys[1:] > keys[:-1]).all()
+        want.update(dict(zip(keys.tolist(), sums.tolist())))
+    keys, sums = np.unique(np.concatenate(blocks), return_counts=True)
+    assert want == dict(zip(keys.tolist(), sums.tolist()))
+    mixed = Tally(6)
+    assert mixed.add(np.array([5, 3, 5])) is None and mixed.add(np.array([3, 9]), np.array([-1, 4])) is None
+    assert [x.tolist() for x in mixed.take()] == [[3, 5, 9], [0, 2, 4]] and len(mixed.take()[0]) == 0

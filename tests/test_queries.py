@@ -141,3 +141,25 @@ def test_stream_of_tiles(spark, tmp_path):
     query = live.writeStream.format("memory").queryName("tiles").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("tiles").collect())) == [("a", 0, 1), ("a", 1000, 2)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statistics_of_derived_reads_need_one_python_worker_a_task(spark):
+    for name in ("recount_lines", "recount_min_alt", "recount_sites", "count_coverage", "pileup_filtered_contigs"):
+        assert "ArrowEvalPython" not in _plan(QUERIES[name](spark, SF)), name
+
+
+def test_qualities_as_text(spark):
+    from locusflow.operators import stats
+
+    rows = [(0, "c", 3, 9, "4M1I5M", "ACGTNACGTA", [0, 12, 13, 14, 60, 93, 7, 13, 20, 2]), (0, "c", 5, 9, "6M", "TTTTTT", None),
+            (16, "c", 1, 9, "8M", "acgtacgt", [40, 41, 42])]
+    reads = spark.createDataFrame(rows, "flag int, reference_name string, reference_start long, mapping_quality int, cigar string, query_sequence string, query_qualities array<tinyint>")
+    text = F.array_join(F.transform("query_qualities", lambda x: F.chr(x.cast("int") + 33)), "")
+    other = reads.withColumn("quality_text", text).withColumn("query_qualities", F.lit(None).cast("array<tinyint>"))
+    for least in (-300, 0, 13, 14, 60, 93, 94, 300):
+        got, want = (sorted(map(tuple, stats.pileup_counts(x, "c", 0, 20, least).collect())) for x in (other, reads))
+        assert got == want and sum(r[-1] for r in got) == sum(q >= least for _, *_, x in rows for k, q in enumerate(x or []) if len(x) < 10 or k != 4)

@@ -163,3 +163,8 @@ def test_qualities_as_text(spark):
     for least in (-300, 0, 13, 14, 60, 93, 94, 300):
         got, want = (sorted(map(tuple, stats.pileup_counts(x, "c", 0, 20, least).collect())) for x in (other, reads))
         assert got == want and sum(r[-1] for r in got) == sum(q >= least for _, *_, x in rows for k, q in enumerate(x or []) if len(x) < 10 or k != 4)
+
+
+def test_contigs_are_made_without_python(spark):
+    for name in ("count_coverage_nofilter_contigs", "depth_profile_contigs", "tile_counts", "multi_region_fetch"):
+        assert "ExistingRDD" not in _plan(QUERIES[name](spark, SF)), name

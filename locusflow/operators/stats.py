@@ -12,14 +12,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignments import MASK_ALL, MASK_PILEUP, has_flag, overlaps_region, passes, read_filter, with_span
+from ..functions.alignments import MASK_ALL, MASK_PILEUP, has_flag, overlapping, passes, read_filter
 from ..storage import written
 from .pileups import TILE, base_sums, counts_at, depth_steps
 
 
 def count(alignments: DataFrame, contig: str, start: int, stop: int, read_callback: str = "nofilter") -> DataFrame:
     """One row: the reads that overlap the region."""
-    chosen = with_span(alignments).filter(overlaps_region(contig, start, stop) & passes(read_filter(read_callback)))
+    chosen = overlapping(alignments.filter(passes(read_filter(read_callback))), contig, start, stop)
     return chosen.agg(F.count("*").alias("count"))
 
 

@@ -168,3 +168,8 @@ def test_qualities_as_text(spark):
 def test_contigs_are_made_without_python(spark):
     for name in ("count_coverage_nofilter_contigs", "depth_profile_contigs", "tile_counts", "multi_region_fetch"):
         assert "ExistingRDD" not in _plan(QUERIES[name](spark, SF)), name
+
+
+def test_cigars_are_parsed_once(spark):
+    for name in ("multi_region_fetch", "region_join", "region_any_overlap", "tile_counts", "region_fetch", "region_count_all"):
+        assert _plan(QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1, name

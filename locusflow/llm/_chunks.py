@@ -39,7 +39,7 @@ class Memo:
 
     def have(self, pieces: set) -> dict:
         """A dictionary with all these pieces (and others)."""
-        missing = pieces - self.new.keys()
+        missing = pieces.difference(self.new)  # looks up these pieces; with keys() it would go through all that are held
         if missing:
             if self.size > self.most:
                 self.old, self.new, self.size = self.new, {}, 0
@@ -150,6 +150,8 @@ def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[
 _LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A piece of printable Latin characters, of which none is white space, behind one space at most.
 _PLAIN = re.compile(" ?[!-~¡-¬®-ſ]+")
+#: Such a piece that is one word.
+_WORD = re.compile(f" ?[{_LETTERS}]+")
 _WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ \n{_LETTERS}{_DIGITS}]+|\n"
 )
@@ -197,16 +199,23 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
 
     def compute(pieces: list[str]) -> list[bytes]:
         out = [b""] * len(pieces)
-        plain = []
+        single, plain = [], []
         for k, x in enumerate(pieces):
-            if _PLAIN.fullmatch(x) and "<|" not in x:
+            if _WORD.fullmatch(x):
+                single.append(k)
+            elif _PLAIN.fullmatch(x) and "<|" not in x:
                 plain.append(k)
             elif x:
                 ids = tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids
                 out[k] = np.array(ids, "<u2").tobytes()
+        found = _WORDS.findall("\n".join([pieces[k] for k in plain]))
+        wanted = set(found)
+        wanted.discard("\n")
+        wanted.update([pieces[k] for k in single])
+        known = words.have(wanted)
+        for k in single:
+            out[k] = known[pieces[k]]
         if plain:
-            found = _WORDS.findall("\n".join([pieces[k] for k in plain]))
-            known = words.have(set(found) - {"\n"})
             at, held = 0, []
             for x in found:
                 if x == "\n":

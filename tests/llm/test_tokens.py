@@ -216,3 +216,28 @@ def test_token_files_of_odd_rows(spark):
 def test_batches_cover_all():
     texts = ["a" * n for n in (5, 0, 100, 3, 3)] + [None]
     assert [x for a, b in batches(texts, 8) for x in texts[a:b]] == texts
+
+
+def test_a_memo_looks_up_its_pieces_only():
+    from locusflow.llm._chunks import Memo
+
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("all that is held would be gone through")
+
+    memo = Memo(lambda pieces: [x.encode() for x in pieces])
+    memo.new = Held(a=b"a", b=b"b")
+    assert memo.have({"b", "c"}) == {"a": b"a", "b": b"b", "c": b"c"}
+
+
+def test_single_words_among_other_pieces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from locusflow.llm._chunks import TextEncoder, byte_bpe
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = ["word", " ", "Ärger über word, word's 12 x2 don't", "word word\nword. ñ ½ 3½", "<|endoftext|> a", "'s s 's", "", "1 2 3"]
+    got = TextEncoder(byte_bpe(file)).encode(texts)
+    assert got == [b"".join(i.to_bytes(2, "little") for i in library.encode(x, add_special_tokens=False).ids) for x in texts]

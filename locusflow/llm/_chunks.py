@@ -2,23 +2,32 @@
 
 Byte-level BPE with the usual pattern never joins what stands before a single space or newline between
 two other characters to what follows. A text is cut there, each distinct piece is encoded once, and
-the results are joined: the ids are those of the whole text.
+the results are joined: the ids are those of the whole text. Pieces are found, told apart, looked up and joined as
+Arrow arrays, so what repeats costs no Python object.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that Python or a tokenizer takes for white space, but for the space and the newline.
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts with such or with white space that is not single, in the syntax of Arrow's expressions.
+_ODD = _RARE.pattern + r"|  | \n|\n |\n\n|\A\n|\n\z"
 #: A piece that can be a line of a text: no white space but for one space at its start.
 _ONE = re.compile(r" ?\S+")
 
 
-#: Bytes of a generation of an encoder's pieces: many of them are rare, and encoding them again is most of the work.
-HELD = 64 << 20
+#: Bytes of an encoder's pieces: many of them are rare, and encoding them again is most of the work.
+HELD = 48 << 20
+#: Bytes of text, about, that are encoded together: pieces that repeat in them are looked up once.
+GROUP = 16 << 20
 
 
 class Memo:
@@ -56,42 +65,147 @@ class Memo:
         return self.new
 
 
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_OTHER, _LETTER, _DIGIT, _SIGN, _SPACE, _NEWLINE, _LEAD = range(7)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of bytes, and of the characters of two bytes up to U+017F by their bytes."""
+    letter, digit = re.compile(f"[{_LETTERS}]"), re.compile(f"[{_DIGITS}]")
+
+    def kind(c: int) -> int:
+        if c <= 32 or 127 <= c <= 160 or c in (ord("'"), 0xAD):
+            return {32: _SPACE, 10: _NEWLINE}.get(c, _OTHER)
+        return _LETTER if letter.match(chr(c)) else _DIGIT if digit.match(chr(c)) else _SIGN
+
+    single = [kind(c) for c in range(128)] + [_LEAD if 0xC2 <= b <= 0xC5 else _OTHER for b in range(128, 256)]
+    return np.array(single, np.uint8), np.array([kind(c) for c in range(128, 384)], np.uint8).reshape(4, 64)
+
+
+_KINDS, _PAIRS = _kinds()
+
+
+def joined(values: pa.Array, at: np.ndarray) -> pa.LargeBinaryArray:
+    """Values ``at[k]`` to ``at[k + 1]`` put together, for each k, without a copy."""
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset :][at] if len(values) else np.zeros(len(at), np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends), values.buffers()[2]])
+
+
+class Held:
+    """Encoded bytes of pieces, computed in groups and held in two Arrow arrays: a rare piece takes about 30 bytes.
+    Beyond ``most`` bytes only the pieces of the last call stay."""
+
+    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]], most: int = HELD) -> None:
+        self.compute, self.most = compute, most
+        self.pieces, self.values = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def of(self, pieces: pa.Array) -> pa.LargeBinaryArray:
+        """The bytes of each piece; pieces may repeat."""
+        found = pieces.dictionary_encode()
+        distinct = found.dictionary
+        at = pc.index_in(distinct, self.pieces)
+        missing = at.is_null()
+        todo = distinct.filter(missing)
+        if len(todo):
+            place = at.fill_null(0).to_numpy().astype(np.int64)
+            place[missing.to_numpy(zero_copy_only=False)] = np.arange(len(todo)) + len(self.pieces)
+            at = pa.array(place)
+            values = pa.array(self.compute(todo.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+            self.pieces = pa.concat_arrays([self.pieces, todo])
+            self.values = pa.concat_arrays([self.values, values])
+        values = self.values.take(at)
+        if self.pieces.nbytes + self.values.nbytes > self.most:
+            self.pieces, self.values = distinct, values
+        return values.take(found.indices)
+
+
+def _edges(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the UTF-8 of texts whose white space is single (``ends``: where texts begin and end), and
+    the end. A piece is a word of the pattern, if it and all up to the next white space are Latin letters, digits and
+    signs without an apostrophe (contractions) and ``<|`` (special tokens); else it is all up to there."""
+    kind = _KINDS[raw]
+    lead = np.flatnonzero(kind == _LEAD)  # of two bytes
+    kind[lead] = kind[lead + 1] = _PAIRS[raw[lead] - 0xC2, raw[lead + 1] & 0x3F]
+    edge = np.zeros(len(raw) + 1, bool)
+    newline = kind == _NEWLINE
+    edge[:-1] = (kind == _SPACE) | newline
+    edge[1:] |= newline
+    edge[ends] = True
+    whole = np.flatnonzero(edge)
+    edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    other = kind == _OTHER
+    other[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    other = np.unique(np.searchsorted(whole, np.flatnonzero(other), "right"))
+    if len(other):
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[whole[other - 1] + 1] += 1
+        inside[whole[other]] -= 1
+        edge &= np.cumsum(inside[:-1], dtype=np.int8) == 0
+    return np.flatnonzero(edge)
+
+
 class TextEncoder:
     """compute: gives the encoded bytes of each of a list of strings."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]]) -> None:
-        self.inner = Memo(lambda pieces: compute([" " + x for x in pieces]), HELD)
-        self.first = Memo(compute)
-        self.newline = next(iter(compute(["\n"])))
+    def __init__(self, compute: Callable[[list[str]], Iterable[bytes]], most: int = HELD) -> None:
+        self.held = Held(compute, most)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        lines: list[list[list[str]]] = []
-        inner: set[str] = set()
-        first: set[str] = set()
+        return self.encode_array(pa.array([x or "" for x in texts], pa.string())).to_pylist()
+
+    def encode_array(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """The encoded bytes of each text; texts: strings, none null, of less than 2 GB in all."""
+        texts = texts.cast(pa.string())
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not odd.true_count:
+            return self._plain(texts)
+        out = pa.concat_arrays([self._plain(texts.filter(pc.invert(odd))), self._odd(texts.filter(odd).to_pylist())])
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        return out.take(pa.array(np.argsort(np.argsort(is_odd, kind="stable"))))
+
+    def _plain(self, texts: pa.Array) -> pa.LargeBinaryArray:
+        """Of texts whose white space is single spaces and newlines: a space begins a piece, a newline is one."""
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+        ends = ends.astype(np.int64) - ends[0]
+        at = _edges(raw, ends)
+        pieces = pa.Array.from_buffers(
+            pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)]
+        )
+        return joined(self.held.of(pieces), np.searchsorted(at, ends))
+
+    def _odd(self, texts: list[str]) -> pa.LargeBinaryArray:
+        pieces, ends = [], [0]
         for text in texts:
-            parts = self._parts(text) if text else []
-            for line in parts:
-                first.add(line[0])
-                inner.update(line[1:])
-            lines.append(parts)
-        heads, rest = self.first.have(first), self.inner.have(inner).__getitem__
-        return [
-            self.newline.join([b"".join([heads[line[0]], *map(rest, line[1:])]) for line in parts]) for parts in lines
-        ]
-
-    @staticmethod
-    def _parts(text: str) -> list[list[str]]:
-        if (
-            "  " in text
-            or " \n" in text
-            or "\n " in text
-            or "\n\n" in text
-            or text[0] == "\n"
-            or text[-1] == "\n"
-            or _RARE.search(text)
-        ):
-            return [_CUT.split(text)]
-        return [line.split(" ") for line in text.split("\n")]
+            first, *rest = _CUT.split(text)
+            pieces.append(first)
+            pieces += [" " + x for x in rest]
+            ends.append(len(pieces))
+        return joined(self.held.of(pa.array(pieces, pa.string())), np.array(ends))
+
+
+def grouped(batches: Iterable[pa.RecordBatch], most: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in order, in batches with about so many bytes of text (a longer text is alone)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        begin = 0
+        for k, n in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
+            n += 16  # an empty text's row
+            if size and size + n > most:
+                yield _one([*held, batch.slice(begin, k - begin)])
+                held, size, begin = [], 0, k
+            size += n
+        held.append(batch.slice(begin))
+    if size:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*[p.columns for p in parts])], schema=parts[0].schema)
 
 
 #: White space of the pattern, so much of it that a library's recursion would not end well.
@@ -121,8 +235,6 @@ def without_long_spaces(
 def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[[list[str]], list[bytes]]:
     """ids (as 16-bit integers) of many pieces in few calls: pieces without white space inside are encoded
     as lines of one text, whose newlines keep them apart."""
-    import numpy as np
-
     newline = encode("\n")[0]
 
     def compute(pieces: list[str]) -> list[bytes]:
@@ -147,11 +259,8 @@ def by_lines(encode: Callable[[str], list[int]], lines: int = 8000) -> Callable[
     return compute
 
 
-_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: A piece of printable Latin characters, of which none is white space, behind one space at most.
 _PLAIN = re.compile(" ?[!-~¡-¬®-ſ]+")
-#: Such a piece that is one word.
-_WORD = re.compile(f" ?[{_LETTERS}]+")
 _WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ \n{_LETTERS}{_DIGITS}]+|\n"
 )
@@ -169,10 +278,9 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
     """ids, as 16-bit integers, by the tokenizers library; special tokens in a text are recognised as
     the library does by default.
 
-    Pieces of Latin letters, digits and signs are cut into words here and each distinct word goes to
-    the library's model once; every other piece goes through its whole encoding.
+    Pieces of Latin letters, digits and signs are cut into words here, which go to the library's model; every
+    other piece goes through its whole encoding.
     """
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(file)
@@ -185,46 +293,23 @@ def byte_bpe(file: str) -> Callable[[list[str]], list[bytes]]:
     space = letters[32]
     packed = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
-    def words_of(words: list[str]) -> list[bytes]:
-        out = []
-        for x in words:
-            if x.isascii():  # of these characters only the space has another letter
-                x = space + x[1:] if x[0] == " " else x
-            else:
-                x = x.encode().decode("latin-1").translate(letters)
-            out.append(b"".join([packed[t.id] for t in model.tokenize(x)]))
-        return out
-
-    words = Memo(words_of, HELD)
-
     def compute(pieces: list[str]) -> list[bytes]:
-        out = [b""] * len(pieces)
-        single, plain = [], []
-        for k, x in enumerate(pieces):
-            if _WORD.fullmatch(x):
-                single.append(k)
-            elif _PLAIN.fullmatch(x) and "<|" not in x:
-                plain.append(k)
+        out = []
+        for x in pieces:
+            if _PLAIN.fullmatch(x) and "<|" not in x:
+                ids = b""
+                for word in _WORDS.findall(x):
+                    if word.isascii():  # of these characters only the space has another letter
+                        word = space + word[1:] if word[0] == " " else word
+                    else:
+                        word = word.encode().decode("latin-1").translate(letters)
+                    ids += b"".join([packed[t.id] for t in model.tokenize(word)])
+                out.append(ids)
             elif x:
                 ids = tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids
-                out[k] = np.array(ids, "<u2").tobytes()
-        found = _WORDS.findall("\n".join([pieces[k] for k in plain]))
-        wanted = set(found)
-        wanted.discard("\n")
-        wanted.update([pieces[k] for k in single])
-        known = words.have(wanted)
-        for k in single:
-            out[k] = known[pieces[k]]
-        if plain:
-            at, held = 0, []
-            for x in found:
-                if x == "\n":
-                    out[plain[at]] = b"".join(held)
-                    held = []
-                    at += 1
-                else:
-                    held.append(known[x])
-            out[plain[at]] = b"".join(held)
+                out.append(np.array(ids, "<u2").tobytes())
+            else:
+                out.append(b"")
         return out
 
     return compute

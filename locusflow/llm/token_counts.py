@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._chunks import TextEncoder
+from ._chunks import TextEncoder, grouped
 from ._files import make_dir, place
 from ._shared import new_path, partitions, tune, written
-from ._words import batches
 
 BLOCK = 1 << 21  # tokens
 FILE = 1 << 25  # tokens after which a writer begins another file
@@ -45,29 +44,27 @@ def write_flat_files(
         coder = sink = None
         file = count = size = 0
         try:
-            for part in parts:
-                texts = part.column("text").to_pylist()
-                for begin, end in batches(texts):
-                    if sink is None or size >= 2 * FILE:
-                        if sink is not None:
-                            sink.close()
-                        file, count, size = uuid.uuid4().int >> 65, 0, 0
-                        system, name = place(f"{folder}/{file:016x}.bin")
-                        sink, coder = system.open_output_stream(name), encoder()
-                    packed = stop.join([*coder.encode(texts[begin:end]), b""])
-                    sink.write(packed)
-                    size += len(packed)
-                    n = end - begin
-                    yield pa.record_batch(
-                        [
-                            pa.array([file] * n, pa.int64()),
-                            pa.array(range(count, count + n), pa.int64()),
-                            part.column("doc_id").slice(begin, n),
-                            pa.array([size] * n, pa.int64()),
-                        ],
-                        names=["file", "ordinal", "doc_id", "bytes"],
-                    )
-                    count += n
+            for part in grouped(parts):
+                if sink is None or size >= 2 * FILE:
+                    if sink is not None:
+                        sink.close()
+                    file, count, size = uuid.uuid4().int >> 65, 0, 0
+                    system, name = place(f"{folder}/{file:016x}.bin")
+                    sink, coder = system.open_output_stream(name), encoder()
+                packed = stop.join([*coder.encode_array(part.column("text").fill_null("")).to_pylist(), b""])
+                sink.write(packed)
+                size += len(packed)
+                n = part.num_rows
+                yield pa.record_batch(
+                    [
+                        pa.array([file] * n, pa.int64()),
+                        pa.array(range(count, count + n), pa.int64()),
+                        part.column("doc_id"),
+                        pa.array([size] * n, pa.int64()),
+                    ],
+                    names=["file", "ordinal", "doc_id", "bytes"],
+                )
+                count += n
         finally:
             if sink is not None:
                 sink.close()

@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import TextEncoder
+from ._chunks import TextEncoder, grouped
 from ._files import make_dir, place
 from ._shared import new_path, tune, written
-from ._words import batches
 from .ordering import in_ranges
 
 LENGTH, ROWS = 2048, 64
@@ -136,15 +135,13 @@ def write_token_files(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = coder = None
         shard = 0
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            for begin, upto in batches(texts):
-                if out is None:
-                    shard = part.column("_range")[0].as_py()
-                    path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.arrow"
-                    out, coder = Writer(path), encoder()
-                packed = [x + stop for x in coder.encode(texts[begin:upto])]
-                out.add(part.column("doc_id").slice(begin, upto - begin).to_pylist(), packed)
+        for part in grouped(parts):
+            if out is None:
+                shard = part.column("_range")[0].as_py()
+                path = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.arrow"
+                out, coder = Writer(path), encoder()
+            packed = [x + stop for x in coder.encode_array(part.column("text")).to_pylist()]
+            out.add(part.column("doc_id").to_pylist(), packed)
         if out is not None:
             out.close()
             yield pa.record_batch(

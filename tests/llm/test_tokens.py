@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from locusflow.llm import bpe, token_counts, token_files
-from locusflow.llm._chunks import Memo, TextEncoder, byte_bpe, rank_bpe, without_long_spaces
+from locusflow.llm._chunks import Held, Memo, TextEncoder, byte_bpe, grouped, rank_bpe, without_long_spaces
 from locusflow.llm._words import batches
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -241,3 +241,74 @@ def test_single_words_among_other_pieces():
     texts = ["word", " ", "Ärger über word, word's 12 x2 don't", "word word\nword. ñ ½ 3½", "<|endoftext|> a", "'s s 's", "", "1 2 3"]
     got = TextEncoder(byte_bpe(file)).encode(texts)
     assert got == [b"".join(i.to_bytes(2, "little") for i in library.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_words_are_encoded_once_whatever_signs_follow_them():
+    asked = []
+
+    def compute(pieces):
+        asked.extend(pieces)
+        return [x.encode() for x in pieces]
+
+    coder = TextEncoder(compute)
+    texts = ["word, word. über12 word\nword; don't a<|b|>, 日本, word", "über,"]
+    assert coder.encode(texts) == [x.encode() for x in texts]
+    assert sorted(asked) == sorted(set(asked))
+    assert set(asked) == {"word", " word", ",", ".", ";", " über", "über", "12", "\n", " don't", " a<|b|>,", " 日本,"}
+    coder.encode(texts[::-1])
+    assert len(asked) == len(set(asked))
+
+
+def test_many_rare_words_are_held():
+    asked = 0
+
+    def compute(pieces):
+        nonlocal asked
+        asked += len(pieces)
+        return [b"12"] * len(pieces)
+
+    coder = TextEncoder(compute)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(k).translate(letters) for k in range(a, a + 100_000)) for a in range(100_000, 900_000, 100_000)]
+    for _ in range(2):
+        for text in texts:
+            assert len(coder.encode([text])[0]) == 200_000
+    assert asked < 800_100
+
+
+def test_held_pieces_are_bounded_and_right():
+    import pyarrow as pa
+
+    held = Held(lambda pieces: [x.encode() * 50 for x in pieces], most=20_000)
+    rng = random.Random(1)
+    for _ in range(300):
+        some = [str(rng.randrange(500)) for _ in range(40)]
+        assert held.of(pa.array(some)).to_pylist() == [x.encode() * 50 for x in some]
+        assert held.pieces.nbytes + held.values.nbytes <= 20_000
+    assert held.of(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_words_of_mixed_signs_equal_the_library():
+    library, own = Tokenizer.from_file(BYTE), TextEncoder(byte_bpe(BYTE))
+    ranks, other = library_of(RANKS), TextEncoder(rank_bpe(RANKS))
+    signs = [*"aBéß×÷ªºµ½²¾70,.'<|>¡¬ſƀЯ日😀“_-©\xad\x7f\x00\x80́٣Ⅷ", "'s", "'ll", "<|endoftext|>", "  ", "\t", "\xa0", *"     \n\n"]
+    rng = random.Random(7)
+    for _ in range(40):
+        some = [*rng.sample(signs, rng.randint(2, len(signs))), " "]
+        texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(50)]
+        for text, a, b in zip(texts, own.encode(texts), other.encode(texts), strict=True):
+            assert np.frombuffer(a, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+            assert np.frombuffer(b, "<u2").tolist() == ranks.encode_ordinary(text), repr(text)
+
+
+def test_grouped_batches_keep_all_rows_in_order():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (5, 0, 100, 3, 3)] + [None, "", "é" * 30, "b"]
+    parts = [pa.record_batch({"k": pa.array(range(a, b), pa.int64()), "text": pa.array(texts[a:b], pa.string())}) for a, b in ((0, 4), (4, 4), (4, 9))]
+    for most in (1, 60, 1000):
+        got = list(grouped(iter(parts), most))
+        assert [x for g in got for x in g.column("text").to_pylist()] == texts
+        assert [x for g in got for x in g.column("k").to_pylist()] == list(range(9))
+        assert all(g.num_rows == 1 or sum(16 + len((x or "").encode()) for x in g.column("text").to_pylist()) <= most for g in got)
+    assert list(grouped(iter([]))) == list(grouped(iter(parts[1:2]))) == []

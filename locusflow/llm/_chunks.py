@@ -1,9 +1,9 @@
 """Encoding of whole texts by their repeated pieces.
 
-Byte-level BPE with the usual pattern never joins what stands before a single space or newline between
-two other characters to what follows. A text is cut there, each distinct piece is encoded once, and
-the results are joined: the ids are those of the whole text. Pieces are found, told apart, looked up and joined as
-Arrow arrays, so what repeats costs no Python object.
+Byte-level BPE with the usual pattern never joins its words, and Latin letters, digits, signs and white space show where
+they end. A text is cut there (elsewhere before a single space between two other characters), each distinct piece is
+encoded once, and the results are joined: the ids are those of the whole text. Pieces are found, told apart, looked up
+and joined as Arrow arrays, so what repeats costs no Python object.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ import pyarrow.compute as pc
 #: Characters that Python or a tokenizer takes for white space, but for the space and the newline.
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts with such or with white space that is not single, in the syntax of Arrow's expressions.
-_ODD = _RARE.pattern + r"|  | \n|\n |\n\n|\A\n|\n\z"
+#: Texts with such, or with a run of white space before what may be a special token, in the syntax of Arrow's expressions.
+_ODD = _RARE.pattern + r"|[ \n]{2}<\|"
 #: A piece that can be a line of a text: no white space but for one space at its start.
 _ONE = re.compile(r" ?\S+")
 
 
 #: Bytes of an encoder's pieces: many of them are rare, and encoding them again is most of the work.
-HELD = 48 << 20
+HELD = 32 << 20
 #: Bytes of text, about, that are encoded together: pieces that repeat in them are looked up once.
-GROUP = 16 << 20
+GROUP = 8 << 20
 
 
 class Memo:
@@ -120,19 +120,25 @@ class Held:
 
 
 def _edges(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where pieces begin in the UTF-8 of texts whose white space is single (``ends``: where texts begin and end), and
-    the end. A piece is a word of the pattern, if it and all up to the next white space are Latin letters, digits and
-    signs without an apostrophe (contractions) and ``<|`` (special tokens); else it is all up to there."""
+    """Where pieces begin in the UTF-8 of texts with no white space but spaces and newlines (``ends``: where texts begin
+    and end), and the end. As in the pattern, of white space before another character all but the last is a piece, and
+    the last one, if a newline; a space belongs to what follows. That is cut into words if it holds Latin letters,
+    digits and signs only, no apostrophe (contractions) and no ``<|`` (special tokens)."""
     kind = _KINDS[raw]
     lead = np.flatnonzero(kind == _LEAD)  # of two bytes
     kind[lead] = kind[lead + 1] = _PAIRS[raw[lead] - 0xC2, raw[lead + 1] & 0x3F]
-    edge = np.zeros(len(raw) + 1, bool)
     newline = kind == _NEWLINE
-    edge[:-1] = (kind == _SPACE) | newline
-    edge[1:] |= newline
+    white = (kind == _SPACE) | newline
+    last = white.copy()
+    last[:-1] &= ~white[1:]
+    last[ends[ends > 0] - 1] = False
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[:-1] = last
+    edge[1:] |= last & newline
+    edge[1:-1] |= white[1:] & ~white[:-1]
     edge[ends] = True
     whole = np.flatnonzero(edge)
-    edge[1:-1] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    edge[1:-1] |= (kind[1:] != kind[:-1]) & ~white[1:] & ~white[:-1]
     other = kind == _OTHER
     other[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
     other = np.unique(np.searchsorted(whole, np.flatnonzero(other), "right"))
@@ -164,7 +170,7 @@ class TextEncoder:
         return out.take(pa.array(np.argsort(np.argsort(is_odd, kind="stable"))))
 
     def _plain(self, texts: pa.Array) -> pa.LargeBinaryArray:
-        """Of texts whose white space is single spaces and newlines: a space begins a piece, a newline is one."""
+        """Of texts with no white space but spaces and newlines."""
         if not len(texts):
             return pa.array([], pa.large_binary())
         _, ends, data = texts.buffers()

@@ -259,6 +259,18 @@ def test_words_are_encoded_once_whatever_signs_follow_them():
     assert len(asked) == len(set(asked))
 
 
+def test_runs_of_white_space_are_cut_as_the_pattern_does():
+    asked = []
+
+    def compute(pieces):
+        asked.extend(pieces)
+        return [x.encode() for x in pieces]
+
+    texts = ["a\n\nb  c \n", " \n", "\n \nd", "  e\n", "", "f \n <|g", "a\tb"]
+    assert TextEncoder(compute).encode(texts) == [x.encode() for x in texts]
+    assert set(asked) == {"a", "\n", "b", " ", " c", " \n", "\n ", "d", " e", "f \n <|g", "a\tb"}
+
+
 def test_many_rare_words_are_held():
     asked = 0
 
